@@ -3,18 +3,42 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import decontaminate, near_dedup, substring_dedup, token_store, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, written as Re-Pair shards and read back."""
+    import public_tokenizers
+
+    shards = token_store.token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.digests(shards)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items whose tiles cover half of the item or more."""
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "matched", "tiles", F.round("coverage", 6).alias("coverage"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that links of similarity 0.8 or more connect."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after every window of 35 words that also starts elsewhere is removed."""
     out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op7_substring_dedup,)}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more between all vectors, and their components."""
+    return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_repair_tokens, op3_decontaminate, op4_near_dedup, op7_substring_dedup, op10_vector_dedup)}
 SQL: dict[str, str] = {}

@@ -114,15 +114,19 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
         i = j
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of bytes."""
+    up, down = _BYTE_POWERS.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 def word_runs(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[Words]:
     """The words of all texts, some consecutive whole texts at a time."""
     for first, data, offsets in slices(texts, size):
         start, end, at = spans(data, offsets)
-        up, down = _BYTE_POWERS.upto(len(data) + 1)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-        hashes = mix((sums[end] - sums[start]) * down[start])
-        del sums
+        hashes = byte_hashes(data, start, end)
         up, _ = _WORD_POWERS.upto(len(hashes) + 1)
         prefix = np.zeros(len(hashes) + 1, U64)
         np.cumsum(hashes * up[: len(hashes)], out=prefix[1:])
