@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, substring_dedup, token_store, vector_dedup
+from . import decontaminate, near_dedup, substring_dedup, token_store, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model fitted to labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 or more between all vectors, and their components."""
     return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repair_tokens, op3_decontaminate, op4_near_dedup, op7_substring_dedup, op10_vector_dedup)}
+QUERIES = {f.__name__: f for f in (op2_repair_tokens, op3_decontaminate, op4_near_dedup, op7_substring_dedup, op8_toxicity, op10_vector_dedup)}
 SQL: dict[str, str] = {}
