@@ -12,14 +12,15 @@ number of ids, and each shard is one self-contained blob::
     at       uint64 each and one more: id at which a text starts
 
 The blobs are the rows of a Parquet table, so that Spark's writer commits them whole, any file
-system will do, and lost executors cost nothing but time. ``read_ids`` decodes any text or range
-of a shard by the stored lengths, without the rest.
+system will do, and lost executors cost nothing but time. ``Shard`` decodes any text or range
+of ids of a shard by the stored lengths, without the rest.
 
 Null texts count as empty; an empty text has the end id alone; repeated rows are encoded each;
 an empty table gives an empty store; other columns are ignored.
 """
 
 import itertools
+import uuid
 import zlib
 from functools import cache
 
@@ -32,10 +33,10 @@ from .storage import shared_root
 from .words import byte_hashes, ranges, slices, spans
 
 END_ID = 2
-SHARD_IDS = 2 << 20
-LEAST_COUNT, SPREAD = 8, 8
+SHARD_IDS = 1 << 20
+LEAST_COUNT, SPREAD = 16, 16
 _HEAD = 4 + 8 * 8
-_MEMO_WORDS, _SLOT_BITS, _SLICE = 1_500_000, 22, 8 << 20
+_MEMO_WORDS, _SLOT_BITS, _SLICE = 1_200_000, 22, 2 << 20
 _SLOTS = 1 << _SLOT_BITS
 
 
@@ -47,6 +48,10 @@ _STOP = np.zeros(256, bool)
 _STOP[[44, 46]] = True
 
 
+#: How byte-level tokenizers write the bytes that are not printable Latin-1: as code points from 256 on.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 class WordEncoder:
     """Encodes texts word by word, and each word once for as long as the memo holds it.
 
@@ -71,7 +76,7 @@ class WordEncoder:
         self.hash, self.at, self.size = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
 
     def _learn(self, hashes: np.ndarray, words: list[str]):
-        coded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        coded = self._ids(words)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         total, n = int(sizes.sum()), len(words)
         self.ids = _room(self.ids, self.used + total)
@@ -86,6 +91,21 @@ class WordEncoder:
         self.words, self.used = self.words + n, self.used + total
         return new
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words; those of Latin-1 letters go to the tokenizer's model at once, others through all its steps."""
+        out, rest, split = [], [], self.tokenizer.model.tokenize
+        for word in words:
+            if word.isalpha() and max(word) <= "\xff":
+                word = word.lower()
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                out.append([t.id for t in split(letters)])
+            else:
+                rest.append(len(out))
+                out.append(word)
+        for i, e in zip(rest, self.tokenizer.encode_batch([out[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     @staticmethod
     def _places(hashes):
         return (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64), (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
@@ -142,9 +162,10 @@ def word_encoder(path: str, end_id: int) -> WordEncoder:
 def re_pair(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, symbols: int = 1 << 16):
     """Replace frequent pairs by nonterminals until none is left or ``symbols`` are used up.
 
-    A round counts all pairs, takes those with at least an eighth of the greatest count, and
+    A round counts all pairs, takes those with at least a sixteenth of the greatest count, and
     replaces them from left to right without overlap; a pair replaced fewer than ``least`` times
-    is left alone, and a round that shortens the sequence by less than 1 in 256 is the last. Gives the sequence, the symbols of each text, and the rules.
+    is left alone, and a round that shortens the sequence by less than 1 in 1024 is
+    the last. Gives the sequence, the symbols of each text, and the rules.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
@@ -195,7 +216,7 @@ def re_pair(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, least: int =
         seq, last = seq[keep], last[keep]
         rules.append(pairs[good])
         free += int(good.sum())
-        if len(where) < len(seq) // 256:
+        if len(where) < len(seq) // 1024:
             break
     pairs = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
     rules_out = np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1).astype(np.uint32)
@@ -229,8 +250,8 @@ def write_shard(doc_ids: list, ids: np.ndarray, lengths: np.ndarray, vocabulary:
 class Shard:
     """A blob's arrays, read in place."""
 
-    def __init__(self, blob: bytes):
-        if blob[:4] != b"RPR1":
+    def __init__(self, blob):
+        if bytes(blob[:4]) != b"RPR1":
             raise ValueError("not a token shard")
         head = np.frombuffer(blob, np.uint64, 8, 4).astype(int)
         self.vocabulary, docs, rules, symbols, self.size, width = map(int, head[:6])
@@ -335,43 +356,41 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ordered.mapInArrow(run, _SHARDS).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) of every text of a store, decoded from its blobs.
+def _based(shards: DataFrame) -> DataFrame:
+    """Blobs with the number of ids in all shards before; the sum runs over the shards' counts, a few bytes for each."""
+    order = Window.orderBy(F.asc_nulls_first("first_doc"), "seq").rowsBetween(Window.unboundedPreceding, -1)
+    base = shards.select("first_doc", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).drop("n_tokens")
+    same = [shards["first_doc"].eqNullSafe(base["first_doc"]), shards["seq"] == base["seq"]]
+    return shards.join(base, same).select("blob", "base")
 
-    ``start`` counts the ids of all texts before; it adds up the shards' own counts, a few bytes for each.
-    """
+
+def _decoded(shards: DataFrame, column: str, kind: str, make) -> DataFrame:
+    """``doc_id, start, n_tokens`` and what ``make`` gives for the ids of consecutive texts and their bounds."""
 
     def run(batches):
         for batch in batches:
             for blob, base in zip(batch.column("blob"), batch.column("base"), strict=True):
-                s = Shard(blob.as_buffer().to_pybytes())
-                ids, at = s.expand(s.symbols), s.at
+                s = Shard(blob.as_buffer())
+                ids, at = s.expand(s.symbols).astype("<u4"), s.at
                 for i in range(0, len(at) - 1, 4096):
                     j = min(i + 4096, len(at) - 1)
-                    data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(((at[i : j + 1] - at[i]) * 4).astype(np.int32)), pa.py_buffer(ids[at[i] : at[j]].astype("<u4"))])
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[i:j], mask=~s.valid[i:j]), pa.array(at[i:j] + base.as_py()), pa.array(np.diff(at[i : j + 1])), data], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[i:j], mask=~s.valid[i:j]), pa.array(at[i:j] + base.as_py()), pa.array(np.diff(at[i : j + 1])), make(ids[at[i] : at[j]], at[i : j + 1] - at[i])], names=["doc_id", "start", "n_tokens", column])
 
-    order = Window.orderBy(F.asc_nulls_first("first_doc"), "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select("first_doc", "seq", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).drop("n_tokens")
-    same = [shards["first_doc"].eqNullSafe(base["first_doc"]), shards["seq"] == base["seq"]]
-    return shards.join(base, same).select("blob", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return _based(shards).mapInArrow(run, f"doc_id long, start long, n_tokens long, {column} {kind}")
 
 
-def digests(shards: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every text of a store."""
+def read_documents(shards: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) of every text of a store, decoded from its blobs."""
+    return _decoded(shards, "ids", "binary", lambda ids, at: pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids)]))
 
-    def run(batches):
-        for batch in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_documents(shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digests(shards: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every text of a store, decoded from its blobs."""
+    return _decoded(shards, "ids_crc32", "long", lambda ids, at: pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()))
 
 
 def token_store(docs: DataFrame, tokenizer: str, path: str | None = None, **kw) -> DataFrame:
     """Write a store (by default in the shared folder) and read its shards back."""
-    import uuid
-
     spark = docs.sparkSession
     path = path or f"{shared_root(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_store(docs, path, tokenizer, **kw)
