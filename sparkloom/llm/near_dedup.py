@@ -187,3 +187,15 @@ def near_groups(docs: DataFrame, **kw) -> DataFrame:
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """``doc_id, component_id, kept``: kept where the row's id is its group's."""
     return near_groups(docs, **kw).select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group: the least doc_id stays, nulls last, then the least digest."""
+    rows = stored(near_groups(docs, **kw), "groups")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")).alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_node") == F.col("__node"))
+    out = docs.withColumn("__text_node", text_node()).join(keep, same, "left_semi")
+    if rows.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "__text_node"])  # repeated rows
+    return out.select(*docs.columns)

@@ -3,13 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, substring_dedup, token_store, toxicity, vector_dedup
+from . import decontaminate, licenses, mixing, near_dedup, pii, sharding, substring_dedup, token_store, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that a document's whole text is, and those that its lines name."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, written as Re-Pair shards and read back."""
     import public_tokenizers
@@ -29,6 +34,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by keyed surrogates."""
+    return pii.replace(_table(spark, sf_dir, "documents"), key="registered-query-key")
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document, sources weighing 1, 2, 3 in turn."""
+    quality = mixing.label_quality(_table(spark, sf_dir, "labels"))
+    out = mixing.mix(_table(spark, sf_dir, "documents"), quality)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after every window of 35 words that also starts elsewhere is removed."""
     out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -43,10 +60,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of near equal bytes."""
+    out = sharding.shard(_table(spark, sf_dir, "documents"), leaves=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.9 or more between all vectors, and their components."""
     return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repair_tokens, op3_decontaminate, op4_near_dedup, op7_substring_dedup, op8_toxicity, op10_vector_dedup)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_repair_tokens, op3_decontaminate, op4_near_dedup, op5_pii_surrogates, op6_mix, op7_substring_dedup, op8_toxicity, op9_shard, op10_vector_dedup)
+}
+SQL = {"op1_license_scan": licenses.sql()}

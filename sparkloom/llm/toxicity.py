@@ -189,16 +189,28 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     return Model(features[:-1], weights[:-1], float(weights[-1]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1) from its texts alone."""
+def _scores(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
-    names = docs.columns
+    return lambda texts: Model(*shared.value).scores(texts)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` (0 to 1) of every row, from its text alone."""
+    scores = _scores(docs, model)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold."""
+    scores = _scores(docs, model)
 
     def run(batches):
-        own = Model(*shared.value)
         for batch in batches:
-            score = pa.array(own.scores(batch.column("text")), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, "score"])
+            yield batch.filter(pa.array(scores(batch.column("text")) < threshold))
 
-    schema = docs.schema.add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
