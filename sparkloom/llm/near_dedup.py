@@ -72,7 +72,7 @@ def _arrivals(doc, item, weight, docs, registers, bound):
     step = 0
     while len(doc):
         step += 1
-        draw = mix(seed + U64(step) * U64(0x9E3779B97F4A7C15))
+        draw = mix(seed + U64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         now = now - np.log(((draw >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
         live = now < limit[doc]
         doc, item, weight, now, seed, draw = (x[live] for x in (doc, item, weight, now, seed, draw))

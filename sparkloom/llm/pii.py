@@ -82,13 +82,13 @@ def _letter(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
 
 
-def _same_shape(text: Column, digest: Column) -> Column:
+def _same_shape(text: Column, digest: Column, lower: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
     """Digits for digits (a leading one is not zero) and letters for ASCII letters; the rest stays."""
 
     def one(c, i):
         b = _byte(digest, i)
         digit = F.when((i == 0) & (c != "0"), (F.pmod(b, F.lit(9)) + 1).cast("string")).otherwise(F.pmod(b, F.lit(10)).cast("string"))
-        lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), _letter(lower, b)).when(c.rlike("[A-Z]"), _letter(upper, b)).otherwise(c)
 
     return F.array_join(F.transform(_chars(text), one), "")
@@ -105,6 +105,18 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
+def _name_part(hard: str, soft: str, ends: tuple[str, str, str], digest: Column):
+    """Makes the i-th part of a name: two or three syllables, and an ending that tells the gender."""
+
+    def part(p, i):
+        end = F.when(F.col("gender") == "f", ends[0]).when(F.col("gender") == "m", ends[1]).otherwise(ends[2])
+        size = F.when(F.length(p) > 6, 3).otherwise(2)
+        syllable = lambda k: F.concat(_letter(hard, _byte(digest, i * 9 + k * 2)), _letter(soft, _byte(digest, i * 9 + k * 2 + 1)))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), size), syllable), ""), _letter(hard, _byte(digest, i * 9)), end)
+
+    return part
+
+
 def _surrogate(key: str) -> Column:
     """The surrogate's canonical form at the entity's current attempt."""
     d = F.sha2(F.concat_ws("\0", F.lit(key), "kind", "gender", "script", "canonical", F.col("attempt").cast("string"), F.lit(key)), 512)
@@ -113,7 +125,7 @@ def _surrogate(key: str) -> Column:
     top = F.substring_index(domain, ".", -1)
     host = F.expr("left(substring_index(canonical, '@', -1), length(substring_index(canonical, '@', -1)) - length(substring_index(substring_index(canonical, '@', -1), '.', -1)) - 1)")
     email = F.concat(_same_shape(local, d), F.lit("@"), _same_shape(host, F.sha2(F.concat(F.lit(key), host), 512)), F.lit("."), top)
-    shape = _same_shape(c, d)
+    shape = F.when(c.rlike("^[0-9a-f]{16,}$"), _same_shape(c, d, "abcdef")).otherwise(_same_shape(c, d))
     body = F.expr("left(canonical, length(canonical) - 1)")
     card = _same_shape(body, d)
     check = F.pmod(F.lit(10) - luhn(F.concat(card, F.lit("0"))), F.lit(10)).cast("string")
@@ -125,16 +137,7 @@ def _surrogate(key: str) -> Column:
     access = F.concat(F.lit("AKIA"), _same_shape(F.expr("substring(canonical, 5)"), d))
     name = None
     for script, (hard, soft, ends) in SCRIPTS.items():
-        # each part: two or three syllables, and an ending that tells the gender
-
-        def part(p, i, hard=hard, soft=soft, ends=ends):
-            at = i * 9
-            end = F.when(F.col("gender") == "f", ends[0]).when(F.col("gender") == "m", ends[1]).otherwise(ends[2])
-            size = F.when(F.length(p) > 6, 3).otherwise(2)
-            syllables = F.transform(F.sequence(F.lit(1), size), lambda k: F.concat(_letter(hard, _byte(d, at + k * 2)), _letter(soft, _byte(d, at + k * 2 + 1))))
-            return F.concat(F.array_join(syllables, ""), _letter(hard, _byte(d, at)), end)
-
-        made = F.array_join(F.transform(F.split(c, " "), part), " ")
+        made = F.array_join(F.transform(F.split(c, " "), _name_part(hard, soft, ends, d)), " ")
         name = F.when(F.col("script") == script, made) if name is None else name.when(F.col("script") == script, made)
     kind = F.col("kind")
     return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "key", access).when(kind == "name", name).otherwise(shape)

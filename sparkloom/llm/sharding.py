@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES = 16, 512, 0.0005, 5, 64
+OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES = 16, 2048, 0.0005, 5, 64
 _AXES = ["x0", "x1", "x2", "x3", "x4"]
 
 
