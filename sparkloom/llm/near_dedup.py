@@ -7,11 +7,12 @@ share of equal registers estimates the probability Jaccard similarity of the wei
 registers give candidates; a candidate is a link if the exact Jaccard similarity of the sets of
 shingles is at least the threshold.
 
-Equal texts are one class from the start. In a bucket every class is compared with the least one
-only; the components of these links then leave buckets whose classes are not all connected yet, and
-in those the pairs of different components are compared too. So a bucket whose members are near
-copies of each other costs as many comparisons as it has members, and no link that would connect
-two components is left out.
+Equal texts are one class from the start. In a bucket every class is compared with one only, the one
+that shares most places in buckets, which is the original if the group has one. The components of these
+links then leave buckets whose classes are not all connected yet; classes that such buckets hold together
+are a cluster, and within a cluster all are compared with all, in blocks and without emitting pairs. So a
+group of near copies of one text costs as many comparisons as it has members, and no link that would
+connect two components is left out.
 
 Equal texts are copies whatever they hold, and a null text equals an empty one; texts without a word
 link with nothing else; texts of one to four words have their words as one shingle;
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import each_cell, in_cells, least_reached, sides
 from .components import connected_components
 from .storage import stored
 from .words import U64, mix, word_runs
 
-WORDS, THRESHOLD, BANDS, ROWS, BONUS = 5, 0.8, 25, 5, 0.25
+WORDS, THRESHOLD, BANDS, ROWS, BONUS, BLOCK, BROADCAST_ROWS = 5, 0.8, 25, 5, 0.25, 512, 1 << 17
 
 
 def shingles(w, words: int = WORDS):
@@ -145,32 +147,78 @@ def text_node(text="text"):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def near_links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bonus: float = BONUS):
+def near_links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bonus: float = BONUS, block: int = BLOCK):
     """The rows' classes (``doc_id, node``) and the ``node, root`` of classes that links connect."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_node().alias("node"))
     signed = stored(texts.mapInArrow(_bands(words, bands, rows, bonus), "doc_id long, node binary, bands array<long>"), "signatures")
     keys = signed.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
     keys = stored(keys, "bands")
     # buckets of one class are most of all: the counts leave the others only
-    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = stored(keys.join(least.select("key", "least"), "key"), "members")
-    stars = stored(members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    some = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(keys.join(sizes, "key"), "members")
+    # the class that shares most of its buckets' places is the likely original of a group: compare with it
+    shared = stored(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
+    members = stored(members.join(_small(shared), "node"), "scored-members")
+    hubs = members.groupBy("key").agg(F.max(F.struct("shared", "node")).getField("node").alias("hub"))
+    stars = members.join(hubs, "key").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     # every class in a shared bucket is in a star pair, so these sets serve the second look as well
-    one = texts.select("node", "text").join(some, "node").dropDuplicates(["node"])
+    one = texts.select("node", "text").join(_small(shared.select("node")), "node").dropDuplicates(["node"])
     sets = stored(one.mapInArrow(_sets(words), "node binary, items binary"), "shingle-sets")
     links = stored(_checked(stars, sets, threshold), "links")
-    first = connected_components(links)
-    of = members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    of = stored(of, "bucket-roots")
-    mixed = of.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    left = of.join(mixed, "key")
-    x, y = left.toDF("key", "a", "ra"), left.toDF("key", "b", "rb")
-    pairs = x.join(y, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(_checked(pairs.join(stars, ["a", "b"], "left_anti"), sets, threshold), "more-links")
+    first = stored(connected_components(links), "first-components")
+    of = stored(members.select("key", "node").join(_small(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-roots")
+    mixed = of.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("least")).where("x < y")
+    more = stored(_second_look(of.join(mixed.select("key", "least"), "key"), sets, threshold, block), "more-links")
     return signed.select("doc_id", "node"), connected_components(links.union(more))
 
 
+def _second_look(left: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """A spanning forest of the links within clusters: classes that buckets of several components hold together.
+
+    A cluster's classes are compared in cells of two blocks, by counting shared shingles as matrix
+    products; what cells give is linear in their members.
+    """
+    loose = stored(connected_components(left.select(F.col("least").alias("a"), F.col("node").alias("b")), name="clusters").withColumnRenamed("root", "cluster"), "loose-clusters")
+    held = sets.join(_small(loose), "node")
+    size = held.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("items")) / (8 << 20))).alias("blocks"))
+    cells = in_cells(held.join(_small(size), "cluster"), ["cluster"], F.greatest("blocks", F.lit(1)), F.col("node"))
+    return cells.mapInArrow(_cell_links(threshold), "a binary, b binary")
+
+
+def _cell_links(threshold: float):
+    def links(cell):
+        rows = [np.frombuffer(x, U64) for x in cell["items"]]
+        size = np.array([len(x) for x in rows])
+        name, column, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        keep = df[column] > 1
+        row, column = np.repeat(np.arange(len(rows)), size)[keep], column[keep]
+        _, column = np.unique(column, return_inverse=True)
+        two = sides(cell) or (np.arange(len(rows)),) * 2
+        both = np.zeros((len(two[0]), len(two[1])), np.float32)
+        step = max(64, (16 << 20) // max(1, len(rows)))  # columns at a time
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, int(column.max(initial=-1)) + 1, step):
+            lo, hi = np.searchsorted(column, [first, first + step])
+            m = np.zeros((len(rows), step), np.float32)
+            m[row[lo:hi], column[lo:hi] - first] = 1
+            both += m[two[0]] @ m[two[1]].T
+        hit = both >= threshold * (size[two[0]][:, None] + size[two[1]][None, :] - both) - 1e-9
+        a, b = np.nonzero(hit & (both > 0))
+        a, b = two[0][a], two[1][b]
+        a, b = a[a != b], b[a != b]
+        root = least_reached(len(rows), a, b)
+        some, node = np.flatnonzero(root != np.arange(len(rows))), cell["node"]
+        return pa.RecordBatch.from_arrays([pa.array([node[k] for k in some], pa.binary()), pa.array([node[k] for k in root[some]], pa.binary())], names=["a", "b"])
+
+    return each_cell(["cluster"], ["node", "items"], links)
+
+
+def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of some dozen bytes each, broadcast while they are few; else they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     x, y = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     return pairs.join(x, "a").join(y, "b").mapInArrow(_verify(threshold), "a binary, b binary")

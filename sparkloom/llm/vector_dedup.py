@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import each_cell, in_cells, least_reached, sides
 from .components import connected_components
 from .storage import stored
 
@@ -70,70 +71,30 @@ def _signs(bits: int, tables: int, kind: str):
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that links reach, for each of n."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+_CELL = ["size", "table", "bucket"]
 
 
 def _cell_links(cosine: float, kind: str):
-    fields = ["size", "table", "bucket", "i", "j"]
-
     def links(cell):
         x = np.frombuffer(b"".join(cell["vec"]), kind).astype(np.float64).reshape(len(cell["vec"]), -1)
         x = x / np.abs(x).max(1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        sigs, block, table = np.stack(cell["sigs"]), np.array(cell["block"]), cell["table"][0]
-        if cell["i"][0] == cell["j"][0]:
+        sigs, table = np.array(cell["sigs"]), cell["table"][0]
+        if (two := sides(cell)) is None:
             a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
         else:
-            left, right = np.flatnonzero(block == cell["i"][0]), np.flatnonzero(block == cell["j"][0])
-            a, b = np.nonzero(x[left] @ x[right].T >= cosine)
-            a, b = left[a], right[b]
-        if table and len(a):
-            old = np.zeros(len(a), bool)
-            for t in range(table):
-                old |= sigs[a, t] == sigs[b, t]
-            a, b = a[~old], b[~old]
+            a, b = np.nonzero(x[two[0]] @ x[two[1]].T >= cosine)
+            a, b = two[0][a], two[1][b]
+        old = (sigs[a, :table] == sigs[b, :table]).any(1)  # a link of an earlier table
+        a, b = a[~old], b[~old]
         if not len(a):
             return None
         copies = np.array(cell["copies"])
         n = np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
-        root = _roots(len(x), a, b)
-        some = np.flatnonzero(n)
-        node = cell["node"]
+        root, some, node = least_reached(len(x), a, b), np.flatnonzero(n), cell["node"]
         return pa.RecordBatch.from_arrays([pa.array([node[k] for k in some], pa.binary()), pa.array([node[k] for k in root[some]], pa.binary()), pa.array(n[some].astype(np.int64))], names=["node", "root", "n"])
 
-    def run(batches):
-        key, cell = None, None
-        for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in (*fields, "node", "vec", "copies", "block")}
-            columns["sigs"] = list(batch.column("sigs").values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) if batch.num_rows else []
-            keys = list(zip(*(columns[c] for c in fields), strict=True))
-            i = 0
-            while i < len(keys):
-                j = i
-                while j < len(keys) and keys[j] == keys[i]:
-                    j += 1
-                if keys[i] != key:
-                    if cell and len(cell["node"]) > 1 and (out := links(cell)) is not None:
-                        yield out
-                    key, cell = keys[i], {c: [] for c in columns}
-                for c, v in columns.items():
-                    cell[c] += v[i:j]
-                i = j
-        if cell and len(cell["node"]) > 1 and (out := links(cell)) is not None:
-            yield out
-
-    return run
+    return each_cell(_CELL, ["node", "vec", "copies", "sigs"], links)
 
 
 def vector_links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, bucket: int = BUCKET, block: int = BLOCK):
@@ -148,13 +109,10 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS,
     hot = stored(counts.where(F.col("members") > block), "hot-buckets")
     if hot.count() <= 100_000:
         hot = F.broadcast(hot)
-    blocks = F.coalesce(F.ceil(F.col("members") / block), F.lit(1)).cast("int")
-    cells = kinds.select("*", F.posexplode("sigs").alias("table", "bucket")).join(hot, ["size", "table", "bucket"], "left")
-    cells = cells.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = ["size", "table", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    cells = cells.select(*place, "block", "node", "copies", "vec", "sigs")
-    keys = ["size", "table", "bucket", "i", "j"]
-    found = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cell_links(cosine, kind), "node binary, root binary, n long")
+    cells = kinds.select("*", F.posexplode("sigs").alias("table", "bucket")).join(hot, _CELL, "left")
+    blocks = F.coalesce(F.ceil(F.col("members") / block), F.lit(1))
+    cells = in_cells(cells.select(*_CELL, "members", "node", "copies", "vec", "sigs"), _CELL, blocks, F.col("node"))
+    found = cells.mapInArrow(_cell_links(cosine, kind), "node binary, root binary, n long")
     found = stored(found, "cell-links")
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     return signed.select("vec_id", "node"), kinds.select("node", "copies"), links, connected_components(found, "node", "root", "vector-components")
