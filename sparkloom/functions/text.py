@@ -128,14 +128,20 @@ def stub_embedding(text: Column | str, dims: int = 64) -> Column:
     stems = F.transform(F.filter(F.split(F.lower(_c(text)), r"\W+"), lambda w: w != ""), lambda w: F.left(w, F.lit(4)))
     mod = F.lit(1 << 32)
     slot = F.transform(stems, lambda w: F.pmod(F.aggregate(F.filter(F.split(w, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c), mod)), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slot, lambda s: s == i)).cast("double"))
-    return normalised(counts)
+    # the slots are bound once, as the only element of an array, and counted from there
+    count = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return F.get(F.transform(F.array(F.get(F.transform(F.array(slot), count), F.lit(0))), _unit), F.lit(0))
+
+
+def _unit(vector: Column) -> Column:
+    """A bound vector at length 1; the norm is bound as well, not computed for each element."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))), F.lit(0))
 
 
 def normalised(vector: Column) -> Column:
     """A vector of length 1; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(vector), _unit), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

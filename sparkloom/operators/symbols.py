@@ -10,7 +10,7 @@ import ast
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_at, symbol_header
@@ -116,6 +116,7 @@ def _python(text: str):
 def _patterned(text: str, language: str):
     spans = []
     taken: set[int] = set()
+    named: set[int] = set()  # where members are declared: a name before a bracket, but no call
     for kind, pattern in PATTERNS[language]:
         for m in re.compile(pattern, re.M).finditer(text):
             if m.start() in taken:
@@ -129,6 +130,7 @@ def _patterned(text: str, language: str):
                     name = inner.group("n") or inner.groupdict().get("i")
                     if name not in ("if", "for", "while", "switch", "catch", "return"):
                         begin = inner.start() + len(inner.group()) - len(inner.group().lstrip())
+                        named.add(inner.start("n"))
                         spans.append(("METHOD", name, m.group("n"), begin, _end(text, begin, language)))
     if language == "rust":
         for m in re.compile(r"^impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<n>\w+)", re.M).finditer(text):
@@ -152,7 +154,7 @@ def _patterned(text: str, language: str):
         words = {"if", "for", "while", "switch", "catch", "function", "return", "func", "typeof", "await"}
         for m in re.compile(r"(?:(?P<o>[\w$]+)\.)?(?P<c>[\w$]+)\s*\(").finditer(text):
             before = text[max(0, m.start() - 9) : m.start()]
-            if m["c"] not in words and not re.search(r"(?:function\*?|func)\s+$", before):
+            if m["c"] not in words and m.start("c") not in named and not re.search(r"(?:function\*?|func)\s+$", before):
                 refs.append(("call", None, None, m["c"], m["o"], m.start()))
     return spans, refs
 
@@ -228,6 +230,4 @@ def symbol_chunks(files: DataFrame, max_chars: int = 2000) -> DataFrame:
     made = chunks(keyed, max_chars, header="header")
     parts = F.split("source_path", "\0")
     placed = made.select(parts[0].alias("source_path"), parts[1].cast("int").alias("start"), parts[2].alias("h"), F.col("chunk_no").alias("part"), "text")
-    from pyspark.sql import Window
-
     return placed.select("source_path", (F.row_number().over(Window.partitionBy("source_path").orderBy("start", "h", "part")) - 1).alias("chunk_no"), "text")

@@ -112,7 +112,7 @@ def passage_paths(spark, sf_dir):
     return passages(spark, sf_dir).select("id", text.source_path("text").alias("source_path"), text.budget_path("text").alias("budget_path"), text.clean_path("text").alias("clean_path"), text.snippet("text").alias("snippet"))
 
 
-@query("select doc_id, case when length(text) + 25 <= 2000 then 'FILE: x' || chr(10) || 'CONTEXT | imports: a' || chr(10) || text else 'FILE: x' || chr(10) || text end as enriched from (select doc_id, substr(text, 1, 3000) as text from documents) d where false union all select doc_id, case when length(text) + 8 + 21 <= 2000 then 'FILE: x' || chr(10) || 'CONTEXT | imports: a' || chr(10) || text else 'FILE: x' || chr(10) || text end from documents")
+@query("select doc_id, case when length(text) + 8 + 21 <= 2000 then 'FILE: x' || chr(10) || 'CONTEXT | imports: a' || chr(10) || text else 'FILE: x' || chr(10) || text end as enriched from documents")
 def enriched_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", text.enriched(F.concat(F.lit("FILE: x\n"), "text"), F.lit("CONTEXT | imports: a")).alias("enriched"))
@@ -563,8 +563,7 @@ def _fixture_graph(spark):
 
 
 @query(
-    """select * from (values ('src/a.ts', '''./lib/b''', 'x')) v(path, module, target) where false union all
-select * from (values ('src/a.ts', './lib/b', 'src/lib/b.ts'), ('src/a.ts', '@app/c', 'src/c/index.ts'), ('src/a.ts', './d', 'src/d.js'), ('svc/main.py', '.util', 'svc/util.py')) w(path, module, target)"""
+    """select * from (values ('src/a.ts', './lib/b', 'src/lib/b.ts'), ('src/a.ts', '@app/c', 'src/c/index.ts'), ('src/a.ts', './d', 'src/d.js'), ('svc/main.py', '.util', 'svc/util.py')) w(path, module, target)"""
 )
 def module_resolution(spark, sf_dir):
     _, refs, sources, aliases = _fixture_graph(spark)
@@ -595,8 +594,8 @@ def symbol_chunks(spark, sf_dir):
 
 
 @query(
-    """select * from (values ('src/a.ts', 'CONTEXT | imports: b, c, d, all, def, helper | exports: run')) v(path, context) where false union all select * from (values
-('src/a.ts', 'CONTEXT | imports: all, b, c, d, def, helper | exports: run'), ('src/lib/b.ts', 'CONTEXT | exports: helper, other'), ('src/c/index.ts', 'CONTEXT | exports: deep'), ('src/d.js', 'CONTEXT | exports: default'), ('svc/main.py', 'CONTEXT | imports: load, util')) w(path, context)"""
+    """select * from (values
+('src/a.ts', 'CONTEXT | imports: all, b, c, d, def, helper | exports: run'), ('src/lib/b.ts', 'CONTEXT | exports: helper, other'), ('src/c/index.ts', 'CONTEXT | exports: deep'), ('src/d.js', 'CONTEXT | exports: default'), ('svc/main.py', 'CONTEXT | imports: ., load, util')) w(path, context)"""
 )
 def file_contexts(spark, sf_dir):
     return chunking.file_contexts(_fixture_graph(spark)[1])
