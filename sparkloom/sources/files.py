@@ -21,7 +21,7 @@ def scan_files(spark: SparkSession, root: str, extensions: list[str], ignore_dir
     path = F.regexp_replace(F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//[^/]*)?", ""), "^/*" + re.escape(base.lstrip("/")) + "/", "")
     files = found.select(path.alias("path"), (F.col("length") / 1024).alias("size_kb"), "content").where(~F.col("path").rlike(r"(^|/)\."))
     listed = files.where(include_file("path", F.lit(0.0), extensions, ignore_dirs))
-    small = listed.where(F.col("size_kb") <= max_kb).select("path", F.decode("content", F.lit("UTF-8")).alias("content"), "size_kb")
+    small = listed.where(F.col("size_kb") <= max_kb).select("path", F.decode("content", "UTF-8").alias("content"), "size_kb")
     return small, listed.where(F.col("size_kb") > max_kb).select("path", "size_kb")
 
 
