@@ -48,7 +48,8 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+# a wrapped line of a licence may begin with the word itself: a notice has a mark, a year or a name after "by"
+COPYRIGHT = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9]{4}|by[ \t])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 OTHER = r"[^\p{L}\p{N}\n]+"
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, mixing, near_dedup, pii, sharding, substring_dedup, token_store, toxicity, vector_dedup
+from .sql import SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,4 +76,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_license_scan, op2_repair_tokens, op3_decontaminate, op4_near_dedup, op5_pii_surrogates, op6_mix, op7_substring_dedup, op8_toxicity, op9_shard, op10_vector_dedup)
 }
-SQL = {"op1_license_scan": licenses.sql()}
