@@ -343,12 +343,21 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for first, ids, sizes in encoder.encode(batch.column("text")):
-                if held and held + len(ids) > shard_ids:
-                    yield shard()
-                held_docs += names[first : first + len(sizes)]
-                held_ids.append(ids.astype(np.uint16) if encoder.vocabulary < 1 << 16 else ids)
-                held_sizes.append(sizes)
-                held += len(ids)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                i = 0
+                while i < len(sizes):
+                    # as many whole texts as the shard has room for, one at least
+                    j = int(np.searchsorted(ends, ends[i] + shard_ids - held, "right")) - 1
+                    if j <= i and held:
+                        yield shard()
+                        continue
+                    j = max(j, i + 1)
+                    part = ids[ends[i] : ends[j]]
+                    held_docs += names[first + i : first + j]
+                    held_ids.append(part.astype(np.uint16) if encoder.vocabulary < 1 << 16 else part)
+                    held_sizes.append(sizes[i:j])
+                    held += len(part)
+                    i = j
         if held:
             yield shard()
 
