@@ -4,8 +4,10 @@ Points are the groups of equal texts, so that copies stay together; a point weig
 its rows (UTF-8 bytes of the text and ``overhead`` for each row) and lies at five coordinates in
 [0, 1): the logarithm of its text's bytes, the least doc_id of its rows, hashes of their least source
 and least language, and a hash of its text. A node that stands for n shards is cut along the widest of
-its coordinates at the weighted quantile n // 2 of n, until every leaf is one shard. A group that outweighs its equal share of
-what is left is a shard of its own beforehand, or else it would starve its neighbours.
+its coordinates into n // 2 and the rest, in proportion to the room that these shards have, until every
+leaf is one shard. Groups of a ``heavy``-th of a shard or more cannot be halved by a cut: the heaviest
+first, each goes to the shard with the fewest bytes so far (at most ``heavy`` of them for each shard, or
+``HEAVY_ROWS``), and the light ones fill up what is left.
 
 A cut is found by counting: the bytes of a node in ``bins`` intervals of the coordinate (a bounded
 table for each node), a running sum over these, and again within the interval where the quantile lies,
@@ -13,10 +15,12 @@ until the bytes there are within ``tolerance`` of the node's or cannot be parted
 counted at once; no node's points meet in one task. A small share of the text's hash is added to each
 coordinate, so that points of one source or length can be parted as well.
 
-Null texts count as empty; a null doc_id lies at 0; repeated rows are copies; an empty table gives an empty result; other columns are ignored but for
-source and lang.
+Null texts count as empty; a null doc_id lies at 0; repeated rows are copies; an empty table gives an
+empty result; other columns are ignored but for source and lang.
 """
 
+import heapq
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES = 16, 2048, 0.0005, 5, 64
+OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES, HEAVY, HEAVY_ROWS = 16, 2048, 0.0005, 5, 64, 64, 100_000
 _AXES = ["x0", "x1", "x2", "x3", "x4"]
 
 
@@ -55,15 +59,20 @@ def _points(rows: DataFrame) -> DataFrame:
     return placed.select("node", "w", *[((F.col(f"x{i}") + F.col("x4") * 1e-3) / 1.0011).alias(f"x{i}") for i in range(4)], "x4")
 
 
-def tree(points: DataFrame, leaves: int, bins: int = BINS, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """``node, shard`` of every point: the leaves of the tree in order, from 0."""
+def tree(points: DataFrame, rooms: list[float], bins: int = BINS, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """``node, shard`` of every point: the leaves of the tree in order, from 0, filled in proportion to ``rooms``."""
+    leaves = len(rooms)
+    upto = F.array(*[F.lit(x) for x in itertools.accumulate(rooms, initial=0.0)])
+    a, n = F.col("a"), F.col("n")
+    here, left = F.get(upto, a + n) - F.get(upto, a), F.get(upto, (a + F.floor(n / 2)).cast("int")) - F.get(upto, a)
+    share = F.when(here > 0, left / here).otherwise(0.5)
     # shards [a, a + n) of a node of the tree: points carry a, nodes are told apart by it
     state = stored(points.select("*", F.lit(0).alias("a"), F.lit(leaves).alias("n")), "tree-0")
     for level in range(1, math.ceil(math.log2(max(1, leaves))) + 1):
         ends = [f(c).alias(f"{g}{c}") for c in _AXES for f, g in ((F.min, "lo_"), (F.max, "hi_"))]
         nodes = state.where("n > 1").groupBy("a", "n").agg(F.sum("w").alias("total"), *ends)
         widest = F.array_max(F.array(*[F.struct((F.col(f"hi_{c}") - F.col(f"lo_{c}")).alias("d"), F.lit(i).alias("axis"), F.col(f"lo_{c}").alias("low"), F.col(f"hi_{c}").alias("high")) for i, c in enumerate(_AXES)]))
-        nodes = nodes.withColumn("wide", widest).select("a", "total", (F.col("total") * F.floor(F.col("n") / 2) / F.col("n")).alias("goal"), "wide.axis", "wide.low", (F.col("wide.high") + 1e-12).alias("high"), F.lit(0.0).alias("before"), F.lit(False).alias("done"))
+        nodes = nodes.withColumn("wide", widest).select("a", "total", (F.col("total") * share).alias("goal"), "wide.axis", "wide.low", (F.col("wide.high") + 1e-12).alias("high"), F.lit(0.0).alias("before"), F.lit(False).alias("done"))
         nodes = stored(nodes, f"nodes-{level}")
         for step in range(rounds):
             nodes = stored(_narrowed(state, nodes, bins, tolerance), f"nodes-{level}-{step}")
@@ -79,15 +88,24 @@ def tree(points: DataFrame, leaves: int, bins: int = BINS, tolerance: float = TO
     return state.select("node", F.col("a").alias("shard"))
 
 
-def _heavy(points: DataFrame, leaves: int) -> DataFrame:
-    """``node, shard`` of the groups that outweigh an equal share of what lighter ones leave; ``leaves`` rows are looked at."""
-    top = points.orderBy(F.desc("w"), "node").limit(leaves).select("node", "w")
+def _heavy(points: DataFrame, leaves: int, heavy: int = HEAVY) -> tuple[DataFrame, list[float]]:
+    """``node, shard`` of the groups that cuts cannot part well, and the room that each shard has left."""
     total = points.agg(F.sum("w")).first()[0] or 0
-    order = Window.orderBy(F.desc("w"), "node")
-    ranked = top.withColumn("i", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    fair = ranked.withColumn("over", F.col("w") * (leaves - F.col("i")) > F.lit(total) - F.col("before"))
-    light = F.coalesce(F.min(F.when(~F.col("over"), F.col("i"))).over(Window.partitionBy()), F.lit(leaves - 1))
-    return fair.withColumn("light", light).where("i < light").select("node", F.col("i").cast("int").alias("shard"))
+    most = min(heavy * leaves, HEAVY_ROWS)
+    top = points.where(F.col("w") * heavy * leaves >= total).orderBy(F.desc("w"), "node").limit(most).select("node", "w").collect()
+    loads, chosen = [(0, i) for i in range(leaves)], []
+    for row in top:
+        load, shard = heapq.heappop(loads)
+        heapq.heappush(loads, (load + row.w, shard))
+        chosen.append((row.node, shard))
+    load = [x for x, _ in sorted(loads, key=lambda x: x[1])]
+    # the level to which light groups fill the shards
+    rest, level = total - sum(load), 0.0
+    for k, low in enumerate(sorted(load), 1):
+        if low > level and k > 1:
+            break
+        level = (rest + sum(sorted(load)[:k])) / k
+    return points.sparkSession.createDataFrame(chosen, "node binary, shard int"), [max(0.0, level - x) for x in load]
 
 
 def _small(nodes: DataFrame, most: int = 100_000) -> DataFrame:
@@ -125,10 +143,10 @@ def shard(docs: DataFrame, leaves: int, overhead: int = OVERHEAD, pieces: int =
     """
     rows = stored(rows_of(docs, overhead), "shard-rows")
     points = stored(_points(rows), "points")
-    heavy = stored(_heavy(points, leaves), "heavy-points")
-    alone = heavy.count()
+    heavy, rooms = _heavy(points, leaves)
+    heavy = stored(heavy, "heavy-points")
     rest = points.join(_small(heavy.select("node")), "node", "left_anti")
-    places = heavy.union(tree(rest, max(1, leaves - alone)).select("node", F.col("shard") + alone))
+    places = heavy.union(tree(rest, rooms))
     placed = stored(rows.join(places, "node").withColumn("piece", F.pmod(F.xxhash64("doc_id", "node"), F.lit(pieces))), "sharded")
     part = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # ``pieces`` rows a shard
     base = placed.groupBy("shard", "piece").count().withColumn("base", F.coalesce(F.sum("count").over(part), F.lit(0))).drop("count")

@@ -1,4 +1,5 @@
 import collections
+import random
 
 import corpus_pipeline
 from sparkloom.llm import mixing
@@ -10,8 +11,9 @@ def test_stages_take_effect(spark, tmp_path):
     bad, good = "vilest rotten scoundrel", ["river", "stone", "garden", "window", "letter", "summer"]
     leak = " ".join(f"q{i}" for i in range(30))
     rows = []
+    random.seed(14)
     for i in range(300):
-        words = [good[(i * 7 + k * k) % 6] + str((i * 31 + k * 17) % 97) for k in range(40)]
+        words = [random.choice(good) + str(random.randrange(97)) for _ in range(40)]
         rows.append((i, " ".join(words) + (f" {bad} {bad}" if i < 60 else ""), f"s{i % 3}"))
     rows += [(1000 + i, rows[100][1] + (" end" if i else ""), "s1") for i in range(4)] + [(2000, "before " + leak + " after", "s2"), (2001, None, None), (2001, None, None)]
     plain = docs(spark, rows, extra=())
