@@ -195,10 +195,11 @@ def _cell_links(threshold: float):
         _, column = np.unique(column, return_inverse=True)
         two = sides(cell) or (np.arange(len(rows)),) * 2
         both = np.zeros((len(two[0]), len(two[1])), np.float32)
-        step = max(64, (16 << 20) // max(1, len(rows)))  # columns at a time
+        columns = int(column.max(initial=-1)) + 1
+        step = min(columns, max(64, (16 << 20) // len(rows)))  # columns at a time
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        for first in range(0, int(column.max(initial=-1)) + 1, step):
+        for first in range(0, columns, step or 1):
             lo, hi = np.searchsorted(column, [first, first + step])
             m = np.zeros((len(rows), step), np.float32)
             m[row[lo:hi], column[lo:hi] - first] = 1
