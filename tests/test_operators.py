@@ -167,3 +167,8 @@ def test_engine_round_trip(spark, tmp_path):
     with pytest.raises(KeyError):
         engine.read_passage("other", "1")
     assert [r.agent_id for r in engine.agents.collect()] == ["repo"]
+
+
+def test_a_declared_method_is_no_call():
+    _, refs = symbols.parse("d.js", "class T {\n  go() { return this.stop(); }\n  stop() {}\n}\n")
+    assert [(r[3], r[4]) for r in refs if r[0] == "call"] == [("stop", "this")]
