@@ -117,14 +117,21 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, sizes=SIZES, fea
         for label in (0, 1):
             own = toxic[at + doc.min(initial=0)] == label
             df[label] += np.bincount((low[own] & U64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS).astype(np.int32)
-    frequent = (df[1] >= max(2, least_df * n1)) | (df[0] >= max(2, least_df * n0))
-    pairs = []
+    # a bucket's own ratio is near that of its one frequent feature: half of ``least_r`` leaves room for others in it
+    ratio = np.log((df[1] + 1) / (n1 + 2)) - np.log((df[0] + 1) / (n0 + 2))
+    frequent = ((df[1] >= max(2, least_df * n1)) | (df[0] >= max(2, least_df * n0))) & (np.abs(ratio) >= least_r / 2)
+    del df, ratio
+    hashes, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for doc, h in all_grams():
         some = frequent[(h & U64(_BUCKETS - 1)).astype(np.int64)]
-        pairs.append(np.unique(np.stack([h[some], doc[some].astype(U64)], 1), axis=0) if some.any() else np.zeros((0, 2), U64))
-    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), U64)
-    names, of = np.unique(pairs[:, 0], return_inverse=True)
-    doc = pairs[:, 1].astype(np.int64)
+        order = np.argsort(h[some], kind="stable")  # texts stay in order within a hash
+        h, doc = h[some][order], doc[some][order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        hashes.append(h[new])
+        docs.append(doc[new])
+    doc = np.concatenate(docs)
+    names, of = np.unique(np.concatenate(hashes), return_inverse=True)
     c1 = np.bincount(of, toxic[doc], len(names)) if len(names) else np.zeros(0)
     c0 = np.bincount(of, ~toxic[doc], len(names)) if len(names) else np.zeros(0)
     r = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
