@@ -1,11 +1,14 @@
 """Personal data replaced by keyed surrogates that keep type, format, script and gender.
 
-Entities are found by one regular expression: e-mail addresses, phone numbers, payment cards, national
-ids, IPv4 addresses, access keys, passwords and tokens after their name, and personal names after a
-title, which gives their gender. An entity's canonical form (lower case; digits only for numbers) and
+Entities are found by one regular expression: e-mail addresses in letters of any script, phone numbers
+(international, and as written in English, German, French and Spanish), payment cards, national ids, IPv4
+addresses, access keys, passwords and tokens after their name (in any case; to the closing quote, or else
+to the next space but for closing quotes, brackets and .,; at the end), and personal names after a title,
+which gives their gender. An entity's canonical form (lower case; digits only for numbers) and
 type name it across the whole table, so that all mentions of it get one surrogate, written in each
 mention's own layout and case. A surrogate is made of the digest of key, type, canonical form and
-attempt: digits become digits, letters letters of their script, a name a pronounceable name of the same
+attempt: digits become digits, letters letters of their script (Latin ones where it is none of the known),
+other marks of a secret other marks, a name a pronounceable name of the same
 script and gender, a card that passes the Luhn check one that passes it.
 
 Two entities of one type with equal surrogates, or a surrogate that is itself an entity of the table,
@@ -28,18 +31,39 @@ MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин|κύριος"
 NEUTRAL = "Dr|Prof"
 _EDGE, _END = r"(?<![\p{L}\p{N}_.+-])", r"(?![\p{L}\p{N}_-])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# names of secrets with the signs that follow; what follows these is the secret
+_LABEL = r"(?i:password|passwd|token|secret|api[_-]?key)[\"'\\]{0,2}+[\s\p{Z}]*+(?::=|=>|[=:])[\s\p{Z}]*+\\?+[\"']?+"
+_IN, _LAST = r"[^\s\p{Z}]", r"[^\s\p{Z}\"',;.)\]}>]"
+_SECRET = "|".join((
+    r"(?<=\")[^\"\r\n]{8,}+(?<!\\)(?=\")", r"(?<=')[^'\r\n]{8,}+(?<!\\)(?=')",  # to the closing quote
+    rf"(?<=[\"'])(?=[^\s\p{{Z}}\"']{{8}}){_IN}{{7,}}{_LAST}", rf"(?<![\"']){_IN}{{7,}}{_LAST}",
+))
+# signs of a secret that keep their place: those of base64, hex, JWT and URLs; others become other marks
+_KEPT, _MARKS = r"[-._/+=~:\s\p{Z}]", "!#$%*?@^"
+# phone numbers: North America; with a country code; German and British; French; Spanish
+_PHONES = "|".join((
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}",
+    r"(?:\+|00)[1-9](?:[ ./()-]{0,3}\d){7,14}",
+    r"(?!\d{3}-\d{2}-\d{4}(?!\d))(?:\(0[1-9]\d{1,3}\)|0[1-9]\d{1,3})[ /-]{1,3}\d{3,8}(?:[ -]\d{2,5}){0,3}",
+    r"0[1-9](?:\d{8}|(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})",
+    r"(?<!\d )[6-9]\d{2}(?: \d{3} \d{3}(?! \d{3}(?!\d))|-\d{3}-\d{3}|(?: \d{2}){3}|(?:-\d{2}){3})",
+))
+# what stays of a phone number: country codes and the zero of national numbers
+_CODE = r"^(?:(?:\+|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|0)"
+_LOCAL, _HOST = r"[\p{L}\p{M}\p{N}._%+-]", r"[\p{L}\p{M}\p{N}-]"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "phone": _EDGE.replace("+", "") + r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}" + _END,
-    "card": _EDGE + r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}" + _END,
-    "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
-    "ip": _EDGE + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}_-]|\.\d)",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9_/+-]{8,128}",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@{_HOST}+(?:\.{_HOST}{{1,63}}){{0,126}}\.\p{{L}}(?:{_HOST}*[\p{{L}}\p{{N}}])",
+    "phone": r"(?=[+(\d])" + _EDGE.replace("+", "") + f"(?:{_PHONES})" + _END,
+    "card": r"(?=\d)" + _EDGE + r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}" + _END,
+    "ssn": r"(?=\d)" + _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
+    "ip": r"(?=\d)" + _EDGE + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}_-]|\.\d)",
+    "key": r"(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": rf"(?=[PpTtSsAa]){_LABEL}(?=(?:(?<=[\"'])[-._/+=~: ]*+|[-._/+=~:]*+)[^-._/+=~:\s\p{{Z}}\"'])(?:{_SECRET})",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "
+_PREFIX = rf"^{_LABEL}|{_TITLE}"
 # The letters that surrogate names are made of, by script: consonants, vowels, endings of
 # female, male and other names.
 SCRIPTS = {
@@ -50,10 +74,10 @@ SCRIPTS = {
 
 
 def kind_of(mention: Column) -> Column:
-    """The type of a whole mention."""
+    """The type of a whole mention without the name of a secret."""
     out = None
     for kind, pattern in PATTERNS.items():
-        if kind == "secret":  # its name stands before it: what is nothing else
+        if kind == "secret":  # what is nothing else
             continue
         hit = mention.rlike(f"^(?:{pattern})$")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
@@ -63,12 +87,12 @@ def kind_of(mention: Column) -> Column:
 def _described(mentions: DataFrame) -> DataFrame:
     """Mentions with type, gender, script, and the canonical form that names the entity."""
     m = F.col("mention")
-    bare = F.when(F.col("kind") == "name", F.regexp_replace(m, _TITLE, "")).otherwise(m)
-    out = mentions.withColumn("kind", kind_of(m)).withColumn("bare", bare)
+    out = mentions.withColumn("kind", kind_of(F.regexp_replace(m, f"^{_LABEL}", ""))).withColumn("bare", F.regexp_replace(m, _PREFIX, ""))
     gender = F.when(F.col("kind") != "name", "").when(m.rlike(f"^(?:{FEMALE})[. ]"), "f").when(m.rlike(f"^(?:{MALE})[. ]"), "m").otherwise("n")
     script = F.when(F.col("kind") != "name", "").when(F.col("bare").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("bare").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     digits = F.regexp_replace("bare", r"\D", "")
     low = F.lower("bare")
+    digits = F.when(F.col("bare").startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
     canonical = F.when(F.col("kind").isin("phone", "card", "ssn"), digits).when(F.col("kind").isin("email", "name"), low).otherwise(F.col("bare"))
     return out.withColumn("gender", gender).withColumn("script", script).withColumn("canonical", canonical)
 
@@ -82,14 +106,19 @@ def _letter(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
 
 
-def _same_shape(text: Column, digest: Column, lower: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
-    """Digits for digits (a leading one is not zero) and letters for ASCII letters; the rest stays."""
+def _same_shape(text: Column, digest: Column, lower: str = "abcdefghijklmnopqrstuvwxyz", marks: bool = False) -> Column:
+    """Digits for digits (a leading one is not zero), letters for letters, and with ``marks`` signs for signs; the rest stays."""
 
     def one(c, i):
         b = _byte(digest, i)
         digit = F.when((i == 0) & (c != "0"), (F.pmod(b, F.lit(9)) + 1).cast("string")).otherwise(F.pmod(b, F.lit(10)).cast("string"))
         upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), _letter(lower, b)).when(c.rlike("[A-Z]"), _letter(upper, b)).otherwise(c)
+        out = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), _letter(lower, b)).when(c.rlike("[A-Z]"), _letter(upper, b))
+        for name in ("cyrillic", "greek"):
+            small, own = "".join(SCRIPTS[name][:2]), c.rlike(rf"\p{{Is{name.title()}}}")
+            out = out.when(own & c.rlike(r"\p{Lu}"), _letter(small.upper(), b)).when(own, _letter(small, b))
+        out = out.when(c.rlike(r"\p{Lu}"), _letter(upper, b)).when(c.rlike(r"[\p{L}\p{M}]"), _letter(lower, b)).when(c.rlike(r"\p{N}"), digit)
+        return (out.when(~c.rlike(_KEPT), _letter(_MARKS, b)) if marks else out).otherwise(c)
 
     return F.array_join(F.transform(_chars(text), one), "")
 
@@ -125,13 +154,13 @@ def _surrogate(key: str) -> Column:
     top = F.substring_index(domain, ".", -1)
     host = F.expr("left(substring_index(canonical, '@', -1), length(substring_index(canonical, '@', -1)) - length(substring_index(substring_index(canonical, '@', -1), '.', -1)) - 1)")
     email = F.concat(_same_shape(local, d), F.lit("@"), _same_shape(host, F.sha2(F.concat(F.lit(key), host), 512)), F.lit("."), top)
-    shape = F.when(c.rlike("^[0-9a-f]{16,}$"), _same_shape(c, d, "abcdef")).otherwise(_same_shape(c, d))
+    shape = F.when(c.rlike("^[0-9a-f]{16,}$"), _same_shape(c, d, "abcdef")).otherwise(_same_shape(c, d, marks=True))
     body = F.expr("left(canonical, length(canonical) - 1)")
     card = _same_shape(body, d)
     check = F.pmod(F.lit(10) - luhn(F.concat(card, F.lit("0"))), F.lit(10)).cast("string")
     card = F.when(luhn(c) == 0, F.concat(card, check)).otherwise(shape)
-    # a country code stays: what is before the last ten digits
-    phone = F.concat(F.expr("left(canonical, length(canonical) - 10)"), _same_shape(F.expr("right(canonical, 10)"), d))
+    code = F.regexp_extract(c, _CODE, 0)
+    phone = F.concat(code, _same_shape(F.regexp_replace(c, _CODE, ""), d))
     octet = lambda o, i: F.when(F.length(o) == 3, 100 + F.pmod(_byte(d, i), F.lit(100))).when(F.length(o) == 2, 10 + F.pmod(_byte(d, i), F.lit(90))).otherwise(1 + F.pmod(_byte(d, i), F.lit(9))).cast("string")
     ip = F.array_join(F.transform(F.split(c, r"\."), octet), ".")
     access = F.concat(F.lit("AKIA"), _same_shape(F.expr("substring(canonical, 5)"), d))
@@ -164,11 +193,12 @@ def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataF
 def _written() -> Column:
     """A surrogate in the layout and case of the mention it stands for."""
     s, bare = F.col("surrogate"), F.col("bare")
+    number = F.regexp_replace(s, r"\D", "")
     # the k-th digit of the mention becomes the k-th of the surrogate
-    spread = F.array_join(F.transform(_chars(bare), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(s, F.length(F.regexp_replace(F.substring(bare, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
+    spread = F.array_join(F.transform(_chars(bare), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(number, F.length(F.regexp_replace(F.substring(bare, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
     cased = F.when(bare == F.upper(bare), F.upper(s)).when(F.col("kind") == "name", F.initcap(s)).otherwise(s)
-    title = F.when(F.col("kind") == "name", F.regexp_extract("mention", _TITLE, 0)).otherwise("")
-    return F.when(F.col("kind").isin("phone", "card", "ssn"), spread).when(F.col("kind").isin("email", "name"), F.concat(title, cased)).otherwise(s)
+    written = F.when(F.col("kind").isin("phone", "card", "ssn"), spread).when(F.col("kind").isin("email", "name"), cased).otherwise(s)
+    return F.concat(F.regexp_extract("mention", _PREFIX, 0), written)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
