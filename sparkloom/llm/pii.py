@@ -12,12 +12,16 @@ other marks of a secret other marks, a name a pronounceable name of the same
 script and gender, a card that passes the Luhn check one that passes it.
 
 Two entities of one type with equal surrogates, or a surrogate that is itself an entity of the table,
-are collisions: all but the first entity try again with the next attempt until there are none.
+are collisions: all but the first entity try again with the next attempt until there are none. What
+still collides after ``ATTEMPTS`` takes longer surrogates, by one more character (a syllable in each part
+of a name, a digit in each octet) with each further attempt, so that there are always enough of them.
 
 A null text stays null and holds nothing; texts without entities are unchanged; repeated rows get equal
 results; an empty table gives an empty result; other columns are ignored.
 """
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,49 +138,54 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _name_part(hard: str, soft: str, ends: tuple[str, str, str], digest: Column):
-    """Makes the i-th part of a name: two or three syllables, and an ending that tells the gender."""
+def _name_part(hard: str, soft: str, ends: tuple[str, str, str], digest: Column, wide: Column):
+    """Makes the i-th part of a name: two or three syllables and ``wide`` more, and an ending that tells the gender."""
 
     def part(p, i):
         end = F.when(F.col("gender") == "f", ends[0]).when(F.col("gender") == "m", ends[1]).otherwise(ends[2])
-        size = F.when(F.length(p) > 6, 3).otherwise(2)
+        size = F.when(F.length(p) > 6, 3).otherwise(2) + wide
         syllable = lambda k: F.concat(_letter(hard, _byte(digest, i * 9 + k * 2)), _letter(soft, _byte(digest, i * 9 + k * 2 + 1)))
         return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), size), syllable), ""), _letter(hard, _byte(digest, i * 9)), end)
 
     return part
 
 
-def _surrogate(key: str) -> Column:
-    """The surrogate's canonical form at the entity's current attempt."""
+def _surrogate(key: str, attempts: int = ATTEMPTS) -> Column:
+    """The surrogate's canonical form at the entity's current attempt; beyond ``attempts`` it grows."""
     d = F.sha2(F.concat_ws("\0", F.lit(key), "kind", "gender", "script", "canonical", F.col("attempt").cast("string"), F.lit(key)), 512)
-    c = F.col("canonical")
-    local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
+    wide = F.greatest(F.col("attempt") - attempts, F.lit(0))
+    c, kind = F.col("canonical"), F.col("kind")
+    more = lambda letter: F.repeat(F.lit(letter), wide)
+    local, domain = F.concat(F.substring_index(c, "@", 1), more("a")), F.substring_index(c, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.expr("left(substring_index(canonical, '@', -1), length(substring_index(canonical, '@', -1)) - length(substring_index(substring_index(canonical, '@', -1), '.', -1)) - 1)")
     email = F.concat(_same_shape(local, d), F.lit("@"), _same_shape(host, F.sha2(F.concat(F.lit(key), host), 512)), F.lit("."), top)
-    shape = F.when(c.rlike("^[0-9a-f]{16,}$"), _same_shape(c, d, "abcdef")).otherwise(_same_shape(c, d, marks=True))
-    body = F.expr("left(canonical, length(canonical) - 1)")
+    grown = F.concat(c, F.when(kind.isin("card", "ssn"), more("0")).otherwise(more("a")))
+    shape = F.when(c.rlike("^[0-9a-f]{16,}$"), _same_shape(grown, d, "abcdef")).otherwise(_same_shape(grown, d, marks=True))
+    body = F.concat(F.expr("left(canonical, length(canonical) - 1)"), more("0"))
     card = _same_shape(body, d)
     check = F.pmod(F.lit(10) - luhn(F.concat(card, F.lit("0"))), F.lit(10)).cast("string")
     card = F.when(luhn(c) == 0, F.concat(card, check)).otherwise(shape)
     code = F.regexp_extract(c, _CODE, 0)
-    phone = F.concat(code, _same_shape(F.regexp_replace(c, _CODE, ""), d))
-    octet = lambda o, i: F.when(F.length(o) == 3, 100 + F.pmod(_byte(d, i), F.lit(100))).when(F.length(o) == 2, 10 + F.pmod(_byte(d, i), F.lit(90))).otherwise(1 + F.pmod(_byte(d, i), F.lit(9))).cast("string")
-    ip = F.array_join(F.transform(F.split(c, r"\."), octet), ".")
-    access = F.concat(F.lit("AKIA"), _same_shape(F.expr("substring(canonical, 5)"), d))
+    phone = F.concat(code, _same_shape(F.concat(F.regexp_replace(c, _CODE, ""), more("0")), d))
+    # octets of as many digits, of more digits, of any value; when even all addresses are taken, more octets
+    size = lambda o: F.least(F.length(o) + wide, F.lit(4))
+    octet = lambda o, i: F.when(size(o) == 4, _byte(d, i)).when(size(o) == 3, 100 + F.pmod(_byte(d, i), F.lit(100))).when(size(o) == 2, 10 + F.pmod(_byte(d, i), F.lit(90))).otherwise(1 + F.pmod(_byte(d, i), F.lit(9))).cast("string")
+    octets = F.concat(F.split(c, r"\."), F.array_repeat(F.lit("000"), F.greatest(wide - 16, F.lit(0))))
+    ip = F.array_join(F.transform(octets, octet), ".")
+    access = F.concat(F.lit("AKIA"), _same_shape(F.concat(F.expr("substring(canonical, 5)"), F.upper(more("a"))), d))
     name = None
     for script, (hard, soft, ends) in SCRIPTS.items():
-        made = F.array_join(F.transform(F.split(c, " "), _name_part(hard, soft, ends, d)), " ")
+        made = F.array_join(F.transform(F.split(c, " "), _name_part(hard, soft, ends, d, wide)), " ")
         name = F.when(F.col("script") == script, made) if name is None else name.when(F.col("script") == script, made)
-    kind = F.col("kind")
     return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "key", access).when(kind == "name", name).otherwise(shape)
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
     """``kind, gender, script, canonical, surrogate`` of distinct entities, without collisions."""
-    names = ["kind", "gender", "script", "canonical"]
-    now = stored(entities.select(*names).distinct().withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates-0")
-    for attempt in range(1, attempts + 1):
+    names, made = ["kind", "gender", "script", "canonical"], _surrogate(key, attempts)
+    now = stored(entities.select(*names).distinct().withColumn("attempt", F.lit(0)).withColumn("surrogate", made), "surrogates-0")
+    for attempt in itertools.count(1):  # ends: beyond ``attempts`` each round has several times the surrogates
         # the first entity of a surrogate keeps it, unless it names an entity of the table
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("canonical", "gender", "script")).alias("first"))
         real = now.select("kind", F.col("canonical").alias("surrogate")).distinct().withColumn("real", F.lit(True))
@@ -186,8 +195,7 @@ def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataF
         if not marked.where("bad").limit(1).count():
             return now.drop("attempt")
         again = marked.withColumn("attempt", F.col("attempt") + F.col("bad").cast("int"))
-        now = stored(again.withColumn("surrogate", F.when(F.col("bad"), _surrogate(key)).otherwise(F.col("surrogate"))).drop("bad"), f"surrogates-{attempt}")
-    raise ValueError(f"some entities collide after {attempts} attempts")
+        now = stored(again.withColumn("surrogate", F.when(F.col("bad"), made).otherwise(F.col("surrogate"))).drop("bad"), f"surrogates-{attempt}")
 
 
 def _written() -> Column:
@@ -196,6 +204,8 @@ def _written() -> Column:
     number = F.regexp_replace(s, r"\D", "")
     # the k-th digit of the mention becomes the k-th of the surrogate
     spread = F.array_join(F.transform(_chars(bare), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(number, F.length(F.regexp_replace(F.substring(bare, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
+    # a longer surrogate goes on after the mention's last digit
+    spread = F.concat(spread, F.expr("substring(regexp_replace(surrogate, '[^0-9]', ''), length(regexp_replace(bare, '[^0-9]', '')) + 1)"))
     cased = F.when(bare == F.upper(bare), F.upper(s)).when(F.col("kind") == "name", F.initcap(s)).otherwise(s)
     written = F.when(F.col("kind").isin("phone", "card", "ssn"), spread).when(F.col("kind").isin("email", "name"), cased).otherwise(s)
     return F.concat(F.regexp_extract("mention", _PREFIX, 0), written)
