@@ -1,23 +1,31 @@
 """Personal data replaced by keyed surrogates that keep type, format, script and gender.
 
 Entities are found by one regular expression: e-mail addresses in letters of any script, phone numbers
-(international, and as written in English, German, French and Spanish), payment cards, national ids, IPv4
-addresses, access keys, passwords and tokens after their name (in any case; to the closing quote, or else
-to the next space but for closing quotes, brackets and .,; at the end), and personal names after a title,
-which gives their gender. An entity's canonical form (lower case; digits only for numbers) and
-type name it across the whole table, so that all mentions of it get one surrogate, written in each
-mention's own layout and case. A surrogate is made of the digest of key, type, canonical form and
-attempt: digits become digits, letters letters of their script (Latin ones where it is none of the known),
-other marks of a secret other marks, a name a pronounceable name of the same
-script and gender, a card that passes the Luhn check one that passes it.
+(international, and as written in English, German, French and Spanish), payment cards of 14 to 19 digits,
+bank accounts (IBAN), national ids, IPv4 and IPv6 addresses, access keys, passwords and tokens after their
+name (in any case; to the closing quote, or else to the next space but for closing quotes, brackets and .,;
+at the end), and personal names after a title, which tells their gender. Every part of a name that a text
+gives with a title counts in the same text wherever it stands as a capitalised word of its own, so
+"Anna Schmidt", "Schmidt" and "Anna" after "Dr Anna Schmidt" are found too; words that only other
+texts give as names are not.
+
+An entity's canonical form (lower case; digits only for numbers) and type name it across the whole table,
+so that all mentions of it get one surrogate, written in each mention's own layout and case. A name is
+mapped part by part, so that a full name and its parts, with whatever title, agree; initials stay. A part is
+female or male if all titles before it in the table that tell a gender agree on it. A surrogate is made of the digest of
+key, type, canonical form and attempt: digits become digits, letters letters of their script (Latin ones
+where it is none of the known), other marks of a secret other marks, a part of a name a pronounceable one of the same
+script and gender, a card that passes the Luhn check one that passes it, an IBAN with right check digits
+one of the same country with right check digits.
 
 Two entities of one type with equal surrogates, or a surrogate that is itself an entity of the table,
 are collisions: all but the first entity try again with the next attempt until there are none. What
-still collides after ``ATTEMPTS`` takes longer surrogates, by one more character (a syllable in each part
+still collides after ``ATTEMPTS`` takes longer surrogates, by one more character (a syllable in a part
 of a name, a digit in each octet) with each further attempt, so that there are always enough of them.
 
 A null text stays null and holds nothing; texts without entities are unchanged; repeated rows get equal
-results; an empty table gives an empty result; other columns are ignored.
+results; an empty table gives an empty result; other columns are ignored. ``n_entities`` counts mentions, each
+word of a name without a title by itself.
 """
 
 import itertools
@@ -55,17 +63,26 @@ _PHONES = "|".join((
 # what stays of a phone number: country codes and the zero of national numbers
 _CODE = r"^(?:(?:\+|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|0)"
 _LOCAL, _HOST = r"[\p{L}\p{M}\p{N}._%+-]", r"[\p{L}\p{M}\p{N}-]"
+# one name part after another, the first of them maybe initials; words of a name are runs of letters
+_WORD, _PART = r"[\p{L}\p{M}]+", r"\p{Lu}[\p{L}\p{M}'’-]*[\p{L}\p{M}]"
+_SIX = r"[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@{_HOST}+(?:\.{_HOST}{{1,63}}){{0,126}}\.\p{{L}}(?:{_HOST}*[\p{{L}}\p{{N}}])",
+    "iban": r"(?=[A-Z]{2}\d\d)" + _EDGE + r"[A-Z]{2}\d\d(?: ?(?=[0-9A-Z]{0,3}\d)[0-9A-Z]{4}){2,7}(?: ?\d[0-9A-Z]{0,2})?" + _END,
     "phone": r"(?=[+(\d])" + _EDGE.replace("+", "") + f"(?:{_PHONES})" + _END,
-    "card": r"(?=\d)" + _EDGE + r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}" + _END,
+    "card": r"(?=\d)" + _EDGE + r"(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{3})?|3[47]\d\d[ -]?\d{6}[ -]?\d{5}|3[068]\d\d[ -]?\d{6}[ -]?\d{4})" + _END,
     "ssn": r"(?=\d)" + _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "ip": r"(?=\d)" + _EDGE + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}_-]|\.\d)",
+    "ip6": rf"(?=[0-9A-Fa-f:]{{0,38}}\d)(?<![\p{{L}}\p{{N}}:.])(?:(?:{_SIX}:){{7}}{_SIX}|(?:{_SIX}:){{1,6}}(?::{_SIX}){{1,6}}|(?:{_SIX}:){{2,7}}:|:(?::{_SIX}){{2,7}})(?![\p{{L}}\p{{N}}:])",
     "key": r"(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": rf"(?=[PpTtSsAa]){_LABEL}(?=(?:(?<=[\"'])[-._/+=~: ]*+|[-._/+=~:]*+)[^-._/+=~:\s\p{{Z}}\"'])(?:{_SECRET})",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? (?:\p{{Lu}}\.? ){{0,2}}{_PART}(?: {_PART}){{0,2}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_INSIDE = ("key", "secret")  # these may follow a letter or digit; all others start a word, which one look behind tells
+ANY = "(?<![\\p{L}\\p{N}])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in _INSIDE) + ")|" + "|".join(f"(?:{PATTERNS[k]})" for k in _INSIDE)
+#: A capitalised word: in a text that names somebody it may be a part of the name.
+LONE = r"(?<![\p{L}\p{M}\p{N}_])\p{Lu}[\p{L}\p{M}]+"
+WITH_LONE = f"{ANY}|{LONE}"
 _TITLE = rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "
 _PREFIX = rf"^{_LABEL}|{_TITLE}"
 # The letters that surrogate names are made of, by script: consonants, vowels, endings of
@@ -78,27 +95,44 @@ SCRIPTS = {
 
 
 def kind_of(mention: Column) -> Column:
-    """The type of a whole mention without the name of a secret."""
+    """The type of a whole mention without the name of a secret; ``lone`` for a capitalised word."""
     out = None
     for kind, pattern in PATTERNS.items():
         if kind == "secret":  # what is nothing else
             continue
         hit = mention.rlike(f"^(?:{pattern})$")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("secret")
+    return out.when(mention.rlike(f"^(?:{LONE})$"), "lone").otherwise("secret")
 
 
 def _described(mentions: DataFrame) -> DataFrame:
-    """Mentions with type, gender, script, and the canonical form that names the entity."""
+    """Mentions with type, gender, and the canonical form that names the entity (for names: that of all parts)."""
     m = F.col("mention")
-    out = mentions.withColumn("kind", kind_of(F.regexp_replace(m, f"^{_LABEL}", ""))).withColumn("bare", F.regexp_replace(m, _PREFIX, ""))
-    gender = F.when(F.col("kind") != "name", "").when(m.rlike(f"^(?:{FEMALE})[. ]"), "f").when(m.rlike(f"^(?:{MALE})[. ]"), "m").otherwise("n")
-    script = F.when(F.col("kind") != "name", "").when(F.col("bare").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("bare").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    label = m.rlike(f"^{_LABEL}")
+    kind = kind_of(F.regexp_replace(m, f"^{_LABEL}", ""))
+    out = mentions.withColumn("kind", F.when(label & kind.isin("lone", "name"), "secret").otherwise(kind)).withColumn("bare", F.regexp_replace(m, _PREFIX, ""))
+    gender = F.when(F.col("kind") != "name", "").when(m.rlike(f"^(?:{FEMALE})[. ]"), "f").when(m.rlike(f"^(?:{MALE})[. ]"), "m").otherwise("")
+    low, compact = F.lower("bare"), F.regexp_replace("bare", "[ -]", "")
     digits = F.regexp_replace("bare", r"\D", "")
-    low = F.lower("bare")
     digits = F.when(F.col("bare").startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
-    canonical = F.when(F.col("kind").isin("phone", "card", "ssn"), digits).when(F.col("kind").isin("email", "name"), low).otherwise(F.col("bare"))
-    return out.withColumn("gender", gender).withColumn("script", script).withColumn("canonical", canonical)
+    canonical = F.when(F.col("kind").isin("phone", "card", "ssn"), digits).when(F.col("kind") == "iban", compact).when(F.col("kind").isin("email", "name", "lone", "ip6"), low).otherwise(F.col("bare"))
+    return out.withColumn("gender", gender).withColumn("canonical", canonical)
+
+
+def _parts(found: DataFrame) -> DataFrame:
+    """``row_key, place, pos, kind, gender, script, word, canonical`` of the words of names and lone words."""
+    some = found.where("kind in ('name', 'lone')").select("row_key", "place", "kind", "gender", F.posexplode(F.regexp_extract_all("bare", F.lit(_WORD), F.lit(0))).alias("pos", "word"))
+    script = F.when(F.col("word").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("word").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    return some.withColumn("script", script).withColumn("canonical", F.lower("word"))
+
+
+def _entities(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """``kind, gender, script, canonical`` of distinct entities."""
+    plain = found.where("kind not in ('name', 'lone')").select("kind", F.lit("").alias("gender"), F.lit("").alias("script"), "canonical").distinct()
+    told = lambda g: F.max((F.col("gender") == g).cast("int"))
+    named = parts.where("kind = 'name' and length(word) > 1").groupBy("script", "canonical").agg(told("f").alias("f"), told("m").alias("m"))
+    gender = F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("n")
+    return plain.unionByName(named.select(F.lit("name").alias("kind"), gender.alias("gender"), "script", "canonical"))
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -138,21 +172,32 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _name_part(hard: str, soft: str, ends: tuple[str, str, str], digest: Column, wide: Column):
-    """Makes the i-th part of a name: two or three syllables and ``wide`` more, and an ending that tells the gender."""
+def _name_part(hard: str, soft: str, ends: tuple[str, str, str], digest: Column, wide: Column) -> Column:
+    """A part of a name: two or three syllables and ``wide`` more, and an ending that tells the gender."""
+    end = F.when(F.col("gender") == "f", ends[0]).when(F.col("gender") == "m", ends[1]).otherwise(ends[2])
+    size = F.when(F.length("canonical") > 6, 3).otherwise(2) + wide
+    syllable = lambda k: F.concat(_letter(hard, _byte(digest, k * 2)), _letter(soft, _byte(digest, k * 2 + 1)))
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), size), syllable), ""), _letter(hard, _byte(digest, F.lit(0))), end)
 
-    def part(p, i):
-        end = F.when(F.col("gender") == "f", ends[0]).when(F.col("gender") == "m", ends[1]).otherwise(ends[2])
-        size = F.when(F.length(p) > 6, 3).otherwise(2) + wide
-        syllable = lambda k: F.concat(_letter(hard, _byte(digest, i * 9 + k * 2)), _letter(soft, _byte(digest, i * 9 + k * 2 + 1)))
-        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), size), syllable), ""), _letter(hard, _byte(digest, i * 9)), end)
 
-    return part
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and capital letters (A: 10, ..., Z: 35) read as one number."""
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(_chars(text), F.lit(0), lambda a, c: F.pmod(F.when(value(c) > 9, a * 100).otherwise(a * 10) + value(c), F.lit(97)))
+
+
+def _iban(canonical: Column, digest: Column, more: Column) -> Column:
+    """Country and check digits over other digits and letters; right check digits stay right."""
+    body = _same_shape(F.concat(F.expr("substring(canonical, 5)"), more), digest)
+    country = F.substring(canonical, 1, 2)
+    right = _mod97(F.concat(F.expr("substring(canonical, 5)"), F.substring(canonical, 1, 4))) == 1
+    check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, F.when(right, check).otherwise(F.substring(canonical, 3, 2)), body)
 
 
 def _surrogate(key: str, attempts: int = ATTEMPTS) -> Column:
     """The surrogate's canonical form at the entity's current attempt; beyond ``attempts`` it grows."""
-    d = F.sha2(F.concat_ws("\0", F.lit(key), "kind", "gender", "script", "canonical", F.col("attempt").cast("string"), F.lit(key)), 512)
+    d = F.sha2(F.concat_ws("\0", F.lit(key), "kind", "script", "canonical", F.col("attempt").cast("string"), F.lit(key)), 512)
     wide = F.greatest(F.col("attempt") - attempts, F.lit(0))
     c, kind = F.col("canonical"), F.col("kind")
     more = lambda letter: F.repeat(F.lit(letter), wide)
@@ -176,9 +221,11 @@ def _surrogate(key: str, attempts: int = ATTEMPTS) -> Column:
     access = F.concat(F.lit("AKIA"), _same_shape(F.concat(F.expr("substring(canonical, 5)"), F.upper(more("a"))), d))
     name = None
     for script, (hard, soft, ends) in SCRIPTS.items():
-        made = F.array_join(F.transform(F.split(c, " "), _name_part(hard, soft, ends, d, wide)), " ")
+        made = _name_part(hard, soft, ends, d, wide)
         name = F.when(F.col("script") == script, made) if name is None else name.when(F.col("script") == script, made)
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "key", access).when(kind == "name", name).otherwise(shape)
+    ip6 = _same_shape(F.concat(c, F.repeat(F.lit("0"), wide)), d, "abcdef")
+    iban = _iban(c, d, more("0"))
+    return F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip6", ip6).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "key", access).when(kind == "name", name).otherwise(shape)
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
@@ -199,38 +246,63 @@ def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataF
 
 
 def _written() -> Column:
-    """A surrogate in the layout and case of the mention it stands for."""
+    """A surrogate in the layout and case of the mention (no name) that it stands for."""
     s, bare = F.col("surrogate"), F.col("bare")
-    number = F.regexp_replace(s, r"\D", "")
-    # the k-th digit of the mention becomes the k-th of the surrogate
-    spread = F.array_join(F.transform(_chars(bare), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(number, F.length(F.regexp_replace(F.substring(bare, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
+    # the k-th digit (of an IBAN: digit or letter) of the mention becomes the k-th of the surrogate
+    iban = F.col("kind") == "iban"
+    sign, other = F.when(iban, "[0-9A-Z]").otherwise("[0-9]"), F.when(iban, "[^0-9A-Z]").otherwise("[^0-9]")
+    number, size = F.regexp_replace(s, other, F.lit("")), lambda x: F.length(F.regexp_replace(x, other, F.lit("")))
+    spread = F.array_join(F.transform(_chars(bare), lambda c, i: F.when(F.regexp_like(c, sign), F.substring(number, size(F.substring(bare, F.lit(1), i + 1)), F.lit(1))).otherwise(c)), "")
     # a longer surrogate goes on after the mention's last digit
-    spread = F.concat(spread, F.expr("substring(regexp_replace(surrogate, '[^0-9]', ''), length(regexp_replace(bare, '[^0-9]', '')) + 1)"))
-    cased = F.when(bare == F.upper(bare), F.upper(s)).when(F.col("kind") == "name", F.initcap(s)).otherwise(s)
-    written = F.when(F.col("kind").isin("phone", "card", "ssn"), spread).when(F.col("kind").isin("email", "name"), cased).otherwise(s)
+    spread = F.concat(spread, F.substring(number, size(bare) + 1, F.length(number)))
+    cased = F.when((bare == F.upper(bare)) & (bare != F.lower(bare)), F.upper(s)).otherwise(s)
+    written = F.when(F.col("kind").isin("phone", "card", "ssn", "iban"), spread).when(F.col("kind").isin("email", "ip6"), cased).otherwise(s)
     return F.concat(F.regexp_extract("mention", _PREFIX, 0), written)
 
 
+def _rewritten(found: DataFrame, parts: DataFrame, of: DataFrame) -> DataFrame:
+    """``row_key, place, new`` of the mentions of names: each part replaced, all between them as it was."""
+    # lone words count where the text itself gives them as part of a name
+    given = parts.where("kind = 'name' and length(word) > 1").select("row_key", "canonical").distinct().withColumn("given", F.lit(True))
+    known = parts.join(given, ["row_key", "canonical"], "left").join(of.where("kind = 'name'").select("script", "canonical", "surrogate"), ["script", "canonical"], "left")
+    changed = F.col("given") & F.col("surrogate").isNotNull() & (F.length("word") > 1)
+    cased = F.when(F.col("word") == F.upper("word"), F.upper("surrogate")).otherwise(F.initcap("surrogate"))
+    # a mention's words are bounded by its own length
+    lists = known.groupBy("row_key", "place").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(changed, cased).otherwise(F.col("word")).alias("word")))).alias("words"), F.max(F.coalesce(changed, F.lit(False))).alias("changed"))
+    both = found.where("kind in ('name', 'lone')").join(lists, ["row_key", "place"])
+    made = F.array_join(F.zip_with(F.split("bare", _WORD, -1), "words", lambda between, w: F.concat(F.coalesce(between, F.lit("")), F.coalesce(w["word"], F.lit("")))), "")
+    return both.select("row_key", "place", F.concat(F.regexp_extract("mention", _PREFIX, 0), made).alias("new"), "changed")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    """Rows with a key of their id and text, equal for repeated rows only."""
+    return docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("text")).alias("row_key"))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """``row_key, place, mention`` with type, gender, script and canonical form of every mention."""
-    found = _keyed(docs).select("row_key", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found")).where(F.size("found") > 0)
-    each = found.select("row_key", F.posexplode("found").alias("place", "mention")).groupBy("row_key", "place").agg(F.first("mention").alias("mention"))
+    """``row_key, named, place, mention`` with type, gender and canonical form of every mention.
+
+    ``named`` texts give a name with a title; their capitalised words are mentions of kind ``lone``.
+    """
+    extracted = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    found = _keyed(docs).select("row_key", "text", extracted(ANY).alias("found")).where(F.size("found") > 0)
+    found = found.withColumn("named", F.exists("found", lambda x: x.rlike(_TITLE)))
+    found = found.select("row_key", "named", F.when(F.col("named"), extracted(WITH_LONE)).otherwise(F.col("found")).alias("found"))
+    each = found.select("row_key", "named", F.posexplode("found").alias("place", "mention")).groupBy("row_key", "place").agg(F.first("mention").alias("mention"), F.first("named").alias("named"))
     return _described(each)
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, n_entities, text`` of every row, entities replaced by surrogates."""
     found = stored(mentions(docs), "mentions")
-    names = ["kind", "gender", "script", "canonical"]
-    of = surrogates(found, key)
-    written = found.join(of, names).select("row_key", "place", _written().alias("new"))
+    parts = stored(_parts(found), "name-parts")
+    of = surrogates(_entities(found, parts), key)
+    plain = found.where("kind not in ('name', 'lone')").join(of.drop("gender", "script"), ["kind", "canonical"])
+    written = plain.select("row_key", "place", _written().alias("new"), F.lit(True).alias("changed")).unionByName(_rewritten(found, parts, of))
     # a row's mentions are bounded by its own text
-    lists = written.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("news"))
+    written = written.join(found.select("row_key", "place", "named"), ["row_key", "place"])
+    lists = written.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("news"), F.count_if("changed").alias("n"), F.first("named").alias("named"))
     rows = _keyed(docs).join(lists, "row_key", "left")
-    pieces = F.split("text", ANY, -1)
+    pieces = F.when(F.col("named"), F.split("text", WITH_LONE, -1)).otherwise(F.split("text", ANY, -1))
     text = F.when(F.col("news").isNull(), F.col("text")).otherwise(F.array_join(F.zip_with(pieces, "news", lambda p, n: F.concat(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit("")))), ""))
-    return rows.select("doc_id", F.greatest(F.size(F.coalesce("news", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("n_entities"), text.alias("text"))
+    return rows.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_entities"), text.alias("text"))
