@@ -4,23 +4,21 @@ Points are the groups of equal texts, so that copies stay together; a point weig
 its rows (UTF-8 bytes of the text and ``overhead`` for each row) and lies at five coordinates in
 [0, 1): the logarithm of its text's bytes, the least doc_id of its rows, hashes of their least source
 and least language, and a hash of its text. A node that stands for n shards is cut along the widest of
-its coordinates into n // 2 and the rest, in proportion to the room that these shards have, until every
-leaf is one shard. Groups of a ``heavy``-th of a shard or more cannot be halved by a cut: the heaviest
-first, each goes to the shard with the fewest bytes so far (at most ``heavy`` of them for each shard, or
-``HEAVY_ROWS``), and the light ones fill up what is left.
+its coordinates into n // 2 and the rest, in proportion, until every leaf is one shard. Only a group that
+outweighs a whole share of what is left (there are fewer of these than shards) has a shard of its own and no cut.
 
-A cut is found by counting: the bytes of a node in ``bins`` intervals of the coordinate (a bounded
-table for each node), a running sum over these, and again within the interval where the quantile lies,
-until the bytes there are within ``tolerance`` of the node's or cannot be parted. All nodes of a level are
-counted at once; no node's points meet in one task. A small share of the text's hash is added to each
-coordinate, so that points of one source or length can be parted as well.
+Where points are heavy, one weighted median parts a node unevenly. So points are cut by tiers of their weight
+against a share (a half and more, a quarter and more, ..., less than a 64th): each tier at its own weighted quantile along
+the axis of the node, the heaviest first, and what one tier leaves over or short is made good by the next. A tier's quantile
+is found by counting: bytes in ``bins`` intervals of the coordinate (a bounded table for each node) and a running sum over these.
+For the lightest tier it is counted again within the interval where the quantile lies, until the bytes there are within ``tolerance``
+of the node's or cannot be parted. All nodes of a level are counted at once; no node's points meet in one task. A small share of the
+text's hash is added to each coordinate, so that points of one source or length can be parted as well.
 
 Null texts count as empty; a null doc_id lies at 0; repeated rows are copies; an empty table gives an
 empty result; other columns are ignored but for source and lang.
 """
 
-import heapq
-import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES, HEAVY, HEAVY_ROWS = 16, 2048, 0.0005, 5, 64, 64, 100_000
+OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES, TIERS = 16, 2048, 0.0005, 5, 64, 6
 _AXES = ["x0", "x1", "x2", "x3", "x4"]
 
 
@@ -59,53 +57,76 @@ def _points(rows: DataFrame) -> DataFrame:
     return placed.select("node", "w", *[((F.col(f"x{i}") + F.col("x4") * 1e-3) / 1.0011).alias(f"x{i}") for i in range(4)], "x4")
 
 
-def tree(points: DataFrame, rooms: list[float], bins: int = BINS, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """``node, shard`` of every point: the leaves of the tree in order, from 0, filled in proportion to ``rooms``."""
-    leaves = len(rooms)
-    upto = F.array(*[F.lit(x) for x in itertools.accumulate(rooms, initial=0.0)])
-    a, n = F.col("a"), F.col("n")
-    here, left = F.get(upto, a + n) - F.get(upto, a), F.get(upto, (a + F.floor(n / 2)).cast("int")) - F.get(upto, a)
-    share = F.when(here > 0, left / here).otherwise(0.5)
+def tree(points: DataFrame, leaves: int, bins: int = BINS, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """``node, shard`` of every point: the leaves of the tree in order, from 0, near equal in weight."""
+    share = (points.agg(F.sum("w")).first()[0] or 0) / leaves
+    tier = F.when(F.col("w") * (1 << TIERS) < share, TIERS).otherwise(F.least(F.lit(TIERS - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.lit(share) / F.col("w"))) - 1)))
     # shards [a, a + n) of a node of the tree: points carry a, nodes are told apart by it
-    state = stored(points.select("*", F.lit(0).alias("a"), F.lit(leaves).alias("n")), "tree-0")
+    state = stored(points.select("*", tier.cast("int").alias("tier"), F.lit(0).alias("a"), F.lit(leaves).alias("n")), "tree-0")
+    along, half = F.get(F.array(*_AXES), F.col("axis")), F.floor(F.col("n") / 2).cast("int")
     for level in range(1, math.ceil(math.log2(max(1, leaves))) + 1):
         ends = [f(c).alias(f"{g}{c}") for c in _AXES for f, g in ((F.min, "lo_"), (F.max, "hi_"))]
-        nodes = state.where("n > 1").groupBy("a", "n").agg(F.sum("w").alias("total"), *ends)
+        light = F.sum(F.when(F.col("tier") == TIERS, F.col("w")).otherwise(0)).alias("light")
+        nodes = state.where("n > 1").groupBy("a", "n").agg(F.sum("w").alias("total"), light, *ends)
         widest = F.array_max(F.array(*[F.struct((F.col(f"hi_{c}") - F.col(f"lo_{c}")).alias("d"), F.lit(i).alias("axis"), F.col(f"lo_{c}").alias("low"), F.col(f"hi_{c}").alias("high")) for i, c in enumerate(_AXES)]))
-        nodes = nodes.withColumn("wide", widest).select("a", "total", (F.col("total") * share).alias("goal"), "wide.axis", "wide.low", (F.col("wide.high") + 1e-12).alias("high"), F.lit(0.0).alias("before"), F.lit(False).alias("done"))
-        nodes = stored(nodes, f"nodes-{level}")
+        nodes = nodes.withColumn("wide", widest).select("a", "total", "light", (half / F.col("n")).alias("part"), "wide.axis", "wide.low", (F.col("wide.high") + 1e-12).alias("high"))
+        nodes = stored(_heavy_cuts(state, stored(nodes, f"nodes-{level}"), bins), f"heavy-cuts-{level}")
+        goal = F.greatest(F.lit(0.0), F.least(F.col("light"), F.col("light") * F.col("part") + F.coalesce("room", F.lit(0.0))))
+        cuts = nodes.where("light > 0").select("a", "total", goal.alias("goal"), "axis", "low", "high", F.lit(0.0).alias("before"), F.lit(False).alias("done"))
         for step in range(rounds):
-            nodes = stored(_narrowed(state, nodes, bins, tolerance), f"nodes-{level}-{step}")
-            if not nodes.where("not done").limit(1).count():
+            cuts = stored(_narrowed(state.where(F.col("tier") == TIERS), cuts, bins, tolerance), f"cuts-{level}-{step}")
+            if not cuts.where("not done").limit(1).count():
                 break
-        cuts = nodes.select("a", "axis", F.col("high").alias("cut"))
-        along = F.get(F.array(*_AXES), F.col("axis"))
-        half = F.floor(F.col("n") / 2).cast("int")
-        right = F.col("cut").isNotNull() & (along >= F.col("cut"))
-        moved = state.join(_small(cuts), "a", "left").withColumn("right", F.coalesce(right, F.lit(False)))
-        moved = moved.select("node", "w", *_AXES, F.when(F.col("right"), F.col("a") + half).otherwise(F.col("a")).alias("a"), F.when(F.col("cut").isNull(), F.col("n")).when(F.col("right"), F.col("n") - half).otherwise(half).alias("n"))
-        state = stored(moved, f"tree-{level}")
+        cuts = nodes.join(_small(cuts.select("a", F.col("high").alias("cut"))), "a", "left").select("a", "axis", "low", "high", "cut", "tiers")
+        moved = state.join(_small(cuts), "a", "left")
+        right = F.when(F.col("tier") == TIERS, along >= F.col("cut")).otherwise(_bin(along, bins) >= F.coalesce(F.get("tiers", F.col("tier")), F.lit(0)))
+        moved = moved.withColumn("right", F.when(F.col("axis").isNotNull(), F.coalesce(right, F.lit(False))))
+        new_n = F.when(F.col("right").isNull(), F.col("n")).when(F.col("right"), F.col("n") - half).otherwise(half)
+        state = stored(moved.select("node", "w", *_AXES, "tier", F.when(F.col("right"), F.col("a") + half).otherwise(F.col("a")).alias("a"), new_n.alias("n")), f"tree-{level}")
     return state.select("node", F.col("a").alias("shard"))
 
 
-def _heavy(points: DataFrame, leaves: int, heavy: int = HEAVY) -> tuple[DataFrame, list[float]]:
-    """``node, shard`` of the groups that cuts cannot part well, and the room that each shard has left."""
-    total = points.agg(F.sum("w")).first()[0] or 0
-    most = min(heavy * leaves, HEAVY_ROWS)
-    top = points.where(F.col("w") * heavy * leaves >= total).orderBy(F.desc("w"), "node").limit(most).select("node", "w").collect()
-    loads, chosen = [(0, i) for i in range(leaves)], []
-    for row in top:
-        load, shard = heapq.heappop(loads)
-        heapq.heappush(loads, (load + row.w, shard))
-        chosen.append((row.node, shard))
-    load = [x for x, _ in sorted(loads, key=lambda x: x[1])]
-    # the level to which light groups fill the shards
-    rest, level = total - sum(load), 0.0
-    for k, low in enumerate(sorted(load), 1):
-        if low > level and k > 1:
+def _bin(x, bins: int):
+    """The interval of a coordinate between the node's low and high."""
+    return F.least(F.floor((x - F.col("low")) / F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1e-15))), F.lit(bins - 1)).cast("int")
+
+
+def _heavy_cuts(state: DataFrame, nodes: DataFrame, bins: int) -> DataFrame:
+    """``nodes`` with ``tiers``, the first interval right of each heavy tier's cut, and ``room``, the bytes that the light tier has to make good.
+
+    Tiers are folded in order, each interval from left to right while at least half of its bytes still fit.
+    """
+    along = F.get(F.array(*_AXES), F.col("axis"))
+    inside = state.where(F.col("tier") < TIERS).join(_small(nodes.select("a", "axis", "low", "high", "part")), "a")
+    sums = inside.groupBy("a", "part", "tier", _bin(along, bins).alias("bin")).agg(F.sum("w").alias("w"))
+    sums = sums.withColumn("whole", F.sum("w").over(Window.partitionBy("a", "tier")))  # at most ``bins`` rows
+    lists = sums.groupBy("a", "part").agg(F.array_sort(F.collect_list(F.struct("tier", "bin", "w", "whole"))).alias("each"))  # at most ``bins`` of each tier
+
+    def step(acc, e):
+        new = e["tier"] != acc["tier"]
+        room = F.when(new, acc["room"] + e["whole"] * F.col("part")).otherwise(acc["room"])
+        take = (new | acc["open"]) & (e["w"] / 2 <= room)
+        tiers = [F.when(take & (e["tier"] == k), e["bin"] + 1).otherwise(acc[f"c{k}"]).alias(f"c{k}") for k in range(TIERS)]
+        return F.struct(e["tier"].alias("tier"), F.when(take, room - e["w"]).otherwise(room).alias("room"), take.alias("open"), *tiers)
+
+    start = F.struct(F.lit(-1).alias("tier"), F.lit(0.0).alias("room"), F.lit(True).alias("open"), *[F.lit(0).alias(f"c{k}") for k in range(TIERS)])
+    folded = lists.select("a", F.aggregate("each", start, step).alias("f"))
+    found = folded.select("a", F.col("f.room").alias("room"), F.array(*[F.col(f"f.c{k}") for k in range(TIERS)]).alias("tiers"))
+    return nodes.join(_small(found), "a", "left")
+
+
+def _alone(points: DataFrame, leaves: int) -> tuple[DataFrame, int]:
+    """The groups that outweigh an even share of what the heavier ones leave, and their number (below ``leaves``, or equal where nothing is left)."""
+    total, count, least = points.agg(F.sum("w")).first()[0] or 0, 0, None
+    rest = total
+    while count < leaves and rest > 0:
+        share = rest / (leaves - count)
+        over = points.where(F.col("w") >= share).agg(F.count("*"), F.sum("w")).first()
+        if over[0] == count:
             break
-        level = (rest + sum(sorted(load)[:k])) / k
-    return points.sparkSession.createDataFrame(chosen, "node binary, shard int"), [max(0.0, level - x) for x in load]
+        count, rest, least = over[0], total - (over[1] or 0), share
+    bound = F.lit(False) if least is None else F.col("w") >= least
+    return points.where(bound), count
 
 
 def _small(nodes: DataFrame, most: int = 100_000) -> DataFrame:
@@ -120,7 +141,7 @@ def _narrowed(state: DataFrame, nodes: DataFrame, bins: int, tolerance: float) -
     inside = state.join(_small(todo), "a").withColumn("x", along).where("x >= low and x < high")
     width = F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1e-15))
     keys = ["a", "total", "goal", "axis", "low", "high", "before"]
-    sums = inside.withColumn("bin", F.least(F.floor((F.col("x") - F.col("low")) / width), F.lit(bins - 1)).cast("int")).groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.max("x").alias("end"))
+    sums = inside.withColumn("bin", _bin(F.col("x"), bins)).groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.max("x").alias("end"))
     order = Window.partitionBy("a").orderBy("bin")  # at most ``bins`` rows a node
     sums = sums.withColumn("upto", F.col("before") + F.sum("w").over(order)).withColumn("next", F.lead("bin").over(order))
     hit = sums.where("upto >= goal or next is null").groupBy(*keys).agg(F.min(F.struct("bin", "upto", "w", "end")).alias("e"))
@@ -143,10 +164,11 @@ def shard(docs: DataFrame, leaves: int, overhead: int = OVERHEAD, pieces: int =
     """
     rows = stored(rows_of(docs, overhead), "shard-rows")
     points = stored(_points(rows), "points")
-    heavy, rooms = _heavy(points, leaves)
-    heavy = stored(heavy, "heavy-points")
+    heavy, alone = _alone(points, leaves)
+    heavy = stored(heavy.select("node", (F.row_number().over(Window.orderBy(F.desc("w"), "node")) - 1).alias("shard")), "heavy-points")  # ``leaves`` rows at most
     rest = points.join(_small(heavy.select("node")), "node", "left_anti")
-    places = heavy.union(tree(rest, rooms))
+    first = min(alone, leaves - 1)  # if all shards are taken, what is left weighs nothing
+    places = heavy.union(tree(rest, leaves - first).select("node", (F.col("shard") + first).alias("shard")))
     placed = stored(rows.join(places, "node").withColumn("piece", F.pmod(F.xxhash64("doc_id", "node"), F.lit(pieces))), "sharded")
     part = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # ``pieces`` rows a shard
     base = placed.groupBy("shard", "piece").count().withColumn("base", F.coalesce(F.sum("count").over(part), F.lit(0))).drop("count")
