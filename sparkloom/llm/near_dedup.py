@@ -42,7 +42,7 @@ def shingles(w, words: int = WORDS):
     short = np.flatnonzero((size > 0) & (size < words))
     h = np.concatenate([w.grams(start, words), w.grams(w.offsets[short], size[short])])
     of = np.concatenate([doc[start], short])
-    # texts in a run are far fewer than 2**16, or else the run is cut by its bytes before
+    # texts in a run are far fewer than 2**16
     key = (of.astype(U64) << U64(48)) | (h >> U64(16))
     key, count = np.unique(key, return_counts=True)
     return (key >> U64(48)).astype(np.int64), key & U64((1 << 48) - 1), count
@@ -89,7 +89,7 @@ def _arrivals(doc, item, weight, docs, registers, bound):
 def _bands(words, bands, rows, bonus):
     def run(batches):
         for batch in batches:
-            for w in _cut(batch.column("text")):
+            for w in word_runs(batch.column("text")):
                 doc, item, count = shingles(w, words)
                 sig = prob_min_hash(doc, item, 1 + bonus * np.log2(count), w.docs, bands * rows)
                 has = np.bincount(doc, minlength=w.docs) > 0
@@ -105,18 +105,10 @@ def _bands(words, bands, rows, bonus):
     return run
 
 
-def _cut(texts, most: int = 1 << 15):
-    """Word runs of fewer than 2**16 texts."""
-    for i in range(0, len(texts), most):
-        for w in word_runs(texts[i : i + most]):
-            w.first += i
-            yield w
-
-
 def _sets(words):
     def run(batches):
         for batch in batches:
-            for w in _cut(batch.column("text")):
+            for w in word_runs(batch.column("text")):
                 doc, item, _ = shingles(w, words)
                 at = np.searchsorted(doc, np.arange(w.docs + 1))
                 data = pa.Array.from_buffers(pa.binary(), w.docs, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(item)])

@@ -1,18 +1,20 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Texts are folded to lower case code point by code point, white space to one kind, and given a space
-at either end. A feature is a run of 4, 5 or 6 code points, known by 64 bits of hash; its value in a
+at either end. A feature is a run of 4, 5 or 6 code points, known by 48 bits of hash; its value in a
 text is its log-count ratio r = log of (share of toxic texts with it / share of others with it) if
-the text has it, else 0. Features need a document frequency of ``least_df`` and |r| of ``least_r``
-(others hardly move a score); their weights come from logistic regression with an L2 penalty.
+the text has it, else 0. Features need to be in a share ``least_df`` of the fitted texts of a class and |r| of
+``least_r`` (others hardly move a score); of these, the ``features`` of the largest |r| times root of the texts
+with them are kept. Their weights come from logistic regression with an L2 penalty.
 
 The fit reads a bounded sample of the labelled rows: ``fit_rows``, half of either class, in the order
-of a hash, each row weighing what its class weighs among all labelled rows. Scores read whole texts,
-and only texts. Null or empty texts get the score of a text without features; a label without a text
+of a hash, each row weighing what its class weighs among all labelled rows. It is one task, whose memory grows with the
+sample's longest text. Scores read whole texts, long ones piece by piece, and only texts. Null or empty texts get the score of a text without features; a label without a text
 or of null is not used; of several labels of one doc_id the highest counts; without both classes
-every score is the share of toxic labels; repeated rows are scored each.
+every score is the share of toxic labels; repeated rows are scored each, and fitted once for each doc_id.
 """
 
+import itertools
 from dataclasses import dataclass
 from functools import cache
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, mix, slices
+from .words import SLICE_BYTES, U64, mix, slices
 
 SIZES, FIT_ROWS, FEATURES, LEAST_DF, LEAST_R, PENALTY = (4, 5, 6), 4096, 4096, 0.01, 0.7, 1e-3
 _BUCKETS = 1 << 22
@@ -51,19 +53,26 @@ def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, at
 
 
-def grams(texts: pa.Array, sizes=SIZES, size_bytes: int = 2 << 20):
-    """For some texts at a time: first row, number of texts, and for each n-gram size (text, hash) of all positions."""
+def grams(texts: pa.Array, sizes=SIZES, size_bytes: int = SLICE_BYTES):
+    """For some texts at a time: first row, number of texts, and for each n-gram size (text, 48 bits of hash) of all positions.
+
+    A text of more than ``size_bytes`` comes in pieces, one after the other under the same first row; neighbouring
+    pieces share the code points that n-grams across their border need, so an n-gram may come twice.
+    """
     for first, data, offsets in slices(texts, size_bytes):
         points, at = _points(data, offsets)
-        doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(at))
-        h = np.zeros(len(points), U64)
-        made = []
-        for n in range(1, max(sizes) + 1):
-            h = h[: max(0, len(points) - n + 1)] * _BASE + points[n - 1 :]
-            if n in sizes:
-                inside = doc[: len(h)] == doc[n - 1 :]
-                made.append((doc[: len(h)][inside], mix(h[inside] + U64(n))))
-        yield first, len(offsets) - 1, made
+        step, most = max(size_bytes, max(sizes)), max(sizes)
+        for a in range(0, max(1, len(points)), step) if len(at) == 2 else [0]:
+            part = points[a : a + step + most - 1] if len(at) == 2 else points
+            doc = np.zeros(len(part), np.int32) if len(at) == 2 else np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+            h = np.zeros(len(part), U64)
+            made = []
+            for n in range(1, most + 1):
+                h = h[: max(0, len(part) - n + 1)] * _BASE + part[n - 1 :]
+                if n in sizes:
+                    inside = doc[: len(h)] == doc[n - 1 :]
+                    made.append((doc[: len(h)][inside], mix(h[inside] + U64(n)) >> U64(16)))
+            yield first, len(offsets) - 1, made
 
 
 @dataclass
@@ -90,67 +99,76 @@ class Model:
         key = np.unique(np.concatenate(keys))
         return np.divmod(key, max(1, len(self.features)))
 
+    def found(self, texts: pa.Array, sizes=SIZES):
+        """For some texts at a time: first row, number of texts, distinct (text, feature)."""
+        for (first, docs), pieces in itertools.groupby(grams(texts, sizes), lambda x: x[:2]):
+            each = [self.matches(made) for _, _, made in pieces]  # pieces of one long text: features at most of each
+            if len(each) > 1:
+                feature = np.unique(np.concatenate([f for _, f in each]))
+                each = [(np.zeros(len(feature), np.int64), feature)]
+            yield first, docs, *each[0]
+
     def scores(self, texts: pa.Array, sizes=SIZES) -> np.ndarray:
         out = np.zeros(len(texts))
-        for first, docs, made in grams(texts, sizes):
-            doc, feature = self.matches(made)
+        for first, docs, doc, feature in self.found(texts, sizes):
             out[first : first + docs] = np.bincount(doc, self.weights[feature], docs)
         return 1 / (1 + np.exp(-np.clip(out + self.intercept, -500, 500)))
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, sizes=SIZES, features=FEATURES, least_df=LEAST_DF, least_r=LEAST_R, penalty=PENALTY) -> Model:
-    """Fit the model to some texts in memory."""
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    df = np.zeros((2, _BUCKETS), np.int32)
+def _document_counts(texts: pa.Array, toxic: np.ndarray, frequent: np.ndarray, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of some buckets: sorted hashes, and how many toxic and other texts have each."""
+    names, counts = np.zeros(0, U64), np.zeros((2, 0), np.int64)
+    held: list[np.ndarray] = []
 
-    def distinct(doc, h):
-        key = np.unique((doc.astype(U64) << U64(48)) | (h & U64((1 << 48) - 1)))
-        return (key >> U64(48)).astype(np.int64), key & U64((1 << 48) - 1)
+    def merged(names, counts):
+        both = np.concatenate(held) if held else np.zeros(0, U64)  # label in the lowest bit
+        held.clear()
+        every, of = np.unique(np.concatenate([names, names, both >> U64(1)]), return_inverse=True)
+        n = len(names)
+        sums = [np.bincount(of[c * n : c * n + n], counts[c], len(every)) + np.bincount(of[2 * n :][both & U64(1) == c], minlength=len(every)) for c in (0, 1)]
+        return every, np.stack(sums).astype(np.int64)
 
-    def all_grams():
-        for first, _, made in grams(texts, sizes):
+    for (first, _), pieces in itertools.groupby(grams(texts, sizes), lambda x: x[:2]):
+        keys = []
+        for _, _, made in pieces:
             for doc, h in made:
-                yield first + doc, h
+                some = frequent[(h & U64(_BUCKETS - 1)).astype(np.int64)]
+                keys.append(np.unique((doc[some].astype(U64) << U64(48)) | h[some]))
+        key = np.unique(np.concatenate(keys))
+        held.append(((key & U64((1 << 48) - 1)) << U64(1)) | toxic[first + (key >> U64(48)).astype(np.int64)].astype(U64))
+        if sum(map(len, held)) > 1 << 20:
+            names, counts = merged(names, counts)
+    names, counts = merged(names, counts)
+    return names, counts[1], counts[0]
+
 
-    for doc, h in all_grams():  # which buckets can hold a frequent feature
-        at, low = distinct(doc - doc.min(initial=0), h)
+def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, sizes=SIZES, features=FEATURES, least_df=LEAST_DF, least_r=LEAST_R, penalty=PENALTY) -> Model:
+    """Fit the model to some texts in memory, in three passes: buckets that can hold a frequent n-gram, exact counts of theirs, values."""
+    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    least = np.array([max(2, least_df * n0), max(2, least_df * n1)])
+    df = np.zeros((2, _BUCKETS), np.int32)
+    for first, _, made in grams(texts, sizes):  # occurrences, at least as many as texts
         for label in (0, 1):
-            own = toxic[at + doc.min(initial=0)] == label
-            df[label] += np.bincount((low[own] & U64(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS).astype(np.int32)
-    # a bucket's own ratio is near that of its one frequent feature: half of ``least_r`` leaves room for others in it
-    ratio = np.log((df[1] + 1) / (n1 + 2)) - np.log((df[0] + 1) / (n0 + 2))
-    frequent = ((df[1] >= max(2, least_df * n1)) | (df[0] >= max(2, least_df * n0))) & (np.abs(ratio) >= least_r / 2)
-    del df, ratio
-    hashes, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for doc, h in all_grams():
-        some = frequent[(h & U64(_BUCKETS - 1)).astype(np.int64)]
-        order = np.argsort(h[some], kind="stable")  # texts stay in order within a hash
-        h, doc = h[some][order], doc[some][order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        hashes.append(h[new])
-        docs.append(doc[new])
-    doc = np.concatenate(docs)
-    names, of = np.unique(np.concatenate(hashes), return_inverse=True)
-    c1 = np.bincount(of, toxic[doc], len(names)) if len(names) else np.zeros(0)
-    c0 = np.bincount(of, ~toxic[doc], len(names)) if len(names) else np.zeros(0)
+            own = [(h[toxic[first + doc] == label] & U64(_BUCKETS - 1)).astype(np.int64) for doc, h in made]
+            df[label] += np.bincount(np.concatenate(own), minlength=_BUCKETS).astype(np.int32)
+    frequent = (df >= least[:, None]).any(0)
+    del df
+    names, c1, c0 = _document_counts(texts, toxic, frequent, sizes)
     r = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    good = ((c1 >= max(2, least_df * n1)) | (c0 >= max(2, least_df * n0))) & (np.abs(r) >= least_r)
-    best = np.flatnonzero(good)
+    best = np.flatnonzero(((c1 >= least[1]) | (c0 >= least[0])) & (np.abs(r) >= least_r))
     best = np.sort(best[np.argsort(-np.abs(r[best]) * np.sqrt(c1[best] + c0[best]), kind="stable")][:features])
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    x = np.zeros((len(toxic), len(best)), np.float32)
-    keep = place[of] >= 0 if len(names) else np.zeros(0, bool)
-    x[doc[keep], place[of[keep]]] = r[best][place[of[keep]]]
+    names, r = names[best], r[best]
+    x = np.zeros((len(toxic), len(best) + 1), np.float32)
+    x[:, -1] = 1
+    for first, _, doc, feature in Model(names, r, 0.0).found(texts, sizes):
+        x[first + doc, feature] = r[feature]
     w, b = _regress(x, toxic.astype(np.float64), weight / weight.sum(), penalty)
-    return Model(names[best], w * r[best], b)
+    return Model(names, w * r, b)
 
 
 def _regress(x, y, weight, penalty, rounds: int = 400):
-    """Logistic regression by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    scale = 0.25 * float((weight * (x.astype(np.float64) ** 2).sum(1)).sum()) + penalty  # bounds the curvature
+    """Logistic regression by accelerated gradient steps; the last column of x is 1 and has no penalty."""
+    scale = 0.25 * float(weight @ np.einsum("ij,ij->i", x, x)) + penalty  # bounds the curvature
     w = v = np.zeros(x.shape[1])
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32), -50, 50)))
@@ -176,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     half = fit_rows // 2
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for c in (True, False)]
     chosen = F.broadcast(some[0].union(some[1]))  # fit_rows ids and flags at most
-    texts = docs.where("text is not null").join(chosen, "doc_id").select("text", "toxic")
+    # one row for each id: of repeated ids the least text
+    texts = docs.where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -197,15 +216,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
 
 def _scores(docs: DataFrame, model: Model):
+    """A function for tasks that makes the function from texts to scores."""
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
-    return lambda texts: Model(*shared.value).scores(texts)
+    return lambda: Model(*shared.value).scores
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` (0 to 1) of every row, from its text alone."""
-    scores = _scores(docs, model)
+    ready = _scores(docs, model)
 
     def run(batches):
+        scores = ready()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
@@ -214,9 +235,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score below the threshold."""
-    scores = _scores(docs, model)
+    ready = _scores(docs, model)
 
     def run(batches):
+        scores = ready()
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column("text")) < threshold))
 

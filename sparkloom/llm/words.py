@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_ROWS = 512 << 10, 1 << 12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -103,13 +103,13 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
-def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about ``size`` bytes (one text at least): first row, bytes, offsets."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about ``size`` bytes and at most ``rows`` (one text at least): first row, bytes, offsets."""
     data, offsets = arrow_bytes(texts)
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
