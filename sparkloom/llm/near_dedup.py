@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .cells import each_cell, in_cells, least_reached, sides
 from .components import connected_components
-from .storage import stored
+from .storage import small, stored
 from .words import U64, mix, word_runs
 
-WORDS, THRESHOLD, BANDS, ROWS, BONUS, BLOCK, BROADCAST_ROWS = 5, 0.8, 25, 5, 0.25, 512, 1 << 17
+WORDS, THRESHOLD, BANDS, ROWS, BONUS, BLOCK = 5, 0.8, 25, 5, 0.25, 512
 
 
 def shingles(w, words: int = WORDS):
@@ -150,15 +150,15 @@ def near_links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     members = stored(keys.join(sizes, "key"), "members")
     # the class that shares most of its buckets' places is the likely original of a group: compare with it
     shared = stored(members.groupBy("node").agg(F.sum("n").alias("shared")), "shared")
-    members = stored(members.join(_small(shared), "node"), "scored-members")
+    members = stored(members.join(small(shared), "node"), "scored-members")
     hubs = members.groupBy("key").agg(F.max(F.struct("shared", "node")).getField("node").alias("hub"))
     stars = members.join(hubs, "key").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     # every class in a shared bucket is in a star pair, so these sets serve the second look as well
-    one = texts.select("node", "text").join(_small(shared.select("node")), "node").dropDuplicates(["node"])
+    one = texts.select("node", "text").join(small(shared.select("node")), "node").dropDuplicates(["node"])
     sets = stored(one.mapInArrow(_sets(words), "node binary, items binary"), "shingle-sets")
     links = stored(_checked(stars, sets, threshold), "links")
     first = stored(connected_components(links), "first-components")
-    of = stored(members.select("key", "node").join(_small(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-roots")
+    of = stored(members.select("key", "node").join(small(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-roots")
     mixed = of.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("least")).where("x < y")
     more = stored(_second_look(of.join(mixed.select("key", "least"), "key"), sets, threshold, block), "more-links")
     return signed.select("doc_id", "node"), connected_components(links.union(more))
@@ -171,9 +171,9 @@ def _second_look(left: DataFrame, sets: DataFrame, threshold: float, block: int)
     products; what cells give is linear in their members.
     """
     loose = stored(connected_components(left.select(F.col("least").alias("a"), F.col("node").alias("b")), name="clusters").withColumnRenamed("root", "cluster"), "loose-clusters")
-    held = sets.join(_small(loose), "node")
+    held = sets.join(small(loose), "node")
     size = held.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("items")) / (8 << 20))).alias("blocks"))
-    cells = in_cells(held.join(_small(size), "cluster"), ["cluster"], F.greatest("blocks", F.lit(1)), F.col("node"))
+    cells = in_cells(held.join(small(size), "cluster"), ["cluster"], F.greatest("blocks", F.lit(1)), F.col("node"))
     return cells.mapInArrow(_cell_links(threshold), "a binary, b binary")
 
 
@@ -207,11 +207,6 @@ def _cell_links(threshold: float):
     return each_cell(["cluster"], ["node", "items"], links)
 
 
-def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of some dozen bytes each, broadcast while they are few; else they are joined by a shuffle."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     x, y = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     return pairs.join(x, "a").join(y, "b").mapInArrow(_verify(threshold), "a binary, b binary")

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small, stored
 
 OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES, TIERS = 16, 2048, 0.0005, 5, 64, 6
 _AXES = ["x0", "x1", "x2", "x3", "x4"]
@@ -77,8 +77,8 @@ def tree(points: DataFrame, leaves: int, bins: int = BINS, tolerance: float = TO
             cuts = stored(_narrowed(state.where(F.col("tier") == TIERS), cuts, bins, tolerance), f"cuts-{level}-{step}")
             if not cuts.where("not done").limit(1).count():
                 break
-        cuts = nodes.join(_small(cuts.select("a", F.col("high").alias("cut"))), "a", "left").select("a", "axis", "low", "high", "cut", "tiers")
-        moved = state.join(_small(cuts), "a", "left")
+        cuts = nodes.join(small(cuts.select("a", F.col("high").alias("cut"))), "a", "left").select("a", "axis", "low", "high", "cut", "tiers")
+        moved = state.join(small(cuts), "a", "left")
         right = F.when(F.col("tier") == TIERS, along >= F.col("cut")).otherwise(_bin(along, bins) >= F.coalesce(F.get("tiers", F.col("tier")), F.lit(0)))
         moved = moved.withColumn("right", F.when(F.col("axis").isNotNull(), F.coalesce(right, F.lit(False))))
         new_n = F.when(F.col("right").isNull(), F.col("n")).when(F.col("right"), F.col("n") - half).otherwise(half)
@@ -97,7 +97,7 @@ def _heavy_cuts(state: DataFrame, nodes: DataFrame, bins: int) -> DataFrame:
     Tiers are folded in order, each interval from left to right while at least half of its bytes still fit.
     """
     along = F.get(F.array(*_AXES), F.col("axis"))
-    inside = state.where(F.col("tier") < TIERS).join(_small(nodes.select("a", "axis", "low", "high", "part")), "a")
+    inside = state.where(F.col("tier") < TIERS).join(small(nodes.select("a", "axis", "low", "high", "part")), "a")
     sums = inside.groupBy("a", "part", "tier", _bin(along, bins).alias("bin")).agg(F.sum("w").alias("w"))
     sums = sums.withColumn("whole", F.sum("w").over(Window.partitionBy("a", "tier")))  # at most ``bins`` rows
     lists = sums.groupBy("a", "part").agg(F.array_sort(F.collect_list(F.struct("tier", "bin", "w", "whole"))).alias("each"))  # at most ``bins`` of each tier
@@ -112,7 +112,7 @@ def _heavy_cuts(state: DataFrame, nodes: DataFrame, bins: int) -> DataFrame:
     start = F.struct(F.lit(-1).alias("tier"), F.lit(0.0).alias("room"), F.lit(True).alias("open"), *[F.lit(0).alias(f"c{k}") for k in range(TIERS)])
     folded = lists.select("a", F.aggregate("each", start, step).alias("f"))
     found = folded.select("a", F.col("f.room").alias("room"), F.array(*[F.col(f"f.c{k}") for k in range(TIERS)]).alias("tiers"))
-    return nodes.join(_small(found), "a", "left")
+    return nodes.join(small(found), "a", "left")
 
 
 def _alone(points: DataFrame, leaves: int) -> tuple[DataFrame, int]:
@@ -129,16 +129,11 @@ def _alone(points: DataFrame, leaves: int) -> tuple[DataFrame, int]:
     return points.where(bound), count
 
 
-def _small(nodes: DataFrame, most: int = 100_000) -> DataFrame:
-    """Nodes are broadcast while they are few."""
-    return F.broadcast(nodes) if nodes.limit(most + 1).count() <= most else nodes
-
-
 def _narrowed(state: DataFrame, nodes: DataFrame, bins: int, tolerance: float) -> DataFrame:
     """Every node's interval [low, high] of its axis narrowed to the bin that holds its goal; done: cut at high."""
     todo = nodes.where("not done")
     along = F.get(F.array(*_AXES), F.col("axis"))
-    inside = state.join(_small(todo), "a").withColumn("x", along).where("x >= low and x < high")
+    inside = state.join(small(todo), "a").withColumn("x", along).where("x >= low and x < high")
     width = F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1e-15))
     keys = ["a", "total", "goal", "axis", "low", "high", "before"]
     sums = inside.withColumn("bin", _bin(F.col("x"), bins)).groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.max("x").alias("end"))
@@ -166,7 +161,7 @@ def shard(docs: DataFrame, leaves: int, overhead: int = OVERHEAD, pieces: int =
     points = stored(_points(rows), "points")
     heavy, alone = _alone(points, leaves)
     heavy = stored(heavy.select("node", (F.row_number().over(Window.orderBy(F.desc("w"), "node")) - 1).alias("shard")), "heavy-points")  # ``leaves`` rows at most
-    rest = points.join(_small(heavy.select("node")), "node", "left_anti")
+    rest = points.join(small(heavy.select("node")), "node", "left_anti")
     first = min(alone, leaves - 1)  # if all shards are taken, what is left weighs nothing
     places = heavy.union(tree(rest, leaves - first).select("node", (F.col("shard") + first).alias("shard")))
     placed = stored(rows.join(places, "node").withColumn("piece", F.pmod(F.xxhash64("doc_id", "node"), F.lit(pieces))), "sharded")

@@ -42,3 +42,22 @@ def test_spans_carry_their_words(spark):
     rows = substring_dedup.repeated_spans(docs(spark, [(1, "one " + same + " two"), (2, same)])).collect()
     assert sorted((r.doc_id, r.start, r.length) for r in rows) == [(1, 1, 50), (2, 0, 50)]
     assert {r.sha256 for r in rows} == {hashlib.sha256(same.encode()).hexdigest()}
+
+
+def test_words_decide(spark):
+    # windows that hashes would have taken for repeats of each other
+    rows = docs(spark, [(1, "a b c d e"), (2, "a b x d e"), (3, "a b c d e")])
+    keys = {r.doc_id: r.row_key for r in substring_dedup.keyed(rows).collect()}
+    found = spark.createDataFrame([(k, [(1, 1, 77)]) for k in keys.values()], "row_key long, windows array<struct<start:int,edges:int,head:long>>")
+    bad = {r.doc_id: r.bad for r in substring_dedup.verified(rows, found, 3).collect()}
+    assert bad[1] is None and bad[3] is None and [tuple(x) for x in bad[2]] == [(1, 1)]
+
+
+def test_hot_seed_and_repeated_rows(spark):
+    same = " ".join(f"h{i}" for i in range(40))
+    rows = [(i, f"x{i} {same} y{i} z{i % 3}") for i in range(60)] + [(7, same)] * 50
+    out = substring_dedup.repeated_paths(docs(spark, rows), 6, 2, hot=20)
+    few = substring_dedup.repeated_paths(docs(spark, rows), 6, 2)
+    key = lambda df: sorted(map(tuple, df.select("row_key", "start", "edges", "single").distinct().collect()))
+    assert key(out) == key(few)
+    check(spark, rows, 6, 2)
