@@ -15,6 +15,8 @@ SLICE_BYTES, SLICE_ROWS = 512 << 10, 1 << 12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -49,6 +51,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def sequence_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``run_hashes`` gives the hash of any run of words."""
+    up, _ = _WORD_POWERS.upto(len(hashes) + 1)
+    prefix = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=prefix[1:])
+    return prefix
+
+
+def run_hashes(prefix: np.ndarray, start: np.ndarray, length) -> np.ndarray:
+    """Hashes of the runs of ``length`` words from each of ``start``."""
+    _, down = _WORD_POWERS.upto(len(prefix))
+    return mix((prefix[start + length] - prefix[start]) * down[start] + U64(0x632BE59BD9B4E019) * np.asarray(length).astype(U64))
+
+
 @dataclass
 class Words:
     """The words of a few consecutive texts: byte spans, hashes and the texts' offsets among the words."""
@@ -67,8 +83,7 @@ class Words:
 
     def grams(self, start: np.ndarray, length) -> np.ndarray:
         """Hashes of the runs of ``length`` words from each of ``start``."""
-        _, down = _WORD_POWERS.upto(len(self.hashes) + 1)
-        return mix((self.prefix[start + length] - self.prefix[start]) * down[start] + U64(0x632BE59BD9B4E019) * np.asarray(length).astype(U64))
+        return run_hashes(self.prefix, start, length)
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.docs), np.diff(self.offsets))
@@ -122,15 +137,13 @@ def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * down[start])
 
 
-def word_runs(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of all texts, some consecutive whole texts at a time."""
+def word_runs(texts: pa.Array, size: int = SLICE_BYTES, fold: bool = False) -> Iterator[Words]:
+    """The words of all texts (with ``fold`` in ASCII lower case), some consecutive whole texts at a time."""
     for first, data, offsets in slices(texts, size):
+        data = LOWER[data] if fold else data
         start, end, at = spans(data, offsets)
         hashes = byte_hashes(data, start, end)
-        up, _ = _WORD_POWERS.upto(len(hashes) + 1)
-        prefix = np.zeros(len(hashes) + 1, U64)
-        np.cumsum(hashes * up[: len(hashes)], out=prefix[1:])
-        yield Words(first, start, end, at, hashes, prefix, data)
+        yield Words(first, start, end, at, hashes, sequence_hashes(hashes), data)
 
 
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
