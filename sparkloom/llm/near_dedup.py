@@ -29,7 +29,7 @@ from .components import connected_components
 from .storage import small, stored
 from .words import U64, mix, word_runs
 
-WORDS, THRESHOLD, BANDS, ROWS, BONUS, BLOCK = 5, 0.8, 25, 5, 0.25, 512
+WORDS, THRESHOLD, BANDS, ROWS, BONUS, BLOCK = 5, 0.8, 25, 5, 0.1, 512
 
 
 def shingles(w, words: int = WORDS):
@@ -215,9 +215,12 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_groups(docs: DataFrame, **kw) -> DataFrame:
     """``doc_id, node, root, component_id``: one row per row of ``docs``; component_id is the least doc_id of its group."""
     rows, roots = near_links(docs, **kw)
-    rows = rows.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "root").select("doc_id", "node", "root", "component_id")
+    # groups are named class by class, so a row meets its class alone
+    kinds = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
+    kinds = stored(kinds.select("node", "least", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")), "named-texts")
+    names = kinds.where("linked").groupBy("root").agg(F.min("least").alias("first"))
+    named = kinds.join(small(names), "root", "left").select("node", "root", F.when(F.col("linked"), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(named, "node").select("doc_id", "node", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
