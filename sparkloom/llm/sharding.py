@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .storage import small, stored
 
-OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES, TIERS = 16, 2048, 0.0005, 5, 64, 6
+OVERHEAD, BINS, TOLERANCE, ROUNDS, PIECES, TIERS, FEW = 16, 2048, 0.0005, 5, 64, 6, 100_000
 _AXES = ["x0", "x1", "x2", "x3", "x4"]
 
 
@@ -64,21 +64,22 @@ def tree(points: DataFrame, leaves: int, bins: int = BINS, tolerance: float = TO
     # shards [a, a + n) of a node of the tree: points carry a, nodes are told apart by it
     state = stored(points.select("*", tier.cast("int").alias("tier"), F.lit(0).alias("a"), F.lit(leaves).alias("n")), "tree-0")
     along, half = F.get(F.array(*_AXES), F.col("axis")), F.floor(F.col("n") / 2).cast("int")
+    few = F.broadcast if leaves <= FEW else (lambda nodes: nodes)  # a level has fewer nodes than there are leaves
     for level in range(1, math.ceil(math.log2(max(1, leaves))) + 1):
         ends = [f(c).alias(f"{g}{c}") for c in _AXES for f, g in ((F.min, "lo_"), (F.max, "hi_"))]
         light = F.sum(F.when(F.col("tier") == TIERS, F.col("w")).otherwise(0)).alias("light")
         nodes = state.where("n > 1").groupBy("a", "n").agg(F.sum("w").alias("total"), light, *ends)
         widest = F.array_max(F.array(*[F.struct((F.col(f"hi_{c}") - F.col(f"lo_{c}")).alias("d"), F.lit(i).alias("axis"), F.col(f"lo_{c}").alias("low"), F.col(f"hi_{c}").alias("high")) for i, c in enumerate(_AXES)]))
         nodes = nodes.withColumn("wide", widest).select("a", "total", "light", (half / F.col("n")).alias("part"), "wide.axis", "wide.low", (F.col("wide.high") + 1e-12).alias("high"))
-        nodes = stored(_heavy_cuts(state, stored(nodes, f"nodes-{level}"), bins), f"heavy-cuts-{level}")
+        nodes = stored(_heavy_cuts(state, stored(nodes, f"nodes-{level}"), bins, few), f"heavy-cuts-{level}")
         goal = F.greatest(F.lit(0.0), F.least(F.col("light"), F.col("light") * F.col("part") + F.coalesce("room", F.lit(0.0))))
         cuts = nodes.where("light > 0").select("a", "total", goal.alias("goal"), "axis", "low", "high", F.lit(0.0).alias("before"), F.lit(False).alias("done"))
         for step in range(rounds):
-            cuts = stored(_narrowed(state.where(F.col("tier") == TIERS), cuts, bins, tolerance), f"cuts-{level}-{step}")
+            cuts = stored(_narrowed(state.where(F.col("tier") == TIERS), cuts, bins, tolerance, few), f"cuts-{level}-{step}")
             if not cuts.where("not done").limit(1).count():
                 break
-        cuts = nodes.join(small(cuts.select("a", F.col("high").alias("cut"))), "a", "left").select("a", "axis", "low", "high", "cut", "tiers")
-        moved = state.join(small(cuts), "a", "left")
+        cuts = nodes.join(few(cuts.select("a", F.col("high").alias("cut"))), "a", "left").select("a", "axis", "low", "high", "cut", "tiers")
+        moved = state.join(few(cuts), "a", "left")
         right = F.when(F.col("tier") == TIERS, along >= F.col("cut")).otherwise(_bin(along, bins) >= F.coalesce(F.get("tiers", F.col("tier")), F.lit(0)))
         moved = moved.withColumn("right", F.when(F.col("axis").isNotNull(), F.coalesce(right, F.lit(False))))
         new_n = F.when(F.col("right").isNull(), F.col("n")).when(F.col("right"), F.col("n") - half).otherwise(half)
@@ -91,13 +92,13 @@ def _bin(x, bins: int):
     return F.least(F.floor((x - F.col("low")) / F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1e-15))), F.lit(bins - 1)).cast("int")
 
 
-def _heavy_cuts(state: DataFrame, nodes: DataFrame, bins: int) -> DataFrame:
+def _heavy_cuts(state: DataFrame, nodes: DataFrame, bins: int, few) -> DataFrame:
     """``nodes`` with ``tiers``, the first interval right of each heavy tier's cut, and ``room``, the bytes that the light tier has to make good.
 
     Tiers are folded in order, each interval from left to right while at least half of its bytes still fit.
     """
     along = F.get(F.array(*_AXES), F.col("axis"))
-    inside = state.where(F.col("tier") < TIERS).join(small(nodes.select("a", "axis", "low", "high", "part")), "a")
+    inside = state.where(F.col("tier") < TIERS).join(few(nodes.select("a", "axis", "low", "high", "part")), "a")
     sums = inside.groupBy("a", "part", "tier", _bin(along, bins).alias("bin")).agg(F.sum("w").alias("w"))
     sums = sums.withColumn("whole", F.sum("w").over(Window.partitionBy("a", "tier")))  # at most ``bins`` rows
     lists = sums.groupBy("a", "part").agg(F.array_sort(F.collect_list(F.struct("tier", "bin", "w", "whole"))).alias("each"))  # at most ``bins`` of each tier
@@ -112,7 +113,7 @@ def _heavy_cuts(state: DataFrame, nodes: DataFrame, bins: int) -> DataFrame:
     start = F.struct(F.lit(-1).alias("tier"), F.lit(0.0).alias("room"), F.lit(True).alias("open"), *[F.lit(0).alias(f"c{k}") for k in range(TIERS)])
     folded = lists.select("a", F.aggregate("each", start, step).alias("f"))
     found = folded.select("a", F.col("f.room").alias("room"), F.array(*[F.col(f"f.c{k}") for k in range(TIERS)]).alias("tiers"))
-    return nodes.join(small(found), "a", "left")
+    return nodes.join(few(found), "a", "left")
 
 
 def _alone(points: DataFrame, leaves: int) -> tuple[DataFrame, int]:
@@ -129,11 +130,11 @@ def _alone(points: DataFrame, leaves: int) -> tuple[DataFrame, int]:
     return points.where(bound), count
 
 
-def _narrowed(state: DataFrame, nodes: DataFrame, bins: int, tolerance: float) -> DataFrame:
+def _narrowed(state: DataFrame, nodes: DataFrame, bins: int, tolerance: float, few) -> DataFrame:
     """Every node's interval [low, high] of its axis narrowed to the bin that holds its goal; done: cut at high."""
     todo = nodes.where("not done")
     along = F.get(F.array(*_AXES), F.col("axis"))
-    inside = state.join(small(todo), "a").withColumn("x", along).where("x >= low and x < high")
+    inside = state.join(few(todo), "a").withColumn("x", along).where("x >= low and x < high")
     width = F.greatest((F.col("high") - F.col("low")) / bins, F.lit(1e-15))
     keys = ["a", "total", "goal", "axis", "low", "high", "before"]
     sums = inside.withColumn("bin", _bin(F.col("x"), bins)).groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.max("x").alias("end"))
