@@ -1,85 +1,100 @@
-"""The engine: passages and memory blocks of agents as tables in a folder, with search over them."""
+"""The engine: passages, memory blocks and sync state of agents as tables in a folder, with search over them."""
 
 from __future__ import annotations
 
 import json
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import normalised, source_path, stub_embedding, task_prefix
-from .operators import lines, search, symbols, sync
+from .functions.paths import IGNORE_DIRS, like_prefix
+from .functions.text import index_terms, normalised, source_path, stub_embedding, task_prefix
+from .operators import graph, lines, search, symbols, sync
+from .sources import files as sources
+from .sources.store import Table
+from .streaming import watch
 
-PASSAGES = "agent_id string, id string, file_path string, text string, embedding array<float>, seq long, created_at timestamp"
+PASSAGES = "agent_id string, id string, file_path string, text string, terms array<string>, dl int, embedding array<float>, seq long, created_at timestamp"
 BLOCKS = "agent_id string, label string, value string"
 AGENTS = "agent_id string, name string, model string, tags array<string>, created_at timestamp"
+STATE = "agent_id string, last_bootstrap string, last_sync_commit string, last_sync_at string, last_consolidated_at string"
+EDITABLE_BLOCKS = ("architecture", "conventions")
 
 
 class Engine:
     """Agents, passages and blocks under a root folder that Spark can read and write.
 
-    A table is a folder of snapshots and a pointer to the current one: a write makes a new snapshot
-    and then moves the pointer, so readers never see half of it. ``embed`` maps a text column to an
-    embedding column; the default is a deterministic stub.
+    Tables are laid out by agent and only ever added to (``sources.store``), so a search of one agent reads that agent's
+    rows, a write adds its own rows, and readers never see half of a write. ``compact`` rewrites what was replaced. ``embed``
+    maps a text column to an embedding column (the default is a deterministic stub), and ``chunk`` maps
+    ``path, content`` to ``source_path, chunk_no, text`` (the default cuts by symbols).
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed=stub_embedding, model: str = "stub"):
-        self.spark, self.root, self.embed, self.model = spark, root.rstrip("/"), embed, model
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
-
-    def table(self, name: str, schema: str) -> DataFrame:
-        try:
-            path = self.spark.read.text(self._pointer(name)).first()[0]
-        except Exception as error:  # a table that nobody wrote yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _write(self, name: str, rows: DataFrame) -> None:
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        self.spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+    def __init__(self, spark: SparkSession, root: str, embed=stub_embedding, model: str = "stub", chunk: Callable[[DataFrame], DataFrame] = symbols.symbol_chunks):
+        self.spark, self.root, self.embed, self.model, self.chunk = spark, root.rstrip("/"), embed, model, chunk
+        keys = {"passages": (PASSAGES, ["agent_id", "id"]), "blocks": (BLOCKS, ["agent_id", "label"]), "agents": (AGENTS, ["agent_id"]), "state": (STATE, ["agent_id"])}
+        self.tables = {name: Table(spark, f"{self.root}/{name}", schema, key) for name, (schema, key) in keys.items()}
 
     @property
     def passages(self) -> DataFrame:
-        return self.table("passages", PASSAGES)
+        return self.tables["passages"].read()
 
     @property
     def blocks(self) -> DataFrame:
-        return self.table("blocks", BLOCKS)
+        return self.tables["blocks"].read()
 
     @property
     def agents(self) -> DataFrame:
-        return self.table("agents", AGENTS)
+        return self.tables["agents"].read()
+
+    @property
+    def state(self) -> DataFrame:
+        """When and at which commit each agent was synchronised; agents without an entry have none."""
+        return self.tables["state"].read()
+
+    def compact(self) -> None:
+        """Rewrite every table without what was replaced."""
+        for table in self.tables.values():
+            table.compact()
 
     def create_agent(self, agent_id: str, name: str, tags: list[str] | None = None) -> None:
-        row = self.spark.createDataFrame([(agent_id, name, self.model, tags or [])], "agent_id string, name string, model string, tags array<string>").withColumn("created_at", F.current_timestamp())
-        self._write("agents", self.agents.join(row.select("agent_id"), "agent_id", "left_anti").select(*row.columns).unionByName(row))
+        row = self.spark.createDataFrame([(agent_id, name, self.model, tags or [])], "agent_id string, name string, model string, tags array<string>")
+        self.tables["agents"].put(row.withColumn("created_at", F.current_timestamp()))
+
+    def has_agent(self, agent_id: str) -> bool:
+        return bool(self.agents.where(F.col("agent_id") == agent_id).limit(1).count())
 
     def delete_agent(self, agent_id: str) -> None:
-        for name in ("agents", "passages", "blocks"):
-            self._write(name, getattr(self, name).where(F.col("agent_id") != agent_id))
+        for table in self.tables.values():
+            table.remove(table.read(F.col("agent_id") == agent_id))
 
     def purge(self, agent_id: str) -> None:
-        self._write("passages", self.passages.where(F.col("agent_id") != agent_id))
+        self.tables["passages"].remove(self.passages.where(F.col("agent_id") == agent_id))
+
+    def save_state(self, agent_id: str, **fields: str) -> None:
+        """Set some of ``last_bootstrap, last_sync_commit, last_sync_at, last_consolidated_at``; the others stay."""
+        names = self.tables["state"].schema.names[1:]
+        if unknown := set(fields) - set(names):
+            raise ValueError(f"no such state: {', '.join(sorted(unknown))}")
+        old = self.state.where(F.col("agent_id") == agent_id).head(1)
+        new = {**(old[0].asDict() if old else {}), **fields}
+        self.tables["state"].put(self.spark.createDataFrame([(agent_id, *[new.get(n) for n in names])], STATE))
 
     def write_passages(self, batch: DataFrame) -> None:
-        """Upsert ``agent_id, id, text`` (of equal keys the row with the greatest ``seq``, if given, stays)."""
-        rows = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id() + 1)
-        prefix = task_prefix(self.model, "document")
-        vector = normalised(self.embed(F.concat(F.lit(prefix), F.col("text")))).cast("array<float>")
-        rows = rows.select("agent_id", "id", source_path("text").alias("file_path"), "text", vector.alias("embedding"), F.col("seq").cast("long").alias("seq"), F.current_timestamp().alias("created_at"))
-        store = self.passages
-        known = store.select(F.size("embedding").alias("n")).limit(1).collect()
-        rows, _ = sync.checked_dimension(rows, known[0].n if known else None)
-        self._write("passages", sync.upsert(store, rows, ["agent_id", "id"]))
+        """Upsert ``agent_id, id, text`` (of equal keys the row with the greatest ``seq``, or else the last row, stays)."""
+        store = self.tables["passages"]
+        rows = batch if "seq" in batch.columns else sync.numbered(batch)
+        rows = sync.latest(rows, ["agent_id", "id"], "seq")
+        vector = normalised(self.embed(F.concat(F.lit(task_prefix(self.model, "document")), F.col("text")))).cast("array<float>")
+        now = store.read()
+        top, known = now.agg(F.coalesce(F.max("seq"), F.lit(0)), F.max(F.size("embedding"))).first()
+        rows = rows.select("agent_id", "id", source_path("text").alias("file_path"), "text", index_terms("text").alias("terms"), vector.alias("embedding"), (F.col("seq") + top).cast("long").alias("seq"), F.current_timestamp().alias("created_at"))
+        rows, _ = sync.checked_dimension(rows.withColumn("dl", F.size("terms")), known)
+        store.put(rows)
 
     def delete_passages(self, ids: DataFrame) -> None:
-        self._write("passages", sync.delete(self.passages, ids, ["agent_id", "id"]))
+        self.tables["passages"].remove(ids)
 
     def read_passage(self, agent_id: str, id: str) -> str:
         found = self.passages.where((F.col("agent_id") == agent_id) & (F.col("id") == id)).select("text").head(1)
@@ -91,13 +106,22 @@ class Engine:
         return self.passages.where(F.col("agent_id") == agent_id).orderBy("seq")
 
     def set_block(self, agent_id: str, label: str, value: str) -> None:
-        row = self.spark.createDataFrame([(agent_id, label, value)], BLOCKS)
-        self._write("blocks", self.blocks.join(row.select("agent_id", "label"), ["agent_id", "label"], "left_anti").unionByName(row))
+        self.tables["blocks"].put(self.spark.createDataFrame([(agent_id, label, value)], BLOCKS))
+
+    def memory_replace(self, agent_id: str, label: str, value: str) -> None:
+        """The assistant's way to set a block: only some labels."""
+        if label not in EDITABLE_BLOCKS:
+            raise ValueError(f"{label} is none of {', '.join(EDITABLE_BLOCKS)}")
+        self.set_block(agent_id, label, value)
 
     def block(self, agent_id: str, label: str) -> str:
         found = self.blocks.where((F.col("agent_id") == agent_id) & (F.col("label") == label)).head(1)
         return found[0].value if found else ""
 
+    def core_memory(self, agent_id: str) -> DataFrame:
+        """``label, value`` of an agent's blocks."""
+        return self.blocks.where(F.col("agent_id") == agent_id).select("label", "value").orderBy("label")
+
     def search(self, agent_id: str, queries: DataFrame, limit: int = 10, path_prefix: str | None = None) -> DataFrame:
         """``query_id, id, text, score, rank`` of ``query_id, query``; word statistics cover all agents."""
         vector, lexical, scope = self._legs(agent_id, queries, limit, path_prefix)
@@ -115,23 +139,18 @@ class Engine:
         return json.dumps([r.asDict() for r in found.collect()], ensure_ascii=False)  # ten at most
 
     def _legs(self, agent_id: str, queries: DataFrame, limit: int, path_prefix: str | None):
-        from .functions.paths import like_prefix
-
-        scope = self.passages.where(F.col("agent_id") == agent_id)
+        every = self.passages
+        inside = F.col("agent_id") == agent_id
         if path_prefix:
-            scope = scope.where(like_prefix("file_path", path_prefix))
+            inside = inside & like_prefix("file_path", path_prefix)
         k = search.candidates(limit) if limit > 0 else 0
-        prefix = task_prefix(self.model, "query")
-        asked = queries.select("query_id", normalised(self.embed(F.concat(F.lit(prefix), F.col("query")))).cast("array<float>").alias("vector"))
-        vector = search.vector_top_k(scope, asked, k)
-        every = self.passages.withColumn("key", F.struct("agent_id", "id"))
-        index = search.postings(every, id="key")
-        lexical = search.bm25(index, every, queries, k, id="key", scope=scope.select(F.struct("agent_id", "id").alias("key")))
-        return vector, lexical.select("query_id", F.col("key.id").alias("id"), "score", "rank"), scope
+        asked = queries.select("query_id", normalised(self.embed(F.concat(F.lit(task_prefix(self.model, "query")), F.col("query")))).cast("array<float>").alias("vector"))
+        scope = every.where(inside)
+        return search.vector_top_k(scope, asked, k), search.bm25(every, queries, k, scope=inside), scope
 
     def index(self, agent_id: str, files: DataFrame) -> None:
-        """Chunk ``path, content`` by symbols and write the chunks; a chunk's id is its path and number."""
-        made = symbols.symbol_chunks(files)
+        """Chunk ``path, content`` and write the chunks; a chunk's id is its path and number."""
+        made = self.chunk(files)
         self.write_passages(made.select(F.lit(agent_id).alias("agent_id"), F.concat_ws("#", "source_path", F.col("chunk_no").cast("string")).alias("id"), "text"))
 
     def sync(self, agent_id: str, changed: DataFrame, files: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -139,7 +158,7 @@ class Engine:
         plan = sync.hash_diff(changed, files, hashes)
         again = files.join(plan.where("action = 'reindexed'"), "path", "left_semi")
         before = self.passages.where(F.col("agent_id") == agent_id)
-        made = symbols.symbol_chunks(again).select(F.lit(agent_id).alias("agent_id"), F.concat_ws("#", "source_path", F.col("chunk_no").cast("string")).alias("id"), "text")
+        made = self.chunk(again).select(F.lit(agent_id).alias("agent_id"), F.concat_ws("#", "source_path", F.col("chunk_no").cast("string")).alias("id"), "text")
         path = F.regexp_replace("id", "#[0-9]+$", "")
         stale = before.withColumn("path", path).join(plan.where("action <> 'unchanged'"), "path", "left_semi").select("agent_id", "id").join(made.select("id"), "id", "left_anti")
         if again.limit(1).count():
@@ -152,3 +171,54 @@ class Engine:
 
     def grep(self, files: DataFrame, pattern: str, **kw) -> DataFrame:
         return lines.grep(files, pattern, **kw)
+
+    def glob(self, files: DataFrame, extensions: list[str], pattern: str = "**/*", ignore_dirs: list[str] = IGNORE_DIRS) -> DataFrame:
+        """``path, truncated`` of files that match."""
+        return lines.list_files_marked(files, pattern, extensions, ignore_dirs)
+
+    def read_file(self, files: DataFrame, path: str, start: int = 1, end: int | None = None) -> DataFrame:
+        """``content, start_line, end_line, total_lines, truncated`` of a range of lines of one file."""
+        found = files.where(F.col("path") == path)
+        return found.select(lines.window("content", start, end if end is not None else start + lines.READ_LINES - 1).alias("w")).select("w.*")
+
+    def find_symbol(self, files: DataFrame, name: str, aliases: DataFrame | None = None, **kw) -> DataFrame:
+        """Definitions of a name, the most central first."""
+        defs, refs = symbols.definitions(files), symbols.references(files)
+        aliases = self.spark.createDataFrame([], "ord int, pattern string, target string") if aliases is None else aliases
+        ranks = graph.page_rank(graph.symbol_nodes(defs, files), graph.symbol_edges(defs, refs, files, aliases))
+        return graph.find_symbols(defs, ranks, name, **kw)
+
+    def stats(self) -> DataFrame:
+        """``agent_id, name, passages, files, blocks`` of each agent."""
+        passages = self.passages.groupBy("agent_id").agg(F.count("*").alias("passages"), F.countDistinct("file_path").alias("files"))
+        blocks = self.blocks.groupBy("agent_id").agg(F.count("*").alias("blocks"))
+        out = self.agents.select("agent_id", "name").join(passages, "agent_id", "left").join(blocks, "agent_id", "left")
+        return out.na.fill(0, ["passages", "files", "blocks"])
+
+    def status(self, agent_id: str | None = None) -> DataFrame:
+        """Counts, block sizes and times of one agent or all, with a report for readers."""
+        out = sync.status(self.agents, self.passages, self.blocks, self.state)
+        return out if agent_id is None else out.where(F.col("agent_id") == agent_id)
+
+    def export(self, path: str | None = None) -> DataFrame:
+        """``agent_id, markdown`` of every agent; written as JSON lines where a path is given."""
+        out = sources.export_text(self.blocks, self.passages)
+        if path:
+            out.write.json(path)
+        return out
+
+    def check(self, configured: DataFrame) -> DataFrame:
+        """``repo, issue`` where configuration (``repo``), agents and passages disagree."""
+        agents, stored = self.agents.select(F.col("agent_id").alias("repo")), self.passages.select(F.col("agent_id").alias("repo"))
+        return sync.consistency(configured, agents, stored)
+
+    def stream(self, agent_id: str, events: DataFrame, files: Callable[[], DataFrame], checkpoint: str, **kw):
+        """Keep an agent in step with a stream of ``repo, path`` events; ``files`` gives ``path, content, size_kb`` as they are."""
+
+        def apply(changed: DataFrame, number: int) -> None:
+            now = files()
+            known = self.passages.where(F.col("agent_id") == agent_id).select("file_path").where("file_path is not null").distinct()
+            empty = known.select(F.col("file_path").alias("path"), F.lit("").alias("sha256"))
+            self.sync(agent_id, changed.where(F.col("repo") == agent_id).select("path").distinct(), now, empty)
+
+        return watch.watch(events, apply, checkpoint, **kw)

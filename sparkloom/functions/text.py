@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 FILE_PREFIX, CONTINUED = "FILE: ", " (continued)"
 SNIPPET_CHARS = 160
@@ -88,6 +94,38 @@ def qualified_name(name: Column | str, owner: Column | str) -> Column:
     return F.concat_ws(".", _c(owner), _c(name))
 
 
+def audit_line(place: Column | str, text: Column | str, score: Column | str) -> Column:
+    """A retrieved passage in two lines: number, file and score (if there is one), and its snippet."""
+    path = F.coalesce(clean_path(text), F.lit("(unknown file)"))
+    suffix = F.when(_c(score).isNotNull(), F.format_string(" score=%.3f", _c(score).cast("double"))).otherwise("")
+    return F.concat(F.lit("  "), _c(place).cast("string"), F.lit(". "), path, suffix, F.lit("\n     "), snippet(text))
+
+
+def spliced(content: Column | str, block: Column | str, start: str, end: str) -> Column:
+    """A text with the part between two marks (marks included) replaced by ``block``, or the block added at its end.
+
+    Without an end mark all from the start mark on is replaced.
+    """
+    text, new = F.coalesce(_c(content), F.lit("")), _c(block)
+    at = F.locate(start, text)
+    stop = F.when(at > 0, F.locate(end, F.substring(text, at, F.length(text)))).otherwise(0)
+    before, tail = F.substring(text, F.lit(1), at - 1), F.substring(text, at + stop + len(end) - 1, F.length(text))
+    ended = F.concat(F.regexp_replace(new, r"\n+$", ""), F.lit("\n"))
+    under = lambda head: F.when(F.regexp_replace(head, r"\s+", "") == "", ended).otherwise(F.concat(F.regexp_replace(head, r"\n+$", ""), F.lit("\n\n"), ended))
+    return F.when(at == 0, under(text)).when(stop == 0, under(before)).otherwise(F.concat(before, new, tail))
+
+
+def without_splice(content: Column | str, start: str, end: str) -> Column:
+    """A text without the part between two marks, what is around it one blank line apart."""
+    text = F.coalesce(_c(content), F.lit(""))
+    at = F.locate(start, text)
+    stop = F.when(at > 0, F.locate(end, F.substring(text, at, F.length(text)))).otherwise(0)
+    before = F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\n+$", "")
+    after = F.when(stop > 0, F.regexp_replace(F.substring(text, at + stop + len(end) - 1, F.length(text)), r"^\n+", "")).otherwise("")
+    around = F.when(before == "", after).when(after == "", F.concat(before, F.lit("\n"))).otherwise(F.concat(before, F.lit("\n\n"), after))
+    return F.when(at == 0, text).otherwise(around)
+
+
 def def_id(path: Column | str, qualified: Column | str, line: Column | str) -> Column:
     return F.concat(F.lit("def:"), _c(path), F.lit("#"), _c(qualified), F.lit("@"), _c(line).cast("string"))
 
@@ -105,9 +143,19 @@ def query_terms(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(r"(\w+)"), F.lit(1))
 
 
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, in lower case, and the letter that each is without them."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x1F00)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1]
+    pairs = [(c, base) for c, base in pairs if base.isascii() and base.isalpha()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
 def index_terms(text: Column | str) -> Column:
-    """Terms of an indexed text: lower-case runs of ASCII letters, digits and the underscore."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"([a-z0-9_]+)"), F.lit(1))
+    """Terms of an indexed text: runs of letters and digits of any script and the underscore, in lower case, Latin letters without marks."""
+    low = F.lower(_c(text))
+    plain = F.translate(F.regexp_replace(low, "[\u0300-\u036f]", ""), *_plain_letters())
+    return F.regexp_extract_all(F.when(low.rlike(r"[^\x00-\x7f]"), plain).otherwise(low), F.lit(r"([\p{L}\p{N}\p{Co}_]+)"), F.lit(1))
 
 
 def task_prefix(model: str, task: str) -> str:
@@ -124,13 +172,38 @@ def backoff(base: Column | str, failures: Column | str, most: int = 300_000) ->
 
 
 def stub_embedding(text: Column | str, dims: int = 64) -> Column:
-    """A deterministic embedding: 4-letter stems hashed to slots, counted, and put to length 1."""
-    stems = F.transform(F.filter(F.split(F.lower(_c(text)), r"\W+"), lambda w: w != ""), lambda w: F.left(w, F.lit(4)))
-    mod = F.lit(1 << 32)
-    slot = F.transform(stems, lambda w: F.pmod(F.aggregate(F.filter(F.split(w, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c), mod)), F.lit(dims)))
-    # the slots are bound once, as the only element of an array, and counted from there
-    count = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return F.get(F.transform(F.array(F.get(F.transform(F.array(slot), count), F.lit(0))), _unit), F.lit(0))
+    """A deterministic embedding: 4-letter stems of ASCII words hashed to slots, counted, and put to length 1; null as empty."""
+
+    @arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        counts = stem_counts(texts, dims)
+        norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+        unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * dims, pa.int32()), pa.array(unit.reshape(-1)))
+
+    return embed(F.coalesce(F.lower(_c(text)), F.lit("")))
+
+
+def stem_counts(texts: pa.Array, dims: int) -> np.ndarray:
+    """How many words' first four letters each text has in each slot; a stem's slot is its polynomial hash (base 31, 32 bits) modulo ``dims``."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    word = np.zeros(256, bool)
+    word[[95, *range(48, 58), *range(65, 91), *range(97, 123)]] = True
+    inside = np.append(word[data], [False] * 4)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    start = np.flatnonzero(inside[: len(data)] & (cut[:-1] | ~np.concatenate([[False], inside[: len(data)]])[:-1]))
+    letters, hashed, live = np.append(data, np.zeros(4, np.uint8)).astype(np.int64), np.zeros(len(start), np.int64), np.ones(len(start), bool)
+    for k in range(4):
+        live &= inside[start + k]
+        if k:
+            live &= ~cut[np.minimum(start + k, len(data))]
+        hashed = np.where(live, (hashed * 31 + letters[start + k]) % (1 << 32), hashed)
+    doc = np.searchsorted(offsets, start, "right") - 1
+    return np.bincount(doc * dims + hashed % dims, minlength=len(texts) * dims).reshape(len(texts), dims).astype(np.float64)
 
 
 def _unit(vector: Column) -> Column:
@@ -144,13 +217,5 @@ def normalised(vector: Column) -> Column:
     return F.get(F.transform(F.array(vector), _unit), F.lit(0))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors in double precision; 0 with a zero vector."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norms = [F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) for v in (a, b)]
-    both = F.sqrt(norms[0]) * F.sqrt(norms[1])
-    return F.when(both > 0, dot / both).otherwise(0.0)
-
-
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x

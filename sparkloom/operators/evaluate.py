@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_path
+from .search import legs
+
 TOLERANCE, SLACK = 0.02, 1e-9
 
 
@@ -24,6 +27,14 @@ def query_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1,
     return every.join(hits, ["leg", "query_id"], "left").select("leg", "query_id", "kind", *recall, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
+def leg_metrics(vector: DataFrame, lexical: DataFrame, passages: DataFrame, gold: DataFrame, limit: int = 10, ks: tuple[int, ...] = (1, 5), id: str = "id") -> DataFrame:
+    """``query_metrics`` of a search's vector, lexical and fused leg: hits count by the file of their passage."""
+    hits = legs(vector, lexical, limit, id).join(passages.select(id, clean_path("text").alias("path")), id).where("path is not null")
+    # hits without a file take no rank
+    place = F.row_number().over(Window.partitionBy("leg", "query_id").orderBy("rank"))
+    return query_metrics(hits.withColumn("rank", place).select("leg", "query_id", "rank", "path"), gold, ks)
+
+
 def means(values: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Means over all rows (``by`` null) and of each kind."""
     return values.rollup(by).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns])

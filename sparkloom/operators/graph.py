@@ -2,50 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import def_id, file_id
+from ..storage import kept
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 50, 1e-8
 # What is tried after a module's path, in order.
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".go", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder in ``spark.checkpoint.dir`` and read back."""
-    spark: SparkSession = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """``id, rank`` of ``id`` and ``src, dst``; parallel edges count each, dangling ranks go to all, unknown ends are ignored."""
-    ids = _kept(nodes.select("id").distinct(), "nodes")
+    ids = kept(nodes.select("id").distinct(), "nodes")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(1.0))
     known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     counted = known.groupBy("src", "dst").agg(F.count("*").alias("w"))
     degree = counted.groupBy("src").agg(F.sum("w").alias("degree"))
-    steps = _kept(counted.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), "edges")
+    steps = kept(counted.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), "edges")
     out = steps.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    ranks = _kept(ids.join(out, "id", "left").select("id", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank")), "ranks")
+    ranks = kept(ids.join(out, "id", "left").select("id", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank")), "ranks")
+    dangling = ids.join(out, "id", "left_anti").count() / n
     for _ in range(iterations):
-        dangling = ranks.where("not out").agg(F.sum("rank")).first()[0] or 0.0  # one number
         given = steps.join(ranks, steps.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         base = (1 - damping) / n + damping * dangling / n
         new = ranks.join(given, ranks.id == given.dst, "left").select("id", "out", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = _kept(new, "ranks")
-        delta = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        new = kept(new, "ranks")
+        # two numbers: what the round moved, and what the next one deals out to all
+        delta, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0))).first()
         ranks = new.drop("old")
         if delta < tolerance:
             break
@@ -168,7 +155,17 @@ def _named(bound: DataFrame, there: DataFrame, exports: DataFrame) -> DataFrame:
 def ranked_symbols(defs: DataFrame, ranks: DataFrame) -> DataFrame:
     """Definitions with their rank (0 without one), and their place by rank, path and line."""
     joined = defs.withColumn("id", def_id("path", "qualified", "line")).join(ranks, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
-    return joined
+    # one range of the order after the other: no task numbers all
+    ordered = kept(joined.repartitionByRange(F.desc("rank"), "path", "line").sortWithinPartitions(F.desc("rank"), "path", "line").withColumn("__part", F.spark_partition_id()), "ranked")
+    part = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = ordered.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(part), F.lit(0)).alias("__base"))
+    number = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc("rank"), "path", "line"))
+    return ordered.withColumn("__n", number).join(F.broadcast(base), "__part").withColumn("place", (F.col("__base") + F.col("__n")).cast("long")).drop("__part", "__base", "__n")
+
+
+def symbols_in_file(defs: DataFrame, path: str) -> DataFrame:
+    """The definitions of one file by kind, name and line."""
+    return defs.where(F.col("path") == path).orderBy("kind", "name", "line")
 
 
 def find_symbols(defs: DataFrame, ranks: DataFrame, name: str, kind: str | None = None, prefix: str | None = None, owner: str | None = None, limit: int = 20) -> DataFrame:
@@ -179,7 +176,8 @@ def find_symbols(defs: DataFrame, ranks: DataFrame, name: str, kind: str | None
             found = found.where(F.col(column) == value)
     if prefix is not None:
         found = found.where(F.col("path").startswith(prefix))
-    return ranked_symbols(found, ranks).orderBy(F.desc("rank"), "path", "line").limit(limit)
+    best = found.withColumn("id", def_id("path", "qualified", "line")).join(ranks, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.0)))
+    return best.orderBy(F.desc("rank"), "path", "line").limit(limit)
 
 
 def top_symbols(ranks: DataFrame, least: float = 0.0, top: int = 25) -> DataFrame:

@@ -21,9 +21,32 @@ def grep(files: DataFrame, pattern: str, glob: str | None = None, ignore_case: b
     return found.where(F.col("content").rlike(("(?m)" if rx[:4] != "(?i)" else "(?im)") + pattern)).select("path", F.explode(F.slice(hits, 1, per_file)).alias("h")).select("path", "h.line", "h.text")
 
 
+def within_chars(hits: DataFrame, most: int = GREP_CHARS) -> DataFrame:
+    """``path, line, text, truncated`` of a search's hits in order, as many as fit in ``most`` characters of "path:line:text" lines.
+
+    It is a report for a reader: only as many lines as can fit are looked at.
+    """
+    first = hits.orderBy("path", "line").limit(most + 1)
+    size = F.length("path") + F.length(F.col("line").cast("string")) + F.length("text") + 3
+    upto = F.sum(size).over(Window.orderBy("path", "line"))
+    marked = first.withColumn("__fits", upto - 1 <= most)
+    return marked.withColumn("truncated", ~F.min("__fits").over(Window.partitionBy())).where("__fits").drop("__fits")
+
+
 def list_files(files: DataFrame, pattern: str, extensions: list[str], ignore_dirs: list[str], most: int = GLOB_FILES) -> DataFrame:
     """``path``: indexable files that match a glob, the first ones by name."""
-    return files.where(F.col("path").rlike(glob_regex(pattern)) & include_file("path", "size_kb", extensions, ignore_dirs)).select("path").orderBy("path").limit(most)
+    return _listed(files, pattern, extensions, ignore_dirs).orderBy("path").limit(most)
+
+
+def _listed(files: DataFrame, pattern: str, extensions: list[str], ignore_dirs: list[str]) -> DataFrame:
+    return files.where(F.col("path").rlike(glob_regex(pattern)) & include_file("path", "size_kb", extensions, ignore_dirs)).select("path")
+
+
+def list_files_marked(files: DataFrame, pattern: str, extensions: list[str], ignore_dirs: list[str], most: int = GLOB_FILES) -> DataFrame:
+    """``path, truncated``: as ``list_files``, and whether there were more."""
+    some = _listed(files, pattern, extensions, ignore_dirs).orderBy("path").limit(most + 1)
+    place = some.withColumn("__n", F.row_number().over(Window.orderBy("path"))).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most)
+    return place.where(F.col("__n") <= most).drop("__n")
 
 
 def window(text: Column | str, start: int, end: int, max_chars: int = READ_CHARS) -> Column:

@@ -1,16 +1,28 @@
-"""Batched hybrid search: exact vector top-k, BM25, reciprocal rank fusion, budgets and demotion."""
+"""Batched hybrid search: exact vector top-k, BM25, reciprocal rank fusion, budgets and demotion.
+
+Queries come in batches. A batch of at most ``QUERY_ROWS`` queries goes to the tasks as one block; more are taken
+block by block, each reading the index once. A task scores its rows against the block with array operations and
+keeps the best k of each query, so what is shuffled is k rows for each query and task, whatever the corpus' size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.paths import test_path
-from ..functions.text import budget_path, cosine, index_terms, query_terms, truncated
+from ..functions.text import budget_path, index_terms, query_terms, truncated
+from ..storage import small
 
 RRF_K, RRF_WEIGHTS, PLAIN_K = 10, {"vector": 2.0, "lexical": 1.0}, 60
 K1, B = 1.2, 0.75
-QUERY_BLOCK = 64
+QUERY_ROWS, CELLS, SLACK = 2048, 1 << 21, 1e-9
 
 
 def candidates(limit: int) -> int:
@@ -19,30 +31,151 @@ def candidates(limit: int) -> int:
 
 
 def postings(passages: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
-    """``id, term, tf, dl``: the inverted index of passages."""
-    terms = passages.select(id, index_terms(text).alias("t")).select(id, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return terms.groupBy(id, "term", "dl").agg(F.count("*").alias("tf"))
+    """``id, dl, terms``: the index of passages, each with its terms in order and their number.
+
+    Keep it as a table: searches read it two or three times and tokenise nothing.
+    """
+    return passages.select(id, index_terms(text).alias("terms")).select(id, F.size("terms").alias("dl"), "terms")
+
+
+class _Best:
+    """The best k hits of each query among those of one task, with all that come within rounding of the k-th."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.parts = k, 0, []
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        self.parts.append((query, score, ids))
+        self.held += len(query)
+        if self.held > 1 << 18:
+            self.merge()
+            self.held = 0
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+        if not self.parts:
+            return None
+        query, score = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        ids = pa.concat_arrays([p[2] for p in self.parts])
+        order = np.lexsort((-score, query))
+        query, score = query[order], score[order]
+        first = np.searchsorted(query, query)
+        last = np.minimum(first + self.k, np.searchsorted(query, query, "right")) - 1
+        good = score >= score[last] - SLACK
+        self.parts = [(query[good], score[good], ids.take(pa.array(order[good])))]
+        return self.parts[0]
+
+
+def _blocks(queries: DataFrame, order: str, *columns: str) -> Iterator[pa.Table]:
+    """The queries, at most ``QUERY_ROWS`` at a time."""
+    if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        yield queries.select(*columns).toArrow()
+        return
+    parts = -(-queries.count() // (QUERY_ROWS // 2))
+    for i in range(parts):
+        yield from _blocks(queries.where(F.pmod(F.xxhash64(order), F.lit(parts)) == i), order, *columns)
+
+
+def _task_hits(rows: DataFrame, id: str, queries: DataFrame, k: int, names: pa.Array, score_rows) -> DataFrame:
+    """``query_id, id, score``: each task's best of ``score_rows``, which gives (query, row, score) arrays of a batch."""
+
+    def run(batches):
+        best = _Best(k)
+        for batch in batches:
+            for query, row, score in score_rows(batch):
+                best.add(query, score, batch.column(id).take(pa.array(row)))
+        if (found := best.merge()) is not None:
+            query, score, ids = found
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids, pa.array(score)], names=["query_id", id, "score"])
+
+    schema = StructType([queries.schema["query_id"], rows.schema[id], StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _no_hits(rows: DataFrame, id: str, queries: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame([], StructType([queries.schema["query_id"], rows.schema[id], StructField("score", DoubleType())]))
+
+
+def _largest(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each column's k largest values, and of what comes within rounding of them."""
+    if len(score) > k:
+        least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
+        return np.nonzero(score >= least - SLACK)
+    return np.nonzero(np.ones(score.shape, bool))
 
 
-def bm25(index: DataFrame, passages: DataFrame, queries: DataFrame, k: int, id: str = "id", scope: DataFrame | None = None, text: str = "text") -> DataFrame:
+def _scoped(rows: DataFrame, scope: DataFrame | Column | None, id: str) -> DataFrame:
+    """The rows that meet a condition, or whose ids a table holds."""
+    if scope is None:
+        return rows
+    return rows.where(scope) if isinstance(scope, Column) else rows.join(scope.select(id).distinct(), id, "left_semi")
+
+
+def bm25(index: DataFrame, queries: DataFrame, k: int, id: str = "id", scope: DataFrame | Column | None = None) -> DataFrame:
     """``query_id, id, score, rank``: the k best passages of each query by BM25 over OR'ed terms.
 
-    A term that a query repeats counts as often. Corpus statistics cover all of ``passages``; ``scope``
-    (ids) only filters what is returned. Nothing but the postings of the queries' terms is joined.
+    A term that a query repeats counts as often; null texts have no terms. Corpus statistics cover all of ``index`` (as of
+    ``postings``); ``scope`` (ids, or a condition on the index) only filters what is returned. No queries, or none with a known term: no rows.
     """
-    stats = passages.select(F.size(index_terms(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = _scoped(index, scope, id)
+    n, avgdl = index.agg(F.count("*"), F.avg(F.greatest("dl", F.lit(0)))).first()  # two numbers
     terms = queries.select("query_id", F.explode(query_terms(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    df = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = stats.first()  # two numbers
+    df = index.select(F.explode(F.array_distinct("terms")).alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").select("query_id", "term", "qtf", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    length = F.lit(1 - B) + B * F.col("dl") / F.lit(float(avgdl or 1))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    hits = index.join(weights, "term")
-    if scope is not None:
-        hits = hits.join(scope, id, "left_semi")
-    scored = hits.groupBy("query_id", id).agg(F.sum(part).alias("score"))
-    return top_k(scored, k, F.round(F.col("score"), 9).desc(), F.col(id))
+    weights = terms.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(1e-6)).alias("w"))).alias("terms"))
+    found = None
+    for block in _blocks(weights, "query_id", "query_id", "terms"):
+        hits = _task_hits(rows.select(id, "dl", "terms"), id, queries, k, block["query_id"].combine_chunks(), _bm25_rows(block, float(avgdl or 1), k)) if block.num_rows and k > 0 else _no_hits(rows, id, queries)
+        found = hits if found is None else found.unionByName(hits)
+    found = _no_hits(rows, id, queries) if found is None else found
+    return top_k(found, k, F.round(F.col("score"), 9).desc(), F.col(id))
+
+
+def _bm25_rows(block: pa.Table, avgdl: float, k: int):
+    """Scores passages against a block of queries.
+
+    Each term of a passage meets the queries that ask for it; terms that many queries ask for are a matrix product instead.
+    """
+    lists = block["terms"].combine_chunks()
+    flat, query = lists.flatten(), np.repeat(np.arange(block.num_rows), np.diff(np.asarray(lists.offsets)))
+    words = pc.unique(flat.field("term"))
+    of, weight = pc.index_in(flat.field("term"), words).to_numpy(), flat.field("w").to_numpy()
+    asked = np.bincount(of, minlength=len(words))
+    hot = asked > max(8, block.num_rows // 8)
+    dense = np.zeros((int(hot.sum()), block.num_rows))
+    dense[(np.cumsum(hot) - 1)[of[hot[of]]], query[hot[of]]] = weight[hot[of]]
+    order = np.flatnonzero(~hot[of])[np.argsort(of[~hot[of]], kind="stable")]
+    query, weight = query[order], weight[order]
+    count = np.where(hot, 0, asked)
+    first = np.cumsum(count) - count
+
+    def scores(doc, word, part, rows):
+        here = hot[word]
+        tf = np.zeros((rows, len(dense)))
+        tf[doc[here], (np.cumsum(hot) - 1)[word[here]]] = part[here]
+        n = count[word]
+        at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(doc, n) * block.num_rows + query[at]
+        return tf @ dense + np.bincount(cell, np.repeat(part, n) * weight[at], rows * block.num_rows).reshape(rows, block.num_rows)
+
+    def rows(batch):
+        terms = batch.column("terms")
+        size = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+        word = pc.index_in(terms.flatten(), words)
+        doc = np.repeat(np.arange(batch.num_rows), size)[np.asarray(word.is_valid())]
+        pair, tf = np.unique(doc * len(words) + word.drop_null().to_numpy(), return_counts=True)
+        doc, word = np.divmod(pair, len(words))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / avgdl))
+        # some rows at a time: bounded scores, and bounded meetings of terms and queries
+        work = np.cumsum(np.bincount(doc, count[word], batch.num_rows)) // CELLS + np.arange(batch.num_rows) // max(1, CELLS // block.num_rows)
+        edges = [0, *(np.flatnonzero(np.diff(work)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            lo, hi = np.searchsorted(doc, (a, b))
+            score = scores(doc[lo:hi] - a, word[lo:hi], part[lo:hi], b - a)
+            row, query = _largest(score, k)
+            some = score[row, query] > 0
+            yield query[some], a + row[some], score[row, query][some]
+
+    return rows
 
 
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -50,22 +183,51 @@ def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id", scope: DataFrame | None = None) -> DataFrame:
-    """``query_id, id, score, rank``: the k vectors of greatest cosine for each query, exactly.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id", scope: DataFrame | Column | None = None) -> DataFrame:
+    """``query_id, id, score, rank``: the k vectors of greatest cosine for each of ``query_id, vector``, exactly.
 
-    ``queries`` holds ``query_id, vector`` and is a stated, small set: in blocks of ``QUERY_BLOCK`` it is
-    put next to each row as an array, so that all vectors are read once a block and nothing is joined.
-    A block's best k of each partition are kept before any shuffle.
+    A null, zero or non-finite vector has cosine 0 with all; vectors of another length than a query's are not compared with it.
     """
-    base = vectors if scope is None else vectors.join(scope, id, "left_semi")
-    asked = queries.select("query_id", "vector").collect()
+    base = _scoped(vectors, scope, id)
     found = None
-    for i in range(0, len(asked), QUERY_BLOCK):
-        block = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.vector]).alias("vector")) for r in asked[i : i + QUERY_BLOCK]])
-        pairs = base.select(id, F.col("embedding"), F.explode(block).alias("q")).select("q.query_id", id, cosine(F.col("embedding"), F.col("q.vector")).alias("score"))
-        hits = top_k(pairs, k, F.round(F.col("score"), 9).desc(), F.col(id))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    for block in _blocks(queries, "query_id", "query_id", "vector"):
+        lists = block["vector"].combine_chunks()
+        for n in pc.unique(pc.fill_null(pc.list_value_length(lists), 0)).to_pylist():
+            own = pc.equal(pc.fill_null(pc.list_value_length(lists), 0), n)
+            hits = _task_hits(base.select(id, "embedding"), id, queries, k, block["query_id"].combine_chunks().filter(own), _cosine_rows(_unit(lists.filter(own), n), k)) if k > 0 else _no_hits(base, id, queries)
+            found = hits if found is None else found.unionByName(hits)
+    found = _no_hits(base, id, queries) if found is None else found
+    return top_k(found, k, F.round(F.col("score"), 9).desc(), F.col(id))
+
+
+def _unit(lists: pa.Array, n: int) -> np.ndarray:
+    """Rows of length 1 in double precision; null, zero and non-finite ones become zero."""
+    out = np.zeros((len(lists), n))
+    given = np.asarray(lists.is_valid())
+    if n and given.any():
+        out[given] = lists.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        out[~np.isfinite(out).all(1)] = 0
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
+        out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+    return out
+
+
+def _cosine_rows(asked: np.ndarray, k: int):
+    """Scores vectors against a block of queries: one matrix product for some rows at a time."""
+    n = asked.shape[1]
+    step = max(1, CELLS // max(1, len(asked)))
+
+    def rows(batch):
+        for a in range(0, batch.num_rows, step):
+            lists = batch.column("embedding").slice(a, step)
+            size = pc.fill_null(pc.list_value_length(lists), n)
+            at = np.flatnonzero(np.asarray(pc.equal(size, n)))
+            if len(at):
+                score = _unit(lists.take(pa.array(at)), n) @ asked.T
+                row, query = _largest(score, k)
+                yield query, a + at[row], score[row, query]
+
+    return rows
 
 
 def rrf(legs: dict[str, DataFrame], k: int = RRF_K, weights: dict[str, float] | None = RRF_WEIGHTS, id: str = "id") -> DataFrame:

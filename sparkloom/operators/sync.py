@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..storage import kept
 
 FULL_REINDEX_FILES, CONSOLIDATE_FILES, MAX_FILE_KB = 500, 5, 1024
 
@@ -84,6 +85,15 @@ def upsert(store: DataFrame, batch: DataFrame, keys: list[str], seq: str = "seq"
     return kept.unionByName(fresh.select(*store.columns))
 
 
+def numbered(rows: DataFrame, column: str = "seq") -> DataFrame:
+    """Rows with numbers from 1 without gaps, in their order; no task numbers all."""
+    parts = kept(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = parts.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    number = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
+    return parts.withColumn("__n", number).join(F.broadcast(base), "__part").withColumn(column, F.col("__base") + F.col("__n")).drop("__part", "__at", "__base", "__n")
+
+
 def checked_dimension(vectors: DataFrame, dimension: int | None, column: str = "embedding") -> tuple[DataFrame, int | None]:
     """Vectors whose dimension is the store's, or, for an empty store, that of the first; others raise."""
     if dimension is None:
@@ -187,3 +197,30 @@ def capped_paths(paths: DataFrame, by: list[str], most: int = 50) -> DataFrame:
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: F.concat(F.lit("- "), x["path"])), "\n")
     more = F.max("total") - most
     return top.groupBy(*by).agg(F.concat(lines, F.when(more > 0, F.concat(F.lit("\n…and "), more.cast("string"), F.lit(" more"))).otherwise("")).alias("lines"))
+
+
+def status(agents: DataFrame, passages: DataFrame, blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """``agent_id, name, passages, blocks, last_bootstrap, last_sync_commit, last_sync_at, last_consolidated_at, report`` of each agent.
+
+    ``blocks`` maps labels to their characters; what never happened is null, and "never" in the report.
+    """
+    counts = passages.groupBy("agent_id").agg(F.count("*").alias("passages"))
+    sizes = blocks.groupBy("agent_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.length("value").alias("chars"))))).alias("blocks"))
+    times = ["last_bootstrap", "last_sync_commit", "last_sync_at", "last_consolidated_at"]
+    out = agents.select("agent_id", "name").join(counts, "agent_id", "left").join(sizes, "agent_id", "left").join(state.select("agent_id", *times), "agent_id", "left").withColumn("passages", F.coalesce("passages", F.lit(0)))
+    memory = F.transform(F.map_entries("blocks"), lambda e: F.concat(F.lit("    "), e["key"], F.lit(": "), e["value"].cast("string"), F.lit(" chars")))
+    never = [F.concat(F.lit("  " + t.replace("_", " ").replace(" commit", "") + ": "), F.coalesce(F.col(t), F.lit("never"))) for t in times]
+    head = [F.concat("name", F.lit(":")), F.concat(F.lit("  agent: "), "agent_id"), F.concat(F.lit("  passages: "), F.col("passages").cast("string"))]
+    return out.withColumn("report", F.concat_ws("\n", *head, F.when(F.size("blocks") > 0, F.concat_ws("\n", F.lit("  memory blocks:"), F.array_join(memory, "\n"))), *never))
+
+
+def sync_line(repo: Column, before: Column, now: Column, files: Column, ms: Column) -> Column:
+    """The log line of a sync."""
+    start = F.coalesce(F.left(before, F.lit(7)), F.lit("initial"))
+    return F.concat(F.lit("["), repo, F.lit("] synced "), start, F.lit(".."), F.left(now, F.lit(7)), F.lit(" ("), files.cast("string"), F.lit(" files, "), F.format_string("%.1f", ms / 1000), F.lit("s)"))
+
+
+def doctor(checks: DataFrame, strict: bool = False) -> DataFrame:
+    """``issues, exit_code`` of ``status`` (pass, warn, fail): 1 with a failure, or, if strict, a warning."""
+    bad = F.col("status").isin("fail", "warn") if strict else F.col("status") == "fail"
+    return checks.agg(F.count_if(F.col("status") != "pass").alias("issues"), F.coalesce(F.max(bad.cast("int")), F.lit(0)).alias("exit_code"))

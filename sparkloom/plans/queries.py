@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..operators import chunking, evaluate, graph, lines, search, sync
+from ..storage import kept
 from ..streaming import watch
 
 QUERIES: dict = {}
@@ -207,7 +208,7 @@ def gaps(spark, sf_dir):
 
 # --- search --------------------------------------------------------------------------------------------
 
-_TOK = "regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)"
+_TOK = "regexp_extract_all(strip_accents(lower(text)), '([\\p{{L}}\\p{{N}}_]+)', 1)"
 _BM25 = f"""d as (select id, text, {_TOK} as t from {{passages}} p), st as (select count(*)::double as n, avg(len(t)) as a from d),
 post as (select id, term, dl, count(*) as tf from (select id, len(t) as dl, unnest(t) as term from d) x group by all),
 qt as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest(regexp_extract_all(lower(text), '(\\w+)', 1)) as term from benchmark) x group by all),
@@ -222,13 +223,18 @@ fu as (select query_id, id, score, row_number() over (partition by query_id orde
 _DOCS = "(select doc_id as id, text from documents)"
 
 
+def _vectors(spark, sf_dir, items):
+    """All vectors, and those that stand for the queries."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors, items.select("query_id").join(vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+
 def _legs(spark, sf_dir, limit, source=None):
     k = search.candidates(limit)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = items.select("query_id").join(vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    vectors, asked = _vectors(spark, sf_dir, items)
     docs = source if source is not None else table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.vector_top_k(vectors, asked, k), search.bm25(search.postings(docs), docs, items, k)
+    return search.vector_top_k(vectors, asked, k), search.bm25(kept(search.postings(docs), "postings"), items, k)
 
 
 def _ranked(df):
@@ -237,12 +243,14 @@ def _ranked(df):
 
 @query("with " + _VEC.format(k=15) + " select query_id, id, round(score, 6) as score, rank from vec")
 def vector_topk(spark, sf_dir):
-    return _ranked(_legs(spark, sf_dir, 5)[0])
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return _ranked(search.vector_top_k(*_vectors(spark, sf_dir, items), search.candidates(5)))
 
 
 @query("with " + _BM25.format(passages=_DOCS, k=15) + " select query_id, id, round(score, 6) as score, rank from lex")
 def bm25_topk(spark, sf_dir):
-    return _ranked(_legs(spark, sf_dir, 5)[1])
+    docs, items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark")
+    return _ranked(search.bm25(kept(search.postings(docs), "postings"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), search.candidates(5)))
 
 
 @query("with " + ", ".join([_BM25.format(passages=_DOCS, k=15), _VEC.format(k=15), _RRF]) + " select query_id, id, round(score, 6) as score, rank from fu")
@@ -550,55 +558,114 @@ _SOURCES = [
 
 
 def fixture(spark):
-    """``path, content`` of a few source files in three languages."""
+    """``path, content`` of a few source files in three languages, for tests."""
     return spark.createDataFrame(_SOURCES, "path string, content string")
 
 
-def _fixture_graph(spark):
+# suppliers, customers and nations as source files: a supplier is a Python module and a customer a TypeScript one; both use
+# their nation's module
+_CODE_SQL = """code as (select 'svc/s' || s_suppkey || '.py' as path, 'svc/n' || s_nationkey || '.py' as uses, 'from .n' || s_nationkey || ' import load' || chr(10) || chr(10) || chr(10) || 'def run():' || chr(10) || '    load()' || chr(10) as content from supplier
+union all select 'src/c' || c_custkey || '.ts', 'src/n' || c_nationkey || '.ts', 'import { load as l } from "./n' || c_nationkey || '";' || chr(10) || 'export function run() { l(); own(); }' || chr(10) || 'function own() {}' || chr(10) from customer
+union all select 'svc/n' || n_nationkey || '.py', null, 'def load():' || chr(10) || '    pass' || chr(10) from nation
+union all select 'src/n' || n_nationkey || '.ts', null, 'export function load() {}' || chr(10) from nation)"""
+_LINKS_SQL = """links as (select 'file:' || path as src, 'def:' || uses || '#load@1' as dst, kind from code, (values ('import'), ('call')) k(kind) where uses is not null
+union all select 'file:' || path, 'def:' || path || '#own@3', 'call' from code where ends_with(path, '.ts') and uses is not null)"""
+_DEFS_SQL = """defs as (select path, 'FUNCTION' as kind, case when uses is null then 'load' else 'run' end as qualified, case when uses is null then 1 when ends_with(path, '.py') then 4 else 2 end as line from code
+union all select path, 'FUNCTION', 'own', 3 from code where ends_with(path, '.ts') and uses is not null)"""
+_SYMBOL_STEPS = 8
+
+
+def code(spark, sf_dir):
+    """``path, content`` of suppliers, customers and nations as source files."""
+    key = lambda c: F.col(c).cast("string")
+    supplier = table(spark, sf_dir, "supplier").select(F.concat(F.lit("svc/s"), key("s_suppkey"), F.lit(".py")).alias("path"), F.concat(F.lit("from .n"), key("s_nationkey"), F.lit(" import load\n\n\ndef run():\n    load()\n")).alias("content"))
+    text = F.concat(F.lit('import { load as l } from "./n'), key("c_nationkey"), F.lit('";\nexport function run() { l(); own(); }\nfunction own() {}\n'))
+    customer = table(spark, sf_dir, "customer").select(F.concat(F.lit("src/c"), key("c_custkey"), F.lit(".ts")).alias("path"), text.alias("content"))
+    nation = table(spark, sf_dir, "nation")
+    modules = [nation.select(F.concat(F.lit(f"{folder}/n"), key("n_nationkey"), F.lit(end)).alias("path"), F.lit(body).alias("content")) for folder, end, body in (("svc", ".py", "def load():\n    pass\n"), ("src", ".ts", "export function load() {}\n"))]
+    return supplier.union(customer).union(modules[0]).union(modules[1])
+
+
+def _graph(spark, sf_dir):
     from ..operators import symbols
 
-    sources = fixture(spark)
-    aliases = spark.createDataFrame([(0, "@app/*", "src/*")], "ord int, pattern string, target string")
-    return symbols.definitions(sources), symbols.references(sources), sources, aliases
+    sources = code(spark, sf_dir)
+    aliases = spark.createDataFrame([], "ord int, pattern string, target string")
+    return kept(symbols.definitions(sources), "definitions"), kept(symbols.references(sources), "references"), sources, aliases
 
 
-@query(
-    """select * from (values ('src/a.ts', './lib/b', 'src/lib/b.ts'), ('src/a.ts', '@app/c', 'src/c/index.ts'), ('src/a.ts', './d', 'src/d.js'), ('svc/main.py', '.util', 'svc/util.py')) w(path, module, target)"""
-)
+@query(f"with {_CODE_SQL} select path, case when ends_with(path, '.py') then '.' || regexp_extract(uses, '(n[0-9]+)', 1) else './' || regexp_extract(uses, '(n[0-9]+)', 1) end as module, uses as target from code where uses is not null")
 def module_resolution(spark, sf_dir):
-    _, refs, sources, aliases = _fixture_graph(spark)
+    _, refs, sources, aliases = _graph(spark, sf_dir)
     return graph.resolved_modules(refs.where("kind = 'import'"), sources, aliases)
 
 
-@query(
-    """select * from (values ('file:src/a.ts', 'def:src/lib/b.ts#helper@1', 'import'), ('file:src/a.ts', 'def:src/c/index.ts#deep@1', 'import'), ('file:src/a.ts', 'def:src/d.js#Thing@1', 'import'), ('file:svc/main.py', 'def:svc/util.py#load@1', 'import'),
-('file:src/a.ts', 'def:src/lib/b.ts#helper@1', 'call'), ('file:src/a.ts', 'def:src/c/index.ts#deep@1', 'call'), ('file:src/a.ts', 'def:src/d.js#Thing@1', 'call'), ('file:src/a.ts', 'def:src/a.ts#local@5', 'call'),
-('file:src/lib/b.ts', 'def:src/lib/b.ts#other@2', 'call'), ('file:src/d.js', 'def:src/d.js#Thing.stop@3', 'call'), ('file:svc/main.py', 'def:svc/util.py#load@1', 'call'), ('file:svc/main.py', 'def:svc/util.py#save@5', 'call'), ('file:svc/util.py', 'def:svc/util.py#load@1', 'call')) v(src, dst, kind)"""
-)
+@query(f"with {_CODE_SQL}, {_LINKS_SQL} select src, dst, kind from links")
 def symbol_edges(spark, sf_dir):
-    return graph.symbol_edges(*_fixture_graph(spark))
+    return graph.symbol_edges(*_graph(spark, sf_dir))
+
+
+def _symbol_rank_sql():
+    node = "node as (select 'file:' || path as id from code union all select 'def:' || path || '#' || qualified || '@' || line from defs)"
+    steps = [_CODE_SQL, _LINKS_SQL, _DEFS_SQL, node, "edge as (select src, dst from links)", "deg as (select src, count(*)::double as d from edge group by src)", "n as (select count(*)::double as n from node)", "r0 as (select id, 1.0 / n as rank from node, n)"]
+    for i in range(1, _SYMBOL_STEPS + 1):
+        p = f"r{i - 1}"
+        steps.append(
+            f"g{i} as (select dst as id, sum(rank / d) as got from edge join {p} on {p}.id = src join deg using (src) group by dst), x{i} as (select coalesce(sum(rank), 0) as dang from {p} where id not in (select src from edge)), "
+            f"r{i} as (select {p}.id, 0.15 / n + 0.85 * dang / n + 0.85 * coalesce(got, 0) as rank from {p} left join g{i} using (id), x{i}, n)"
+        )
+    last = f"select path, qualified, kind, line, rank * 1000 as rank from defs join r{_SYMBOL_STEPS} on id = 'def:' || path || '#' || qualified || '@' || line"
+    return f"with {', '.join(steps)}, o as ({last}) select path, qualified, kind, line, round(rank, 6) as rank, row_number() over (order by round(rank, 6) desc, path, line) as place from o"
 
 
-@query()
+@query(_symbol_rank_sql())
 def ranked_symbols(spark, sf_dir):
-    defs, refs, sources, aliases = _fixture_graph(spark)
-    ranks = graph.page_rank(graph.symbol_nodes(defs, sources), graph.symbol_edges(defs, refs, sources, aliases))
-    return graph.ranked_symbols(defs, ranks).select("path", "qualified", "kind", "line", F.round("rank", 6).alias("rank"))
+    defs, refs, sources, aliases = _graph(spark, sf_dir)
+    ranks = graph.page_rank(graph.symbol_nodes(defs, sources), graph.symbol_edges(defs, refs, sources, aliases), iterations=_SYMBOL_STEPS, tolerance=0.0)
+    ranks = ranks.withColumn("rank", F.round(F.col("rank") * 1000, 6))
+    return graph.ranked_symbols(defs, ranks).select("path", "qualified", "kind", "line", "rank", "place")
 
 
-@query()
+@query(
+    f"""with {_CODE_SQL}, l as (select path, uses, string_split(content, chr(10)) as l, ends_with(path, '.py') as py from code),
+part as (select path, 0 as chunk_no, 'FILE: ' || path as header, l[1] as body from l where uses is not null
+union all select path, 1, 'FILE: ' || path || ' | FUNCTION: run', case when py then l[4] || chr(10) || l[5] else l[2] end from l where uses is not null
+union all select path, 2, 'FILE: ' || path || ' | FUNCTION: own', l[3] from l where uses is not null and not py
+union all select path, 0, 'FILE: ' || path || ' | FUNCTION: load', case when py then l[1] || chr(10) || l[2] else l[1] end from l where uses is null)
+select path as source_path, chunk_no, header || chr(10) || chr(10) || body as text from part"""
+)
 def symbol_chunks(spark, sf_dir):
     from ..operators import symbols
 
-    return symbols.symbol_chunks(fixture(spark))
+    return symbols.symbol_chunks(code(spark, sf_dir))
 
 
 @query(
-    """select * from (values
-('src/a.ts', 'CONTEXT | imports: all, b, c, d, def, helper | exports: run'), ('src/lib/b.ts', 'CONTEXT | exports: helper, other'), ('src/c/index.ts', 'CONTEXT | exports: deep'), ('src/d.js', 'CONTEXT | exports: default'), ('svc/main.py', 'CONTEXT | imports: ., load, util')) w(path, context)"""
+    f"""with {_CODE_SQL} select path, 'CONTEXT | imports: ' || case when ends_with(path, '.py') then 'load' else 'load, ' || regexp_extract(uses, '(n[0-9]+)', 1) || ' | exports: run' end as context from code where uses is not null
+union all select path, 'CONTEXT | exports: load' from code where uses is null and ends_with(path, '.ts')"""
 )
 def file_contexts(spark, sf_dir):
-    return chunking.file_contexts(_fixture_graph(spark)[1])
+    return chunking.file_contexts(_graph(spark, sf_dir)[1])
+
+
+# the passages that a query should find: the document of its own number and the one after
+_LEG_GOLD = f"gold as (select item_id as query_id, case when item_id % 2 = 0 then 'even' else 'odd' end as kind, path from benchmark join {FILES_SQL} f on f.doc_id in (item_id, item_id + 1))"
+
+
+@query(
+    "with " + ", ".join([_BM25.format(passages=PASSAGES_SQL, k=30), _VEC.format(k=30), _RRF, _LEG_GOLD])
+    + f""", al2 as (select 'fused' as leg, query_id, id, rank from fu where rank <= 10 union all select 'vector', query_id, id, rank from vec where rank <= 10 union all select 'lexical', query_id, id, rank from lex where rank <= 10),
+hit as (select leg, query_id, rank, path from al2 join {FILES_SQL} f on f.doc_id = id), g as (select query_id, kind, count(*) as n from gold group by all), l as (select distinct leg from al2),
+m as (select leg, query_id, count(distinct case when rank <= 1 then path end) as h1, count(distinct case when rank <= 5 then path end) as h5, min(rank) as r from hit join gold using (query_id, path) group by all)
+select leg, query_id, kind, round(coalesce(h1, 0) / n, 6) as recall_1, round(coalesce(h5, 0) / n, 6) as recall_5, round(coalesce(1.0 / r, 0), 6) as rr from g cross join l left join m using (leg, query_id)"""
+)
+def leg_metrics(spark, sf_dir):
+    source = passages(spark, sf_dir)
+    vector, lexical = _legs(spark, sf_dir, 10, source)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.col("item_id"), F.col("item_id") + 1)).alias("doc_id"))
+    gold = items.join(files(spark, sf_dir), "doc_id").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"), "path")
+    out = evaluate.leg_metrics(vector, lexical, source, gold)
+    return out.select("leg", "query_id", "kind", *[F.round(c, 6).alias(c) for c in _METRICS])
 
 
 # --- streams in batch form -----------------------------------------------------------------------------

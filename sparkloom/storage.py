@@ -1,0 +1,32 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a fresh local folder for a local master, and else an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: work is done once and survives lost executors."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows of some dozen bytes each, broadcast while they are at most so many; else they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -172,3 +172,119 @@ def test_engine_round_trip(spark, tmp_path):
 def test_a_declared_method_is_no_call():
     _, refs = symbols.parse("d.js", "class T {\n  go() { return this.stop(); }\n  stop() {}\n}\n")
     assert [(r[3], r[4]) for r in refs if r[0] == "call"] == [("stop", "this")]
+
+
+def test_store_versions(spark, tmp_path):
+    from sparkloom.sources.store import Table
+
+    t = Table(spark, str(tmp_path / "t"), "a string, k string, n int", ["a", "k"])
+    assert t.read().count() == 0
+    put = lambda *r: t.put(spark.createDataFrame(list(r), "a string, k string, n int"))
+    put(("x", "1", 1), ("y", "1", 1))
+    put(("x", "1", 2), ("x", "2", 2))
+    assert rows(t.read()) == [("x", "1", 2), ("x", "2", 2), ("y", "1", 1)]
+    t.remove(spark.createDataFrame([("x", "2"), ("z", "9")], "a string, k string"))
+    put(("x", "2", 5))
+    assert rows(t.read(F.col("a") == "x")) == [("x", "1", 2), ("x", "2", 5)]
+    t.compact()
+    assert rows(t.read()) == [("x", "1", 2), ("x", "2", 5), ("y", "1", 1)]
+    # a write that ends before its pointer leaves the last version; the next write of that number replaces it
+    spark.createDataFrame([("y", "7", 7)], "a string, k string, n int").write.partitionBy("a").parquet(str(tmp_path / "t/rows/v=6"))
+    assert t.read().count() == 3
+    put(("y", "8", 8))
+    assert rows(t.read(F.col("a") == "y")) == [("y", "1", 1), ("y", "8", 8)]
+    with pytest.raises(Exception, match="(?i)exist"):  # two writers of one version
+        t._commit(None, spark.createDataFrame([("y", "8")], "a string, k string"), {"version": 5, "rows": [], "gone": []})
+
+
+def test_git_changes(spark, tmp_path):
+    import subprocess
+
+    from sparkloom.sources import git
+
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@x", *args], check=True, capture_output=True)
+
+    run("init")
+    (tmp_path / "a.py").write_text("1")
+    run("add", ".")
+    run("commit", "-m", "first one")
+    start = git.head(str(tmp_path))
+    (tmp_path / "é.py").write_text("2")
+    (tmp_path / "b.md").write_text("2")
+    run("add", ".")
+    run("commit", "-m", "second")
+    repo = str(tmp_path)
+    assert rows(git.diff(spark, repo, start)) == [("b.md",), ("é.py",)] and git.diff(spark, repo, "nothing") is None
+    assert git.diff(spark, repo, git.head(repo)).count() == 0 and git.exists(repo, start) and not git.exists(repo, "0" * 40) and git.head("/") is None
+    assert rows(git.log(spark, repo, most=1).where("status is not null"), "subject", "status", "path") == [("second", "A", "b.md"), ("second", "A", "é.py")]
+    assert git.log(spark, repo, start=start).select("commit").distinct().count() == 1 and git.log(spark, "/").count() == 0
+    python = lambda p: p.endswith(".py")
+    assert rows(git.changes(spark, repo, start, python)) == [("é.py",)]
+    events = spark.createDataFrame([("a.py",), ("a.py",), ("b.md",)], "path string")
+    assert rows(git.changes(spark, repo, start, python, events=events)) == [("a.py",)]
+    assert git.changes(spark, repo, None, python, files=events).count() == 3
+    with pytest.raises(git.OrphanedCheckpoint):
+        git.changes(spark, repo, "0" * 40, python)
+
+
+def test_engine_reports(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"), chunk=lambda files: files.select(F.col("path").alias("source_path"), F.lit(0).alias("chunk_no"), F.concat(F.lit("FILE: "), "path", F.lit("\n\n"), "content").alias("text")))
+    engine.create_agent("a", "A")
+    engine.create_agent("b", "B")
+    code = spark.createDataFrame([("x.py", "def go():\n    stop()\n\n\ndef stop():\n    pass\n", 1.0), ("y.py", "größe = 1", 1.0)], "path string, content string, size_kb double")
+    engine.index("a", code)
+    engine.memory_replace("a", "architecture", "12345")
+    with pytest.raises(ValueError):
+        engine.memory_replace("a", "persona", "no")
+    engine.save_state("a", last_sync_commit="abc")
+    engine.save_state("a", last_sync_at="now")
+    got = engine.status("a").first()
+    assert (got.passages, got.blocks, got.last_sync_commit, got.last_sync_at, got.last_bootstrap) == (2, {"architecture": 5}, "abc", "now", None)
+    assert got.report == "A:\n  agent: a\n  passages: 2\n  memory blocks:\n    architecture: 5 chars\n  last bootstrap: never\n  last sync: abc\n  last sync at: now\n  last consolidated at: never"
+    assert rows(engine.stats(), "agent_id", "passages", "files", "blocks") == [("a", 2, 2, 1), ("b", 0, 0, 0)]
+    assert rows(engine.check(spark.createDataFrame([("a",), ("c",)], "repo string"))) == [("b", "state without configuration"), ("b", "state without store"), ("c", "configuration without state")]
+    engine.export(str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().markdown.startswith("## architecture")
+    assert engine.read_file(code, "x.py", 2, 2).first().content == "    stop()" and rows(engine.glob(code, [".py"], "*.py")) == [("x.py", False), ("y.py", False)]
+    assert [r.line for r in engine.find_symbol(code, "stop").collect()] == [5]
+    asked = spark.createDataFrame([(1, "grosse"), (2, "größe")], "query_id int, query string")
+    assert {r.query_id for r in engine.search_legs("a", asked).where("leg = 'lexical'").collect()} == set()
+    asked = spark.createDataFrame([(1, "große x")], "query_id int, query string").limit(0)
+    assert engine.search("a", asked).count() == 0
+    engine.compact()
+    assert engine.passages.count() == 2
+    events = tmp_path / "events"
+    spark.createDataFrame([("a", "y.py"), ("b", "y.py")], "repo string, path string").write.json(str(events))
+    stream = spark.readStream.schema("repo string, path string").json(str(events))
+    engine.stream("a", stream, lambda: code.where("path = 'x.py'"), str(tmp_path / "cp"), once=True).awaitTermination()
+    assert rows(engine.passages, "file_path") == [("x.py",)]
+    assert engine.has_agent("a") and not engine.has_agent("z")
+
+
+def test_reports_for_readers(spark):
+    from sparkloom.functions import text
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(text.audit_line(F.lit(2), F.lit("FILE: a.ts | FUNCTION: f\n\nbody  here"), F.lit(0.5))) == "  2. a.ts score=0.500\n     body here"
+    assert one(text.audit_line(F.lit(1), F.lit("no header"), F.lit(None))) == "  1. (unknown file)\n     no header"
+    splice = lambda t: one(text.spliced(F.lit(t), F.lit("<s>new<e>"), "<s>", "<e>"))
+    assert [splice(t) for t in (None, "a\n\n", "a <s>old<e> b", "a\n<s>old")] == ["<s>new<e>\n", "a\n\n<s>new<e>\n", "a <s>new<e> b", "a\n\n<s>new<e>\n"]
+    drop = lambda t: one(text.without_splice(F.lit(t), "<s>", "<e>"))
+    assert [drop(t) for t in ("a", "a\n\n<s>x<e>\nb", "<s>x<e>\nb", "a\n<s>x<e>\n")] == ["a", "a\n\nb", "b", "a\n"]
+    assert one(sync.sync_line(F.lit("r"), F.lit(None).cast("string"), F.lit("0123456789"), F.lit(3), F.lit(1250))) in ("[r] synced initial..0123456 (3 files, 1.3s)", "[r] synced initial..0123456 (3 files, 1.2s)")
+    checks = spark.createDataFrame([("pass",), ("warn",)], "status string")
+    assert tuple(sync.doctor(checks).first()) == (1, 0) and tuple(sync.doctor(checks, strict=True).first()) == (1, 1)
+    hits = spark.createDataFrame([("a", 1, "xx"), ("a", 2, "yy"), ("b", 1, "z")], "path string, line int, text string")
+    assert [(r.path, r.line, r.truncated) for r in lines.within_chars(hits, 13).collect()] == [("a", 1, True), ("a", 2, True)]
+    assert lines.within_chars(hits).where("truncated").count() == 0 and lines.within_chars(hits).count() == 3
+    out = sync.numbered(spark.range(1000, numPartitions=7).select(F.col("id").alias("v"))).collect()
+    assert sorted(r.seq for r in out) == list(range(1, 1001)) and all(r.seq == r.v + 1 for r in out)
+
+
+def test_definitions_in_order(spark):
+    defs = symbols.definitions(queries.fixture(spark))
+    assert [r.name for r in graph.symbols_in_file(defs, "src/d.js").collect()] == ["Thing", "go", "stop"]
+    ranks = spark.createDataFrame([("def:svc/util.py#save@5", 0.5)], "id string, rank double")
+    got = [(r.path, r.line) for r in graph.ranked_symbols(defs, ranks).orderBy("place").collect()]
+    assert got[0] == ("svc/util.py", 5) and got[1:] == sorted(got[1:]) and len(got) == defs.count()

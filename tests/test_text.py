@@ -129,7 +129,7 @@ def test_bm25_equals_full_text_search(spark):
         terms = q.split()
         want = {r[0]: -r[1] for r in db.execute("select rowid, bm25(t) from t where t match ?", (" OR ".join(f'"{x}"' for x in terms),))}
         queries = spark.createDataFrame([(1, q)], "query_id int, query string")
-        got = {r.id: r.score for r in search.bm25(search.postings(docs), docs, queries, 10).collect()}
+        got = {r.id: r.score for r in search.bm25(search.postings(docs), queries, 10).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
