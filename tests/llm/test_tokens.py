@@ -22,7 +22,8 @@ def plain(texts):
 def test_word_encoder_equals_the_tokenizer():
     random.seed(4)
     letters = "abcXYZéÉßüÜñÑìİıſKΣςσ.,'s're|<>!?-_0123 \n\t\x0b\x1c\x85\xa0　́ﬁªºµ中文ไทย"
-    encoder = T.WordEncoder(PATH, 2)
+    encoder = T.encoder(PATH, 2)
+    assert isinstance(encoder, T.WordEncoder)
     for _ in range(60):
         texts = ["".join(random.choice(letters) for _ in range(random.randrange(60))) for _ in range(30)] + ["a<|endoftext|>. b", "<|ENDOFTEXT|>", "it's.x ,. a., 3., é. É,"]
         ids, sizes = (np.concatenate(x) for x in zip(*((o[1], o[2]) for o in encoder.encode(pa.array(texts))), strict=True))
@@ -37,7 +38,7 @@ def test_re_pair_round_trip_and_random_access():
     blob = T.write_shard([None, *range(1, len(parts))], ids, sizes, 49_408)
     s = T.Shard(blob)
     assert len(s.rules) > 10 and len(s.symbols) < len(ids) / 3
-    assert (s.expand(s.symbols) == ids).all() and s.lengths.max() > 2
+    assert (s.expand(s.symbols) == ids).all() and (s.all() == ids).all() and s.lengths.max() > 2
     for i in (0, 1, 500, len(parts) - 1):
         assert s.doc(i).tolist() == list(parts[i])
     for _ in range(30):
@@ -59,3 +60,24 @@ def test_store_in_ascending_order(spark):
         at += len(ids)
     assert {bytes(r.ids)[-4:] for r in T.read_documents(shards).collect()} == {np.array([2], "<u4").tobytes()}
     assert T.digests(T.token_store(docs(spark, []), PATH)).count() == 0
+
+
+def test_any_vocabulary_has_a_grammar():
+    random.seed(6)
+    phrase = [random.randrange(250_000) for _ in range(30)]
+    parts = [phrase[random.randrange(9) :][: random.randrange(20)] * random.randrange(5) + [2] for _ in range(3000)]
+    ids, sizes = np.concatenate(parts).astype(np.uint32), np.array([len(p) for p in parts])
+    s = T.Shard(T.write_shard(list(range(len(parts))), ids, sizes, 250_000))
+    assert len(s.rules) > 10 and len(s.symbols) < len(ids) / 3 and (s.all() == ids).all()
+    assert s.doc(77).tolist() == list(parts[77]) and s.between(5, len(ids) - 5).tolist() == ids[5:-5].tolist()
+
+
+def test_other_tokenizers_run_all_their_steps(spark):
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    assert isinstance(T.encoder(path, 2), T.TextEncoder)
+    rows = [(1, "Hello  World\n"), (2, None), (3, "Éa 中文"), (4, "")]
+    found = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in T.read_documents(T.token_store(docs(spark, rows), path)).collect()}
+    want = Tokenizer.from_file(path).encode_batch([t or "" for _, t in rows], add_special_tokens=False)
+    assert found == {r[0]: [*e.ids, 2] for r, e in zip(rows, want, strict=True)}
