@@ -8,7 +8,8 @@ target, and no document is taken more often than ``most`` times.
 
 No source is ever sorted in one task: documents are counted into ``bins`` of their keys, a running sum
 over a source's bins (a bounded table) finds the bin where the budget ends, and only that bin is
-counted into bins again, until it is small enough to be sorted.
+counted into bins again, until it has at most ``sort_rows`` rows and is sorted. Only rows of equal keys (repeated rows) cannot
+be parted and are sorted together.
 
 Targets share ``total`` times all sizes by the sources' weights; a target stops at ``most`` times its
 source's size and the excess is shared again by weight among the others, as long as any is above.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-MOST, BINS, SORT_ROWS = 3, 1024, 100_000
+MOST, BINS, SORT_ROWS = 3, 1024, 8192
 WORD = r"[^\x20\x09-\x0D]+"
 
 
