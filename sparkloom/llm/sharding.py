@@ -76,7 +76,7 @@ def tree(points: DataFrame, leaves: int, bins: int = BINS, tolerance: float = TO
         cuts = nodes.where("light > 0").select("a", "total", goal.alias("goal"), "axis", "low", "high", F.lit(0.0).alias("before"), F.lit(False).alias("done"))
         for step in range(rounds):
             cuts = stored(_narrowed(state.where(F.col("tier") == TIERS), cuts, bins, tolerance, few), f"cuts-{level}-{step}")
-            if not cuts.where("not done").limit(1).count():
+            if step and not cuts.where("not done").limit(1).count():  # one round is seldom enough
                 break
         cuts = nodes.join(few(cuts.select("a", F.col("high").alias("cut"))), "a", "left").select("a", "axis", "low", "high", "cut", "tiers")
         moved = state.join(few(cuts), "a", "left")

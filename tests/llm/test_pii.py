@@ -1,3 +1,4 @@
+import random
 import re
 
 from sparkloom.llm import pii
@@ -83,3 +84,50 @@ def test_more_entities_than_surrogates(spark):
     assert len(out) == len(made) == len(rows) and not made & {(r[0], r[3]) for r in rows}
     assert all(re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s) and all(int(o) < 256 for o in s.split(".")) for k, s in made if k == "ip")
     assert all(re.fullmatch(r"[a-z]+@[a-z]\.org", s) for k, s in made if k == "email")
+
+
+def test_names_agree_in_all_their_forms(spark):
+    rows = [
+        (1, "Mrs Anna Schmidt met Dr Anna Schmidt. Anna Schmidt and Mrs Schmidt spoke; SCHMIDT left, Anna stayed, Annas Buch."), (2, "Mr Bob Schmidt wrote to O'Brien. Dr. J. P. O'Brien-Meyer answered Bob."),
+        (3, "Anna Schmidt without a title anywhere here"), (4, "Mr Carl Weiß und Frau Eva Weiß. Weiß. Weißbier."), (4, "Mr Carl Weiß und Frau Eva Weiß. Weiß. Weißbier."),
+    ]
+    out = {r.doc_id: r for r in pii.replace(docs(spark, rows), "k").collect()}
+    first, last = re.match(r"Mrs (\w+) (\w+) met ", out[1].text).groups()
+    assert out[1].text == f"Mrs {first} {last} met Dr {first} {last}. {first} {last} and Mrs {last} spoke; {last.upper()} left, {first} stayed, Annas Buch."
+    assert not {first, last} & {"Anna", "Schmidt"} and first.endswith("a") and out[1].n_entities == 7
+    bob, again, brien, meyer, brian, bobby = re.fullmatch(r"Mr (\w+) (\w+) wrote to O'(\w+)\. Dr\. J\. P\. O'(\w+)-(\w+) answered (\w+)\.", out[2].text).groups()[0:2] + re.fullmatch(r"Mr \w+ \w+ wrote to O'(\w+)\. Dr\. J\. P\. O'(\w+)-(\w+) answered (\w+)\.", out[2].text).groups()
+    assert again == last and brien == meyer and bobby == bob and brian != brien and bob.endswith("n")
+    assert out[3].text == rows[2][1] and out[3].n_entities == 0
+    assert re.fullmatch(r"Mr \w+ (\w+) und Frau \w+ \1\. \1\. Weißbier\.", out[4].text)
+
+
+def test_accounts_and_addresses_keep_their_checks(spark):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00, GB29NWBK60161331926819; card 3782 822463 10005."), (2, "host fe80::1a2b:3 or 2001:0db8:85a3:0000:0000:8a2e:0370:7334, at 10:30:45 std::sort"), (3, "DE89370400440532013000")]
+    text = {r.doc_id: r.text for r in pii.replace(docs(spark, rows), "k").collect()}
+    one, two, card = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d), (GB\d\d[A-Z]{4}\d{14}); card (\d{4} \d{6} \d{5})\.", text[1]).groups()
+    mod = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
+    assert mod(one) == 1 == mod(two) and one != rows[0][1][5:32] and luhn(card.replace(" ", "")) and text[3] == one.replace(" ", "")
+    assert re.fullmatch(r"host [0-9a-f]{4}::[0-9a-f]{4}:\d or (?:[0-9a-f]{4}:){7}[0-9a-f]{4}, at 10:30:45 std::sort", text[2]) and "fe80::1a2b" not in text[2]
+
+
+def test_against_known_places(spark):
+    """Texts made of literal and personal parts: literals stay, and one mapping of whole values, with no value twice, explains the rest."""
+    random.seed(3)
+    names = ["Anna", "Bob", "Carla", "Dmitri", "Иван", "Мария", "Schmidt", "Jones", "Петров"]
+    makers = {
+        "email": lambda: random.choice("abcdef") + random.choice(["x", "yz"]) + f"@{random.choice(['ex', 'mail'])}.org", "ssn": lambda: f"{random.randrange(100, 999)}-{random.randrange(10, 99)}-{random.randrange(1000, 1099)}",
+        "ip": lambda: f"10.{random.randrange(9)}.{random.randrange(9)}.{random.randrange(9)}", "name": lambda: f"{random.choice(names)} {random.choice(names)}",
+    }
+    made, rows = {}, []
+    for i in range(150):
+        parts = [(k := random.choice(list(makers)), makers[k]()) for _ in range(random.randrange(6))]
+        made[i] = parts
+        rows.append((i, "\n".join(f"at {n}: {'Dr ' if k == 'name' else ''}{v} end" for n, (k, v) in enumerate(parts))))
+    of = {}
+    for r in pii.replace(docs(spark, rows), "k").collect():
+        found = re.findall(r"^at (\d+): (?:Dr )?(.*) end$", r.text, re.M)
+        assert len(found) == len(made[r.doc_id]) == r.n_entities
+        for (k, v), (_, new) in zip(made[r.doc_id], found, strict=True):
+            for a, b in zip(v.split(" "), new.split(" "), strict=True):
+                assert of.setdefault((k, a.lower()), b.lower()) == b.lower()
+    assert len({(k, v) for (k, _), v in of.items()}) == len(of) and not {(k, v) for (k, _), v in of.items()} & set(of)
