@@ -69,3 +69,12 @@ def test_signature_estimates_probability_jaccard():
     doc = np.concatenate([np.zeros(40, int), np.ones(40, int)])
     sig = N.prob_min_hash(doc, np.concatenate([items[:40], items[20:]]), np.concatenate([a[:40], b[20:]]), 2, 4096)
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.04
+
+
+def test_a_repeated_block_does_not_hide_a_copy(spark):
+    rows = []
+    for i in range(40):
+        base = [f"r{i}_{k}" for k in range(120)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + base[60:] * 100))]
+    out = {r.doc_id: r.component_id for r in N.near_duplicates(docs(spark, rows)).collect()}
+    assert all(out[2 * i + 1] == 2 * i for i in range(40))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from sparkloom.llm import toxicity as T
@@ -49,3 +50,39 @@ def test_without_both_classes(spark):
 def test_features_are_whole_runs_of_a_text():
     made = next(T.grams(pa.array(["AB", None, "ab"]), sizes=(4,)))[2][0]
     assert made[0].tolist() == [0, 2] and made[1][0] == made[1][1]  # " ab " twice, nothing across texts
+
+
+def test_long_texts_in_pieces():
+    random.seed(2)
+    texts = pa.array(["".join(random.choice("abé中 \U0001f600") for _ in range(5000)), "short", None, "x" * 3000])
+
+    def found(size):
+        out = {}
+        for first, _, made in T.grams(texts, size_bytes=size):
+            for doc, h in made:
+                for d, x in zip(doc.tolist(), h.tolist(), strict=True):
+                    out.setdefault(first + d, set()).add(x)
+        return out
+
+    assert found(64) == found(1 << 20) == found(1)
+
+
+def test_fit_equals_plain_counts():
+    """Features, their ratios and the scores against a plain version."""
+    rows, labels = corpus()
+    toxic = np.array([bool(x) for _, x in labels])
+    model = T.fit(pa.array([t for _, t in rows]), toxic, np.ones(len(rows)), sizes=(4,), least_df=0.05)
+    sets = [{t[i : i + 4] for t in [f" {x} "] for i in range(len(t) - 3)} for _, x in rows]
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    count = {}
+    for s, y in zip(sets, toxic, strict=True):
+        for g in s:
+            count.setdefault(g, [0, 0])[int(y)] += 1
+    ratio = {g: np.log((b + 1) / (n1 + 2)) - np.log((a + 1) / (n0 + 2)) for g, (a, b) in count.items()}
+    want = {g for g, (a, b) in count.items() if (b >= max(2, 0.05 * n1) or a >= max(2, 0.05 * n0)) and abs(ratio[g]) >= T.LEAST_R}
+    name = lambda g: next(T.grams(pa.array([g[1:-1] if g[0] == g[-1] == " " else g]), sizes=(4,)))[2][0][1]
+    hashes = {g: int(name(g)[1 if g[0] != " " or g[-1] != " " else 0]) for g in want}
+    assert set(hashes.values()) == set(model.features.tolist())
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    plain = [1 / (1 + np.exp(-model.intercept - sum(weight[hashes[g]] for g in s & want))) for s in sets[:50]]
+    assert np.allclose(model.scores(pa.array([t for _, t in rows[:50]]), sizes=(4,)), plain)
