@@ -21,7 +21,7 @@ REF = "ref_id string, path string, kind string, module string, names array<struc
 _ID = r"[A-Za-z_$][\w$]*"
 # Declarations by language: (kind, pattern). A name is the group n, a method's owner the group o.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "js": [("FUNCTION", rf"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<n>{_ID})"), ("CLASS", rf"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<n>{_ID})"), ("INTERFACE", rf"^(?:export\s+)?interface\s+(?P<n>{_ID})"), ("TYPE", rf"^(?:export\s+)?type\s+(?P<n>{_ID})\s*[=<]"), ("ENUM", rf"^(?:export\s+)?(?:const\s+)?enum\s+(?P<n>{_ID})"), ("CONST", rf"^(?:export\s+)?(?:const|let|var)\s+(?P<n>{_ID})[^=\n]*=[^\n]*=>")],
+    "js": [("FUNCTION", rf"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<n>{_ID})"), ("CLASS", rf"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<n>{_ID})"), ("INTERFACE", rf"^(?:export\s+)?interface\s+(?P<n>{_ID})"), ("TYPE", rf"^(?:export\s+)?type\s+(?P<n>{_ID})\s*[=<]"), ("ENUM", rf"^(?:export\s+)?(?:const\s+)?enum\s+(?P<n>{_ID})"), ("CONST", rf"^(?:export\s+)?(?:const|let|var)\s+(?P<n>{_ID})[^=\n]*=(?:[^\n]*=>|\s*(?:async\s*)?\([^()]*\)[^;{{}}=\n]*=>)")],
     "go": [("METHOD", r"^func\s+\(\w*\s*\*?(?P<o>\w+)[^)]*\)\s+(?P<n>\w+)"), ("FUNCTION", r"^func\s+(?P<n>\w+)"), ("TYPE", r"^type\s+(?P<n>\w+)")],
     "java": [("CLASS", r"^(?:(?:public|abstract|final|sealed)\s+)*(?:class|record)\s+(?P<n>\w+)"), ("INTERFACE", r"^(?:(?:public|sealed)\s+)*interface\s+(?P<n>\w+)"), ("ENUM", r"^(?:public\s+)?enum\s+(?P<n>\w+)")],
     "csharp": [("CLASS", r"^\s*(?:(?:public|internal|abstract|sealed|static|partial)\s+)*(?:class|record|struct)\s+(?P<n>\w+)"), ("INTERFACE", r"^\s*(?:(?:public|internal)\s+)*interface\s+(?P<n>\w+)"), ("ENUM", r"^\s*(?:(?:public|internal)\s+)*enum\s+(?P<n>\w+)")],
@@ -35,9 +35,9 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
 # Languages by extension.
 LANGUAGES = {".py": "python", ".ts": "js", ".tsx": "js", ".js": "js", ".jsx": "js", ".mjs": "js", ".cjs": "js", ".mts": "js", ".cts": "js", ".go": "go", ".java": "java", ".rb": "ruby", ".rs": "rust", ".php": "php", ".c": "c", ".h": "c", ".cc": "c", ".cpp": "c", ".hpp": "c", ".cs": "csharp", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift"}
 _MEMBER = {
-    "js": rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<n>#?{_ID})\s*\([^;\n]*\)[^;\n]*\{{",
-    "java": r"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\([^;\n]*\)[^;\n]*\{",
-    "csharp": r"^[ \t]+(?:(?:public|private|protected|internal|static|override|virtual|async)\s+)+[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\([^;\n]*\)",
+    "js": rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<n>#?{_ID})\s*(?:<[^>\n]*>)?\((?:[^;\n]*\)[^;\n]*|[^;{{}}]*\)[^;\n{{}}]*)\{{",
+    "java": r"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\((?:[^;\n]*\)[^;\n]*|[^;{}]*\)[^;\n{}]*)\{",
+    "csharp": r"^[ \t]+(?:(?:public|private|protected|internal|static|override|virtual|async)\s+)+[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\([^;{}]*\)",
     "ruby": r"^[ \t]+def\s+(?:self\.)?(?P<n>\w+[?!=]?)",
     "rust": r"^[ \t]+(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(?P<n>\w+)",
     "php": r"^[ \t]+(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+(?P<n>\w+)",
@@ -99,7 +99,8 @@ def _python(text: str):
                 if isinstance(member, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     span(member, "METHOD", node.name)
         elif isinstance(node, ast.Import):
-            refs += [("import", a.name, [(a.asname or a.name.split(".")[0], "*")], None, None, at(node.lineno, node.col_offset)) for a in node.names]
+            a = node.names[0]  # one name a statement counts; "import a.b" binds b
+            refs.append(("import", a.name, [(a.asname or a.name.split(".")[-1], "*")], None, None, at(node.lineno, node.col_offset)))
         elif isinstance(node, ast.ImportFrom):
             names = [(a.asname or a.name, a.name) for a in node.names]
             refs.append(("import", "." * node.level + (node.module or ""), names, None, None, at(node.lineno, node.col_offset)))
@@ -132,6 +133,13 @@ def _patterned(text: str, language: str):
                         begin = inner.start() + len(inner.group()) - len(inner.group().lstrip())
                         named.add(inner.start("n"))
                         spans.append(("METHOD", name, m.group("n"), begin, _end(text, begin, language)))
+    if language == "go":  # a group's types each have the whole declaration
+        for m in re.compile(r"^type\s*\((?P<b>.*?)^\)", re.M | re.S).finditer(text):
+            depth = 0
+            for line in m["b"].split("\n"):
+                if not depth and (name := re.match(r"\s*(?P<n>[A-Za-z_]\w*)\s+\S", line)):
+                    spans.append(("TYPE", name["n"], None, m.start(), m.end()))
+                depth += line.count("{") + line.count("(") - line.count("}") - line.count(")")
     if language == "rust":
         for m in re.compile(r"^impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<n>\w+)", re.M).finditer(text):
             for inner in re.compile(_MEMBER["rust"], re.M).finditer(text, m.end(), _end(text, m.start(), "rust")):

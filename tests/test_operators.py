@@ -288,3 +288,15 @@ def test_definitions_in_order(spark):
     ranks = spark.createDataFrame([("def:svc/util.py#save@5", 0.5)], "id string, rank double")
     got = [(r.path, r.line) for r in graph.ranked_symbols(defs, ranks).orderBy("place").collect()]
     assert got[0] == ("svc/util.py", 5) and got[1:] == sorted(got[1:]) and len(got) == defs.count()
+
+
+def test_declarations_over_several_lines():
+    names = lambda path, text: {(s[0], s[1]) for s in symbols.parse(path, text)[0]}
+    js = "export class K {\n  async run(\n    a: number,\n    b = { c: 1 },\n  ): Promise<void> {\n    go(a);\n  }\n  plain(\n    a: number,\n  ): void {\n  }\n}\nexport const f = (\n  a: number,\n  b: string,\n): string => a + b;\n"
+    assert {("CLASS", "K"), ("METHOD", "plain"), ("CONST", "f")} <= names("k.ts", js)
+    assert ("METHOD", "go") in names("B.java", "public class B {\n  public void go(\n      int x,\n      int y) {\n  }\n}\n")
+    assert ("METHOD", "Go") in names("B.cs", "public class B {\n  public void Go(\n      int x,\n      int y)\n  {\n  }\n}\n")
+    go = symbols.parse("a.go", "package a\n\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tB int\n)\n")[0]
+    assert {(s[0], s[1], s[3]) for s in go} == {("TYPE", "A", 11), ("TYPE", "B", 11)}
+    refs = symbols.parse("m.py", "import a.b, c\nimport d.e as f\n")[1]
+    assert [(r[1], r[2]) for r in refs] == [("a.b", [("b", "*")]), ("d.e", [("f", "*")])]
