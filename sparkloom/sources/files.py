@@ -58,6 +58,26 @@ def path_aliases(spark: SparkSession, config: str, base: str = "") -> DataFrame:
     return spark.createDataFrame(rows, "ord int, pattern string, target string")
 
 
+def repository_aliases(files: DataFrame, folder: str = "") -> DataFrame:
+    """Path aliases of a folder's compiler configuration among ``path, content``: tsconfig.json, or else jsconfig.json; none without either."""
+    names = [f"{folder}/{n}".lstrip("/") for n in ("tsconfig.json", "jsconfig.json")]
+    found = {r.path: r.content for r in files.where(F.col("path").isin(names)).select("path", "content").collect()}  # two at most
+    text = next((found[n] for n in names if n in found), "{}")
+    return path_aliases(files.sparkSession, text, folder)
+
+
+def save_blocks(blocks: DataFrame, folder: str) -> None:
+    """Write ``label, updated_at, source_commit, value`` as one text file with a front matter for each label."""
+    format_block(blocks).repartition("label").write.mode("overwrite").partitionBy("label").text(folder)
+
+
+def load_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """``label, updated_at, source_commit, value`` of a folder that ``save_blocks`` wrote."""
+    files = spark.read.option("basePath", folder).text(f"{folder}/label=*", wholetext=True)
+    text = F.regexp_replace("value", r"\n$", "")  # the line end of a text file
+    return parse_block(files.select(F.col("label").alias("path"), text.alias("content"))).select(F.coalesce("label", "path").alias("label"), "updated_at", "source_commit", "value")
+
+
 def parse_block(files: DataFrame) -> DataFrame:
     """``path, label, updated_at, source_commit, value`` of memory files with a front matter; without one all is value."""
     rx = r"^---\r?\n([\s\S]*?)\r?\n---\r?\n?([\s\S]*)$"

@@ -300,3 +300,26 @@ def test_declarations_over_several_lines():
     assert {(s[0], s[1], s[3]) for s in go} == {("TYPE", "A", 11), ("TYPE", "B", 11)}
     refs = symbols.parse("m.py", "import a.b, c\nimport d.e as f\n")[1]
     assert [(r[1], r[2]) for r in refs] == [("a.b", [("b", "*")]), ("d.e", [("f", "*")])]
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    import pathlib
+
+    from sparkloom import storage
+
+    table = storage.kept(spark.range(3), "three")
+    assert table.count() == 3 and storage.small(table).count() == 3
+    folder = pathlib.Path(storage.shared_root(spark).removeprefix("file:"))
+    assert any(p.name.startswith("three-") for p in folder.iterdir())
+    storage.clear(spark)
+    assert not folder.exists()
+
+
+def test_blocks_in_a_folder_and_aliases_of_a_repository(spark, tmp_path):
+    blocks = spark.createDataFrame([("arch", "now", None, "one\n\ntwo"), ("conv", "then", "abc", "x")], "label string, updated_at string, source_commit string, value string")
+    sources.save_blocks(blocks, str(tmp_path / "m"))
+    assert {tuple(r) for r in sources.load_blocks(spark, str(tmp_path / "m")).collect()} == {tuple(r) for r in blocks.collect()}
+    config = '{"compilerOptions": {"paths": {"@a/*": ["lib/*"]}}}'
+    files = spark.createDataFrame([("web/jsconfig.json", config.replace("lib", "js")), ("web/tsconfig.json", config), ("app/jsconfig.json", config)], "path string, content string")
+    assert rows(sources.repository_aliases(files, "web"), "target") == [("web/lib/*",)] and rows(sources.repository_aliases(files, "app"), "target") == [("app/lib/*",)]
+    assert sources.repository_aliases(files).count() == 0
