@@ -18,7 +18,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.paths import test_path
 from ..functions.text import budget_path, index_terms, query_terms, truncated
-from ..storage import small
 
 RRF_K, RRF_WEIGHTS, PLAIN_K = 10, {"vector": 2.0, "lexical": 1.0}, 60
 K1, B = 1.2, 0.75
@@ -67,8 +66,9 @@ class _Best:
 
 def _blocks(queries: DataFrame, order: str, *columns: str) -> Iterator[pa.Table]:
     """The queries, at most ``QUERY_ROWS`` at a time."""
-    if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
-        yield queries.select(*columns).toArrow()
+    some = queries.select(*columns).limit(QUERY_ROWS + 1).toArrow()
+    if some.num_rows <= QUERY_ROWS:
+        yield some
         return
     parts = -(-queries.count() // (QUERY_ROWS // 2))
     for i in range(parts):
@@ -117,28 +117,50 @@ def bm25(index: DataFrame, queries: DataFrame, k: int, id: str = "id", scope: Da
     ``postings``); ``scope`` (ids, or a condition on the index) only filters what is returned. No queries, or none with a known term: no rows.
     """
     rows = _scoped(index, scope, id)
-    n, avgdl = index.agg(F.count("*"), F.avg(F.greatest("dl", F.lit(0)))).first()  # two numbers
-    terms = queries.select("query_id", F.explode(query_terms(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    df = index.select(F.explode(F.array_distinct("terms")).alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.when(idf > 0, idf).otherwise(1e-6)).alias("w"))).alias("terms"))
-    found = None
-    for block in _blocks(weights, "query_id", "query_id", "terms"):
-        hits = _task_hits(rows.select(id, "dl", "terms"), id, queries, k, block["query_id"].combine_chunks(), _bm25_rows(block, float(avgdl or 1), k)) if block.num_rows and k > 0 else _no_hits(rows, id, queries)
-        found = hits if found is None else found.unionByName(hits)
+    terms = queries.select("query_id", F.explode(query_terms(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    asked, found = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "n")).alias("terms")), None
+    for block in _blocks(asked, "query_id", "query_id", "terms"):
+        if block.num_rows and k > 0:
+            hits = _task_hits(rows.select(id, "dl", "terms"), id, queries, k, block["query_id"].combine_chunks(), _bm25_rows(block, index, k))
+            found = hits if found is None else found.unionByName(hits)
     found = _no_hits(rows, id, queries) if found is None else found
     return top_k(found, k, F.round(F.col("score"), 9).desc(), F.col(id))
 
 
-def _bm25_rows(block: pa.Table, avgdl: float, k: int):
-    """Scores passages against a block of queries.
+def _term_counts(index: DataFrame, words: pa.Array) -> tuple[int, int, np.ndarray]:
+    """Number of passages, their terms in all, and how many passages have each of some words: three sums a task, and one for each word."""
+
+    def run(batches):
+        n, length, df = 0, 0, np.zeros(len(words), np.int64)
+        for batch in batches:
+            terms = batch.column("terms")
+            size = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+            word = pc.index_in(terms.flatten(), words)
+            doc = np.repeat(np.arange(batch.num_rows), size)[np.asarray(word.is_valid())]
+            pair = np.unique(doc * max(1, len(words)) + word.drop_null().to_numpy())
+            n, length, df = n + batch.num_rows, length + int(size.sum()), df + np.bincount(pair % max(1, len(words)), minlength=len(words))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], some])), pa.array(np.concatenate([[n, length], df[some]]))], names=["word", "n"])
+
+    sums = index.select("terms").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, count = sums["word"].to_numpy(), sums["n"].to_numpy()
+    df = np.zeros(len(words), np.int64)
+    df[word[word >= 0]] = count[word >= 0]
+    return int(count[word == -1].sum()), int(count[word == -2].sum()), df
+
+
+def _bm25_rows(block: pa.Table, index: DataFrame, k: int):
+    """Scores passages against a block of queries, by the statistics of the whole index.
 
     Each term of a passage meets the queries that ask for it; terms that many queries ask for are a matrix product instead.
     """
     lists = block["terms"].combine_chunks()
     flat, query = lists.flatten(), np.repeat(np.arange(block.num_rows), np.diff(np.asarray(lists.offsets)))
     words = pc.unique(flat.field("term"))
-    of, weight = pc.index_in(flat.field("term"), words).to_numpy(), flat.field("w").to_numpy()
+    n, length, df = _term_counts(index, words)
+    avgdl, idf = length / n if length else 1.0, np.log((n - df + 0.5) / (df + 0.5))
+    of = pc.index_in(flat.field("term"), words).to_numpy()
+    weight = flat.field("n").to_numpy() * np.where(idf > 0, idf, 1e-6)[of]
     asked = np.bincount(of, minlength=len(words))
     hot = asked > max(8, block.num_rows // 8)
     dense = np.zeros((int(hot.sum()), block.num_rows))
