@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import def_id, file_id
@@ -27,13 +27,16 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
     ranks = kept(ids.join(out, "id", "left").select("id", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank")), "ranks")
     dangling = ids.join(out, "id", "left_anti").count() / n
     for _ in range(iterations):
-        given = steps.join(ranks, steps.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         base = (1 - damping) / n + damping * dangling / n
-        new = ranks.join(given, ranks.id == given.dst, "left").select("id", "out", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = kept(new, "ranks")
-        # two numbers: what the round moved, and what the next one deals out to all
-        delta, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0))).first()
-        ranks = new.drop("old")
+        none = F.lit(None)
+        given = steps.join(ranks, steps.src == ranks.id).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("got"), none.cast("double").alias("old"), none.cast("boolean").alias("out"))
+        every = given.unionByName(ranks.select("id", F.lit(0.0).alias("got"), F.col("rank").alias("old"), "out")).groupBy("id").agg(F.sum("got").alias("got"), F.max("old").alias("old"), F.max("out").alias("out"))
+        new = every.select("id", "out", "old", (F.lit(base) + damping * F.col("got")).alias("rank"))
+        # two numbers, summed while the round is written: what it moved, and what the next one deals out to all
+        sums = Observation()
+        moved, loose = F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(~F.col("out"), F.col("rank")))
+        ranks = kept(new.observe(sums, moved.alias("delta"), F.coalesce(loose, F.lit(0.0)).alias("dangling")), "ranks").drop("old")
+        delta, dangling = sums.get["delta"], sums.get["dangling"]
         if delta < tolerance:
             break
     return ranks.select("id", "rank")
