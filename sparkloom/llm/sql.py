@@ -22,4 +22,16 @@ m as (select distinct rk, unnest(generate_series(i, i + 34)) as j from (select r
 o as (select rk, j, word from (select rk, unnest(generate_series(1, len(w))) as j, unnest(w) as word from d) z),
 k as (select o.rk, count(m.j) as gone, coalesce(string_agg(case when m.j is null then word end, ' ' order by o.j), '') as kept from o left join m on m.rk = o.rk and m.j = o.j group by o.rk)
 select doc_id, len(w)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (rk)"""
-SQL = {"op1_license_scan": licenses.sql(), "op6_mix": MIX, "op7_substring_dedup": SUBSTRINGS}
+COLLOCATIONS = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+s as (select lang, sum(len(w))::bigint as n from w group by lang),
+u as (select lang, len, w[i:i + len - 1] as g from (select lang, w, len, unnest(generate_series(1, len(w) - len + 1)) as i from w, (select unnest([1, 2, 3]) as len) x where len(w) >= len) y),
+f as (select lang, len, g, count(*) as f from u group by lang, len, g having count(*) >= 10),
+c as (select lang, len, g, f as a, unnest(generate_series(1, len - 1)) as k from f where len > 1),
+e as (select c.*, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as score from c join f x on x.lang = c.lang and x.g = c.g[1:k] join f y on y.lang = c.lang and y.g = c.g[k + 1:]),
+b as (select * from e qualify row_number() over (partition by lang, g order by score, k) = 1),
+m as (select lang, g, max(f) as longer from (select lang, unnest([g[1:2], g[2:3]]) as g, f from f where len = 3) z group by lang, g),
+o as (select b.lang, array_to_string(b.g, ' ') as phrase, a, l, r, n, score::bigint as score from b join s on s.lang = b.lang left join m on m.lang = b.lang and m.g = b.g where coalesce(longer, 0) * 100 < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from o qualify rank <= 2000"""
+SQL = {"op1_license_scan": licenses.sql(), "op6_mix": MIX, "op7_substring_dedup": SUBSTRINGS, "op11_collocations": COLLOCATIONS}
