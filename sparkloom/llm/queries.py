@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, licenses, mixing, near_dedup, pii, sharding, substring_dedup, token_store, toxicity, vector_dedup
+from . import alignment, collocations, decontaminate, licenses, mixing, near_dedup, pii, sharding, substring_dedup, token_store, toxicity, vector_dedup
 from .sql import SQL  # noqa: F401
 
 
@@ -78,7 +78,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by two tokenizers, aligned, with the corpus-wide counts of linked ids."""
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_repair_tokens, op3_decontaminate, op4_near_dedup, op5_pii_surrogates, op6_mix, op7_substring_dedup, op8_toxicity, op9_shard, op10_vector_dedup, op11_collocations)
+    for f in (op1_license_scan, op2_repair_tokens, op3_decontaminate, op4_near_dedup, op5_pii_surrogates, op6_mix, op7_substring_dedup, op8_toxicity, op9_shard, op10_vector_dedup, op11_collocations, op12_align)
 }
