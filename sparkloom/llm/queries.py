@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, collocations, decontaminate, licenses, mixing, near_dedup, pii, sharding, substring_dedup, token_store, toxicity, vector_dedup
+from . import alignment, chat, collocations, decontaminate, licenses, mixing, near_dedup, pii, sharding, substring_dedup, token_store, toxicity, vector_dedup
 from .sql import SQL  # noqa: F401
 
 
@@ -85,7 +85,15 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that quotes control strings, formatted, written, and read back."""
+    quoted = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.written(rows))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_repair_tokens, op3_decontaminate, op4_near_dedup, op5_pii_surrogates, op6_mix, op7_substring_dedup, op8_toxicity, op9_shard, op10_vector_dedup, op11_collocations, op12_align)
+    for f in (op1_license_scan, op2_repair_tokens, op3_decontaminate, op4_near_dedup, op5_pii_surrogates, op6_mix, op7_substring_dedup, op8_toxicity, op9_shard, op10_vector_dedup, op11_collocations, op12_align, op13_chat)
 }

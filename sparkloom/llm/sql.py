@@ -34,4 +34,13 @@ b as (select * from e qualify row_number() over (partition by lang, g order by s
 m as (select lang, g, max(f) as longer from (select lang, unnest([g[1:2], g[2:3]]) as g, f from f where len = 3) z group by lang, g),
 o as (select b.lang, array_to_string(b.g, ' ') as phrase, a, l, r, n, score::bigint as score from b join s on s.lang = b.lang left join m on m.lang = b.lang and m.g = b.g where coalesce(longer, 0) * 100 < 50 * a)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from o qualify rank <= 2000"""
-SQL = {"op1_license_scan": licenses.sql(), "op6_mix": MIX, "op7_substring_dedup": SUBSTRINGS, "op11_collocations": COLLOCATIONS}
+CHAT = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<.\1', 'g'), '\[(/?(INST|SYS|ROLE)\]|/TURN\])', '[.\1', 'g')) as n,
+  length(regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(/?s>)', '<.\1', 'g'), '\[(/?(INST|SYS|ROLE)\]|/TURN\])', '[.\1', 'g')) as r from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  (3 + sum(n + case role when 'user' then 15 when 'assistant' then 6 when 'system' then 13 else 24 + r end))::bigint as formatted_chars
+from e group by conv_id"""
+SQL = {"op1_license_scan": licenses.sql(), "op6_mix": MIX, "op7_substring_dedup": SUBSTRINGS, "op11_collocations": COLLOCATIONS, "op13_chat": CHAT}
