@@ -27,7 +27,7 @@ from .storage import stored
 from .words import LOWER, arrow_bytes
 
 MAX_WORDS, MIN_COUNT, TOP, WITHIN = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_NODES, MERGE_NODES = 6 << 20, 1 << 20, 1 << 21
+SHARD_BYTES, RANGE_NODES, MERGE_NODES = 6 << 20, 1 << 20, 1 << 20
 SAMPLE_STEP, SAMPLE_PATHS, MOST_RANGES = 2048, 200_000, 1 << 16
 _PIECE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _PIECE[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -55,26 +55,35 @@ class Trie:
         """The nodes from ``a`` to ``b`` and those ``above`` the first path, with the words that they use, as columns of bytes."""
         at = np.concatenate([np.array(above, np.int64), np.arange(a, b)])
         paths = self.paths[at]
-        used, local = np.unique(paths, return_inverse=True)
-        local = local.reshape(paths.shape) + (0 if len(used) and used[0] == 0 else 1)
-        names = self.words.take(pa.array(used[used > 0] - 1))
-        step = np.diff(local, axis=0, prepend=np.zeros((1, paths.shape[1]), np.int64)).astype("<i4")
-        body = np.concatenate([step.T.reshape(-1), self.counts[at].astype("<i8").view("<i4")]).view(np.uint8).reshape(-1, 4).T
-        return {"nodes": len(at), "carried": len(above), "words": pa.compress(b"\n".join(names.to_pylist()), "zstd", asbytes=True), "words_bytes": _joined(names), "body": pa.compress(np.ascontiguousarray(body).tobytes(), "zstd", asbytes=True)}
+        used = np.zeros(len(self.words) + 1, bool)
+        used[paths.reshape(-1)] = True
+        used[0] = False
+        local = np.cumsum(used, dtype=np.int32)
+        local[0] = 0
+        names = self.words.take(pa.array(np.flatnonzero(used) - 1))
+        data, offsets = _buffers(names)
+        step = np.diff(local[paths], axis=0, prepend=np.zeros((1, paths.shape[1]), np.int32)).astype("<i4")
+        body = np.concatenate([step.T.reshape(-1), self.counts[at].astype("<i8").view("<i4"), np.diff(offsets).astype("<i4")])
+        body = np.ascontiguousarray(body.view(np.uint8).reshape(-1, 4).T).tobytes()
+        return {"nodes": len(at), "carried": len(above), "words": pa.compress(data, "zstd", asbytes=True), "n_words": len(names), "words_bytes": len(data), "body": pa.compress(body, "zstd", asbytes=True)}
 
 
-def _joined(names: pa.Array) -> int:
-    return int(pc.sum(pc.binary_length(names)).as_py() or 0) + max(0, len(names) - 1)
+def _buffers(names: pa.LargeBinaryArray) -> tuple[bytes, np.ndarray]:
+    offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1] if len(names) else np.zeros(1, np.int64)
+    data = names.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(names) else b""
+    return data, offsets
 
 
 def _opened(row: dict, levels: int) -> Trie:
     """What ``Trie.cut`` wrote."""
-    n = row["nodes"]
-    body = np.frombuffer(pa.decompress(row["body"], 4 * n * (levels + 2), "zstd"), np.uint8).reshape(4, -1).T
+    n, k = row["nodes"], row["n_words"]
+    body = np.frombuffer(pa.decompress(row["body"], 4 * (n * (levels + 2) + k), "zstd"), np.uint8).reshape(4, -1).T
     body = np.ascontiguousarray(body).view("<i4").reshape(-1)
-    paths = np.cumsum(body[: n * levels].reshape(levels, n).T, axis=0, dtype=np.int64)
-    names = pa.decompress(row["words"], row["words_bytes"], "zstd", asbytes=True).split(b"\n")
-    return Trie(pa.array(names, pa.large_binary()), paths, np.ascontiguousarray(body[n * levels :]).view("<i8").copy(), np.arange(n) < row["carried"])
+    paths = np.cumsum(body[: n * levels].reshape(levels, n).T, axis=0, dtype=np.int32)
+    counts = np.ascontiguousarray(body[n * levels : n * (levels + 2)]).view("<i8").copy()
+    offsets = np.concatenate([[0], np.cumsum(body[n * (levels + 2) :], dtype=np.int64)])
+    data = pa.decompress(row["words"], row["words_bytes"], "zstd") if k else pa.py_buffer(b"")
+    return Trie(pa.Array.from_buffers(pa.large_binary(), k, [None, pa.py_buffer(offsets), data]), paths, counts, np.arange(n) < row["carried"])
 
 
 def _numbers(paths: np.ndarray, base: int) -> np.ndarray:
@@ -111,17 +120,31 @@ def count_trie(data: np.ndarray, levels: int) -> tuple[int, Trie]:
     """Number of words of texts (joined by line ends), and their trie."""
     words, piece = _words(data)
     names, code = _ranked(words)
-    base, nodes = len(names) + 1, []
-    for depth in range(1, min(levels, len(code)) + 1):
-        last = len(code) - depth
-        at = np.flatnonzero(piece[: last + 1] == piece[depth - 1 :])
-        paths = np.zeros((len(at), levels), np.int64)
-        for level in range(depth):
-            paths[:, level] = code[at + level]
-        nodes.append(paths)
-    paths = np.concatenate(nodes) if nodes else np.zeros((0, levels), np.int64)
-    _, first, counts = np.unique(_numbers(paths, base), return_index=True, return_counts=True)
-    return len(code), Trie(names, paths[first], counts.astype(np.int64), np.zeros(len(first), bool))
+    base = len(names) + 1
+    runs = [np.flatnonzero(piece[: len(code) - depth + 1] == piece[depth - 1 :]) for depth in range(1, min(levels, len(code)) + 1)]
+    if base**levels < 1 << 62:  # a path is a number
+        found = np.concatenate([np.zeros(0, np.int64), *(sum(code[at + i] * base ** (levels - 1 - i) for i in range(depth)) for depth, at in enumerate(runs, 1))])
+        found.sort()
+        first, counts = _runs(found)
+        number, paths = found[first], np.zeros((len(first), levels), np.int32)
+        for level in reversed(range(levels)):
+            number, paths[:, level] = np.divmod(number, base)
+    else:
+        paths = np.zeros((sum(map(len, runs)), levels), np.int32)
+        row = 0
+        for depth, at in enumerate(runs, 1):
+            for level in range(depth):
+                paths[row : row + len(at), level] = code[at + level]
+            row += len(at)
+        _, first, counts = np.unique(_numbers(paths, base), return_index=True, return_counts=True)
+        paths = paths[first]
+    return len(code), Trie(names, paths, counts.astype(np.int64), np.zeros(len(counts), bool))
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(ordered)))
 
 
 def merged(tries: list[Trie]) -> Trie:
@@ -131,14 +154,15 @@ def merged(tries: list[Trie]) -> Trie:
     names, code = _ranked(pa.concat_arrays([t.words for t in tries]))
     paths, at = [], 0
     for t in tries:
-        of = np.concatenate([[0], code[at : at + len(t.words)]])
+        of = np.concatenate([[0], code[at : at + len(t.words)]]).astype(np.int32)
         paths.append(of[t.paths])
         at += len(t.words)
     paths = np.concatenate(paths)
-    _, first, inverse = np.unique(_numbers(paths, len(names) + 1), return_index=True, return_inverse=True)
-    counts = np.zeros(len(first), np.int64)
-    np.add.at(counts, inverse, np.concatenate([t.counts for t in tries]))
-    return Trie(names, paths[first], counts, np.concatenate([t.carried for t in tries])[first])
+    numbers = _numbers(paths, len(names) + 1)
+    order = np.argsort(numbers, kind="stable")  # merges sorted runs
+    first, _ = _runs(numbers[order])
+    counts = np.add.reduceat(np.concatenate([t.counts for t in tries])[order], first) if len(first) else np.zeros(0, np.int64)
+    return Trie(names, paths[order[first]], counts, np.concatenate([t.carried for t in tries])[order[first]])
 
 
 def walk(trie: Trie, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +178,7 @@ def walk(trie: Trie, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tries(docs: DataFrame, levels: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``lang, n, nodes, carried, words, words_bytes, body, sample``: the serialised trie of each shard and language."""
+    """``lang, n, nodes, carried, words, n_words, words_bytes, body, sample``: the serialised trie of each shard and language."""
 
     def run(batches):
         held, size = {}, 0
@@ -180,8 +204,8 @@ def tries(docs: DataFrame, levels: int, shard_bytes: int = SHARD_BYTES) -> DataF
                     held, size = {}, 0
         yield from flush()
 
-    out = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("nodes", pa.int64()), ("carried", pa.int64()), ("words", pa.binary()), ("words_bytes", pa.int64()), ("body", pa.binary()), ("sample", pa.list_(pa.string()))])
-    return docs.select("lang", "text").mapInArrow(run, "lang string, n long, nodes long, carried long, words binary, words_bytes long, body binary, sample array<string>")
+    out = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("nodes", pa.int64()), ("carried", pa.int64()), ("words", pa.binary()), ("n_words", pa.int64()), ("words_bytes", pa.int64()), ("body", pa.binary()), ("sample", pa.list_(pa.string()))])
+    return docs.select("lang", "text").mapInArrow(run, "lang string, n long, nodes long, carried long, words binary, n_words long, words_bytes long, body binary, sample array<string>")
 
 
 def cuts(shards: DataFrame, range_nodes: int = RANGE_NODES) -> list[tuple[str, list[bytes]]]:
@@ -224,13 +248,13 @@ def _pack(paths: np.ndarray, base: int) -> np.ndarray:
     """Rows as numbers of any size in path order."""
     out = paths[:, 0].astype(object if base ** paths.shape[1] > 1 << 62 else np.int64)
     for level in range(1, paths.shape[1]):
-        out = out * base + paths[:, level]
+        out = out * base + paths[:, level].astype(out.dtype)
     return out
 
 
 def by_range(shards: DataFrame, bounds: list[tuple[str, list[bytes]]], levels: int) -> DataFrame:
     """``range, lang`` and the cut of each trie that falls into the range."""
-    out = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("nodes", pa.int64()), ("carried", pa.int64()), ("words", pa.binary()), ("words_bytes", pa.int64()), ("body", pa.binary())])
+    out = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("nodes", pa.int64()), ("carried", pa.int64()), ("words", pa.binary()), ("n_words", pa.int64()), ("words_bytes", pa.int64()), ("body", pa.binary())])
     keys = [lang.encode() for lang, _ in bounds]
 
     def run(batches):
@@ -246,7 +270,7 @@ def by_range(shards: DataFrame, bounds: list[tuple[str, list[bytes]]], levels: i
                     if a < b or above:
                         yield pa.RecordBatch.from_pylist([{"range": lo + i, "lang": row["lang"], **trie.cut(a, b, above)}], schema=out)
 
-    return shards.select("lang", "nodes", "carried", "words", "words_bytes", "body").mapInArrow(run, "range int, lang string, nodes long, carried long, words binary, words_bytes long, body binary")
+    return shards.select("lang", "nodes", "carried", "words", "n_words", "words_bytes", "body").mapInArrow(run, "range int, lang string, nodes long, carried long, words binary, n_words long, words_bytes long, body binary")
 
 
 def counted(cut: DataFrame, ranges: int, least: int, levels: int) -> DataFrame:
