@@ -27,7 +27,7 @@ from .storage import stored
 from .words import LOWER, arrow_bytes
 
 MAX_WORDS, MIN_COUNT, TOP, WITHIN = 3, 10, 2000, 50
-SHARD_BYTES, RANGE_NODES, MERGE_NODES = 6 << 20, 1 << 20, 1 << 20
+SHARD_BYTES, RANGE_NODES, MERGE_NODES = 4 << 20, 1 << 20, 1 << 20
 SAMPLE_STEP, SAMPLE_PATHS, MOST_RANGES = 2048, 200_000, 1 << 16
 _PIECE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _PIECE[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -46,10 +46,11 @@ class Trie:
     def depth(self) -> np.ndarray:
         return (self.paths > 0).sum(1)
 
-    def bytes_of(self, rows: np.ndarray) -> list[bytes]:
+    def phrases(self, rows: np.ndarray) -> pa.Array:
         """The paths of some nodes, words joined by a space."""
-        names = [b"", *self.words.to_pylist()]
-        return [b" ".join(names[c] for c in path if c) for path in self.paths[rows].tolist()]
+        some = self.paths[rows]
+        levels = [self.words.take(pa.array(np.maximum(c, 1) - 1, mask=c == 0)) for c in some.T]
+        return pc.binary_join_element_wise(*levels, pa.scalar(b" ", pa.large_binary()), null_handling="skip").cast(pa.large_string()).cast(pa.string())
 
     def cut(self, a: int, b: int, above: list[int]) -> dict:
         """The nodes from ``a`` to ``b`` and those ``above`` the first path, with the words that they use, as columns of bytes."""
@@ -187,8 +188,8 @@ def tries(docs: DataFrame, levels: int, shard_bytes: int = SHARD_BYTES) -> DataF
             for lang, parts in held.items():
                 n, trie = count_trie(np.concatenate(parts), levels)
                 if n:
-                    sample = trie.bytes_of(np.arange(n % SAMPLE_STEP, len(trie.counts), SAMPLE_STEP))
-                    row = {"lang": lang, "n": n, **trie.cut(0, len(trie.counts), []), "sample": [p.decode() for p in sample]}
+                    sample = trie.phrases(np.arange(n % SAMPLE_STEP, len(trie.counts), SAMPLE_STEP))
+                    row = {"lang": lang, "n": n, **trie.cut(0, len(trie.counts), []), "sample": sample.to_pylist()}
                     yield pa.RecordBatch.from_pylist([row], schema=out)
 
         for batch in batches:
@@ -252,23 +253,31 @@ def _pack(paths: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+def _each(batches):
+    """The rows of batches one by one: blobs are copied when they are used."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+        pa.default_memory_pool().release_unused()
+
+
 def by_range(shards: DataFrame, bounds: list[tuple[str, list[bytes]]], levels: int) -> DataFrame:
     """``range, lang`` and the cut of each trie that falls into the range."""
     out = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("nodes", pa.int64()), ("carried", pa.int64()), ("words", pa.binary()), ("n_words", pa.int64()), ("words_bytes", pa.int64()), ("body", pa.binary())])
     keys = [lang.encode() for lang, _ in bounds]
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                trie, lang = _opened(row, levels), row["lang"].encode()
-                names, base = trie.words.to_pylist(), len(trie.words) + 1
-                numbers = _pack(trie.paths, base)
-                lo = bisect_left(keys, lang)
-                hi = bisect_left(keys, lang + b"\x00")
-                placed = [(0, []), *(_places(trie, path, names, numbers, base) for _, path in bounds[lo:hi]), (len(numbers), [])]
-                for i, ((a, above), (b, _)) in enumerate(zip(placed[:-1], placed[1:], strict=True)):
-                    if a < b or above:
-                        yield pa.RecordBatch.from_pylist([{"range": lo + i, "lang": row["lang"], **trie.cut(a, b, above)}], schema=out)
+        for row in _each(batches):
+            trie, lang = _opened(row, levels), row["lang"].encode()
+            names, base = trie.words.to_pylist(), len(trie.words) + 1
+            numbers = _pack(trie.paths, base)
+            lo = bisect_left(keys, lang)
+            hi = bisect_left(keys, lang + b"\x00")
+            placed = [(0, []), *(_places(trie, path, names, numbers, base) for _, path in bounds[lo:hi]), (len(numbers), [])]
+            del names, numbers
+            for i, ((a, above), (b, _)) in enumerate(zip(placed[:-1], placed[1:], strict=True)):
+                if a < b or above:
+                    yield pa.RecordBatch.from_pylist([{"range": lo + i, "lang": row["lang"], **trie.cut(a, b, above)}], schema=out)
 
     return shards.select("lang", "nodes", "carried", "words", "n_words", "words_bytes", "body").mapInArrow(run, "range int, lang string, nodes long, carried long, words binary, n_words long, words_bytes long, body binary")
 
@@ -285,24 +294,22 @@ def counted(cut: DataFrame, ranges: int, least: int, levels: int) -> DataFrame:
         def flush():
             trie = merged(held)
             rows, depth, prefix = walk(trie, least)
-            lefts = [p[: d - 1] for p, d in zip(prefix.tolist(), depth.tolist(), strict=True)]
-            for a in range(0, len(rows), 50_000):
-                some = slice(a, a + 50_000)
-                phrase = pa.array(trie.bytes_of(rows[some]), pa.binary()).cast(pa.string())
-                n = len(phrase)
-                yield pa.RecordBatch.from_arrays([pa.array([key[1]] * n, pa.string()), phrase, pa.array(depth[some], pa.int32()), pa.array(trie.counts[rows[some]]), pa.array(lefts[some], pa.list_(pa.int64()))], names=["lang", "phrase", "depth", "f", "lefts"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["range"], row["lang"]) != key:
-                    yield from flush()
-                    held, size = [], 0
-                key = row["range"], row["lang"]
-                held.append(_opened(row, levels))
-                size += row["nodes"]
-                if size >= MERGE_NODES and len(held) > 1:
-                    held = [merged(held)]
-                    size = len(held[0].counts) // 2  # what is merged twice doubles at least in between
+            for a in range(0, len(rows), 20_000):
+                some = slice(a, a + 20_000)
+                lefts = [p[: d - 1] for p, d in zip(prefix[some].tolist(), depth[some].tolist(), strict=True)]
+                columns = [pa.array([key[1]] * len(lefts), pa.string()), trie.phrases(rows[some]), pa.array(depth[some], pa.int32()), pa.array(trie.counts[rows[some]]), pa.array(lefts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "depth", "f", "lefts"])
+
+        for row in _each(batches):
+            if held and (row["range"], row["lang"]) != key:
+                yield from flush()
+                held, size = [], 0
+            key = row["range"], row["lang"]
+            held.append(_opened(row, levels))
+            size += row["nodes"]
+            if size >= MERGE_NODES and len(held) > 1:
+                held = [merged(held)]
+                size = len(held[0].counts) // 2  # what is merged twice doubles at least in between
         if held:
             yield from flush()
 
