@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .storage import stored
 from .words import ranges, slices
 
-SHARD_BYTES, SHARD_ROWS, MEMO_PIECES, BROADCAST_PAIRS = 4 << 20, 1 << 14, 300_000, 2_000_000
+SHARD_BYTES, SHARD_ROWS, MEMO_PIECES, LEARN_PIECES, BROADCAST_PAIRS = 4 << 20, 1 << 14, 500_000, 1 << 14, 2_000_000
 _SPACE = "▁"
 _SPACES = np.zeros(256, bool)
 _SPACES[[*range(9, 14), *range(28, 33)]] = True
@@ -98,18 +98,41 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return group[first] if len(first) else first, group
 
 
+def sorted_unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+class _Strings:
+    """Byte strings one after the other, to be put together by number."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(s) for s in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        return self.data[ranges(self.start[numbers], self.size[numbers])]
+
+
 class Memo:
     """Pieces met before, by number: sizes, groups in writing, and the linked pairs with how often they occur."""
 
     def __init__(self, first: ByteLevel, second: Pieces):
         self.first, self.second = first, second
         self.wide = len(second.bytes)
-        self.a_size, self.b_size = (np.array([len(b) for b in t.bytes], np.int64) for t in (first, second))
+        self.a_bytes, self.b_bytes = _Strings(first.bytes), _Strings(second.bytes)
+        # a token's number and the sign after it
+        most = max(len(first.bytes), self.wide)
+        self.digits = _Strings([f"{i}{sign}".encode() for sign in ",|;" for i in range(most)])
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.written: list[str] = []
+        self.written: list[bytes] = []
         self.sizes, self.pairs = [np.zeros((0, 5), np.int64)], [np.zeros((0, 2), np.int64)]
 
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
@@ -117,8 +140,8 @@ class Memo:
         if len(self.known) + len(pieces) > MEMO_PIECES:
             self.clear()
         new = [p for p in pieces if p not in self.known]
-        if new:
-            self._learn(new)
+        for i in range(0, len(new), LEARN_PIECES):
+            self._learn(new[i : i + LEARN_PIECES])
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -126,32 +149,53 @@ class Memo:
         self.sizes, self.pairs = [np.concatenate(self.sizes)], [np.concatenate(self.pairs)]
         return self.sizes[0], self.pairs[0]
 
+    @staticmethod
+    def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        return n, np.fromiter(chain.from_iterable(coded), np.int64, int(n.sum()))
+
+    def _same(self, pieces: list[bytes], strings: _Strings, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each piece spell it."""
+        data, size = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        of = np.repeat(np.arange(len(pieces)), n)
+        good = np.bincount(of, strings.size[ids], len(pieces)).astype(np.int64) == size
+        ids = ids[good[of]]
+        at = np.flatnonzero(good)
+        part = data[ranges((np.cumsum(size) - size)[at], size[at])]
+        other = strings.joined(ids) != part
+        good[np.repeat(at, size[at])[other]] = False
+        return good
+
     def _learn(self, new: list[bytes]) -> None:
         texts = [p.decode() for p in new]
-        coded = list(zip(new, self.first.encode(texts), self.second.encode(texts), strict=True))
-        good = [b"".join(map(self.first.bytes.__getitem__, a)) == p == b"".join(map(self.second.bytes.__getitem__, b)) for p, a, b in coded]
-        kept = [(a, b) if g else ([], []) for g, (_, a, b) in zip(good, coded, strict=True)]
-        na, nb = (np.array([len(x[i]) for x in kept], np.int64) for i in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable(x[i] for x in kept), np.int64, int(n.sum())) for i, n in ((0, na), (1, nb)))
-        ga, gb = overlaps(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+        na, a = self._flat(self.first.encode(texts))
+        nb, b = self._flat(self.second.encode(texts))
+        good = self._same(new, self.a_bytes, na, a) & self._same(new, self.b_bytes, nb, b)
+        a, b = a[np.repeat(good, na)], b[np.repeat(good, nb)]
+        na, nb = na * good, nb * good
+        ga, gb = overlaps(np.cumsum(self.a_bytes.size[a]), np.cumsum(self.b_bytes.size[b]))
         groups = int(gb[-1]) + 1 if len(gb) else 0
         in_a, in_b = np.bincount(ga, minlength=groups), np.bincount(gb, minlength=groups)
-        at_a, at_b = (np.concatenate([[0], np.cumsum(n)]) for n in (in_a, in_b))
         piece_b = np.repeat(np.arange(len(new)), nb)
-        piece_of = piece_b[at_b[:-1]] if groups else piece_b
-        a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        names = [f"{','.join(a_names[i:j])}|{','.join(b_names[k:m])}" for (i, j), (k, m) in zip(pairwise(at_a.tolist()), pairwise(at_b.tolist()), strict=True)]
-        n_groups = np.bincount(piece_of, minlength=len(new))
-        ends = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
+        at_b = np.cumsum(in_b) - in_b
+        n_groups = np.bincount(piece_b[at_b], minlength=len(new)) if groups else np.zeros(len(new), np.int64)
+        # groups in writing: tokens of A, the last with a bar, then those of B, the last with a semicolon
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[np.cumsum(in_a) - 1], last_b[np.cumsum(in_b) - 1] = True, True
+        place = np.concatenate([np.arange(len(a)) + at_b[ga], np.arange(len(b)) + np.cumsum(in_a)[gb]]) if groups else a
+        number = np.empty(len(a) + len(b), np.int64)
+        number[place] = np.concatenate([a + last_a * self.most, b + last_b * 2 * self.most])
+        text = self.digits.joined(number).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.digits.size[number])])[np.concatenate([[0], np.cumsum(na + nb)])].tolist()
         # links: each token of A with the tokens of B in its group
         times = in_b[ga] if groups else ga
         link = np.repeat(a, times) * self.wide + b[ranges(at_b[ga], times)] if groups else a
         piece = np.repeat(np.repeat(np.arange(len(new)), na), times)
         size = len(self.first.bytes) * self.wide
-        pair, often = np.unique(piece * size + link, return_counts=True)
+        pair, often = sorted_unique(piece * size + link)
         sizes = np.stack([na, nb, n_groups, np.bincount(piece, minlength=len(new)), np.bincount(pair // size, minlength=len(new))], 1)
         self.known |= {p: len(self.written) + i for i, p in enumerate(new)}
-        self.written += [";".join(names[i:j]) for i, j in pairwise(ends)]
+        self.written += [text[i : max(i, j - 1)] for i, j in pairwise(ends)]
         self.sizes.append(sizes)
         self.pairs.append(np.stack([pair % size, often], 1))
 
@@ -217,20 +261,23 @@ def _shard(known: Memo, data: np.ndarray, offsets: np.ndarray) -> dict:
     empty = changed | (np.diff(offsets) == 0)
     code, doc = code[~empty[doc]], doc[~empty[doc]]
     count = np.where(empty, 0, count)
-    used, code = np.unique(code, return_inverse=True)
+    some = np.zeros(len(entry), bool)
+    some[code] = True
+    used, code = np.flatnonzero(some), (np.cumsum(some) - 1)[code]
     entry = entry[used]
     n_pairs = sizes[entry, 4]
     own = pairs[ranges(pair_end[entry] - n_pairs, n_pairs)]
-    distinct, at = np.unique(own[:, 0], return_inverse=True)
+    distinct, _ = sorted_unique(own[:, 0])
+    at = np.searchsorted(distinct, own[:, 0])
     # texts that link each pair: distinct pieces of a text, then distinct pairs
-    once = np.unique(doc * max(1, len(used)) + code)
+    once, _ = sorted_unique(doc * max(1, len(used)) + code)
     d, c = np.divmod(once, max(1, len(used)))
     ends = np.cumsum(n_pairs)
-    linked = np.unique(np.repeat(d, n_pairs[c]) * max(1, len(distinct)) + at[ranges(ends[c] - n_pairs[c], n_pairs[c])])
+    linked, _ = sorted_unique(np.repeat(d, n_pairs[c]) * max(1, len(distinct)) + at[ranges(ends[c] - n_pairs[c], n_pairs[c])])
     texts, end = [known.written[e] for e in entry.tolist()], np.concatenate([[0], np.cumsum(count)]).tolist()
     names = list(map(texts.__getitem__, code.tolist()))
     sums = {n: np.bincount(doc, sizes[entry[code], i], len(count)).astype(np.int64).tolist() for i, n in enumerate(_COUNTS)}
-    digests = [hashlib.sha256(";".join(names[i:j]).encode()).hexdigest() if j > i else "" for i, j in pairwise(end)]
+    digests = [hashlib.sha256(b";".join(names[i:j])).hexdigest() if j > i else "" for i, j in pairwise(end)]
     return {
         "shard": uuid.uuid4().hex, **sums, "groups_sha256": digests, "pieces": count.tolist(), "codes": _planes(code), "piece_pairs": _planes(n_pairs), "n_pieces": len(used), "pair_at": _planes(at),
         "pair_times": _planes(own[:, 1]), "n_pair_at": len(at), "pairs": distinct.tolist(), "pair_docs": np.bincount(linked % max(1, len(distinct)), minlength=len(distinct)).tolist(),
