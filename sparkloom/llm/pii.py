@@ -4,7 +4,8 @@ Entities are found by one regular expression: e-mail addresses in letters of any
 (international, and as written in English, German, French and Spanish), payment cards of 14 to 19 digits,
 bank accounts (IBAN), national ids, IPv4 and IPv6 addresses, access keys, passwords and tokens after their
 name (in any case; to the closing quote, or else to the next space but for closing quotes, brackets and .,;
-at the end), and personal names after a title, which tells their gender. Every part of a name that a text
+at the end), and personal names after titles, one or several ("Herr Prof. Dr. med."), which tell their gender. Words such as "pass is" name a secret
+only if what follows has a digit. Every part of a name that a text
 gives with a title counts in the same text wherever it stands as a capitalised word of its own, so
 "Anna Schmidt", "Schmidt" and "Anna" after "Dr Anna Schmidt" are found too; words that only other
 texts give as names are not.
@@ -15,7 +16,8 @@ mapped part by part, so that a full name and its parts, with whatever title, agr
 female or male if all titles before it in the table that tell a gender agree on it. A surrogate is made of the digest of
 key, type, canonical form and attempt: digits become digits, letters letters of their script (Latin ones
 where it is none of the known), other marks of a secret other marks, a part of a name a pronounceable one of the same
-script and gender, a card that passes the Luhn check one that passes it, an IBAN with right check digits
+script and gender, a card that passes the Luhn check one of the same first digit that passes it, a social security number one of issued groups,
+a private address one of the same range, an IBAN with right check digits
 one of the same country with right check digits.
 
 Two entities of one type with equal surrogates, or a surrogate that is itself an entity of the table,
@@ -40,11 +42,19 @@ ATTEMPTS = 40
 # Titles by the gender they tell.
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа|госпожа|κυρία"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н|господин|κύριος"
-NEUTRAL = "Dr|Prof"
+NEUTRAL = "Dr|Dra|Prof|Professor|Doctor|Doktor|Dipl|Ing|Mag|Rev"
+# degrees that follow such a title
+_DEGREE = "med|phil|jur|rer|nat|pol|oec|dent|vet|ing|mult"
+_STACK = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?[ -](?:(?:{_DEGREE})\.? ?(?=[\p{{L}}])){{0,3}}){{1,4}}"
 _EDGE, _END = r"(?<![\p{L}\p{N}_.+-])", r"(?![\p{L}\p{N}_-])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # names of secrets with the signs that follow; what follows these is the secret
-_LABEL = r"(?i:password|passwd|token|secret|api[_-]?key)[\"'\\]{0,2}+[\s\p{Z}]*+(?::=|=>|[=:])[\s\p{Z}]*+\\?+[\"']?+"
+_GAP = r"[\s\p{Z}]"
+_LABEL = (
+    rf"(?:(?i:password|passwd|token|secret|api[_-]?key)[\"'\\]{{0,2}}+{_GAP}*+(?::=|=>|[=:]){_GAP}*+"
+    # these are common words too, so that the secret must have a digit
+    rf"|(?i:password|passwd|pwd|pass|token|secret)[\"'\\]{{0,2}}+(?:{_GAP}*+(?::=|=>|[=:])|{_GAP}++(?i:is|was|ist|es|est):?+{_GAP}){_GAP}*+(?=[^\s\p{{Z}}]{{0,64}}\d))\\?+[\"']?+"
+)
 _IN, _LAST = r"[^\s\p{Z}]", r"[^\s\p{Z}\"',;.)\]}>]"
 _SECRET = "|".join((
     r"(?<=\")[^\"\r\n]{8,}+(?<!\\)(?=\")", r"(?<=')[^'\r\n]{8,}+(?<!\\)(?=')",  # to the closing quote
@@ -76,21 +86,21 @@ PATTERNS = {
     "ip6": rf"(?=[0-9A-Fa-f:]{{0,38}}\d)(?<![\p{{L}}\p{{N}}:.])(?:(?:{_SIX}:){{7}}{_SIX}|(?:{_SIX}:){{1,6}}(?::{_SIX}){{1,6}}|(?:{_SIX}:){{2,7}}:|:(?::{_SIX}){{2,7}})(?![\p{{L}}\p{{N}}:])",
     "key": r"(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": rf"(?=[PpTtSsAa]){_LABEL}(?=(?:(?<=[\"'])[-._/+=~: ]*+|[-._/+=~:]*+)[^-._/+=~:\s\p{{Z}}\"'])(?:{_SECRET})",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? (?:\p{{Lu}}\.? ){{0,2}}{_PART}(?: {_PART}){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_STACK}(?:\p{{Lu}}\.? ){{0,2}}{_PART}(?: {_PART}){{0,2}}",
 }
 _INSIDE = ("key", "secret")  # these may follow a letter or digit; all others start a word, which one look behind tells
 ANY = "(?<![\\p{L}\\p{N}])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in _INSIDE) + ")|" + "|".join(f"(?:{PATTERNS[k]})" for k in _INSIDE)
 #: A capitalised word: in a text that names somebody it may be a part of the name.
 LONE = r"(?<![\p{L}\p{M}\p{N}_])\p{Lu}[\p{L}\p{M}]+"
 WITH_LONE = f"{ANY}|{LONE}"
-_TITLE = rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "
+_TITLE = rf"^{_STACK}"
 _PREFIX = rf"^{_LABEL}|{_TITLE}"
 # The letters that surrogate names are made of, by script: consonants, vowels, endings of
 # female, male and other names.
 SCRIPTS = {
-    "latin": ("bdfgklmnprstvz", "aeiou", ("a", "n", "e")),
-    "cyrillic": ("бвгдзклмнпрст", "аеиоу", ("а", "н", "о")),
-    "greek": ("βγδζκλμνπρστ", "αεηιο", ("α", "ς", "ο")),
+    "latin": ("bdfgklmnprstvz", "aeiou", ("a", "on", "e")),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", ("а", "ан", "о")),
+    "greek": ("βγδζκλμνπρστ", "αεηιο", ("α", "ος", "ο")),
 }
 
 
@@ -105,13 +115,18 @@ def kind_of(mention: Column) -> Column:
     return out.when(mention.rlike(f"^(?:{LONE})$"), "lone").otherwise("secret")
 
 
+def _titled(titles: str) -> Column:
+    """Whether one of some titles is among those before a name."""
+    return F.regexp_extract("mention", _TITLE, 0).rlike(rf"(?<![\p{{L}}])(?:{titles})[. -]")
+
+
 def _described(mentions: DataFrame) -> DataFrame:
     """Mentions with type, gender, and the canonical form that names the entity (for names: that of all parts)."""
     m = F.col("mention")
     label = m.rlike(f"^{_LABEL}")
     kind = kind_of(F.regexp_replace(m, f"^{_LABEL}", ""))
     out = mentions.withColumn("kind", F.when(label & kind.isin("lone", "name"), "secret").otherwise(kind)).withColumn("bare", F.regexp_replace(m, _PREFIX, ""))
-    gender = F.when(F.col("kind") != "name", "").when(m.rlike(f"^(?:{FEMALE})[. ]"), "f").when(m.rlike(f"^(?:{MALE})[. ]"), "m").otherwise("")
+    gender = F.when(F.col("kind") != "name", "").when(_titled(FEMALE), "f").when(_titled(MALE), "m").otherwise("")
     low, compact = F.lower("bare"), F.regexp_replace("bare", "[ -]", "")
     digits = F.regexp_replace("bare", r"\D", "")
     digits = F.when(F.col("bare").startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
@@ -208,7 +223,7 @@ def _surrogate(key: str, attempts: int = ATTEMPTS) -> Column:
     grown = F.concat(c, F.when(kind.isin("card", "ssn"), more("0")).otherwise(more("a")))
     shape = F.when(c.rlike("^[0-9a-f]{16,}$"), _same_shape(grown, d, "abcdef")).otherwise(_same_shape(grown, d, marks=True))
     body = F.concat(F.expr("left(canonical, length(canonical) - 1)"), more("0"))
-    card = _same_shape(body, d)
+    card = F.concat(F.substring(body, 1, 1), F.substring(_same_shape(body, d), 2, 99))  # the digit of the issuer stays
     check = F.pmod(F.lit(10) - luhn(F.concat(card, F.lit("0"))), F.lit(10)).cast("string")
     card = F.when(luhn(c) == 0, F.concat(card, check)).otherwise(shape)
     code = F.regexp_extract(c, _CODE, 0)
@@ -217,7 +232,14 @@ def _surrogate(key: str, attempts: int = ATTEMPTS) -> Column:
     size = lambda o: F.least(F.length(o) + wide, F.lit(4))
     octet = lambda o, i: F.when(size(o) == 4, _byte(d, i)).when(size(o) == 3, 100 + F.pmod(_byte(d, i), F.lit(100))).when(size(o) == 2, 10 + F.pmod(_byte(d, i), F.lit(90))).otherwise(1 + F.pmod(_byte(d, i), F.lit(9))).cast("string")
     octets = F.concat(F.split(c, r"\."), F.array_repeat(F.lit("000"), F.greatest(wide - 16, F.lit(0))))
-    ip = F.array_join(F.transform(octets, octet), ".")
+    # a private address stays in its range, and no other one gets into it
+    kept = F.when(c.rlike(r"^(?:10|127)\."), 1).when(c.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\."), 2).otherwise(0)
+    b0 = _byte(d, F.lit(0))
+    head = lambda o: F.when(size(o) == 4, 128 + F.pmod(b0, F.lit(40))).when(size(o) == 3, 101 + F.pmod(b0, F.lit(26))).when(size(o) == 2, 11 + F.pmod(b0, F.lit(89))).otherwise(1 + F.pmod(b0, F.lit(9))).cast("string")
+    ip = F.array_join(F.transform(octets, lambda o, i: F.when(i < kept, o).when(i == 0, head(o)).otherwise(octet(o, i))), ".")
+    # area, group and serial that are issued
+    number = lambda k, most: 1 + F.pmod(F.conv(F.substring(d, k, 7), 16, 10).cast("long"), F.lit(most))
+    ssn = F.concat(F.lpad(number(1, 665).cast("string"), 3, "0"), F.lpad(number(9, 99).cast("string"), 2, "0"), F.lpad(number(17, 9999).cast("string"), 4, "0"), F.substring(_same_shape(more("0"), d), 1, 99))
     access = F.concat(F.lit("AKIA"), _same_shape(F.concat(F.expr("substring(canonical, 5)"), F.upper(more("a"))), d))
     name = None
     for script, (hard, soft, ends) in SCRIPTS.items():
@@ -225,7 +247,7 @@ def _surrogate(key: str, attempts: int = ATTEMPTS) -> Column:
         name = F.when(F.col("script") == script, made) if name is None else name.when(F.col("script") == script, made)
     ip6 = _same_shape(F.concat(c, F.repeat(F.lit("0"), wide)), d, "abcdef")
     iban = _iban(c, d, more("0"))
-    return F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip6", ip6).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "key", access).when(kind == "name", name).otherwise(shape)
+    return F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ip6", ip6).when(kind == "card", card).when((kind == "ssn") & (F.length(c) == 9), ssn).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "key", access).when(kind == "name", name).otherwise(shape)
 
 
 def surrogates(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:

@@ -131,3 +131,41 @@ def test_against_known_places(spark):
             for a, b in zip(v.split(" "), new.split(" "), strict=True):
                 assert of.setdefault((k, a.lower()), b.lower()) == b.lower()
     assert len({(k, v) for (k, _), v in of.items()}) == len(of) and not {(k, v) for (k, _), v in of.items()} & set(of)
+
+
+def replaced(spark, *texts):
+    return [r.text for r in pii.replace(docs(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
+
+
+def test_stacked_titles(spark):
+    de, many, es, she = replaced(
+        spark, "Sehr geehrter Herr Dr. Schmidt, lieber Schmidt!", "Herr Prof. Dr. med. Karl Vogel und Frau Dr. rer. nat. Vogel; Karl kam.", "Sra. Dra. García, la García", "Frau Prof. Berger. Dr. Berger"
+    )
+    assert "Schmidt" not in de and re.fullmatch(r"Sehr geehrter Herr Dr\. (\w+on), lieber \1!", de)
+    assert "Vogel" not in many and "Karl" not in many and re.fullmatch(r"Herr Prof\. Dr\. med\. (\w+) (\w+) und Frau Dr\. rer\. nat\. \2; \1 kam\.", many)
+    assert re.fullmatch(r"Sra\. Dra\. (\w+a), la \1", es)
+    assert re.fullmatch(r"Frau Prof\. (\w+a)\. Dr\. \1", she)
+
+
+def test_surrogates_are_of_their_type(spark):
+    made = replaced(
+        spark, *[f"Mr Name{chr(97 + i)} Tail{'long' * (i % 3)}" for i in range(9)], "Card 4111 1111 1111 1111", "123-45-6789 and 987-65-4321", "10.0.0.1, 192.168.7.20, 172.20.1.1, 127.0.0.1, 8.8.8.8, 100.200.3.4"
+    )
+    for name in made[:9]:
+        for part in name.split()[1:]:
+            assert re.fullmatch(r"([bdfgklmnprstvz][aeiou])+[bdfgklmnprstvz]on", part.lower()), name
+    assert re.match(r"Card 4\d{3} ", made[9]) and luhn(re.sub(r"\D", "", made[9])) and "4111 1111 1111 1111" not in made[9]
+    for area, group, serial in re.findall(r"(\d{3})-(\d\d)-(\d{4})", made[10]):
+        assert area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+    a, b, c, d, e, f = made[11].split(", ")
+    assert a.startswith("10.") and b.startswith("192.168.") and c.startswith("172.20.") and d.startswith("127.")
+    assert not re.match(r"10\.|127\.|192\.168|172\.", e) and not re.match(r"10\.|127\.|192\.|172\.", f)
+    assert not {a, b, c, d, e, f} & {"10.0.0.1", "192.168.7.20", "172.20.1.1", "127.0.0.1", "8.8.8.8", "100.200.3.4"}
+
+
+def test_secrets_in_sentences(spark):
+    one, two, three, four, five = replaced(spark, "the password is hunter2hunter ok", "pass: s3cretvalue.", "the password is required here", "pass: everyone should", "Passwort? pwd = abc12345x")
+    assert "hunter2hunter" not in one and one.startswith("the password is ") and one.endswith(" ok")
+    assert "s3cretvalue" not in two and two.startswith("pass: ")
+    assert (three, four) == ("the password is required here", "pass: everyone should")
+    assert "abc12345x" not in five
