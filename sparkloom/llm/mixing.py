@@ -8,8 +8,8 @@ target, and no document is taken more often than ``most`` times.
 
 No source is ever sorted in one task: documents are counted into ``bins`` of their keys, a running sum
 over a source's bins (a bounded table) finds the bin where the budget ends, and only that bin is
-counted into bins again, until it has at most ``sort_rows`` rows and is sorted. Only rows of equal keys (repeated rows) cannot
-be parted and are sorted together.
+counted into bins again, until it has at most ``sort_rows`` rows and is sorted. Rows of equal keys (repeated rows) cannot
+be parted; they are counted and take one place in that sort.
 
 Targets share ``total`` times all sizes by the sources' weights; a target stops at ``most`` times its
 source's size and the excess is shared again by weight among the others, as long as any is above.
@@ -22,9 +22,9 @@ their equals; an empty table gives an empty mix; a null or unknown quality count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small, stored
 
-MOST, BINS, SORT_ROWS = 3, 1024, 8192
+MOST, BINS, SORT_ROWS, REPEATS = 3, 1024, 8192, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,31 +89,41 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=cyclic_weight
     plan = stored(targets(weights(sources), total, most), "mix-targets").withColumnRenamed("size", "source_size")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))).withColumnRenamed("source", "s")
-    cut = stored(plan.select("s", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0.0).alias("before"), "budget"), "mix-cut")
+    cut = stored(plan.select("s", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0.0).alias("before"), "budget", F.lit(True).alias("open")), "mix-cut")
+    names = ["s", "low", "high", "before", "budget"]
     while True:
         # the cut of a source: keys below low are in, those from high on are out, in between it is open
-        inside = rows.select("source", "size", (F.lit(1.0) - F.exp(-F.col("key"))).alias("part")).join(cut, F.col("source").eqNullSafe(F.col("s"))).where("part >= low and part < high")
-        most_rows = inside.groupBy("s").count().agg(F.max("count")).first()[0] or 0
-        if most_rows <= sort_rows:
+        inside = rows.select("source", "size", (F.lit(1.0) - F.exp(-F.col("key"))).alias("part")).join(cut.where("open"), F.col("source").eqNullSafe(F.col("s"))).where("part >= low and part < high")
+        large = small(inside.groupBy(*names).count().where(F.col("count") > sort_rows).select(*names))
+        if not large.limit(1).count():
             break
-        narrow = inside.withColumn("bin", F.least(F.floor((F.col("part") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)).cast("int"))
-        sums = narrow.groupBy("s", "low", "high", "before", "budget", "bin").agg(F.sum("size").alias("words"))
+        narrow = inside.join(large.select(F.col("s").alias("z")), F.col("s").eqNullSafe(F.col("z")), "left_semi")
+        narrow = narrow.withColumn("bin", F.least(F.floor((F.col("part") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)).cast("int"))
+        sums = narrow.groupBy(*names, "bin").agg(F.sum("size").alias("words"))
         run = Window.partitionBy("s").orderBy("bin")  # at most ``bins`` rows a source
         sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(run)).withColumn("last", F.lead("bin").over(run).isNull())
         # the first bin that reaches the budget, or the last one of all
-        end = sums.where((F.col("upto") >= F.col("budget")) | F.col("last")).groupBy("s", "low", "high", "before", "budget").agg(F.min(F.struct("bin", "upto", "words")).alias("e"))
+        end = sums.where((F.col("upto") >= F.col("budget")) | F.col("last")).groupBy(*names).agg(F.min(F.struct("bin", "upto", "words")).alias("e"))
         width = (F.col("high") - F.col("low")) / bins
-        new = end.select("s", (F.col("low") + F.col("e.bin") * width).alias("l"), F.when(F.col("e.bin") == bins - 1, F.col("high")).otherwise(F.col("low") + (F.col("e.bin") + 1) * width).alias("h"), (F.col("e.upto") - F.col("e.words")).alias("b"), "budget", (F.col("high") - F.col("low")).alias("was"))
-        kept = cut.join(end.select(F.col("s").alias("z")), F.col("s").eqNullSafe(F.col("z")), "left_anti")
-        cut_new = stored(new.select("s", F.col("l").alias("low"), F.col("h").alias("high"), F.col("b").alias("before"), "budget").union(kept.select("s", "low", "high", "before", "budget")), "mix-cut")
-        if new.where("h - l >= was or h - l < 1e-13").count():  # equal keys cannot be parted further
-            break
-        cut = cut_new
+        low, high = F.col("low") + F.col("e.bin") * width, F.when(F.col("e.bin") == bins - 1, F.col("high")).otherwise(F.col("low") + (F.col("e.bin") + 1) * width)
+        # a source whose rows all lie in the last place that can be told apart is narrow enough: its equal rows are counted below
+        parted = (high - low < F.col("high") - F.col("low")) & (high - low >= 1e-13)
+        new = end.select("s", low.alias("low"), high.alias("high"), (F.col("e.upto") - F.col("e.words")).alias("before"), "budget", parted.alias("open"))
+        kept = cut.join(end.select(F.col("s").alias("z")), F.col("s").eqNullSafe(F.col("z")), "left_anti").select(*names, F.lit(False))
+        cut = stored(new.union(kept), "mix-cut")
     rows = rows.withColumn("part", F.lit(1.0) - F.exp(-F.col("key")))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").join(cut.select("s", "low", "high", "before"), F.col("source").eqNullSafe(F.col("s")), "left")
+    # equal rows are one row with their number; what is left of a source between the cuts are few of these
+    same = ["source", "key", "doc_id", "text_md5", "size", "source_size", "target", "epochs", "budget", "before"]
+    middle = rows.where("part >= low and part < high").groupBy(*same).agg(F.count("*").alias("rows"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
-    middle = rows.where("part >= low and part < high").withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    middle = middle.withColumn("extra", ((F.col("budget") > 0) & (F.col("upto") + F.col("size") / 2 <= F.col("budget"))).cast("long"))
+    middle = middle.withColumn("upto", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0)))
+    half = F.col("upto") + F.col("size") / 2
+    more = F.floor((F.col("budget") - half) / F.nullif("size", F.lit(0)))
+    fits = F.when((F.col("budget") <= 0) | (half > F.col("budget")), 0).when(F.col("size") == 0, F.col("rows")).otherwise(F.least(F.col("rows"), more + 1)).cast("long")
+    middle = middle.withColumn("fits", fits).withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(rows - 1) div {REPEATS}"))))
+    middle = middle.withColumn("row", F.explode(F.sequence(F.col("block") * REPEATS, F.least("rows", (F.col("block") + 1) * REPEATS) - 1)))
+    middle = middle.withColumn("extra", (F.col("row") < F.col("fits")).cast("long"))
     outer = rows.where("not (part >= low and part < high)").withColumn("extra", ((F.col("budget") > 0) & (F.col("part") < F.col("low"))).cast("long"))
     names = ["doc_id", "source", "text_md5", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("times")]
     out = middle.select(*names).union(outer.select(*names))

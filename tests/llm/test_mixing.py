@@ -73,3 +73,18 @@ def test_mixed_repeats_rows(spark):
     per = {(r.doc_id, r.source): r.n for r in M.mix(df).groupBy("doc_id", "source").agg({"times": "sum"}).withColumnRenamed("sum(times)", "n").collect() if r.n}
     assert per == {(r.doc_id, r.source): r["count"] for r in out.groupBy("doc_id", "source").count().collect()}
     assert M.mixed(docs(spark, [])).count() == 0
+
+
+def test_a_row_repeated_often_beside_a_large_source(spark, monkeypatch):
+    monkeypatch.setattr(M, "REPEATS", 7)
+    rows = [(1, "one two three", "a")] * 200 + [(i, "w " * (1 + i % 9), "b") for i in range(2, 900)] + [(5000, "", "c")] * 20
+    out = M.mix(docs(spark, rows), bins=4, sort_rows=20).collect()
+    assert len(out) == len(rows)
+    a = [r for r in out if r.source == "a"]
+    taken = sum(r.taken for r in a)
+    assert abs(taken - a[0].target) <= 1.5 and {r.times for r in a} <= {math.floor(a[0].target / 600), math.floor(a[0].target / 600) + 1}
+    b = [r for r in out if r.source == "b"]
+    assert abs(sum(r.taken for r in b) - b[0].target) <= 4.5
+    # in the order of the keys, what is taken once more comes first
+    plain = M.mix(docs(spark, rows), bins=1024, sort_rows=100_000).collect()
+    assert sorted((r.doc_id, r.times) for r in out) == sorted((r.doc_id, r.times) for r in plain)
