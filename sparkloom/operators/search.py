@@ -12,12 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.paths import test_path
 from ..functions.text import budget_path, index_terms, query_terms, truncated
+from ..storage import kept
 
 RRF_K, RRF_WEIGHTS, PLAIN_K = 10, {"vector": 2.0, "lexical": 1.0}, 60
 K1, B = 1.2, 0.75
@@ -64,15 +65,20 @@ class _Best:
         return self.parts[0]
 
 
-def _blocks(queries: DataFrame, order: str, *columns: str) -> Iterator[pa.Table]:
-    """The queries, at most ``QUERY_ROWS`` at a time."""
+def blocks(queries: DataFrame, order: str, *columns: str) -> Iterator[pa.Table]:
+    """The queries, at most ``QUERY_ROWS`` at a time; however often an ``order`` repeats."""
     some = queries.select(*columns).limit(QUERY_ROWS + 1).toArrow()
     if some.num_rows <= QUERY_ROWS:
         yield some
         return
-    parts = -(-queries.count() // (QUERY_ROWS // 2))
-    for i in range(parts):
-        yield from _blocks(queries.where(F.pmod(F.xxhash64(order), F.lit(parts)) == i), order, *columns)
+    # rows are numbered within hash buckets, so that no window holds all of them, and written once, so that their numbers stay
+    parts = -(-queries.count() // QUERY_ROWS)
+    salted = queries.select(*columns, F.pmod(F.xxhash64(order, F.monotonically_increasing_id()), F.lit(2 * parts)).alias("__part"))
+    numbered = kept(salted.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(order))), "queries")
+    sizes = {r["__part"]: r.n for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    for part in sorted(sizes):
+        for a in range(0, sizes[part], QUERY_ROWS):
+            yield numbered.where((F.col("__part") == part) & (F.col("__row") > a) & (F.col("__row") <= a + QUERY_ROWS)).select(*columns).toArrow()
 
 
 def _task_hits(rows: DataFrame, id: str, queries: DataFrame, k: int, names: pa.Array, score_rows) -> DataFrame:
@@ -91,11 +97,11 @@ def _task_hits(rows: DataFrame, id: str, queries: DataFrame, k: int, names: pa.A
     return rows.mapInArrow(run, schema)
 
 
-def _no_hits(rows: DataFrame, id: str, queries: DataFrame) -> DataFrame:
-    return rows.sparkSession.createDataFrame([], StructType([queries.schema["query_id"], rows.schema[id], StructField("score", DoubleType())]))
+def no_hits(id: StructField, spark: SparkSession, queries: DataFrame) -> DataFrame:
+    return spark.createDataFrame([], StructType([queries.schema["query_id"], id, StructField("score", DoubleType())]))
 
 
-def _largest(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def largest(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each column's k largest values, and of what comes within rounding of them."""
     if len(score) > k:
         least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
@@ -119,11 +125,11 @@ def bm25(index: DataFrame, queries: DataFrame, k: int, id: str = "id", scope: Da
     rows = _scoped(index, scope, id)
     terms = queries.select("query_id", F.explode(query_terms(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
     asked, found = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "n")).alias("terms")), None
-    for block in _blocks(asked, "query_id", "query_id", "terms"):
+    for block in blocks(asked, "query_id", "query_id", "terms"):
         if block.num_rows and k > 0:
             hits = _task_hits(rows.select(id, "dl", "terms"), id, queries, k, block["query_id"].combine_chunks(), _bm25_rows(block, index, k))
             found = hits if found is None else found.unionByName(hits)
-    found = _no_hits(rows, id, queries) if found is None else found
+    found = no_hits(rows.schema[id], rows.sparkSession, queries) if found is None else found
     return top_k(found, k, F.round(F.col("score"), 9).desc(), F.col(id))
 
 
@@ -149,35 +155,53 @@ def _term_counts(index: DataFrame, words: pa.Array) -> tuple[int, int, np.ndarra
     return int(count[word == -1].sum()), int(count[word == -2].sum()), df
 
 
-def _bm25_rows(block: pa.Table, index: DataFrame, k: int):
-    """Scores passages against a block of queries, by the statistics of the whole index.
+class Weights:
+    """What the terms of a block of queries weigh in a corpus.
 
     Each term of a passage meets the queries that ask for it; terms that many queries ask for are a matrix product instead.
     """
-    lists = block["terms"].combine_chunks()
-    flat, query = lists.flatten(), np.repeat(np.arange(block.num_rows), np.diff(np.asarray(lists.offsets)))
-    words = pc.unique(flat.field("term"))
-    n, length, df = _term_counts(index, words)
-    avgdl, idf = length / n if length else 1.0, np.log((n - df + 0.5) / (df + 0.5))
-    of = pc.index_in(flat.field("term"), words).to_numpy()
-    weight = flat.field("n").to_numpy() * np.where(idf > 0, idf, 1e-6)[of]
-    asked = np.bincount(of, minlength=len(words))
-    hot = asked > max(8, block.num_rows // 8)
-    dense = np.zeros((int(hot.sum()), block.num_rows))
-    dense[(np.cumsum(hot) - 1)[of[hot[of]]], query[hot[of]]] = weight[hot[of]]
-    order = np.flatnonzero(~hot[of])[np.argsort(of[~hot[of]], kind="stable")]
-    query, weight = query[order], weight[order]
-    count = np.where(hot, 0, asked)
-    first = np.cumsum(count) - count
-
-    def scores(doc, word, part, rows):
-        here = hot[word]
-        tf = np.zeros((rows, len(dense)))
-        tf[doc[here], (np.cumsum(hot) - 1)[word[here]]] = part[here]
-        n = count[word]
-        at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        cell = np.repeat(doc, n) * block.num_rows + query[at]
-        return tf @ dense + np.bincount(cell, np.repeat(part, n) * weight[at], rows * block.num_rows).reshape(rows, block.num_rows)
+
+    @staticmethod
+    def words(block: pa.Table) -> pa.Array:
+        """The distinct terms of ``query_id, terms``."""
+        return pc.unique(block["terms"].combine_chunks().flatten().field("term"))
+
+    def __init__(self, block: pa.Table, words: pa.Array, n: int, length: int, df: np.ndarray):
+        lists = block["terms"].combine_chunks()
+        flat, query = lists.flatten(), np.repeat(np.arange(block.num_rows), np.diff(np.asarray(lists.offsets)))
+        self.queries, self.avgdl = block.num_rows, length / n if length else 1.0
+        idf = np.log((n - df + 0.5) / (df + 0.5))
+        of = pc.index_in(flat.field("term"), words).to_numpy()
+        weight = flat.field("n").to_numpy() * np.where(idf > 0, idf, 1e-6)[of]
+        asked = np.bincount(of, minlength=len(words))
+        self.hot = hot = asked > max(8, block.num_rows // 8)
+        self.place = np.cumsum(hot) - 1
+        self.dense = np.zeros((int(hot.sum()), block.num_rows))
+        self.dense[self.place[of[hot[of]]], query[hot[of]]] = weight[hot[of]]
+        order = np.flatnonzero(~hot[of])[np.argsort(of[~hot[of]], kind="stable")]
+        self.query, self.weight = query[order], weight[order]
+        self.count = np.where(hot, 0, asked)
+        self.first = np.cumsum(self.count) - self.count
+
+    def part(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        """What a term of so many occurrences in a passage of such a length counts, before its weight."""
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
+
+    def scores(self, doc: np.ndarray, word: np.ndarray, part: np.ndarray, rows: int) -> np.ndarray:
+        """Scores of ``rows`` passages by queries, from their distinct terms."""
+        here = self.hot[word]
+        tf = np.zeros((rows, len(self.dense)))
+        tf[doc[here], self.place[word[here]]] = part[here]
+        n = self.count[word]
+        at = np.repeat(self.first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(doc, n) * self.queries + self.query[at]
+        return tf @ self.dense + np.bincount(cell, np.repeat(part, n) * self.weight[at], rows * self.queries).reshape(rows, self.queries)
+
+
+def _bm25_rows(block: pa.Table, index: DataFrame, k: int):
+    """Scores passages against a block of queries, by the statistics of the whole index."""
+    words = Weights.words(block)
+    weights = Weights(block, words, *_term_counts(index, words))
 
     def rows(batch):
         terms = batch.column("terms")
@@ -186,14 +210,14 @@ def _bm25_rows(block: pa.Table, index: DataFrame, k: int):
         doc = np.repeat(np.arange(batch.num_rows), size)[np.asarray(word.is_valid())]
         pair, tf = np.unique(doc * len(words) + word.drop_null().to_numpy(), return_counts=True)
         doc, word = np.divmod(pair, len(words))
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / avgdl))
+        part = weights.part(tf, size[doc])
         # some rows at a time: bounded scores, and bounded meetings of terms and queries
-        work = np.cumsum(np.bincount(doc, count[word], batch.num_rows)) // CELLS + np.arange(batch.num_rows) // max(1, CELLS // block.num_rows)
+        work = np.cumsum(np.bincount(doc, weights.count[word], batch.num_rows)) // CELLS + np.arange(batch.num_rows) // max(1, CELLS // block.num_rows)
         edges = [0, *(np.flatnonzero(np.diff(work)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             lo, hi = np.searchsorted(doc, (a, b))
-            score = scores(doc[lo:hi] - a, word[lo:hi], part[lo:hi], b - a)
-            row, query = _largest(score, k)
+            score = weights.scores(doc[lo:hi] - a, word[lo:hi], part[lo:hi], b - a)
+            row, query = largest(score, k)
             some = score[row, query] > 0
             yield query[some], a + row[some], score[row, query][some]
 
@@ -212,13 +236,13 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id",
     """
     base = _scoped(vectors, scope, id)
     found = None
-    for block in _blocks(queries, "query_id", "query_id", "vector"):
+    for block in blocks(queries, "query_id", "query_id", "vector"):
         lists = block["vector"].combine_chunks()
         for n in pc.unique(pc.fill_null(pc.list_value_length(lists), 0)).to_pylist():
             own = pc.equal(pc.fill_null(pc.list_value_length(lists), 0), n)
-            hits = _task_hits(base.select(id, "embedding"), id, queries, k, block["query_id"].combine_chunks().filter(own), _cosine_rows(_unit(lists.filter(own), n), k)) if k > 0 else _no_hits(base, id, queries)
+            hits = _task_hits(base.select(id, "embedding"), id, queries, k, block["query_id"].combine_chunks().filter(own), _cosine_rows(_unit(lists.filter(own), n), k)) if k > 0 else no_hits(base.schema[id], base.sparkSession, queries)
             found = hits if found is None else found.unionByName(hits)
-    found = _no_hits(base, id, queries) if found is None else found
+    found = no_hits(base.schema[id], base.sparkSession, queries) if found is None else found
     return top_k(found, k, F.round(F.col("score"), 9).desc(), F.col(id))
 
 
@@ -246,7 +270,7 @@ def _cosine_rows(asked: np.ndarray, k: int):
             at = np.flatnonzero(np.asarray(pc.equal(size, n)))
             if len(at):
                 score = _unit(lists.take(pa.array(at)), n) @ asked.T
-                row, query = _largest(score, k)
+                row, query = largest(score, k)
                 yield query, a + at[row], score[row, query]
 
     return rows

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import chunking, evaluate, graph, lines, search, sync
-from ..storage import kept
+from ..operators import chunking, evaluate, graph, inverted, lines, search, sync
+from ..storage import kept, shared_root
 from ..streaming import watch
 
 QUERIES: dict = {}
@@ -234,7 +236,12 @@ def _legs(spark, sf_dir, limit, source=None):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     vectors, asked = _vectors(spark, sf_dir, items)
     docs = source if source is not None else table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.vector_top_k(vectors, asked, k), search.bm25(kept(search.postings(docs), "postings"), items, k)
+    return kept(search.vector_top_k(vectors, asked, k), "vector-leg"), kept(_index(docs).bm25(items, k), "lexical-leg")
+
+
+def _index(docs):
+    """An inverted index of ``id, text`` among the intermediate tables."""
+    return inverted.InvertedIndex.write(docs, f"{shared_root(docs.sparkSession)}/index-{uuid.uuid4().hex}")
 
 
 def _ranked(df):
@@ -250,7 +257,7 @@ def vector_topk(spark, sf_dir):
 @query("with " + _BM25.format(passages=_DOCS, k=15) + " select query_id, id, round(score, 6) as score, rank from lex")
 def bm25_topk(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark")
-    return _ranked(search.bm25(kept(search.postings(docs), "postings"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), search.candidates(5)))
+    return _ranked(_index(docs).bm25(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), search.candidates(5)))
 
 
 @query("with " + ", ".join([_BM25.format(passages=_DOCS, k=15), _VEC.format(k=15), _RRF]) + " select query_id, id, round(score, 6) as score, rank from fu")
