@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,17 @@ from pyspark.sql import functions as F
 
 from .functions.paths import IGNORE_DIRS, like_prefix
 from .functions.text import index_terms, normalised, source_path, stub_embedding, task_prefix
-from .operators import graph, lines, search, symbols, sync
+from .operators import graph, inverted, lines, search, symbols, sync
 from .sources import files as sources
 from .sources.store import Table
+from .storage import kept
 from .streaming import watch
 
 PASSAGES = "agent_id string, id string, file_path string, text string, terms array<string>, dl int, embedding array<float>, seq long, created_at timestamp"
 BLOCKS = "agent_id string, label string, value string"
 AGENTS = "agent_id string, name string, model string, tags array<string>, created_at timestamp"
+HASHES = "agent_id string, path string, sha256 string"
+INDEXES = "name string, version long, path string"
 STATE = "agent_id string, last_bootstrap string, last_sync_commit string, last_sync_at string, last_consolidated_at string"
 EDITABLE_BLOCKS = ("architecture", "conventions")
 
@@ -26,14 +30,15 @@ class Engine:
     """Agents, passages and blocks under a root folder that Spark can read and write.
 
     Tables are laid out by agent and only ever added to (``sources.store``), so a search of one agent reads that agent's
-    rows, a write adds its own rows, and readers never see half of a write. ``compact`` rewrites what was replaced. ``embed``
+    rows, a write adds its own rows, and readers never see half of a write. ``compact`` rewrites what was replaced,
+    ``build_index`` inverts the passages for word search. ``embed``
     maps a text column to an embedding column (the default is a deterministic stub), and ``chunk`` maps
     ``path, content`` to ``source_path, chunk_no, text`` (the default cuts by symbols).
     """
 
     def __init__(self, spark: SparkSession, root: str, embed=stub_embedding, model: str = "stub", chunk: Callable[[DataFrame], DataFrame] = symbols.symbol_chunks):
         self.spark, self.root, self.embed, self.model, self.chunk = spark, root.rstrip("/"), embed, model, chunk
-        keys = {"passages": (PASSAGES, ["agent_id", "id"]), "blocks": (BLOCKS, ["agent_id", "label"]), "agents": (AGENTS, ["agent_id"]), "state": (STATE, ["agent_id"])}
+        keys = {"passages": (PASSAGES, ["agent_id", "id"]), "blocks": (BLOCKS, ["agent_id", "label"]), "agents": (AGENTS, ["agent_id"]), "state": (STATE, ["agent_id"]), "hashes": (HASHES, ["agent_id", "path"]), "indexes": (INDEXES, ["name"])}
         self.tables = {name: Table(spark, f"{self.root}/{name}", schema, key) for name, (schema, key) in keys.items()}
 
     @property
@@ -53,6 +58,16 @@ class Engine:
         """When and at which commit each agent was synchronised; agents without an entry have none."""
         return self.tables["state"].read()
 
+    def hashes(self, agent_id: str) -> DataFrame:
+        """``path, sha256`` of the files that an agent's passages were made of."""
+        return self.tables["hashes"].read(F.col("agent_id") == agent_id).select("path", "sha256")
+
+    def passage_map(self, agent_id: str) -> DataFrame:
+        """``path, pos, passage_id`` of an agent's indexed files."""
+        path, number = F.regexp_extract("id", "^(.*)#([0-9]+)$", 1), F.regexp_extract("id", "^(.*)#([0-9]+)$", 2)
+        rows = self.tables["passages"].read(F.col("agent_id") == agent_id)
+        return rows.where(F.col("id").rlike("#[0-9]+$")).select(path.alias("path"), number.cast("int").alias("pos"), F.col("id").alias("passage_id"))
+
     def compact(self) -> None:
         """Rewrite every table without what was replaced."""
         for table in self.tables.values():
@@ -67,7 +82,8 @@ class Engine:
 
     def delete_agent(self, agent_id: str) -> None:
         for table in self.tables.values():
-            table.remove(table.read(F.col("agent_id") == agent_id))
+            if table.keys[0] == "agent_id":
+                table.remove(table.read(F.col("agent_id") == agent_id))
 
     def purge(self, agent_id: str) -> None:
         self.tables["passages"].remove(self.passages.where(F.col("agent_id") == agent_id))
@@ -87,11 +103,12 @@ class Engine:
         rows = batch if "seq" in batch.columns else sync.numbered(batch)
         rows = sync.latest(rows, ["agent_id", "id"], "seq")
         vector = normalised(self.embed(F.concat(F.lit(task_prefix(self.model, "document")), F.col("text")))).cast("array<float>")
-        now = store.read()
-        top, known = now.agg(F.coalesce(F.max("seq"), F.lit(0)), F.max(F.size("embedding"))).first()
+        notes = store.info()
+        top, known = notes.get("seq", 0), notes.get("dimension")
         rows = rows.select("agent_id", "id", source_path("text").alias("file_path"), "text", index_terms("text").alias("terms"), vector.alias("embedding"), (F.col("seq") + top).cast("long").alias("seq"), F.current_timestamp().alias("created_at"))
         rows, _ = sync.checked_dimension(rows.withColumn("dl", F.size("terms")), known)
-        store.put(rows)
+        # the next write begins where this one ends, and reads no passages for it
+        store.put(rows, lambda part: {k: v for k, v in part.agg(F.max("seq").alias("seq"), F.max(F.size("embedding")).alias("dimension")).first().asDict().items() if v is not None})
 
     def delete_passages(self, ids: DataFrame) -> None:
         self.tables["passages"].remove(ids)
@@ -146,16 +163,36 @@ class Engine:
         k = search.candidates(limit) if limit > 0 else 0
         asked = queries.select("query_id", normalised(self.embed(F.concat(F.lit(task_prefix(self.model, "query")), F.col("query")))).cast("array<float>").alias("vector"))
         scope = every.where(inside)
-        return search.vector_top_k(scope, asked, k), search.bm25(every, queries, k, scope=inside), scope
+        vector = kept(search.vector_top_k(scope, asked, k), "vector-leg")
+        index = self._index()
+        lexical = search.bm25(every, queries, k, scope=inside) if index is None else index.bm25(queries, k, group=agent_id, scope=scope if path_prefix else None)
+        return vector, kept(lexical, "lexical-leg"), scope
+
+    def build_index(self) -> None:
+        """Invert all passages as they are now; searches use it until passages change, and scan their terms from then on."""
+        version = (self.tables["passages"].pointer() or {"version": 0})["version"]
+        path = f"{self.root}/inverted/{version}-{uuid.uuid4().hex}"
+        inverted.InvertedIndex.write(self.passages.select("agent_id", "id", "terms"), path, group="agent_id")
+        self.tables["indexes"].put(self.spark.createDataFrame([("passages", version, path)], INDEXES))
+
+    def _index(self) -> inverted.InvertedIndex | None:
+        """The index of the passages' last version, if there is one."""
+        now = self.tables["passages"].pointer()
+        row = self.tables["indexes"].read(F.col("name") == "passages").head(1) if now else []
+        return inverted.InvertedIndex(self.spark, row[0].path) if row and row[0].version == now["version"] else None
 
     def index(self, agent_id: str, files: DataFrame) -> None:
-        """Chunk ``path, content`` and write the chunks; a chunk's id is its path and number."""
+        """Chunk ``path, content`` and write the chunks and the files' hashes; a chunk's id is its path and number."""
         made = self.chunk(files)
         self.write_passages(made.select(F.lit(agent_id).alias("agent_id"), F.concat_ws("#", "source_path", F.col("chunk_no").cast("string")).alias("id"), "text"))
+        self.tables["hashes"].put(sync.content_hashes(files).dropDuplicates(["path"]).select(F.lit(agent_id).alias("agent_id"), "path", "sha256"))
+
+    def sync(self, agent_id: str, changed: DataFrame, files: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+        """Apply changed paths: new chunks are written before old ones go, and hashes last, so that what fails is done again; gives ``path, action, sha256``.
 
-    def sync(self, agent_id: str, changed: DataFrame, files: DataFrame, hashes: DataFrame) -> DataFrame:
-        """Apply changed paths: new chunks are written before old ones go; gives ``path, action, sha256``."""
-        plan = sync.hash_diff(changed, files, hashes)
+        ``hashes`` (``path, sha256`` of what is indexed) are by default those that earlier runs kept.
+        """
+        plan = kept(sync.hash_diff(changed, files, self.hashes(agent_id) if hashes is None else hashes), "sync-plan")
         again = files.join(plan.where("action = 'reindexed'"), "path", "left_semi")
         before = self.passages.where(F.col("agent_id") == agent_id)
         made = self.chunk(again).select(F.lit(agent_id).alias("agent_id"), F.concat_ws("#", "source_path", F.col("chunk_no").cast("string")).alias("id"), "text")
@@ -163,7 +200,14 @@ class Engine:
         stale = before.withColumn("path", path).join(plan.where("action <> 'unchanged'"), "path", "left_semi").select("agent_id", "id").join(made.select("id"), "id", "left_anti")
         if again.limit(1).count():
             self.write_passages(made)
-        self.delete_passages(stale.select("agent_id", "id"))
+        stale = kept(stale.select("agent_id", "id"), "stale")
+        if stale.limit(1).count():
+            self.delete_passages(stale)
+        own = plan.select(F.lit(agent_id).alias("agent_id"), "path", "sha256", "action")
+        if own.where("action = 'reindexed'").limit(1).count():
+            self.tables["hashes"].put(own.where("action = 'reindexed'").drop("action"))
+        if own.where("action = 'removed'").limit(1).count():
+            self.tables["hashes"].remove(own.where("action = 'removed'"))
         return plan
 
     def reconcile(self, agent_id: str, local: DataFrame) -> DataFrame:
@@ -216,9 +260,6 @@ class Engine:
         """Keep an agent in step with a stream of ``repo, path`` events; ``files`` gives ``path, content, size_kb`` as they are."""
 
         def apply(changed: DataFrame, number: int) -> None:
-            now = files()
-            known = self.passages.where(F.col("agent_id") == agent_id).select("file_path").where("file_path is not null").distinct()
-            empty = known.select(F.col("file_path").alias("path"), F.lit("").alias("sha256"))
-            self.sync(agent_id, changed.where(F.col("repo") == agent_id).select("path").distinct(), now, empty)
+            self.sync(agent_id, changed.where(F.col("repo") == agent_id).select("path").distinct(), files())
 
         return watch.watch(events, apply, checkpoint, **kw)

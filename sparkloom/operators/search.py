@@ -81,7 +81,7 @@ def blocks(queries: DataFrame, order: str, *columns: str) -> Iterator[pa.Table]:
             yield numbered.where((F.col("__part") == part) & (F.col("__row") > a) & (F.col("__row") <= a + QUERY_ROWS)).select(*columns).toArrow()
 
 
-def _task_hits(rows: DataFrame, id: str, queries: DataFrame, k: int, names: pa.Array, score_rows) -> DataFrame:
+def task_hits(rows: DataFrame, id: str, queries: DataFrame, k: int, names: pa.Array, score_rows) -> DataFrame:
     """``query_id, id, score``: each task's best of ``score_rows``, which gives (query, row, score) arrays of a batch."""
 
     def run(batches):
@@ -127,7 +127,7 @@ def bm25(index: DataFrame, queries: DataFrame, k: int, id: str = "id", scope: Da
     asked, found = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "n")).alias("terms")), None
     for block in blocks(asked, "query_id", "query_id", "terms"):
         if block.num_rows and k > 0:
-            hits = _task_hits(rows.select(id, "dl", "terms"), id, queries, k, block["query_id"].combine_chunks(), _bm25_rows(block, index, k))
+            hits = task_hits(rows.select(id, "dl", "terms"), id, queries, k, block["query_id"].combine_chunks(), _bm25_rows(block, index, k))
             found = hits if found is None else found.unionByName(hits)
     found = no_hits(rows.schema[id], rows.sparkSession, queries) if found is None else found
     return top_k(found, k, F.round(F.col("score"), 9).desc(), F.col(id))
@@ -240,13 +240,13 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id",
         lists = block["vector"].combine_chunks()
         for n in pc.unique(pc.fill_null(pc.list_value_length(lists), 0)).to_pylist():
             own = pc.equal(pc.fill_null(pc.list_value_length(lists), 0), n)
-            hits = _task_hits(base.select(id, "embedding"), id, queries, k, block["query_id"].combine_chunks().filter(own), _cosine_rows(_unit(lists.filter(own), n), k)) if k > 0 else no_hits(base.schema[id], base.sparkSession, queries)
+            hits = task_hits(base.select(id, "embedding"), id, queries, k, block["query_id"].combine_chunks().filter(own), _cosine_rows(unit(lists.filter(own), n), k)) if k > 0 else no_hits(base.schema[id], base.sparkSession, queries)
             found = hits if found is None else found.unionByName(hits)
     found = no_hits(base.schema[id], base.sparkSession, queries) if found is None else found
     return top_k(found, k, F.round(F.col("score"), 9).desc(), F.col(id))
 
 
-def _unit(lists: pa.Array, n: int) -> np.ndarray:
+def unit(lists: pa.Array, n: int) -> np.ndarray:
     """Rows of length 1 in double precision; null, zero and non-finite ones become zero."""
     out = np.zeros((len(lists), n))
     given = np.asarray(lists.is_valid())
@@ -269,7 +269,7 @@ def _cosine_rows(asked: np.ndarray, k: int):
             size = pc.fill_null(pc.list_value_length(lists), n)
             at = np.flatnonzero(np.asarray(pc.equal(size, n)))
             if len(at):
-                score = _unit(lists.take(pa.array(at)), n) @ asked.T
+                score = unit(lists.take(pa.array(at)), n) @ asked.T
                 row, query = largest(score, k)
                 yield query, a + at[row], score[row, query]
 
