@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from .functions.paths import IGNORE_DIRS, like_prefix
 from .functions.text import index_terms, normalised, source_path, stub_embedding, task_prefix
 from .operators import graph, inverted, lines, search, symbols, sync
+from .sources import changes, git
 from .sources import files as sources
 from .sources.store import Table
 from .storage import kept
-from .streaming import watch
+from .streaming import live, watch
 
 PASSAGES = "agent_id string, id string, file_path string, text string, terms array<string>, dl int, embedding array<float>, seq long, created_at timestamp"
 BLOCKS = "agent_id string, label string, value string"
@@ -263,3 +265,23 @@ class Engine:
             self.sync(agent_id, changed.where(F.col("repo") == agent_id).select("path").distinct(), files())
 
         return watch.watch(events, apply, checkpoint, **kw)
+
+    def watch(self, repos: dict[str, str], files: Callable[[str], DataFrame], checkpoint: str, events: DataFrame | None = None, include: Callable | None = None, ignore: list[str] | None = None, **options):
+        """Keep agents in step with the commits of their checked-out folders, and with ``events`` (``repo, path``) where given.
+
+        Commits are read from the one of the last sync on. What is due is applied repository by repository; a failure makes its
+        repository wait, longer each time, and is tried again. Repositories without an agent are left alone.
+        """
+        known = {r.agent_id for r in self.agents.where(F.col("agent_id").isin(list(repos))).collect()}
+        state = self.state.where(F.col("agent_id").isin(sorted(known)) & F.col("last_sync_commit").isNotNull())
+        since = {r.agent_id: r.last_sync_commit for r in state.collect()}
+        stream = live.events_of(changes.changes(self.spark, {r: f for r, f in repos.items() if r in known}, since, ignore), include=include)
+        if events is not None:
+            stream = stream.unionByName(live.events_of(events.where(F.col("repo").isin(sorted(known))), ignore, include))
+
+        def apply(repo: str, changed: DataFrame, number: int) -> None:
+            head = git.head(repos[repo])
+            self.sync(repo, changed, files(repo))
+            self.save_state(repo, last_sync_commit=head, last_sync_at=datetime.now(UTC).isoformat(timespec="milliseconds"))
+
+        return live.watch_live(stream, apply, checkpoint, **options)

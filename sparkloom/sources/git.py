@@ -37,6 +37,18 @@ def exists(repo: str, commit: str) -> bool:
     return _git(repo, "cat-file", "-e", f"{commit}^{{commit}}") is not None
 
 
+def between(repo: str, start: str, end: str) -> list[str] | None:
+    """Paths that changed from one commit to another; None if git fails."""
+    out = _git(repo, "-c", "core.quotePath=false", "diff", "--name-only", f"{start}..{end}")
+    return None if out is None else [p for p in out.split("\n") if p]
+
+
+def tracked(repo: str, commit: str) -> list[str] | None:
+    """All paths of a commit; None if git fails."""
+    out = _git(repo, "-c", "core.quotePath=false", "ls-tree", "-r", "--name-only", commit)
+    return None if out is None else [p for p in out.split("\n") if p]
+
+
 def diff(spark: SparkSession, repo: str, since: str) -> DataFrame | None:
     """``path`` of the files that changed from a commit to the one checked out; None if git fails, no rows if nothing changed."""
     out = _git(repo, "-c", "core.quotePath=false", "diff", "--name-only", f"{since}..HEAD")
