@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import def_id, file_id
-from ..storage import kept
+from ..storage import kept, small
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 50, 1e-8
 # What is tried after a module's path, in order.
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".go", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
+#: So many lengths of what aliases begin with are taken one by one; beyond, all lengths of a module are.
+MOST_LENGTHS = 64
+#: A name with more definitions than this is split over several keys of a join.
+HOT_NAME = 1024
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -61,30 +65,46 @@ def resolved_modules(imports: DataFrame, files: DataFrame, aliases: DataFrame |
     """``path, module, target``: the file that a module names; modules without one are left out.
 
     Relative names are tried first, then Python's leading dots, then path aliases ``ord, pattern,
-    target`` in their order; for each the first existing file among the usual suffixes.
+    target`` in their order; for each the first existing file among the usual suffixes. Where all tables have a column ``repo``,
+    each repository is resolved by its own files and aliases, and ``repo`` is returned too.
     """
-    known = imports.select("path", "module").distinct()
+    scope = ["repo"] if "repo" in imports.columns and "repo" in files.columns and (aliases is None or "repo" in aliases.columns) else []
+    keys = [*scope, "path", "module"]
+    known = imports.select(*keys).distinct()
     folder = _folder(F.col("path"))
     joined = F.concat_ws("/", folder, "module")
-    relative = known.where(F.col("module").rlike(r"^\.{1,2}(/|$)")).select("path", "module", F.lit(0).alias("tier"), _dots_resolved(joined).alias("base"))
+    relative = known.where(F.col("module").rlike(r"^\.{1,2}(/|$)")).select(*keys, F.lit(0).alias("tier"), _dots_resolved(joined).alias("base"))
     dots = F.length(F.regexp_extract("module", r"^(\.+)", 1))
     rest = F.translate(F.regexp_replace("module", r"^\.+", ""), ".", "/")
     ups = F.array_join(F.transform(F.sequence(F.lit(1), dots), lambda i: F.when(i == 1, ".").otherwise("..")), "/")
-    python = known.where(F.col("path").endswith(".py") & F.col("module").rlike(r"^\.+\w*(\.\w+)*$")).select("path", "module", F.lit(1).alias("tier"), _dots_resolved(F.concat_ws("/", folder, ups, rest)).alias("base"))
-    absolute = known.where(F.col("path").endswith(".py") & F.col("module").rlike(r"^\w+(\.\w+)*$")).select("path", "module", F.lit(2).alias("tier"), F.translate("module", ".", "/").alias("base"))
+    python = known.where(F.col("path").endswith(".py") & F.col("module").rlike(r"^\.+\w*(\.\w+)*$")).select(*keys, F.lit(1).alias("tier"), _dots_resolved(F.concat_ws("/", folder, ups, rest)).alias("base"))
+    absolute = known.where(F.col("path").endswith(".py") & F.col("module").rlike(r"^\w+(\.\w+)*$")).select(*keys, F.lit(2).alias("tier"), F.translate("module", ".", "/").alias("base"))
     tried = relative.unionByName(python).unionByName(absolute)
     if aliases is not None:
-        star = F.broadcast(aliases.select("ord", "pattern", F.col("target").alias("to"), F.substring_index("pattern", "*", 1).alias("pre"), F.when(F.contains("pattern", F.lit("*")), F.substring_index("pattern", "*", -1)).alias("post")))
-        fits = (F.col("module") == F.col("pattern")) | (F.col("post").isNotNull() & F.col("module").startswith(F.col("pre")) & F.col("module").endswith(F.col("post")) & (F.length("module") >= F.length("pre") + F.length("post")))
-        middle = F.expr("substring(module, length(pre) + 1, length(module) - length(pre) - length(post))")
-        hit = known.where(~F.col("module").rlike(r"^\.")).join(star, fits)
-        base = F.when(F.col("post").isNotNull(), F.replace("to", F.lit("*"), middle)).otherwise(F.col("to"))
-        tried = tried.unionByName(hit.select("path", "module", (F.lit(10) + F.col("ord")).alias("tier"), _dots_resolved(base).alias("base")))
+        hit = _aliased(known.where(~F.col("module").rlike(r"^\.")), aliases, scope)
+        tried = tried.unionByName(hit.select(*keys, (F.lit(10) + F.col("ord")).alias("tier"), _dots_resolved(F.col("to")).alias("base")))
     options = F.array(*[F.lit(s) for s in SUFFIXES])
-    each = tried.where("base is not null").select("path", "module", "tier", F.posexplode(F.transform(options, lambda s: F.ltrim(F.concat("base", s)))).alias("pos", "file"))
+    each = tried.where("base is not null").select(*keys, "tier", F.posexplode(F.transform(options, lambda s: F.ltrim(F.concat("base", s)))).alias("pos", "file"))
     each = each.withColumn("file", F.regexp_replace("file", "^/", ""))
-    found = each.join(files.select(F.col("path").alias("file")).distinct(), "file")
-    return found.groupBy("path", "module").agg(F.min(F.struct("tier", "pos", "file")).alias("b")).select("path", "module", F.col("b.file").alias("target"))
+    found = each.join(files.select(*scope, F.col("path").alias("file")).distinct(), [*scope, "file"])
+    return found.groupBy(*keys).agg(F.min(F.struct("tier", "pos", "file")).alias("b")).select(*keys, F.col("b.file").alias("target"))
+
+
+def _aliased(modules: DataFrame, aliases: DataFrame, scope: list[str]) -> DataFrame:
+    """The rows of ``modules`` with ``ord`` and ``to`` for each alias that fits: by equality with a module, or with what a star's pattern begins with.
+
+    The beginnings of a module are as many as its characters, and only those as long as some pattern's are made.
+    """
+    parts = aliases.select(*scope, "ord", "pattern", F.col("target").alias("to"), F.contains("pattern", F.lit("*")).alias("star"))
+    plain = modules.join(parts.where("not star").select(*scope, F.col("pattern").alias("module"), "ord", "to"), [*scope, "module"])
+    stars = parts.where("star").select(*scope, "ord", "to", F.substring_index("pattern", "*", 1).alias("pre"), F.substring_index("pattern", "*", -1).alias("post"))
+    lengths = [r.n for r in stars.select(F.length("pre").alias("n")).distinct().orderBy("n").limit(MOST_LENGTHS + 1).collect()]
+    wanted = F.array(*[F.lit(n) for n in lengths]) if len(lengths) <= MOST_LENGTHS else F.sequence(F.lit(0), F.length("module"))
+    begun = modules.withColumn("n", F.explode(wanted)).where("n <= length(module)").withColumn("pre", F.expr("left(module, n)"))
+    fits = begun.join(stars, [*scope, "pre"]).where("endswith(module, post) and length(module) >= n + length(post)")
+    middle = F.expr("substring(module, n + 1, length(module) - n - length(post))")
+    # a target without a star is the file itself
+    return plain.unionByName(fits.withColumn("to", F.replace("to", F.lit("*"), middle)).select(*plain.columns))
 
 
 def symbol_nodes(defs: DataFrame, files: DataFrame) -> DataFrame:
@@ -122,27 +142,58 @@ def symbol_edges(defs: DataFrame, refs: DataFrame, files: DataFrame, aliases: Da
     targets = named.unionByName(whole).unionByName(best)
     import_edges = targets.select(file_id("path").alias("src"), F.col("id").alias("dst"), F.lit("import").alias("kind"))
 
-    calls = refs.where("kind = 'call'").select("ref_id", "path", "callee", "object")
-    mine = ids.select("path", "id", "qualified", "name", "owner", "kind")
-    same = calls.join(mine, "path").where(
-        (F.col("object").isNotNull() & (((F.col("name") == F.col("callee")) & (F.col("owner") == F.col("object"))) | (F.col("qualified") == F.concat_ws(".", "object", "callee"))))
-        | (F.col("object").isNull() & ((F.col("qualified") == F.col("callee")) | (F.col("name") == F.col("callee"))))
-    )
-    hits = same.select("ref_id", "path", F.lit(0).alias("tier"), "id")
-    through = targets.select("path", F.col("local"), F.col("name").alias("iname"), F.col("id").alias("tid"), "dname", "qualified")
-    bare = calls.where("object is null").join(through, (calls.path == through.path) & (calls.callee == through.local)).select("ref_id", calls.path, F.lit(1).alias("tier"), F.col("tid").alias("id"))
-    space = calls.where("object is not null").join(through.where("iname = '*'"), (calls.path == through.path) & (calls.object == through.local) & (calls.callee == through.dname)).select("ref_id", calls.path, F.lit(1).alias("tier"), F.col("tid").alias("id"))
-    members = ids.where("owner is not null").select(F.col("owner").alias("o"), F.col("name").alias("m"), F.col("id").alias("mid"), F.col("path").alias("mpath"))
+    # equal calls of a file bind alike
+    calls = kept(refs.where("kind = 'call'").select("path", "callee", "object").distinct(), "calls")
+    call_edges = _bound_calls(calls, ids, targets).select(file_id("path").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("kind"))
+    return import_edges.unionByName(call_edges).distinct()
+
+
+def _bound_calls(calls: DataFrame, ids: DataFrame, targets: DataFrame) -> DataFrame:
+    """``path, id``: what calls bind to, tier by tier; each tier takes only the calls that those before it left."""
+    mine = ids.select("path", "id", "qualified", "name", "owner")
+    through = targets.select("path", F.col("local"), F.col("name").alias("iname"), F.col("id").alias("tid"), "dname")
+    members = ids.where("owner is not null").select(F.col("owner").alias("o"), F.col("name").alias("m"), "id", F.col("path").alias("mpath"))
     owner = through.where("iname <> '*'").join(ids.select(F.col("id").alias("tid"), F.col("path").alias("tpath"), F.col("name").alias("tname")), "tid")
-    member = calls.where("object is not null").join(owner, (calls.path == owner.path) & (calls.object == owner.local))
-    member = member.join(members, (F.col("tpath") == F.col("mpath")) & (F.col("tname") == F.col("o")) & (F.col("callee") == F.col("m"))).select("ref_id", calls.path, F.lit(2).alias("tier"), F.col("mid").alias("id"))
+
+    def same(left: DataFrame) -> DataFrame:
+        owned, named = left.where("object is not null"), left.where("object is null")
+        by_owner = owned.join(mine.select("path", F.col("owner").alias("object"), F.col("name").alias("callee"), "id"), ["path", "object", "callee"])
+        full = owned.withColumn("q", F.concat_ws(".", "object", "callee")).join(mine.select("path", F.col("qualified").alias("q"), "id"), ["path", "q"])
+        bare = mine.select("path", F.explode(F.array("name", "qualified")).alias("callee"), "id").distinct()
+        return by_owner.select(*_CALL, "id").union(full.select(*_CALL, "id")).union(named.join(bare, ["path", "callee"]).select(*_CALL, "id"))
+
+    def imported(left: DataFrame) -> DataFrame:
+        bare = left.where("object is null").join(through.select("path", F.col("local").alias("callee"), F.col("tid").alias("id")), ["path", "callee"])
+        space = left.where("object is not null").join(through.where("iname = '*'").select("path", F.col("local").alias("object"), F.col("dname").alias("callee"), F.col("tid").alias("id")), ["path", "object", "callee"])
+        return bare.select(*_CALL, "id").union(space.select(*_CALL, "id"))
+
+    def member(left: DataFrame) -> DataFrame:
+        of = left.where("object is not null").join(owner.select("path", F.col("local").alias("object"), "tpath", "tname"), ["path", "object"])
+        return of.join(members, (F.col("tpath") == F.col("mpath")) & (F.col("tname") == F.col("o")) & (F.col("callee") == F.col("m"))).select(*_CALL, "id")
+
     full = F.when(F.col("object").isNotNull(), F.concat_ws(".", "object", "callee")).otherwise(F.col("callee"))
-    by_qualified = calls.withColumn("q", full).join(ids.select(F.col("qualified").alias("q"), "id"), "q").select("ref_id", "path", F.lit(3).alias("tier"), "id")
-    by_name = calls.withColumn("q", F.col("callee")).join(ids.select(F.col("name").alias("q"), "id"), "q").select("ref_id", "path", F.lit(4).alias("tier"), "id")
-    every = hits.union(bare).union(space).union(member).union(by_qualified).union(by_name)
-    first = every.groupBy("ref_id").agg(F.min("tier").alias("least"))
-    call_edges = every.join(first, "ref_id").where("tier = least").select(file_id("path").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("kind"))
-    return import_edges.unionByName(call_edges).distinct()
+    tiers = [same, imported, member, lambda left: _anywhere(left.withColumn("q", full), ids, "qualified"), lambda left: _anywhere(left.withColumn("q", F.col("callee")), ids, "name")]
+    left, out = calls, None
+    for number, tier in enumerate(tiers):
+        hits = tier(left)
+        if number < len(tiers) - 1:
+            hits = kept(hits, f"calls-{number}")
+            done = hits.select(*[F.col(c).alias(f"__{c}") for c in _CALL]).distinct()
+            left = left.join(done, (F.col("path") == F.col("__path")) & (F.col("callee") == F.col("__callee")) & F.col("object").eqNullSafe(F.col("__object")), "left_anti")
+        out = hits.select("path", "id") if out is None else out.union(hits.select("path", "id"))
+    return out
+
+
+_CALL = ["path", "callee", "object"]
+
+
+def _anywhere(calls: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Calls with all definitions of the name ``q``; a name of very many is dealt over as many keys as it needs."""
+    defs = ids.select(F.col(name).alias("q"), "id")
+    hot = small(defs.groupBy("q").agg(F.ceil(F.count("*") / HOT_NAME).cast("int").alias("parts")).where("parts > 1"))
+    dealt = defs.join(hot, "q", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    asked = calls.join(hot, "q", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    return asked.select(*_CALL, "q", "part").join(dealt.select("q", "part", "id"), ["q", "part"]).select(*_CALL, "id")
 
 
 def _named(bound: DataFrame, there: DataFrame, exports: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import chunking, evaluate, graph, inverted, lines, search, sync
+from ..operators import chunking, evaluate, graph, inverted, lines, pivots, search, sync
 from ..storage import kept, shared_root
 from ..streaming import watch
 
@@ -254,6 +254,14 @@ def vector_topk(spark, sf_dir):
     return _ranked(search.vector_top_k(*_vectors(spark, sf_dir, items), search.candidates(5)))
 
 
+@query(SQL["vector_topk"])
+def vector_topk_pivots(spark, sf_dir):
+    """As ``vector_topk``, by an index of cells around pivots."""
+    vectors, asked = _vectors(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")))
+    index = pivots.PivotIndex.write(vectors, f"{shared_root(spark)}/pivots-{uuid.uuid4().hex}")
+    return _ranked(index.top_k(asked, search.candidates(5)))
+
+
 @query("with " + _BM25.format(passages=_DOCS, k=15) + " select query_id, id, round(score, 6) as score, rank from lex")
 def bm25_topk(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark")
@@ -607,6 +615,26 @@ def module_resolution(spark, sf_dir):
     return graph.resolved_modules(refs.where("kind = 'import'"), sources, aliases)
 
 
+_STEM = "regexp_extract(path, '([^/]*)\\.[a-z]+$', 1)"
+
+
+@query(
+    f"""with f as (select source as repo, path, {_STEM} as stem, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, regexp_extract(path, '\\.[a-z]+$') in ('.ts', '.py', '.go') as known from {FILES_SQL} f0 where source is not null),
+m as (select repo, min(path) as first from f group by repo)
+select repo, path, '@' || repo || '/' || stem as module, path as target from f where known union all select repo, path, 'gen/' || stem || '.x', path from f where known union all select f.repo, path, 'main', first from f join m using (repo)"""
+)
+def module_aliases(spark, sf_dir):
+    """Each repository has an exact alias, and two with a star, one of them with an end; each file imports by all three, and by one of nobody."""
+    code = files(spark, sf_dir).where("source is not null").select(F.col("source").alias("repo"), "path")
+    folder, stem = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.regexp_extract("path", r"([^/]*)\.[a-z]+$", 1)
+    names = F.array(F.concat(F.lit("@"), "repo", F.lit("/"), stem), F.concat(F.lit("gen/"), stem, F.lit(".x")), F.lit("main"), F.concat(F.lit("@nobody/"), stem))
+    each = code.groupBy("repo").agg(F.min("path").alias("first"), F.min(folder).alias("dir"))
+    rule = lambda ord, pattern, target: F.struct(F.lit(ord).alias("ord"), pattern.alias("pattern"), target.alias("target"))
+    inside = F.concat("dir", F.lit("/*"))
+    rules = each.select("repo", F.explode(F.array(rule(0, F.concat(F.lit("@"), "repo", F.lit("/*")), inside), rule(1, F.lit("gen/*.x"), inside), rule(2, F.lit("main"), F.col("first"))))).select("repo", "col.*")
+    return graph.resolved_modules(code.withColumn("module", F.explode(names)), code, rules)
+
+
 @query(f"with {_CODE_SQL}, {_LINKS_SQL} select src, dst, kind from links")
 def symbol_edges(spark, sf_dir):
     return graph.symbol_edges(*_graph(spark, sf_dir))
