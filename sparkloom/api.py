@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.paths import IGNORE_DIRS, like_prefix
 from .functions.text import index_terms, normalised, source_path, stub_embedding, task_prefix
-from .operators import graph, inverted, lines, search, symbols, sync
+from .operators import graph, inverted, lines, load, search, symbols, sync
 from .sources import changes, git
 from .sources import files as sources
 from .sources.store import Table
@@ -60,6 +60,15 @@ class Engine:
         """When and at which commit each agent was synchronised; agents without an entry have none."""
         return self.tables["state"].read()
 
+    def load(self, agent_id: str, files: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = load.BATCH) -> load.Loaded:
+        """Chunk files and write what a service embeds, ``batch`` texts a call; calls that fail are counted, and their chunks returned with their errors."""
+        chunks = self.chunk(files).select(F.lit(agent_id).alias("agent_id"), F.concat_ws("#", "source_path", F.col("chunk_no").cast("string")).alias("id"), "source_path", "text")
+        prefix = task_prefix(self.model, "document")
+        done = load.load(chunks, (lambda texts: embed([prefix + t for t in texts])) if prefix else embed, batch)
+        if done.loaded:
+            self.write_passages(done.rows.select("agent_id", "id", "text", "embedding"))
+        return done
+
     def hashes(self, agent_id: str) -> DataFrame:
         """``path, sha256`` of the files that an agent's passages were made of."""
         return self.tables["hashes"].read(F.col("agent_id") == agent_id).select("path", "sha256")
@@ -100,11 +109,12 @@ class Engine:
         self.tables["state"].put(self.spark.createDataFrame([(agent_id, *[new.get(n) for n in names])], STATE))
 
     def write_passages(self, batch: DataFrame) -> None:
-        """Upsert ``agent_id, id, text`` (of equal keys the row with the greatest ``seq``, or else the last row, stays)."""
+        """Upsert ``agent_id, id, text`` (of equal keys the row with the greatest ``seq``, or else the last row, stays), and ``embedding`` where given."""
         store = self.tables["passages"]
         rows = batch if "seq" in batch.columns else sync.numbered(batch)
         rows = sync.latest(rows, ["agent_id", "id"], "seq")
-        vector = normalised(self.embed(F.concat(F.lit(task_prefix(self.model, "document")), F.col("text")))).cast("array<float>")
+        given = F.col("embedding") if "embedding" in rows.columns else self.embed(F.concat(F.lit(task_prefix(self.model, "document")), F.col("text")))
+        vector = normalised(given).cast("array<float>")
         notes = store.info()
         top, known = notes.get("seq", 0), notes.get("dimension")
         rows = rows.select("agent_id", "id", source_path("text").alias("file_path"), "text", index_terms("text").alias("terms"), vector.alias("embedding"), (F.col("seq") + top).cast("long").alias("seq"), F.current_timestamp().alias("created_at"))

@@ -171,19 +171,27 @@ def backoff(base: Column | str, failures: Column | str, most: int = 300_000) ->
     return F.when(_c(failures) <= 0, 0.0).otherwise(wait)
 
 
-def stub_embedding(text: Column | str, dims: int = 64) -> Column:
+DIMS = 64
+
+
+def stub_embedding(text: Column | str, dims: int = DIMS) -> Column:
     """A deterministic embedding: 4-letter stems of ASCII words hashed to slots, counted, and put to length 1; null as empty."""
 
     @arrow_udf("array<double>")
     def embed(texts: pa.Array) -> pa.Array:
-        counts = stem_counts(texts, dims)
-        norm = np.sqrt((counts * counts).sum(1, keepdims=True))
-        unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * dims, pa.int32()), pa.array(unit.reshape(-1)))
+        return unit_vectors(texts, dims)
 
     return embed(F.coalesce(F.lower(_c(text)), F.lit("")))
 
 
+def unit_vectors(texts: pa.Array, dims: int) -> pa.Array:
+    """The stem counts of texts in lower case, at length 1."""
+    counts = stem_counts(texts, dims)
+    norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+    unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * dims, pa.int32()), pa.array(unit.reshape(-1)))
+
+
 def stem_counts(texts: pa.Array, dims: int) -> np.ndarray:
     """How many words' first four letters each text has in each slot; a stem's slot is its polynomial hash (base 31, 32 bits) modulo ``dims``."""
     texts = texts.cast(pa.large_string())

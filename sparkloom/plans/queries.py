@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from ..functions import paths, sql, text
 from ..operators import chunking, evaluate, graph, inverted, lines, pivots, search, sync
 from ..storage import kept, shared_root
 from ..streaming import watch
@@ -26,11 +26,11 @@ FILES_SQL = f"(select doc_id, source, {_PATH_SQL} as path, text as content, n_ch
 PASSAGES_SQL = f"(select doc_id as id, 'FILE: ' || path || ' | FUNCTION: f' || case source when 'src6' then ' (continued)' else '' end || chr(10) || chr(10) || content as text from {FILES_SQL} f0)"
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if oracle:
+            SQL[f.__name__] = oracle
         return f
 
     return add
@@ -106,6 +106,13 @@ def raw_chunks(spark, sf_dir):
     return chunking.chunks(files(spark, sf_dir))
 
 
+@query(SQL["raw_chunks"])
+def sql_chunks(spark, sf_dir):
+    """As ``raw_chunks``, in plain SQL."""
+    sql.register(spark)
+    return spark.sql("select source_path, chunk_no, text from chunk_files(table({files}), 2000)", files=files(spark, sf_dir).select("path", "content"))
+
+
 @query(
     f"""with p as (select id, text, split_part(text, chr(10), 1) as line from {PASSAGES_SQL} p0)
 select id, regexp_replace(substr(line, 7), ' \\(continued\\)$', '') as source_path, split_part(substr(line, 7), ' | ', 1) as budget_path, split_part(regexp_replace(substr(line, 7), ' \\(continued\\)$', ''), ' | ', 1) as clean_path,
@@ -138,6 +145,13 @@ def stub_embedding(spark, sf_dir):
     return docs.select("doc_id", F.posexplode("v").alias("slot", "value")).where("value > 0").withColumn("value", F.round("value", 6))
 
 
+@query(SQL["stub_embedding"])
+def sql_embedding(spark, sf_dir):
+    """As ``stub_embedding``, in plain SQL."""
+    sql.register(spark)
+    return spark.sql("select doc_id, slot, round(value, 6) as value from {docs} lateral view posexplode(stub_embedding(text)) v as slot, value where value > 0", docs=table(spark, sf_dir, "documents"))
+
+
 @query("select user_id, n::int as n, case when n <= 0 then 0.0 else least(5000 * pow(2, n - 1), 300000.0) end as wait from (select user_id, count(*) filter (event_type = 'error') % 12 as n from events group by user_id) e")
 def backoff_waits(spark, sf_dir):
     errors = table(spark, sf_dir, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") % 12).cast("int").alias("n"))
