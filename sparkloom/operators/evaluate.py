@@ -11,17 +11,19 @@ from .search import legs
 TOLERANCE, SLACK = 0.02, 1e-9
 
 
-def query_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+def query_metrics(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5), names: list[str] | None = None) -> DataFrame:
     """``leg, query_id, kind, recall_<k>.., rr`` from ``leg, query_id, rank, path`` and ``query_id, kind, path``.
 
-    Several hits of one file use up as many ranks; a query without hits scores 0.
+    Several hits of one file use up as many ranks; a query without hits scores 0. ``names`` are the legs; without them they are looked up, which
+    runs what ``ranked`` is made of once more.
     """
     want = gold.select("query_id", "kind", "path").distinct()
     size = want.groupBy("query_id", "kind").agg(F.count("path").alias("n"))
     hits = ranked.join(want, ["query_id", "path"]).groupBy("leg", "query_id").agg(
         *[F.countDistinct(F.when(F.col("rank") <= k, F.col("path"))).alias(f"h{k}") for k in ks], F.min("rank").alias("first")
     )
-    names = [r.leg for r in ranked.select("leg").distinct().orderBy("leg").collect()]  # the legs: a handful
+    if names is None:
+        names = [r.leg for r in ranked.select("leg").distinct().orderBy("leg").collect()]  # a handful
     every = size.select("*", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("leg"))
     recall = [F.when(F.col("n") > 0, F.coalesce(f"h{k}", F.lit(0)) / F.col("n")).otherwise(0.0).alias(f"recall_{k}") for k in ks]
     return every.join(hits, ["leg", "query_id"], "left").select("leg", "query_id", "kind", *recall, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
@@ -32,7 +34,7 @@ def leg_metrics(vector: DataFrame, lexical: DataFrame, passages: DataFrame, gold
     hits = legs(vector, lexical, limit, id).join(passages.select(id, clean_path("text").alias("path")), id).where("path is not null")
     # hits without a file take no rank
     place = F.row_number().over(Window.partitionBy("leg", "query_id").orderBy("rank"))
-    return query_metrics(hits.withColumn("rank", place).select("leg", "query_id", "rank", "path"), gold, ks)
+    return query_metrics(hits.withColumn("rank", place).select("leg", "query_id", "rank", "path"), gold, ks, ["fused", "lexical", "vector"])
 
 
 def means(values: DataFrame, by: str, columns: list[str]) -> DataFrame:

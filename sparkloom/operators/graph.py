@@ -96,15 +96,16 @@ def _aliased(modules: DataFrame, aliases: DataFrame, scope: list[str]) -> DataFr
     The beginnings of a module are as many as its characters, and only those as long as some pattern's are made.
     """
     parts = aliases.select(*scope, "ord", "pattern", F.col("target").alias("to"), F.contains("pattern", F.lit("*")).alias("star"))
-    plain = modules.join(parts.where("not star").select(*scope, F.col("pattern").alias("module"), "ord", "to"), [*scope, "module"])
-    stars = parts.where("star").select(*scope, "ord", "to", F.substring_index("pattern", "*", 1).alias("pre"), F.substring_index("pattern", "*", -1).alias("post"))
+    plain = modules.join(parts.where("not star").select(*scope, F.col("pattern").alias("module"), "ord", F.translate("to", "*", "").alias("to")), [*scope, "module"])
+    stars = parts.where("star").select(*scope, "ord", "to", F.substring_index("pattern", "*", 1).alias("pre"), F.expr("substring(pattern, instr(pattern, '*') + 1)").alias("post"))
     lengths = [r.n for r in stars.select(F.length("pre").alias("n")).distinct().orderBy("n").limit(MOST_LENGTHS + 1).collect()]
     wanted = F.array(*[F.lit(n) for n in lengths]) if len(lengths) <= MOST_LENGTHS else F.sequence(F.lit(0), F.length("module"))
     begun = modules.withColumn("n", F.explode(wanted)).where("n <= length(module)").withColumn("pre", F.expr("left(module, n)"))
-    fits = begun.join(stars, [*scope, "pre"]).where("endswith(module, post) and length(module) >= n + length(post)")
-    middle = F.expr("substring(module, n + 1, length(module) - n - length(post))")
-    # a target without a star is the file itself
-    return plain.unionByName(fits.withColumn("to", F.replace("to", F.lit("*"), middle)).select(*plain.columns))
+    fits = begun.join(stars, [*scope, "pre"]).where("endswith(module, post)")
+    # what the star stands for takes the place of the target's first star; where beginning and end overlap it is nothing
+    middle = F.expr("substring(module, n + 1, greatest(0, length(module) - n - length(post)))")
+    to = F.when(F.contains("to", F.lit("*")), F.concat(F.substring_index("to", "*", 1), middle, F.expr("substring(to, instr(to, '*') + 1)"))).otherwise(F.col("to"))
+    return plain.unionByName(fits.withColumn("to", to).select(*plain.columns))
 
 
 def symbol_nodes(defs: DataFrame, files: DataFrame) -> DataFrame:

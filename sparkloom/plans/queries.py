@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, sql, text
 from ..operators import chunking, evaluate, graph, inverted, lines, pivots, search, sync
+from ..sources import files as repositories
 from ..storage import kept, shared_root
 from ..streaming import watch
 
@@ -649,6 +650,20 @@ def module_aliases(spark, sf_dir):
     return graph.resolved_modules(code.withColumn("module", F.explode(names)), code, rules)
 
 
+@query(
+    """with r as (select source as repo, min(lang) as lang, count(*) as n from documents where source is not null group by source)
+select repo, 0 as ord, '@' || repo || '/*' as pattern, 'web/src/lib/*' as target from r union all select repo, 1, '@' || repo || '/*', 'web/./' || lang || '/*' from r
+union all select repo, 2, 'a//b', 'web/src/n' || n || '/*, ]' from r"""
+)
+def config_aliases(spark, sf_dir):
+    """Aliases of a configuration of each repository, with comments, trailing commas and values that do not belong."""
+    repos = table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("repo")).agg(F.min("lang").alias("lang"), F.count("*").cast("string").alias("n"))
+    text = F.concat(
+        F.lit('{ // of "'), "repo", F.lit('"\n "compilerOptions": {"baseUrl": "src", /* "x": [ */ "paths": {"@'), "repo", F.lit('/*": ["lib/*", "./'), "lang", F.lit('/*", 7, ],"bad": 1, "a//b": ["n'), "n", F.lit('/*, ]"],}, }}')
+    )
+    return repositories.configured_aliases(repos.select("repo", F.lit("web").alias("folder"), text.alias("content")))
+
+
 @query(f"with {_CODE_SQL}, {_LINKS_SQL} select src, dst, kind from links")
 def symbol_edges(spark, sf_dir):
     return graph.symbol_edges(*_graph(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import MAX_FILE_KB, include_file
@@ -66,6 +66,27 @@ def repository_aliases(files: DataFrame, folder: str = "") -> DataFrame:
     return path_aliases(files.sparkSession, text, folder)
 
 
+def configured_aliases(configs: DataFrame) -> DataFrame:
+    """``repo, ord, pattern, target`` of many compiler configurations at once: ``repo, content`` and, where given, ``folder``.
+
+    As ``path_aliases``, in one job: comments and trailing commas go, patterns keep their order, targets that are no strings and values that are no lists are left out, and
+    so are texts that are no JSON.
+    """
+    string = r'("(?:[^"\\]++|\\.)*+")'
+    bare = F.regexp_replace("content", string + r"|//[^\n]*+|/\*[\s\S]*?\*/", "$1")
+    plain = F.regexp_replace(bare, string + r"|,(?=\s*[}\]])", "$1")
+    options = F.from_json(plain, "compilerOptions struct<baseUrl: string, paths: map<string, string>>").getField("compilerOptions")
+    folder = F.coalesce(F.col("folder"), F.lit("")) if "folder" in configs.columns else F.lit("")
+    rows = configs.select("repo", folder.alias("folder"), options.alias("o")).select("repo", "folder", F.coalesce("o.baseUrl", F.lit(".")).alias("root"), F.posexplode(F.map_entries("o.paths")).alias("pos", "e"))
+    rows = rows.where(F.col("e.value").startswith("[")).select("repo", "folder", "root", "pos", F.col("e.key").alias("pattern"), F.try_parse_json("e.value").alias("list"))
+    each = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("list").outer()).toDF("at", "key", "item")).where("schema_of_variant(item) = 'STRING'")
+    each = each.withColumn("to", F.variant_get("item", "$", "string")).where("to <> ''")
+    root = F.when(F.col("to").rlike(r"^(\./|\.\./|/)"), "").otherwise(F.col("root"))
+    target = F.array_join(F.filter(F.array("folder", root, "to"), lambda p: ~p.isin("", ".")), "/")
+    number = F.row_number().over(Window.partitionBy("repo").orderBy("pos", "at")) - 1  # within one configuration
+    return each.select("repo", number.alias("ord"), "pattern", target.alias("target"))
+
+
 def save_blocks(blocks: DataFrame, folder: str) -> None:
     """Write ``label, updated_at, source_commit, value`` as one text file with a front matter for each label."""
     format_block(blocks).repartition("label").write.mode("overwrite").partitionBy("label").text(folder)

@@ -1,6 +1,7 @@
 import collections
 
 from sparkloom.operators import graph
+from sparkloom.sources import files as sources
 
 DEFS = "path string, qualified string, name string, owner string, kind string, line int, pos int"
 REFS = "ref_id long, path string, kind string, module string, names array<struct<local: string, name: string>>, callee string, object string"
@@ -51,3 +52,24 @@ def test_very_many_lengths_of_aliases(spark, monkeypatch):
     rules = spark.createDataFrame([(i, "p" * i + "/*", "*") for i in range(6)], "ord int, pattern string, target string")
     imports = spark.createDataFrame([("m.ts", "p" * i + f"/f{i}") for i in range(6)], "path string, module string")
     assert {r.target for r in graph.resolved_modules(imports, files, rules).collect()} == {f"f{i}.ts" for i in range(6)}
+
+
+def test_configurations_of_many_repositories(spark):
+    texts = [
+        '{"compilerOptions": {"baseUrl": "src", /* x */ "paths": {"@a/*": ["lib/*", "./own/*"], "bad": 1,}}}', '{"compilerOptions": {"paths": {"z": ["1"], "a": ["//2", 3, null, ""], "m, }": ["/x", "y\\"q, ]"]}}, // end\n}',
+        '{"compilerOptions": {"paths": {}}}', "{}", "no json", '{"compilerOptions": null}',
+    ]
+    configs = spark.createDataFrame([(f"r{i}", "web", t) for i, t in enumerate(texts)] + [("none", "web", None)], "repo string, folder string, content string")
+    got = sorted(map(tuple, sources.configured_aliases(configs).collect()))
+    want = []
+    for i, t in enumerate(texts):
+        if t.startswith("{") and "null}" not in t:
+            want += [(f"r{i}", r.ord, r.pattern, r.target) for r in sources.path_aliases(spark, t, "web").collect()]
+    assert got == sorted(want) and len(got) == 6
+
+
+def test_stars_take_the_first_place(spark):
+    files = spark.createDataFrame([("x/b*.ts",), ("y.ts",), ("plain.ts",)], "path string")
+    rules = spark.createDataFrame([(0, "a*c*", "x/*"), (1, "pre-*-post", "y/*"), (2, "exact", "pl*ain")], "ord int, pattern string, target string")
+    imports = spark.createDataFrame([("m.ts", "ab*c*"), ("m.ts", "pre-post"), ("m.ts", "exact")], "path string, module string")
+    assert {r.module: r.target for r in graph.resolved_modules(imports, files, rules).collect()} == {"ab*c*": "x/b*.ts", "pre-post": "y.ts", "exact": "plain.ts"}
