@@ -23,6 +23,10 @@ PASSAGES = "agent_id string, id string, file_path string, text string, terms arr
 BLOCKS = "agent_id string, label string, value string"
 AGENTS = "agent_id string, name string, model string, tags array<string>, created_at timestamp"
 HASHES = "agent_id string, path string, sha256 string"
+DEF = "path: string, kind: string, name: string, owner: string, qualified: string, line: int, end_line: int, pos: int"
+REF = "path: string, kind: string, module: string, names: array<struct<local: string, name: string>>, callee: string, object: string"
+SYMBOLS = f"agent_id string, path string, defs array<struct<{DEF}>>, refs array<struct<{REF}>>"
+RANKS = "agent_id string, id string, rank double"
 INDEXES = "name string, version long, path string"
 STATE = "agent_id string, last_bootstrap string, last_sync_commit string, last_sync_at string, last_consolidated_at string"
 EDITABLE_BLOCKS = ("architecture", "conventions")
@@ -40,7 +44,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, embed=stub_embedding, model: str = "stub", chunk: Callable[[DataFrame], DataFrame] = symbols.symbol_chunks):
         self.spark, self.root, self.embed, self.model, self.chunk = spark, root.rstrip("/"), embed, model, chunk
-        keys = {"passages": (PASSAGES, ["agent_id", "id"]), "blocks": (BLOCKS, ["agent_id", "label"]), "agents": (AGENTS, ["agent_id"]), "state": (STATE, ["agent_id"]), "hashes": (HASHES, ["agent_id", "path"]), "indexes": (INDEXES, ["name"])}
+        keys = {"passages": (PASSAGES, ["agent_id", "id"]), "blocks": (BLOCKS, ["agent_id", "label"]), "agents": (AGENTS, ["agent_id"]), "state": (STATE, ["agent_id"]), "hashes": (HASHES, ["agent_id", "path"]), "indexes": (INDEXES, ["name"]), "symbols": (SYMBOLS, ["agent_id", "path"]), "ranks": (RANKS, ["agent_id", "id"])}
         self.tables = {name: Table(spark, f"{self.root}/{name}", schema, key) for name, (schema, key) in keys.items()}
 
     @property
@@ -218,8 +222,14 @@ class Engine:
         own = plan.select(F.lit(agent_id).alias("agent_id"), "path", "sha256", "action")
         if own.where("action = 'reindexed'").limit(1).count():
             self.tables["hashes"].put(own.where("action = 'reindexed'").drop("action"))
-        if own.where("action = 'removed'").limit(1).count():
-            self.tables["hashes"].remove(own.where("action = 'removed'"))
+        removed = own.where("action = 'removed'")
+        if removed.limit(1).count():
+            self.tables["hashes"].remove(removed)
+        if self.tables["symbols"].read(F.col("agent_id") == agent_id).limit(1).count():  # who keeps symbols keeps them in step
+            if again.limit(1).count():
+                self.index_symbols(agent_id, again)
+            if removed.limit(1).count():
+                self.tables["symbols"].remove(removed)
         return plan
 
     def reconcile(self, agent_id: str, local: DataFrame) -> DataFrame:
@@ -244,6 +254,40 @@ class Engine:
         ranks = graph.page_rank(graph.symbol_nodes(defs, files), graph.symbol_edges(defs, refs, files, aliases))
         return graph.find_symbols(defs, ranks, name, **kw)
 
+    def index_symbols(self, agent_id: str, files: DataFrame) -> None:
+        """Keep the definitions and references of files: a row for each file, which replaces the one before; other files are not parsed again."""
+        defs, refs = symbols.definitions(files), symbols.references(files)
+        columns = lambda schema: [c.split(":")[0].strip() for c in schema.replace("array<struct<local: string, name: string>>", "x").split(",")]
+        lists = [df.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*columns(schema)))).alias(n)) for n, df, schema in (("defs", defs, DEF), ("refs", refs.orderBy("ref_id"), REF))]
+        rows = files.select("path").distinct().join(lists[0], "path", "left").join(lists[1], "path", "left")
+        empty = lambda n, schema: F.coalesce(F.col(n), F.array()).cast(f"array<struct<{schema}>>").alias(n)  # noqa: E731  # bounded by a file
+        self.tables["symbols"].put(rows.select(F.lit(agent_id).alias("agent_id"), "path", empty("defs", DEF), empty("refs", REF)))
+
+    def symbol_tables(self, agent_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Definitions, references and files as they are kept."""
+        rows = self.tables["symbols"].read(F.col("agent_id") == agent_id)
+        refs = rows.select(F.col("path").alias("of"), F.posexplode("refs").alias("at", "r")).select(F.concat_ws("#", "of", F.col("at").cast("string")).alias("ref_id"), "r.*")
+        return rows.select(F.inline("defs")), refs, rows.select("path")
+
+    def symbol_ranks(self, agent_id: str, aliases: DataFrame | None = None) -> DataFrame:
+        """``id, rank`` of an agent's symbols and files: the kept ones while no file's symbols changed, else made anew from where the kept ones were."""
+        now = (self.tables["symbols"].pointer() or {"version": 0})["version"]
+        old = self.tables["ranks"].read(F.col("agent_id") == agent_id).select("id", "rank")
+        if self.tables["ranks"].info().get(f"of {agent_id}") == now:
+            return old
+        defs, refs, files = (kept(df, "symbols") for df in self.symbol_tables(agent_id))
+        aliases = self.spark.createDataFrame([], "ord int, pattern string, target string") if aliases is None else aliases
+        ranks = graph.page_rank(graph.symbol_nodes(defs, files), graph.symbol_edges(defs, refs, files, aliases), start=kept(old, "old-ranks"))
+        gone = kept(old.join(ranks, "id", "left_anti"), "old-ranks")
+        if gone.limit(1).count():
+            self.tables["ranks"].remove(gone.withColumn("agent_id", F.lit(agent_id)))
+        self.tables["ranks"].put(ranks.withColumn("agent_id", F.lit(agent_id)), lambda part: {f"of {agent_id}": now})
+        return ranks
+
+    def symbol(self, agent_id: str, name: str, **kw) -> DataFrame:
+        """Kept definitions of a name, the most central first; nothing is parsed."""
+        return graph.find_symbols(self.symbol_tables(agent_id)[0], self.symbol_ranks(agent_id), name, **kw)
+
     def stats(self) -> DataFrame:
         """``agent_id, name, passages, files, blocks`` of each agent."""
         passages = self.passages.groupBy("agent_id").agg(F.count("*").alias("passages"), F.countDistinct("file_path").alias("files"))

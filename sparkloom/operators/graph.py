@@ -17,8 +17,11 @@ MOST_LENGTHS = 64
 HOT_NAME = 1024
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``id, rank`` of ``id`` and ``src, dst``; parallel edges count each, dangling ranks go to all, unknown ends are ignored."""
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, start: DataFrame | None = None) -> DataFrame:
+    """``id, rank`` of ``id`` and ``src, dst``; parallel edges count each, dangling ranks go to all, unknown ends are ignored.
+
+    ``start`` (``id, rank``) are the ranks of an earlier graph: where little has changed, few rounds are left. New ids begin with an equal share.
+    """
     ids = kept(nodes.select("id").distinct(), "nodes")
     n = ids.count()
     if not n:
@@ -28,8 +31,16 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
     degree = counted.groupBy("src").agg(F.sum("w").alias("degree"))
     steps = kept(counted.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), "edges")
     out = steps.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    ranks = kept(ids.join(out, "id", "left").select("id", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank")), "ranks")
-    dangling = ids.join(out, "id", "left_anti").count() / n
+    first = F.lit(1.0 / n)
+    begun = ids.join(out, "id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    if start is not None:
+        begun = begun.join(start.select("id", F.col("rank").alias("was")), "id", "left")
+        first = F.coalesce("was", first)
+    ranks = kept(begun.select("id", "out", first.alias("rank")), "ranks")
+    total, loose = ranks.agg(F.sum("rank"), F.sum(F.when(~F.col("out"), F.col("rank")))).first()
+    if start is not None:
+        ranks = ranks.withColumn("rank", F.col("rank") / F.lit(total))
+    dangling = (loose or 0.0) / total
     for _ in range(iterations):
         base = (1 - damping) / n + damping * dangling / n
         none = F.lit(None)
