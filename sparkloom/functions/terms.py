@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import cache
 
@@ -18,9 +17,15 @@ def _term_letter(c: str) -> bool:
     return c == "_" or unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co"
 
 
+@cache
+def _plain() -> dict[int, int | None]:
+    """What letters with marks become, and marks, which go."""
+    letters, bases = _plain_letters()
+    return dict(zip(map(ord, letters), map(ord, bases), strict=True)) | dict.fromkeys(range(0x300, 0x370))
+
+
 def _folded(text: str) -> str:
-    plain = dict(zip(*map(lambda s: list(map(ord, s)), _plain_letters()), strict=True))
-    return re.sub("[̀-ͯ]", "", text.lower()).translate(plain) if not text.isascii() else text.lower()
+    return text.lower() if text.isascii() else text.lower().translate(_plain())
 
 
 @cache
