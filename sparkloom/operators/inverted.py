@@ -123,6 +123,9 @@ class InvertedIndex:
     def write(passages: DataFrame, path: str, id: str = "id", text: str = "text", group: str | None = None, buckets: int = BUCKETS, segment: int = SEGMENT) -> InvertedIndex:
         """Index passages; the folder must not hold an index yet. The layout file comes last: without it there is no index."""
         spark, path = passages.sparkSession, path.rstrip("/")
+        tasks = spark.sparkContext.defaultParallelism
+        if len(passages.inputFiles()) < tasks:  # a few files, maybe of one row group each, would be made into terms by as few tasks
+            passages = passages.repartition(tasks)
         rows = blocks_of(passages, id, text, group, buckets, segment)
         fan = 1 + passages.count() // (segment * FAN)  # files of a folder
         laid = rows.repartition("bucket", F.pmod(F.xxhash64("seg"), F.lit(fan))).sortWithinPartitions("bucket", "seg")
