@@ -94,11 +94,14 @@ def resolved_modules(imports: DataFrame, files: DataFrame, aliases: DataFrame |
     if aliases is not None:
         hit = _aliased(known.where(~F.col("module").rlike(r"^\.")), aliases, scope)
         tried = tried.unionByName(hit.select(*keys, (F.lit(10) + F.col("ord")).alias("tier"), _dots_resolved(F.col("to")).alias("base")))
+    tried = kept(tried.where("base is not null"), "tried")
+    # many files name the same place: each place is looked up once, not once for each module that names it
     options = F.array(*[F.lit(s) for s in SUFFIXES])
-    each = tried.where("base is not null").select(*keys, "tier", F.posexplode(F.transform(options, lambda s: F.ltrim(F.concat("base", s)))).alias("pos", "file"))
+    each = tried.select(*scope, "base").distinct().select(*scope, "base", F.posexplode(F.transform(options, lambda s: F.ltrim(F.concat("base", s)))).alias("pos", "file"))
     each = each.withColumn("file", F.regexp_replace("file", "^/", ""))
-    found = each.join(files.select(*scope, F.col("path").alias("file")).distinct(), [*scope, "file"])
-    return found.groupBy(*keys).agg(F.min(F.struct("tier", "pos", "file")).alias("b")).select(*keys, F.col("b.file").alias("target"))
+    there = each.join(files.select(*scope, F.col("path").alias("file")), [*scope, "file"]).groupBy(*scope, "base").agg(F.min(F.struct("pos", "file")).alias("place"))
+    found = tried.join(small(kept(there, "places")), [*scope, "base"])
+    return found.groupBy(*keys).agg(F.min(F.struct("tier", "place")).alias("b")).select(*keys, F.col("b.place.file").alias("target"))
 
 
 def _aliased(modules: DataFrame, aliases: DataFrame, scope: list[str]) -> DataFrame:

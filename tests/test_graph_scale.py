@@ -1,6 +1,6 @@
 import collections
 
-from sparkloom.operators import graph
+from sparkloom.operators import graph, symbols
 from sparkloom.sources import files as sources
 
 DEFS = "path string, qualified string, name string, owner string, kind string, line int, pos int"
@@ -73,3 +73,22 @@ def test_stars_take_the_first_place(spark):
     rules = spark.createDataFrame([(0, "a*c*", "x/*"), (1, "pre-*-post", "y/*"), (2, "exact", "pl*ain")], "ord int, pattern string, target string")
     imports = spark.createDataFrame([("m.ts", "ab*c*"), ("m.ts", "pre-post"), ("m.ts", "exact")], "path string, module string")
     assert {r.module: r.target for r in graph.resolved_modules(imports, files, rules).collect()} == {"ab*c*": "x/b*.ts", "pre-post": "y.ts", "exact": "plain.ts"}
+
+
+def test_a_place_that_many_files_name_is_looked_up_once(spark, monkeypatch):
+    rows, keep = {}, graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, name: [table := keep(df, name), rows.update({name: table.count()})][0])
+    imports = spark.createDataFrame([(f"a/m{i}.ts", "./x") for i in range(300)] + [("a/p.py", ".x"), ("b/p.py", "a.x")], "path string, module string")
+    got = graph.resolved_modules(imports, spark.createDataFrame([("a/x.ts",), ("a/x.js",), ("a/x.py",), ("a/x.ts",)], FILES)).collect()
+    assert len(got) == 302 and {r.target for r in got} == {"a/x.ts"}
+    assert rows["tried"] == 302 and rows["places"] == 1
+
+
+def test_few_files_of_many_rows_are_parsed_by_many_tasks(spark, tmp_path):
+    text = "class A:\n    def f(self):\n        pass\n\n\ndef é():\n    g()\n"
+    spark.createDataFrame([(f"{i}.py", text) for i in range(400)], "path string, content string").coalesce(1).write.parquet(str(tmp_path / "files"))
+    dealt = symbols.spread(spark.read.parquet(str(tmp_path / "files")))
+    assert len([n for n in dealt.rdd.glom().map(len).collect() if n]) == 4 * spark.sparkContext.defaultParallelism
+    found = symbols.definitions(dealt)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.where("path = '7.py'").select("qualified", "line", "end_line", "pos").collect()} == {("A", 1, 3, 0), ("A.f", 2, 3, 1), ("é", 6, 7, 2)}
