@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -185,13 +187,24 @@ def stub_embedding(text: Column | str, dims: int = DIMS) -> Column:
 
 
 def unit_vectors(texts: pa.Array, dims: int) -> pa.Array:
-    """The stem counts of texts in lower case, at length 1."""
-    counts = stem_counts(texts, dims)
+    """The stem counts of texts in lower case, at length 1; some texts at a time, as counting takes some 17 bytes and more a byte of text."""
+    parts = [stem_counts(texts.slice(a, b - a), dims) for a, b in text_slices(texts)]
+    counts = np.concatenate([np.zeros((0, dims)), *parts])
     norm = np.sqrt((counts * counts).sum(1, keepdims=True))
     unit = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * dims, pa.int32()), pa.array(unit.reshape(-1)))
 
 
+def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """First and last place (exclusive) of runs of texts of at most so many bytes together, or of one that is longer."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 def stem_counts(texts: pa.Array, dims: int) -> np.ndarray:
     """How many words' first four letters each text has in each slot; a stem's slot is its polynomial hash (base 31, 32 bits) modulo ``dims``."""
     texts = texts.cast(pa.large_string())

@@ -1,6 +1,9 @@
 import posixpath
+import tracemalloc
 
 import hypothesis.strategies as st
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from pyspark.sql import functions as F
@@ -141,3 +144,15 @@ def test_budget_and_demotion(spark):
     assert [r.id for r in kept] == [0, 1, 2]
     order = search.demoted(search.budgeted(results.where("id <> 1"), 4, 2, 100)).orderBy("position").collect()
     assert [r.id for r in order] == [0, 2, 3, 4]
+
+
+def test_vectors_take_little_memory_beside_their_texts():
+    texts = pa.array(["Alpha beta_9 gamma " * 2000, None, "", "x " * 200_000, "é" * 5] * 20).fill_null("")
+    whole = text.stem_counts(texts.slice(0, 5), 64)
+    tracemalloc.start()
+    got = text.unit_vectors(texts, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = np.sqrt((whole * whole).sum(1, keepdims=True))
+    assert np.array_equal(got.flatten().to_numpy().reshape(-1, 64), np.tile(np.divide(whole, size, out=np.zeros_like(whole), where=size > 0), (20, 1)))
+    assert peak < 60_000_000
