@@ -154,7 +154,7 @@ def symbol_edges(defs: DataFrame, refs: DataFrame, files: DataFrame, aliases: Da
     tier = F.when(F.col("dname") == "default", 0).when(F.col("dname") == F.col("dlocal"), 1).when(F.col("dkind") != "METHOD", 2)
     best = default.withColumn("tier", tier).where("tier is not null").groupBy("ref_id", "npos", "path", "local", "name").agg(F.min(F.struct("tier", "pos", "id", "dname", "qualified")).alias("b"))
     best = best.select("ref_id", "npos", "path", "local", "name", "b.id", "b.dname", "b.qualified")
-    targets = named.unionByName(whole).unionByName(best)
+    targets = kept(named.unionByName(whole).unionByName(best), "targets")
     import_edges = targets.select(file_id("path").alias("src"), F.col("id").alias("dst"), F.lit("import").alias("kind"))
 
     # equal calls of a file bind alike
@@ -191,11 +191,15 @@ def _bound_calls(calls: DataFrame, ids: DataFrame, targets: DataFrame) -> DataFr
     left, out = calls, None
     for number, tier in enumerate(tiers):
         hits = tier(left)
-        if number < len(tiers) - 1:
+        last = number == len(tiers) - 1
+        if not last:
             hits = kept(hits, f"calls-{number}")
             done = hits.select(*[F.col(c).alias(f"__{c}") for c in _CALL]).distinct()
-            left = left.join(done, (F.col("path") == F.col("__path")) & (F.col("callee") == F.col("__callee")) & F.col("object").eqNullSafe(F.col("__object")), "left_anti")
+            left = kept(left.join(done, (F.col("path") == F.col("__path")) & (F.col("callee") == F.col("__callee")) & F.col("object").eqNullSafe(F.col("__object")), "left_anti"), "calls-left")
+            last = left.isEmpty()
         out = hits.select("path", "id") if out is None else out.union(hits.select("path", "id"))
+        if last:
+            break
     return out
 
 
@@ -213,9 +217,10 @@ def _anywhere(calls: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def _named(bound: DataFrame, there: DataFrame, exports: DataFrame) -> DataFrame:
     keys = ["ref_id", "npos", "path", "local", "name"]
-    direct = bound.join(there, "target").where((F.col("dname") == F.col("name")) | (F.col("qualified") == F.col("name"))).select(*keys, "id", "dname", "qualified", F.lit(0).alias("tier"))
+    called = there.select("target", "id", "dname", "qualified", F.explode(F.array_distinct(F.array("dname", "qualified"))).alias("by"))
+    direct = bound.join(called.withColumnRenamed("by", "name"), ["target", "name"]).select(*keys, "id", "dname", "qualified", F.lit(0).alias("tier"))
     alias = bound.join(exports, (bound.target == exports.target) & (bound.name == exports.outer)).select(*[bound[k] for k in keys], bound.target, "inner")
-    by_alias = alias.join(there, "target").where((F.col("dname") == F.col("inner")) | (F.col("qualified") == F.col("inner"))).select(*keys, "id", "dname", "qualified", F.lit(1).alias("tier"))
+    by_alias = alias.join(called.withColumnRenamed("by", "inner"), ["target", "inner"]).select(*keys, "id", "dname", "qualified", F.lit(1).alias("tier"))
     every = direct.union(by_alias)
     least = F.min("tier").over(Window.partitionBy("ref_id", "npos", "local", "name"))
     return every.withColumn("least", least).where("tier = least").select(*keys, "id", "dname", "qualified")

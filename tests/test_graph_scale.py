@@ -92,3 +92,15 @@ def test_few_files_of_many_rows_are_parsed_by_many_tasks(spark, tmp_path):
     found = symbols.definitions(dealt)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.where("path = '7.py'").select("qualified", "line", "end_line", "pos").collect()} == {("A", 1, 3, 0), ("A.f", 2, 3, 1), ("é", 6, 7, 2)}
+
+
+def test_edges_bind_imports_once_and_stop_when_no_call_is_left(spark, monkeypatch):
+    rows, tiers, keep, anywhere = {}, [], graph.kept, graph._anywhere
+    monkeypatch.setattr(graph, "kept", lambda df, name: [table := keep(df, name), rows.update({name: table.count()})][0])
+    monkeypatch.setattr(graph, "_anywhere", lambda calls, ids, name: [tiers.append(name), anywhere(calls, ids, name)][1])
+    defs = [("lib.py", "help", "help", None, "FUNCTION", 1, 0), ("lib.py", "Box.put", "put", "Box", "METHOD", 4, 1)]
+    refs = [(0, "b.py", "import", ".lib", [("help", "help"), ("m", "Box.put")], None, None), (1, "b.py", "call", None, None, "help", None)]
+    tables = (spark.createDataFrame(defs, DEFS), spark.createDataFrame(refs, REFS), spark.createDataFrame([("b.py",), ("lib.py",)], FILES))
+    got = sorted((r.dst, r.kind) for r in graph.symbol_edges(*tables).collect())
+    assert got == [("def:lib.py#Box.put@4", "import"), ("def:lib.py#help@1", "call"), ("def:lib.py#help@1", "import")]
+    assert rows["targets"] == 2 and rows["calls-left"] == 0 and not tiers
