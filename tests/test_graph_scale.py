@@ -104,3 +104,10 @@ def test_edges_bind_imports_once_and_stop_when_no_call_is_left(spark, monkeypatc
     got = sorted((r.dst, r.kind) for r in graph.symbol_edges(*tables).collect())
     assert got == [("def:lib.py#Box.put@4", "import"), ("def:lib.py#help@1", "call"), ("def:lib.py#help@1", "import")]
     assert rows["targets"] == 2 and rows["calls-left"] == 0 and not tiers
+
+
+def test_contexts_need_no_definitions(spark, monkeypatch):
+    from sparkloom.plans import queries
+
+    monkeypatch.setattr(symbols, "definitions", lambda files: 1 / 0)
+    assert queries.QUERIES["file_contexts"](spark, "/root/testdata/sf0.001").limit(1).count() == 1
