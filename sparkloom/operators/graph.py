@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import def_id, file_id
 from ..storage import kept, small
+from . import rank_blocks
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 50, 1e-8
 # What is tried after a module's path, in order.
@@ -17,44 +18,34 @@ MOST_LENGTHS = 64
 HOT_NAME = 1024
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, start: DataFrame | None = None) -> DataFrame:
-    """``id, rank`` of ``id`` and ``src, dst``; parallel edges count each, dangling ranks go to all, unknown ends are ignored.
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, start: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """``id, rank`` of ``id`` and ``src, dst``; parallel edges count each (``once``: as one), dangling ranks go to all, unknown ends are ignored.
 
     ``start`` (``id, rank``) are the ranks of an earlier graph: where little has changed, few rounds are left. New ids begin with an equal share.
+    A round shuffles sums for the ends of edges, and never the edges (see ``rank_blocks``).
     """
     ids = kept(nodes.select("id").distinct(), "nodes")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(1.0))
-    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    counted = known.groupBy("src", "dst").agg(F.count("*").alias("w"))
-    degree = counted.groupBy("src").agg(F.sum("w").alias("degree"))
-    steps = kept(counted.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), "edges")
-    out = steps.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    first = F.lit(1.0 / n)
-    begun = ids.join(out, "id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
-    if start is not None:
-        begun = begun.join(start.select("id", F.col("rank").alias("was")), "id", "left")
-        first = F.coalesce("was", first)
-    ranks = kept(begun.select("id", "out", first.alias("rank")), "ranks")
-    total, loose = ranks.agg(F.sum("rank"), F.sum(F.when(~F.col("out"), F.col("rank")))).first()
-    if start is not None:
-        ranks = ranks.withColumn("rank", F.col("rank") / F.lit(total))
-    dangling = (loose or 0.0) / total
-    for _ in range(iterations):
-        base = (1 - damping) / n + damping * dangling / n
-        none = F.lit(None)
-        given = steps.join(ranks, steps.src == ranks.id).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("got"), none.cast("double").alias("old"), none.cast("boolean").alias("out"))
-        every = given.unionByName(ranks.select("id", F.lit(0.0).alias("got"), F.col("rank").alias("old"), "out")).groupBy("id").agg(F.sum("got").alias("got"), F.max("old").alias("old"), F.max("out").alias("out"))
-        new = every.select("id", "out", "old", (F.lit(base) + damping * F.col("got")).alias("rank"))
-        # two numbers, summed while the round is written: what it moved, and what the next one deals out to all
-        sums = Observation()
-        moved, loose = F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(~F.col("out"), F.col("rank")))
-        ranks = kept(new.observe(sums, moved.alias("delta"), F.coalesce(loose, F.lit(0.0)).alias("dangling")), "ranks").drop("old")
-        delta, dangling = sums.get["delta"], sums.get["dangling"]
-        if delta < tolerance:
-            break
-    return ranks.select("id", "rank")
+    numbered, parts = rank_blocks.numbered(ids, n)
+    with rank_blocks.tiles(numbered, n, edges, parts, once) as tiles:
+        first = numbered.withColumn("first", F.lit(1.0 / n))
+        if start is not None:
+            first = first.drop("first").join(start.select("id", F.col("rank").alias("was")), "id", "left").withColumn("first", F.coalesce("was", F.lit(1.0 / n))).drop("was")
+        ranks = kept(rank_blocks.begun(first, tiles), "ranks")
+        total, loose = ranks.agg(F.sum("total"), F.sum("dangling")).first()
+        scale, dangling = (1.0 if start is None else 1.0 / total), loose / total
+        for _ in range(iterations):
+            base = (1 - damping) / n + damping * dangling / n
+            new = rank_blocks.moved(tiles, ranks, base, damping, scale)
+            # two numbers, summed while the round is written: what it moved, and what the next one deals out to all
+            sums = Observation()
+            ranks = kept(new.observe(sums, F.sum("total").alias("delta"), F.sum("dangling").alias("dangling")), "ranks")
+            delta, dangling, scale = sums.get["delta"], sums.get["dangling"], 1.0
+            if delta < tolerance:
+                break
+    return rank_blocks.named(numbered, ranks, scale)
 
 
 def _dots_resolved(path: Column) -> Column:
