@@ -626,7 +626,7 @@ def _graph(spark, sf_dir):
     from ..operators import symbols
 
     sources = code(spark, sf_dir)
-    return kept(symbols.definitions(symbols.spread(sources)), "definitions"), _references(spark, sf_dir), sources, _no_aliases(spark)
+    return *symbols.parsed(symbols.spread(sources)), sources, _no_aliases(spark)
 
 
 def _no_aliases(spark):

@@ -27,10 +27,10 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: work is done once and survives lost executors."""
+def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Written to the shared folder, in folders by some columns, and read back: work is done once and survives lost executors."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -111,3 +111,16 @@ def test_contexts_need_no_definitions(spark, monkeypatch):
 
     monkeypatch.setattr(symbols, "definitions", lambda files: 1 / 0)
     assert queries.QUERIES["file_contexts"](spark, "/root/testdata/sf0.001").limit(1).count() == 1
+
+
+def test_the_graph_parses_each_file_once(spark, monkeypatch):
+    from sparkloom.plans import queries
+
+    code = queries.fixture(spark)
+    want = [sorted(map(str, t.collect())) for t in (symbols.definitions(code), symbols.references(code))]
+    parsed, run = [], symbols._extract
+    monkeypatch.setattr(symbols, "_extract", lambda want: [parsed.append(want), run(want)][1])
+    monkeypatch.setattr(queries, "code", lambda spark, sf_dir: code)
+    defs, refs, *_ = queries._graph(spark, "")
+    assert [sorted(map(str, t.collect())) for t in (defs, refs)] == want and all(want)
+    assert len(parsed) == 1
