@@ -14,6 +14,7 @@ each query found there as its threshold, and then scores the other segments only
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -30,6 +31,7 @@ from ..storage import kept
 from .search import B, CELLS, K1, SLACK, Weights, blocks, largest, no_hits, top_k
 
 SEGMENT, BUCKETS, SEEDS, LEAST_SEGMENTS, FAN = 1024, 64, 2, 64, 4096
+PORTION = 1 << 18  # postings that a search takes from a batch of index rows at a time
 
 
 def bucket_of(terms: list[str], buckets: int) -> np.ndarray:
@@ -101,6 +103,14 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - count), count) + np.arange(int(count.sum()))
 
 
+def portions(batch: pa.RecordBatch, name: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Some rows of a batch at a time, so many that their lists ``name`` hold about ``most`` values, or one row."""
+    part = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 @dataclass
 class Pruned:
     """What a search read and skipped: pairs of segment and query with a term in common, and how many of them were scored."""
@@ -145,7 +155,7 @@ class InvertedIndex:
         lists = ["front_tf", "front_dl", *(["docs", "tfs"] if postings else [])]
 
         def run(batches):
-            for batch in batches:
+            for batch in (some for batch in batches for some in portions(batch, lists[-1])):
                 word = pc.index_in(batch.column("terms").flatten(), words)
                 at = np.flatnonzero(np.asarray(word.is_valid()))
                 seg = np.repeat(batch.column("seg").to_numpy(), pc.list_value_length(batch.column("terms")).to_numpy())

@@ -105,3 +105,27 @@ def test_many_queries_of_one_id(spark, monkeypatch):
     parts = list(search.blocks(queries, "query_id", "query_id", "vector"))
     assert sum(p.num_rows for p in parts) == 12 and max(p.num_rows for p in parts) <= 4
     assert {r.query_id for r in search.vector_top_k(vectors, queries, 3).collect()} == {7, 8}
+
+
+def test_a_search_takes_postings_some_at_a_time(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    lists = [[i] * (i % 7) for i in range(200)] + [[1] * 50, None]
+    batch = pa.RecordBatch.from_pydict({"x": pa.array(lists, pa.list_(pa.int32()))})
+    some = list(inverted.portions(batch, "x", 20))
+    assert [x for b in some for x in b.column("x").to_pylist()] == lists and len(some) > 20
+    assert max(len(b.column("x").flatten()) for b in some ) <= 20 + 50
+    assert [b.num_rows for b in inverted.portions(batch.slice(0, 0), "x", 20)] == [0]
+    # rows of an index in one batch, with and without portions, give the same blocks
+    texts = spark.range(3000).selectExpr("id", "concat_ws(' ', 'all', concat('w', id % 50), concat('v', id % 7)) as text").coalesce(1)
+    index = inverted.InvertedIndex.write(texts, str(tmp_path / "index"), segment=64)
+    words = pa.array(["all", "w3", "v5", "none"])
+    got = []
+    for most in (5, 1 << 30):
+        was, inverted.portions.__defaults__ = inverted.portions.__defaults__, (most,)
+        try:
+            got.append(sorted(map(tuple, index._asked(words, None, True).selectExpr("seg", "word", "n", "string(docs)", "string(tfs)", "string(front_tf)").collect())))
+        finally:
+            inverted.portions.__defaults__ = was
+    assert got[0] == got[1] and np.sum([r[2] for r in got[0] if r[1] == 0]) == 3000
