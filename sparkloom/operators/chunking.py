@@ -119,10 +119,12 @@ def file_contexts(refs: DataFrame, max_chars: int = 300, names: int = 24) -> Dat
     one = refs.where("kind in ('import', 'export')").select(
         "path", "kind", F.when(F.col("kind") == "import", F.concat(F.array(module_basename("module")), imported)).otherwise(exported).alias("n")
     )
-    word = one.select("path", "kind", F.explode("n").alias("name")).where("name <> ''").distinct()
+    # one shuffle: every later step groups by the path, or by the path and more
+    word = one.repartition("path").select("path", "kind", F.explode("n").alias("name")).where("name <> ''").distinct()
     rank = F.row_number().over(Window.partitionBy("path", "kind").orderBy(F.collate("name", "UNICODE"), "name"))
     top = word.withColumn("r", rank).where(F.col("r") <= names)
-    joined = top.groupBy("path", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("l"))
-    part = lambda k: F.max(F.when(F.col("kind") == k, F.concat(F.lit(f"{k}s: "), "l")))
+    ranked = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("r", "name"))))
+    lists = top.groupBy("path").agg(*[F.transform(ranked(k), lambda x: x["name"]).alias(k) for k in ("import", "export")])
+    part = lambda k: F.when(F.size(k) > 0, F.concat(F.lit(f"{k}s: "), F.array_join(k, ", ")))
     line = F.concat(F.lit("CONTEXT | "), F.concat_ws(" | ", part("import"), part("export")))
-    return joined.groupBy("path").agg(line.alias("c")).select("path", F.left("c", F.lit(max_chars)).alias("context"))
+    return lists.select("path", F.left(line, F.lit(max_chars)).alias("context"))

@@ -616,10 +616,10 @@ def code(spark, sf_dir):
     return supplier.union(customer).union(modules[0]).union(modules[1])
 
 
-def _references(spark, sf_dir):
+def _links(spark, sf_dir):
     from ..operators import symbols
 
-    return kept(symbols.references(symbols.spread(code(spark, sf_dir))), "references")
+    return symbols.links(symbols.spread(code(spark, sf_dir)))
 
 
 def _graph(spark, sf_dir):
@@ -635,7 +635,7 @@ def _no_aliases(spark):
 
 @query(f"with {_CODE_SQL} select path, case when ends_with(path, '.py') then '.' || regexp_extract(uses, '(n[0-9]+)', 1) else './' || regexp_extract(uses, '(n[0-9]+)', 1) end as module, uses as target from code where uses is not null")
 def module_resolution(spark, sf_dir):
-    return graph.resolved_modules(_references(spark, sf_dir).where("kind = 'import'"), code(spark, sf_dir), _no_aliases(spark))
+    return graph.resolved_modules(kept(_links(spark, sf_dir).where("kind = 'import'"), "imports"), code(spark, sf_dir), _no_aliases(spark))
 
 
 _STEM = "regexp_extract(path, '([^/]*)\\.[a-z]+$', 1)"
@@ -717,7 +717,7 @@ def symbol_chunks(spark, sf_dir):
 union all select path, 'CONTEXT | exports: load' from code where uses is null and ends_with(path, '.ts')"""
 )
 def file_contexts(spark, sf_dir):
-    return chunking.file_contexts(_references(spark, sf_dir))
+    return chunking.file_contexts(_links(spark, sf_dir))
 
 
 # the passages that a query should find: the document of its own number and the one after

@@ -124,3 +124,35 @@ def test_the_graph_parses_each_file_once(spark, monkeypatch):
     defs, refs, *_ = queries._graph(spark, "")
     assert [sorted(map(str, t.collect())) for t in (defs, refs)] == want and all(want)
     assert len(parsed) == 1
+
+
+def test_links_are_the_imports_and_exports_of_references(spark, monkeypatch):
+    from sparkloom.plans import queries
+
+    more = [
+        ("m.go", 'package m\nimport (\n\tx "a/b"\n\t"c/d"\n)\nfunc f() { x.g() }\n'), ("e.ts", "export { a as b, c };\nexport * from './q';\nexport default class K {\n  m() { n(); }\n}\nimport './side';\n"),
+        ("p.py", "import a.b as c\nfrom ..d import e as f, g\n\n\nclass A:\n    def h(self):\n        import inner\n        return g()\n"), ("bad.py", "import a\ndef (:\n"), ("r.rs", "fn f() {}\n"), ("n.py", None), ("none", "import a\n"),
+    ]
+    code = queries.fixture(spark).union(spark.createDataFrame(more, "path string, content string"))
+    got, every = sorted(map(str, symbols.links(code).collect())), symbols.references(code)
+    assert got == sorted(map(str, every.where("kind <> 'call'").collect())) and len(got) < every.count()
+    monkeypatch.setattr(symbols, "PATTERNS", {})
+    monkeypatch.setattr(symbols.ast, "walk", lambda tree: 1 / 0)
+    assert [len(symbols.parse(p, t, links_only=True)[1]) for p, t in more[:3]] == [2, 4, 2]
+
+
+def test_contexts_shuffle_their_names_once_and_keep_nothing(spark, monkeypatch):
+    from sparkloom.operators import chunking
+    from sparkloom.plans import queries
+
+    names = [(f"x{i}", f"x{i}") for i in range(30)]
+    refs = [(0, "a.ts", "import", "./lib/b", [("h", "help"), ("B", "default"), ("all", "*")], None, None), (1, "a.ts", "import", "./lib/b", [("h", "help")], None, None), (2, "a.ts", "export", None, [("é", "é"), ("Z", "Z"), ("a", "a"), ("*", "*")], None, None)]
+    refs += [(3, "b.ts", "export", None, names, None, None), (4, "c.ts", "call", None, None, "run", None), (5, "d.ts", "export", None, [("*", "*")], None, None)]
+    made = chunking.file_contexts(spark.createDataFrame(refs, REFS), max_chars=60)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    first = "CONTEXT | exports: " + ", ".join(sorted(n for n, _ in names))
+    assert sorted(map(tuple, made.collect())) == [("a.ts", "CONTEXT | imports: all, b, B, help | exports: a, é, Z"), ("b.ts", first[:60])]
+    wants, run = [], symbols._extract
+    monkeypatch.setattr(symbols, "_extract", lambda want: [wants.append(want), run(want)][1])
+    monkeypatch.setattr(queries, "kept", lambda df, *name: 1 / 0)
+    assert queries.QUERIES["file_contexts"](spark, "/root/testdata/sf0.001").limit(1).count() == 1 and wants == ["links"]
