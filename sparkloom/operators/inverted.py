@@ -1,11 +1,14 @@
 """An inverted index with block maxima: postings by term, cut at segments of passages, and searches that skip blocks.
 
-A segment is up to ``SEGMENT`` passages of one task. A block is one term's passages in one segment: places within
+A segment is up to ``SEGMENT`` passages of one task, of ``SEGMENT_SIZE`` together. A block is one term's passages in one segment: places within
 the segment with term frequencies, and the front of those: the pairs of frequency and length that no other pair beats in both. A row of
 the index holds the blocks of one segment whose terms fall into one of ``buckets`` by their hash. Rows lie in folders by bucket, so that a search reads
 the folders of the terms that it is asked for; what a segment adds to a folder is bounded, however common its terms.
 One more row for each segment (bucket -1) holds its passages' ids and lengths.
 
+Spark reads up to 4,096 rows of a row group at once, and for each number of a list two more for its levels. So numbers are packed, row groups hold
+``ROW_GROUP`` bytes, and a file up to ``FAN`` segments: what a task reads and sorts is bounded, whatever the size of the index.
+
 The front gives the most that a block adds to a score exactly, whatever the corpus' average length has become.
 A search adds these bounds over its terms for each segment and query, scores the segments with the best bounds, takes the k-th score of
 each query found there as its threshold, and then scores the other segments only for queries whose bound reaches it: no hit is lost.
@@ -23,15 +26,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.terms import terms
 from ..functions.text import query_terms
 from ..storage import kept
-from .search import B, CELLS, K1, SLACK, Weights, blocks, largest, no_hits, top_k
+from .search import B, K1, SLACK, Weights, blocks, largest, no_hits, top_k
 
-SEGMENT, BUCKETS, SEEDS, LEAST_SEGMENTS, FAN = 1024, 64, 2, 64, 4096
-PORTION = 1 << 18  # postings that a search takes from a batch of index rows at a time
+SEGMENT, BUCKETS, SEEDS, LEAST_SEGMENTS, FAN = 1024, 64, 2, 64, 1024
+SEGMENT_SIZE = 1 << 22  # bytes of text of a segment, or of one longer passage; terms count as 8 bytes
+ROW_GROUP = 1 << 23  # bytes
+PORTION = 1 << 19  # bytes of postings (or values, where they are lists) that a search takes from a batch of index rows at a time
 
 
 def bucket_of(terms: list[str], buckets: int) -> np.ndarray:
@@ -45,18 +50,19 @@ def blocks_of(passages: DataFrame, id: str = "id", text: str = "text", group: st
     Every row is made where its passages are read; nothing is shuffled.
     """
     known = "terms" in passages.columns
-    ints = ArrayType(IntegerType())
-    schema = StructType([StructField("bucket", IntegerType()), StructField("seg", LongType()), StructField("grp", StringType()), StructField("terms", ArrayType(StringType()))] + [StructField(n, ints) for n in ("ns", "fronts", "front_tf", "front_dl", "docs", "tfs", "dls")] + [StructField("ids", ArrayType(passages.schema[id].dataType))])
+    schema = StructType([StructField("bucket", IntegerType()), StructField("seg", LongType()), StructField("grp", StringType()), StructField("terms", ArrayType(StringType())), StructField("ns", ArrayType(IntegerType()))] + [StructField(n, BinaryType()) for n in ("fronts", "front_tf", "front_dl", "docs", "tfs")] + [StructField("dls", ArrayType(IntegerType())), StructField("ids", ArrayType(passages.schema[id].dataType))])
     rows = passages.select(F.monotonically_increasing_id().alias("at"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"), F.col(id).alias("id"), F.col("terms" if known else text).alias("said"))
 
     def run(batches):
         for batch in batches:
             at, grp = batch.column("at"), batch.column("grp")
             code = grp.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            length = pc.list_value_length if known else pc.binary_length
+            size = pc.fill_null(length(batch.column("said")), 0).to_numpy(zero_copy_only=False).astype(np.int64) * (8 if known else 1)
             for value in np.unique(code):
                 own = np.flatnonzero(code == value)
-                for a in range(0, len(own), segment):
-                    some = pa.array(own[a : a + segment])
+                for a, b in cuts(size[own], segment):
+                    some = pa.array(own[a:b])
                     said, first = batch.column("said").take(some), int(own[a])
                     found, sizes = (said.flatten(), pc.fill_null(pc.list_value_length(said), 0).to_numpy(zero_copy_only=False)) if known else terms(said)
                     yield _segment(at[first].as_py(), grp[first].as_py(), batch.column("id").take(some), found, sizes.astype(np.int32), buckets)
@@ -64,6 +70,37 @@ def blocks_of(passages: DataFrame, id: str = "id", text: str = "text", group: st
     return rows.mapInArrow(run, schema)
 
 
+def cuts(size: np.ndarray, rows: int, most: int = SEGMENT_SIZE) -> Iterator[tuple[int, int]]:
+    """First and last place (exclusive) of runs of at most so many passages and so many bytes together, or of one that is longer."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = min(a + rows, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))))
+        yield a, b
+        a = b
+
+
+def packed(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Runs of so many values each, as bytes: the least of 1, 2 or 4 for a value that holds all."""
+    most = int(values.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    ends = (np.concatenate([[0], np.cumsum(count)]) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(values.astype(f"<u{width}"))])
+
+
+def unpacked(runs: pa.Array, count: np.ndarray) -> np.ndarray:
+    """The values of ``packed``, one run after the other; runs of an index that was written as lists are taken as they are."""
+    if pa.types.is_list(runs.type):
+        return runs.flatten().to_numpy()
+    out, start = np.empty(int(count.sum()), np.int32), np.cumsum(count) - count
+    width = pc.binary_length(runs).to_numpy(zero_copy_only=False) // np.maximum(count, 1)
+    for w in np.unique(width[count > 0]):
+        own = np.flatnonzero((width == w) & (count > 0))
+        some = runs.take(pa.array(own)).cast(pa.binary())
+        ends = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+        out[ranges(start[own], count[own])] = np.frombuffer(some.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(f"<u{w}")
+    return out
+
+
 def _lists(values: np.ndarray, of: np.ndarray, rows: int) -> pa.Array:
     """Values, in order of the row that they belong to, as lists."""
     ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
@@ -87,10 +124,11 @@ def _segment(seg: int, grp: str | None, ids: pa.Array, found: pa.Array, dls: np.
     front = by_length[np.concatenate([[True], most[1:] > most[:-1]])] if len(most) else by_length
     used, row = np.unique(bucket[order], return_inverse=True)
     m, last = len(used), np.zeros(1, np.int64)
+    fronts, postings = np.bincount(row[term[front]], minlength=m + 1), np.bincount(row[term], minlength=m + 1)
     columns = {
         "bucket": np.append(used, -1), "seg": np.full(m + 1, seg), "grp": [grp] * (m + 1), "terms": _lists(names.take(pa.array(order)).cast(pa.string()), row, m + 1), "ns": _lists(n, row, m + 1),
-        "fronts": _lists(np.bincount(term[front], minlength=len(names)), row, m + 1), "front_tf": _lists(tf[front], row[term[front]], m + 1), "front_dl": _lists(dls[doc[front]], row[term[front]], m + 1),
-        "docs": _lists(doc, row[term], m + 1), "tfs": _lists(tf, row[term], m + 1), "dls": _lists(dls, np.repeat(last + m, len(dls)), m + 1), "ids": _lists(ids, np.repeat(last + m, len(ids)), m + 1),
+        "fronts": packed(np.bincount(term[front], minlength=len(names)), np.bincount(row, minlength=m + 1)), "front_tf": packed(tf[front], fronts), "front_dl": packed(dls[doc[front]], fronts),
+        "docs": packed(doc, postings), "tfs": packed(tf, postings), "dls": _lists(dls, np.repeat(last + m, len(dls)), m + 1), "ids": _lists(ids, np.repeat(last + m, len(ids)), m + 1),
     }
     columns["bucket"] = pa.array(columns["bucket"].astype(np.int32))
     columns["seg"], columns["grp"] = pa.array(columns["seg"]), pa.array(columns["grp"], pa.string())
@@ -104,8 +142,9 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def portions(batch: pa.RecordBatch, name: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
-    """Some rows of a batch at a time, so many that their lists ``name`` hold about ``most`` values, or one row."""
-    part = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    """Some rows of a batch at a time, so many that their lists ``name`` hold about ``most`` values (packed ones: bytes), or one row."""
+    length = pc.list_value_length if pa.types.is_list(batch.schema.field(name).type) else pc.binary_length
+    part = np.cumsum(pc.fill_null(length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield batch.slice(a, b - a)
@@ -139,7 +178,7 @@ class InvertedIndex:
         rows = blocks_of(passages, id, text, group, buckets, segment)
         fan = 1 + passages.count() // (segment * FAN)  # files of a folder
         laid = rows.repartition("bucket", F.pmod(F.xxhash64("seg"), F.lit(fan))).sortWithinPartitions("bucket", "seg")
-        laid.write.partitionBy("bucket").parquet(f"{path}/blocks")
+        laid.write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
         spark.createDataFrame([(buckets, segment, laid.schema.json())], "buckets int, segment int, schema string").coalesce(1).write.parquet(f"{path}/layout")
         return InvertedIndex(spark, path, id)
 
@@ -148,27 +187,34 @@ class InvertedIndex:
         return self.rows.where("bucket = -1").select("seg", "grp", F.size("ids").alias("n"), "ids", "dls")
 
     def _asked(self, words: pa.Array, group: str | None = None, postings: bool = False) -> DataFrame:
-        """``seg, word, n, front_tf, front_dl`` and with ``postings`` ``docs, tfs`` of the blocks of some terms, by number; other folders are not read."""
+        """``seg, word, n, fronts, front_tf, front_dl`` and with ``postings`` ``docs, tfs`` (packed) of the blocks of some terms, by number; other folders are not read."""
+        return self._blocks(words, group, ["front_tf", "front_dl", *(["docs", "tfs"] if postings else [])])
+
+    def _blocks(self, words: pa.Array, group: str | None, lists: list[str]) -> DataFrame:
+        """``seg, word, n`` and some lists, packed: ``n`` values of ``docs`` and ``tfs``, and ``fronts``, which comes with them, of ``front_tf`` and ``front_dl``."""
         folders = np.unique(bucket_of(words.to_pylist(), self.buckets)).tolist()
         rows = self.rows.where(F.col("bucket").isin(folders) if len(folders) < self.buckets else F.col("bucket") >= 0)
         rows = rows if group is None else rows.where(F.col("grp") == group)
-        lists = ["front_tf", "front_dl", *(["docs", "tfs"] if postings else [])]
+
+        counts = ["n", "fronts"] if any(name.startswith("front") for name in lists) else ["n"]
 
         def run(batches):
-            for batch in (some for batch in batches for some in portions(batch, lists[-1])):
+            for batch in (some for batch in batches for some in portions(batch, lists[-1] if lists else "terms")):
+                terms = pc.list_value_length(batch.column("terms")).to_numpy().astype(np.int64)
                 word = pc.index_in(batch.column("terms").flatten(), words)
-                at = np.flatnonzero(np.asarray(word.is_valid()))
-                seg = np.repeat(batch.column("seg").to_numpy(), pc.list_value_length(batch.column("terms")).to_numpy())
-                out = {"seg": pa.array(seg[at]), "word": word.drop_null().cast(pa.int32()), "n": batch.column("ns").flatten().take(pa.array(at))}
+                at, of = np.flatnonzero(np.asarray(word.is_valid())), np.repeat(np.arange(batch.num_rows), terms)
+                size = {"n": batch.column("ns").flatten().to_numpy().astype(np.int64)}
+                if "fronts" in counts:
+                    size["fronts"] = unpacked(batch.column("fronts"), terms).astype(np.int64)
+                out = {"seg": batch.column("seg").take(pa.array(of[at])), "word": word.drop_null().cast(pa.int32())} | {c: pa.array(size[c][at].astype(np.int32)) for c in counts}
                 for name in lists:
-                    size = batch.column("fronts" if name.startswith("front") else "ns").flatten().to_numpy().astype(np.int64)
-                    place = (np.cumsum(size) - size)[at]
-                    values = batch.column(name).flatten().take(pa.array(ranges(place, size[at])))
-                    out[name] = _lists(values, np.repeat(np.arange(len(at)), size[at]), len(at))
+                    n = size["fronts" if name.startswith("front") else "n"]
+                    values = unpacked(batch.column(name), np.bincount(of, n, batch.num_rows).astype(np.int64))
+                    out[name] = packed(values[ranges((np.cumsum(n) - n)[at], n[at])], n[at])
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-        columns = ["seg", "terms", "ns", "fronts", *lists]
-        return rows.select(*columns).mapInArrow(run, "seg long, word int, n int" + "".join(f", {name} array<int>" for name in lists))
+        schema = "seg long, word int" + "".join(f", {c} int" for c in counts) + "".join(f", {name} binary" for name in lists)
+        return rows.select("seg", "terms", "ns", *counts[1:], *lists).mapInArrow(run, schema)
 
     def bm25(self, queries: DataFrame, k: int, group: str | None = None, scope: DataFrame | None = None, prune: bool | None = None) -> DataFrame:
         """``query_id, id, score, rank``: the hits of ``search.bm25``, from the blocks of the asked terms alone.
@@ -194,7 +240,7 @@ class InvertedIndex:
         segments = self.segments()
         size = segments.agg(F.sum("n").alias("n"), F.sum(F.expr("aggregate(dls, 0L, (a, x) -> a + x)")).alias("length"), F.count("*").alias("segments")).first()
         df = np.zeros(len(words), np.int64)
-        for r in self._asked(words).groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most a row for each asked word
+        for r in self._blocks(words, None, []).groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most a row for each asked word
             df[r.word] = r.n
         weights = Weights(block, words, size.n or 0, size.length or 0, df)
         if group is not None:
@@ -223,14 +269,14 @@ class InvertedIndex:
         """``seg, bound``: for each query (a float each, rounded up) the most that a passage of the segment can score."""
 
         def bound(table: pa.Table) -> pa.Table:
-            tf, dl = (table[c].combine_chunks() for c in ("front_tf", "front_dl"))
-            first = np.cumsum(size := pc.list_value_length(tf).to_numpy()) - size
-            part = np.maximum.reduceat(weights.part(tf.flatten().to_numpy(), dl.flatten().to_numpy()), first)
+            size = table["fronts"].to_numpy()
+            tf, dl = (unpacked(table[c].combine_chunks(), size) for c in ("front_tf", "front_dl"))
+            part = np.maximum.reduceat(weights.part(tf, dl), np.cumsum(size) - size)
             score = weights.scores(np.zeros(len(part), np.int64), table["word"].to_numpy(), part, 1)[0]
             up = np.nextafter(score.astype(np.float32), np.float32(np.inf)) * (score > 0)
             return pa.table({"seg": table["seg"].slice(0, 1), "bound": pa.array([up.astype("<f4").tobytes()])})
 
-        return found.select("seg", "word", "front_tf", "front_dl").groupBy("seg").applyInArrow(bound, "seg long, bound binary")
+        return found.select("seg", "word", "fronts", "front_tf", "front_dl").groupBy("seg").applyInArrow(bound, "seg long, bound binary")
 
     @staticmethod
     def _seeds(bounds: DataFrame, queries: int) -> DataFrame:
@@ -284,9 +330,9 @@ class InvertedIndex:
                 return schema.empty_table()
             ids, dls = segment["ids"].combine_chunks().flatten(), segment["dls"].combine_chunks().flatten().to_numpy()
             mask, inside = segment["mask"][0].as_py(), segment["inside"][0].as_py()
-            lists = rows["docs"].combine_chunks()
-            word = np.repeat(rows["word"].to_numpy(), pc.list_value_length(lists).to_numpy())
-            doc, tf = lists.flatten().to_numpy(), rows["tfs"].combine_chunks().flatten().to_numpy()
+            count = rows["n"].to_numpy()
+            word = np.repeat(rows["word"].to_numpy(), count)
+            doc, tf = (unpacked(rows[c].combine_chunks(), count) for c in ("docs", "tfs"))
             if inside is not None:
                 allowed = np.zeros(len(dls), bool)
                 allowed[inside] = True
@@ -295,10 +341,9 @@ class InvertedIndex:
             word, doc, tf = word[order], doc[order], tf[order]
             part, out = weights.part(tf, dls[doc]), []
             on = np.ones(n, bool) if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool)
-            step = max(1, CELLS // n)
-            for a in range(0, len(dls), step):
-                lo, hi = np.searchsorted(doc, (a, a + step))
-                scores = weights.scores(doc[lo:hi] - a, word[lo:hi], part[lo:hi], min(step, len(dls) - a)) * on
+            for a, b in weights.steps(doc, word, len(dls)):
+                lo, hi = np.searchsorted(doc, (a, b))
+                scores = weights.scores(doc[lo:hi] - a, word[lo:hi], part[lo:hi], b - a) * on
                 row, query = largest(scores, k)
                 some = scores[row, query] > 0
                 out.append((query[some], a + row[some], scores[row, query][some]))
@@ -307,5 +352,5 @@ class InvertedIndex:
 
         schema = StructType([queries.schema["query_id"], self._id_field(), StructField("score", DoubleType())])
         wanted = segments.select("seg", "ids", "dls", "inside", "mask")
-        rows = self._asked(words, group, True).join(segments.select("seg"), "seg", "left_semi").select(F.col("seg").alias("of"), "word", "docs", "tfs")
+        rows = self._blocks(words, group, ["docs", "tfs"]).join(segments.select("seg"), "seg", "left_semi").select(F.col("seg").alias("of"), "word", "n", "docs", "tfs")
         return wanted.groupBy("seg").cogroup(rows.groupBy("of")).applyInArrow(score, schema)

@@ -187,6 +187,12 @@ class Weights:
         """What a term of so many occurrences in a passage of such a length counts, before its weight."""
         return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
 
+    def steps(self, doc: np.ndarray, word: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+        """First and last place (exclusive) of some passages at a time: bounded scores, and bounded meetings of terms and queries."""
+        work = np.cumsum(np.bincount(doc, self.count[word], rows)) // CELLS + np.arange(rows) // max(1, CELLS // self.queries)
+        edges = [0, *(np.flatnonzero(np.diff(work)) + 1).tolist(), rows]
+        return zip(edges[:-1], edges[1:], strict=True)
+
     def scores(self, doc: np.ndarray, word: np.ndarray, part: np.ndarray, rows: int) -> np.ndarray:
         """Scores of ``rows`` passages by queries, from their distinct terms."""
         here = self.hot[word]
@@ -211,10 +217,7 @@ def _bm25_rows(block: pa.Table, index: DataFrame, k: int):
         pair, tf = np.unique(doc * len(words) + word.drop_null().to_numpy(), return_counts=True)
         doc, word = np.divmod(pair, len(words))
         part = weights.part(tf, size[doc])
-        # some rows at a time: bounded scores, and bounded meetings of terms and queries
-        work = np.cumsum(np.bincount(doc, weights.count[word], batch.num_rows)) // CELLS + np.arange(batch.num_rows) // max(1, CELLS // block.num_rows)
-        edges = [0, *(np.flatnonzero(np.diff(work)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for a, b in weights.steps(doc, word, batch.num_rows):
             lo, hi = np.searchsorted(doc, (a, b))
             score = weights.scores(doc[lo:hi] - a, word[lo:hi], part[lo:hi], b - a)
             row, query = largest(score, k)

@@ -129,3 +129,54 @@ def test_a_search_takes_postings_some_at_a_time(spark, tmp_path):
         finally:
             inverted.portions.__defaults__ = was
     assert got[0] == got[1] and np.sum([r[2] for r in got[0] if r[1] == 0]) == 3000
+
+
+def test_postings_are_packed_and_row_groups_bounded(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    runs = [[1, 2, 255], [], [256, 0], [65536], [7]]
+    count = np.array([len(r) for r in runs])
+    one = inverted.packed(np.array(sum(runs, [])), count)
+    mixed = pa.concat_arrays([inverted.packed(np.array(r, np.int64), np.array([len(r)])) for r in runs])
+    assert inverted.unpacked(one, count).tolist() == inverted.unpacked(mixed, count).tolist() == sum(runs, [])
+    assert inverted.unpacked(mixed.slice(2, 2), count[2:4]).tolist() == [256, 0, 65536]
+    assert inverted.unpacked(pa.array(runs, pa.list_(pa.int32())), count).tolist() == sum(runs, [])
+    monkeypatch.setattr(inverted, "ROW_GROUP", 1 << 14)
+    texts = spark.range(6000).selectExpr("id", "concat_ws(' ', 'all', concat('w', id), concat('v', id % 700)) as text").coalesce(1)
+    index = inverted.InvertedIndex.write(texts, str(tmp_path / "index"), segment=16, buckets=2)
+    assert dict(index.rows.dtypes)["docs"] == dict(index.rows.dtypes)["tfs"] == "binary"
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "index" / "blocks").glob("bucket=*/*.parquet")]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) < 200 < max(m.num_rows for m in groups)
+    asked = spark.createDataFrame([(1, "w17 v3"), (2, "all v699")], "query_id int, query string")
+    assert rows(index.bm25(asked, 9)) == rows(search.bm25(search.postings(texts), asked, 9))
+
+
+def test_segments_of_long_passages_are_shorter(spark, tmp_path):
+    import numpy as np
+
+    assert list(inverted.cuts(np.array([3, 3, 3, 20, 1, 1, 1, 1]), 3, 9)) == [(0, 3), (3, 4), (4, 7), (7, 8)]
+    assert list(inverted.cuts(np.zeros(0, np.int64), 3, 9)) == []
+    texts = spark.range(40).selectExpr("id", "concat_ws(' ', repeat('word ', 100000), concat('w', id)) as text").coalesce(1)
+    index = inverted.InvertedIndex.write(texts, str(tmp_path / "index"))
+    held = index.segments().selectExpr("n", "aggregate(dls, 0L, (a, x) -> a + x) as words").collect()
+    assert sum(r.n for r in held) == 40 and max(r.words for r in held) <= inverted.SEGMENT_SIZE // 5
+    asked = spark.createDataFrame([(1, "w17"), (2, "word")], "query_id int, query string")
+    assert rows(index.bm25(asked, 7)) == rows(search.bm25(search.postings(texts), asked, 7))
+
+
+def test_many_queries_meet_a_segment_in_bounded_steps(spark, made, monkeypatch):
+    import numpy as np
+
+    postings, index = made
+    asked = spark.createDataFrame([(q, f"r{q % 5} c{q % 12} r{q % 7}") for q in range(60)], "query_id int, query string")
+    want = rows(search.bm25(postings, asked, 3))
+    monkeypatch.setattr(search, "CELLS", 256)
+    block = next(search.blocks(asked.selectExpr("query_id", "transform(split(query, ' '), x -> struct(x as term, 1L as n)) as terms"), "query_id", "query_id", "terms"))
+    words = search.Weights.words(block)
+    weights = search.Weights(block, words, 100, 1000, np.ones(len(words), np.int64))
+    doc, word = np.repeat(np.arange(50), len(words)), np.tile(np.arange(len(words)), 50)
+    work = [int(weights.count[word[(doc >= a) & (doc < b)]].sum()) for a, b in weights.steps(doc, word, 50)]
+    assert len(work) > 10 and max(work) <= 256 + weights.count.sum()
+    assert rows(index.bm25(asked, 3, prune=False)) == want
